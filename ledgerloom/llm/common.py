@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import xxhash
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries a per-worker word cache holds before it starts afresh.
-CACHE_ENTRIES = 400_000
+#: Entries a per-worker cache holds before it starts afresh; bytes of text scanned at once.
+CACHE_ENTRIES, SCAN_BYTES = 400_000, 1 << 20
+#: Token counts are kept in 2**COUNTER_BITS counters, sent in chunks of 2**CHUNK_BITS.
+COUNTER_BITS, CHUNK_BITS = 24, 16
 
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,19 +42,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash, kept for the words of one worker up to CACHE_ENTRIES."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def array(self, words: Iterable[bytes], n: int) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, n)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (SplitMix64)."""
     x = (x ^ (x >> np.uint64(30))) * M1
@@ -66,6 +57,112 @@ def chain(arrays: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+SPACES = bytes([9, 10, 11, 12, 13, 32])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base & (2**64 - 1), np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class WordScan:
+    """Hashes of all words of a column of texts, straight from its buffers.
+
+    Words are runs without ``gaps`` bytes, A-Z lower-cased (``latin``: other Latin-1 letters too); 64-bit hashes of a
+    polynomial with random byte values, finalised with the word's length.
+    """
+
+    def __init__(self, gaps: bytes = SPACES, latin: bool = False):
+        self.gap, self.latin = np.zeros(256, bool), latin
+        self.gap[list(gaps)] = True
+        self._grow(2 * SCAN_BYTES)
+
+    def _grow(self, n: int) -> None:
+        self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n)
+
+    def parts(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, end row, hash, row, line of each word): rows in slices of about SCAN_BYTES; lines count line feeds before."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        n = len(texts)
+        if not n:
+            return
+        ends = np.frombuffer(texts.buffers()[1], np.int64, n + 1, 8 * texts.offset)
+        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.empty(0, np.uint8)
+        row = 0
+        while row < n:
+            to = max(row + 1, int(np.searchsorted(ends, ends[row] + SCAN_BYTES, "right")) - 1)
+            yield row, to, *self._words(data[ends[row] : ends[to]], ends[row : to + 1] - ends[row])
+            row = to
+
+    def _words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(data)
+        if n >= len(self.up):
+            self._grow(2 * n)
+        low = _LOWER[data]
+        if self.latin:
+            shift = np.zeros(n, bool)
+            shift[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+            low = np.where(shift, low + np.uint8(32), low)
+        solid = ~self.gap[low]
+        first, starts = solid.copy(), ends[:-1][ends[:-1] < n]
+        first[1:] &= ~solid[:-1]
+        first[starts] = solid[starts]
+        last = solid.copy()
+        last[:-1] &= ~solid[1:]
+        last[starts[starts > 0] - 1] = solid[starts[starts > 0] - 1]
+        b, e = np.flatnonzero(first), np.flatnonzero(last)
+        v = _BYTES[low] * self.up[:n]
+        c = np.cumsum(v, dtype=np.uint64)
+        h = mix((c[e] - c[b] + v[b]) * self.down[b] + (e - b + 1).astype(np.uint64) * GOLD)
+        row = np.searchsorted(ends, b, "right") - 1
+        feeds = np.concatenate([[0], np.cumsum(data == 10)])
+        return h, row, feeds[b] - feeds[ends[row]]
+
+
+def counter_of(tokens: np.ndarray) -> np.ndarray:
+    return (mix(tokens) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def level_of(count: float) -> int:
+    return 1 + round(8 * float(np.log2(count)))
+
+
+def rarity(rows: DataFrame, tokens_of: Callable[[], Callable[[pa.RecordBatch], Iterator[np.ndarray]]]) -> np.ndarray:
+    """How often each counter's tokens occur, as level_of(count) in a byte; 0: never, 1: once.
+
+    The table's size doesn't depend on the data. Tokens that share a counter share a level; that costs filtering
+    power, never results, where levels only put all rows' tokens into one order.
+    """
+    chunk = 1 << CHUNK_BITS
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, get = np.zeros(1 << COUNTER_BITS, np.uint32), tokens_of()
+        for batch in batches:
+            for tokens in get(batch):
+                at, n = np.unique(counter_of(tokens), return_counts=True)
+                table[at] += n.astype(np.uint32)
+        parts = table.reshape(-1, chunk)
+        for k in np.flatnonzero(parts.any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(parts[k].tobytes(), 1)], pa.binary())], ["chunk", "counts"])
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(chunk, np.int64)
+        for c in rows["counts"]:
+            total += np.frombuffer(zlib.decompress(c), np.uint32)
+        level = np.where(total > 0, 1 + np.round(8 * np.log2(np.maximum(total, 1))), 0)
+        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "levels": [np.minimum(level, 255).astype(np.uint8).tobytes()]})
+
+    out = np.zeros(((1 << COUNTER_BITS) // chunk, chunk), np.uint8)
+    for r in rows.mapInArrow(counted, "chunk long, counts binary").groupBy("chunk").applyInPandas(summed, "chunk long, levels binary").toLocalIterator():
+        out[r["chunk"]] = np.frombuffer(r["levels"], np.uint8)
+    return out.reshape(-1)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable id for every id in ``edges``: columns (node, component).
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,70 +11,32 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordHashes, mix, written
+from ledgerloom.llm.common import CHUNK_BITS, COUNTER_BITS, WordScan, counter_of, level_of, mix, rarity, written
 
 #: Least words of a line that is compared, and least Jaccard similarity (percent) of its distinct words.
 LEAST_WORDS, PERCENT = 5, 80
-#: Token counts are kept in 2**RARITY_BITS counters; a token of more lines than HOT is joined with its next prefix token.
-RARITY_BITS, CHUNK_BITS, HOT = 24, 16, 500
+#: A token of more lines than HOT is joined together with each later one of the prefix.
+HOT = 500
 
 _TOKEN_BITS = 56
 _LOW = np.uint64((1 << _TOKEN_BITS) - 1)
 
 
-def _lines(batch: pa.RecordBatch, text_at: int, hashes: WordHashes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _lines(texts: pa.Array, scan: WordScan, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Token hash and line of every word of lines with ``least`` words; row and number in its text of each such line."""
-    words, row, number = [], [], []
-    for i, t in enumerate(batch.column(text_at)):
-        text = t.as_py()
-        if text:
-            for k, line in enumerate(text.encode("utf-8", "surrogatepass").lower().split(b"\n")):
-                own = line.split()
-                if len(own) >= least:
-                    words.append(own), row.append(i), number.append(k)
-    n = np.array([len(w) for w in words], np.int64)
-    tokens = hashes.array((w for own in words for w in own), int(n.sum())) & _LOW
-    return tokens, np.repeat(np.arange(len(n)), n), np.array(row, np.int64), np.array(number, np.int64)
-
-
-def _counter(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens) >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
-
-
-def rarity(bare: DataFrame, least: int) -> np.ndarray:
-    """How often each counter's tokens occur in all lines, as 8 * log2 in a byte (0: never, 1: once).
-
-    The table's size doesn't depend on the data. Tokens that share a counter share a rank; that costs filtering power,
-    never results, since ranks are only used to put all lines' tokens into one order.
-    """
-    chunk = 1 << CHUNK_BITS
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = WordHashes(), np.zeros(1 << RARITY_BITS, np.uint32)
-        for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                tokens, *_ = _lines(batch.slice(s, 512), 1, hashes, least)
-                np.add.at(table, _counter(tokens), np.uint32(1))
-        parts = table.reshape(-1, chunk)
-        for k in np.flatnonzero(parts.any(1)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(parts[k].tobytes(), 1)], pa.binary())], ["chunk", "counts"])
-
-    def summed(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(chunk, np.int64)
-        for c in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(c), np.uint32)
-        level = np.where(total > 0, 1 + np.round(8 * np.log2(np.maximum(total, 1))), 0)
-        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "levels": [np.minimum(level, 255).astype(np.uint8).tobytes()]})
-
-    out = np.zeros((1 << RARITY_BITS) // chunk * chunk, np.uint8).reshape(-1, chunk)
-    for r in bare.mapInArrow(counted, "chunk long, counts binary").groupBy("chunk").applyInPandas(summed, "chunk long, levels binary").toLocalIterator():
-        out[r["chunk"]] = np.frombuffer(r["levels"], np.uint8)
-    return out.reshape(-1)
+    for base, _, tokens, row, number in scan.parts(texts):
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(row)))
+        keep = n >= least
+        line = np.repeat(np.cumsum(keep) - 1, n)
+        yield tokens[np.repeat(keep, n)] & _LOW, line[np.repeat(keep, n)], row[first[keep]] + base, number[first[keep]]
 
 
 def _sets(tokens: np.ndarray, line: np.ndarray, lines: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens of each line, rarest first (their level stands above the hash); their line, place and the line's size."""
-    key = (levels[_counter(tokens)].astype(np.uint64) << np.uint64(_TOKEN_BITS)) | tokens
+    key = (levels[counter_of(tokens)].astype(np.uint64) << np.uint64(_TOKEN_BITS)) | tokens
     order = np.lexsort((key, line))
     key, line = key[order], line[order]
     new = np.ones(len(key), bool)
@@ -93,23 +54,36 @@ def _names(key: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, n
     return a.view(np.int64), b.view(np.int64)
 
 
-def _placed(shared: Broadcast, least: int, percent: int) -> Callable:
-    """Rows (doc, line, name, other, n, postings) of lines; a posting is (key, place) of a prefix token that another line may share."""
+def _named(shared: Broadcast, least: int) -> Callable:
+    """Rows (doc, line, name, other) of lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, scan = shared.value, WordScan()
+        for batch in batches:
+            for tokens, line, row, number in _lines(batch.column(1), scan, least):
+                key, line, _, _ = _sets(tokens, line, len(row), levels)
+                a, b = _names(key, line, len(row))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(a), pa.array(b)], ["doc", "line", "name", "other"])
+
+    return run
+
+
+def _posted(shared: Broadcast, least: int, percent: int) -> Callable:
+    """Rows (key, name, n, place) of prefix tokens that another line may share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, hashes = shared.value, WordHashes()
-        hot = np.uint64(1 + round(8 * np.log2(HOT)))
-        for whole in batches:
-            for s in range(0, whole.num_rows, 512):
-                batch = whole.slice(s, 512)
-                tokens, line, row, number = _lines(batch, 1, hashes, least)
-                if not len(row):
-                    continue
+        levels, scan = shared.value, WordScan()
+        hot = np.uint64(level_of(HOT))
+        for batch in batches:
+            for tokens, line, row, _ in _lines(batch.column(1), scan, least):
                 key, line, place, size = _sets(tokens, line, len(row), levels)
                 a, b = _names(key, line, len(row))
+                _, first = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
+                once = np.zeros(len(row), bool)
+                once[first] = True
                 prefix = size - -(-percent * size // 100) + 1
                 level = key >> np.uint64(_TOKEN_BITS)
-                inside = (place < prefix[line]) & (level > 1) & (size[line] > 1)
+                inside = (place < prefix[line]) & (level > 1) & (once & (size > 1))[line]
                 cold = np.flatnonzero(inside & (level < hot))
                 at, keys = [cold], [key[cold]]
                 warm = np.flatnonzero(inside & (level >= hot))
@@ -119,11 +93,7 @@ def _placed(shared: Broadcast, least: int, percent: int) -> Callable:
                     at.append(warm), keys.append(mix(key[warm] * np.uint64(3) + mix(key[warm + step])))
                     step += 1
                 at, keys = np.concatenate(at), np.concatenate(keys)
-                order = np.argsort(line[at], kind="stable")
-                at, keys = at[order], keys[order]
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(line[at], minlength=len(row)))]).astype(np.int32)
-                posts = pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(place[at].astype(np.int32))], ["key", "place"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(a), pa.array(b), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), posts)], ["doc", "line", "name", "other", "n", "postings"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(a[line[at]]), pa.array(size[line[at]].astype(np.int32)), pa.array(place[at].astype(np.int32))], ["key", "name", "n", "place"])
 
     return run
 
@@ -132,17 +102,14 @@ def _wanted(shared: Broadcast, bits: Broadcast, least: int) -> Callable:
     """Rows (name, other, tokens) of lines whose name may be among the wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, marks, hashes = shared.value, bits.value, WordHashes()
-        for whole in batches:
-            for s in range(0, whole.num_rows, 512):
-                tokens, line, row, _ = _lines(whole.slice(s, 512), 1, hashes, least)
-                if not len(row):
-                    continue
+        levels, marks, scan = shared.value, bits.value, WordScan()
+        for batch in batches:
+            for tokens, line, row, _ in _lines(batch.column(1), scan, least):
                 key, line, _, size = _sets(tokens, line, len(row), levels)
                 a, b = _names(key, line, len(row))
-                on = marks[(a.view(np.uint64) >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
                 _, first = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
-                on &= np.isin(np.arange(len(row)), first)
+                on = np.zeros(len(row), bool)
+                on[first] = marks[(a[first].view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
                 offsets = np.concatenate([[0], np.cumsum(size[on])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(b[on]), pa.ListArray.from_arrays(pa.array(offsets), pa.array((key & _LOW)[on[line]].view(np.int64)))], ["name", "other", "tokens"])
 
@@ -158,9 +125,9 @@ def _marks(names: DataFrame) -> np.ndarray:
         own[rows["bit"].to_numpy()] = True
         return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "bits": [np.packbits(own).tobytes()]})
 
-    top = F.shiftrightunsigned("name", 64 - RARITY_BITS)
+    top = F.shiftrightunsigned("name", 64 - COUNTER_BITS)
     dealt = names.select(F.shiftright(top, CHUNK_BITS).alias("chunk"), top.bitwiseAND(F.lit(per - 1)).alias("bit")).distinct()
-    out = np.zeros((1 << RARITY_BITS) // per * per, bool).reshape(-1, per)
+    out = np.zeros((1 << COUNTER_BITS) // per * per, bool).reshape(-1, per)
     for r in dealt.groupBy("chunk").applyInPandas(gather, "chunk long, bits binary").toLocalIterator():
         out[r["chunk"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
     return out.reshape(-1)
@@ -181,22 +148,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = F.xxhash64(id_col, text_col)
     bare = docs.select(F.struct(F.col(id_col).alias("id"), row.alias("row")).alias("doc"), F.col(text_col).cast("string").alias("text"))
     sc = docs.sparkSession.sparkContext
-    levels = sc.broadcast(rarity(bare, least_words))
+
+    def tokens_of() -> Callable:
+        scan = WordScan()
+        return lambda batch: (tokens for tokens, *_ in _lines(batch.column(1), scan, least_words))
+
+    levels = sc.broadcast(rarity(bare, tokens_of))
     kind = bare.schema["doc"].dataType.simpleString()
-    lines = written(bare.mapInArrow(_placed(levels, least_words, percent), f"doc {kind}, line int, name long, other long, n int, postings array<struct<key:long,place:int>>"), "lines")
+    lines = written(bare.mapInArrow(_named(levels, least_words), f"doc {kind}, line int, name long, other long"), "lines")
     firsts = written(lines.groupBy("name", "other").agg(F.min(F.struct("doc", "line")).alias("first")), "firsts")
 
-    posts = lines.select("name", "other", "n", F.explode("postings").alias("p")).select("name", "other", "n", "p.key", "p.place").distinct()
-    used = posts.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("key")
-    posts = written(posts.join(used, "key", "left_semi"), "postings")
-    right = posts.select("key", *[F.col(c).alias(f"{c}2") for c in ("name", "other", "n", "place")])
+    # one exchange by key serves the removal of copies and both sides of the join
+    posts = bare.mapInArrow(_posted(levels, least_words, percent), "key long, name long, n int, place int").repartition("key").dropDuplicates(["key", "name", "n", "place"])
+    right = posts.select("key", *[F.col(c).alias(f"{c}2") for c in ("name", "n", "place")])
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100 + percent))
-    near = posts.join(right, "key").where("name < name2 OR (name = name2 AND other < other2)").where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)").where(F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= need)
-    pairs = written(near.select("name", "other", "name2", "other2").distinct(), "pairs")
+    near = posts.join(right, "key").where("name < name2").where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)").where(F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= need)
+    pairs = written(near.select("name", "name2").distinct(), "pairs")
 
     marks = sc.broadcast(_marks(pairs.select("name").union(pairs.select("name2"))))
     sets = written(bare.mapInArrow(_wanted(levels, marks, least_words), "name long, other long, tokens array<long>").dropDuplicates(["name", "other"]), "sets")
-    met = pairs.join(sets, ["name", "other"]).join(sets.toDF("name2", "other2", "tokens2"), ["name2", "other2"])
+    met = pairs.join(sets, "name").join(sets.toDF("name2", "other2", "tokens2"), "name2")
     met = met.withColumn("i", F.size(F.array_intersect("tokens", "tokens2"))).where(100 * F.col("i") >= percent * (F.size("tokens") + F.size("tokens2") - F.col("i"))).select("name", "other", "name2", "other2")
     met = met.union(met.select("name2", "other2", "name", "other"))
     partner = met.join(firsts.toDF("name2", "other2", "theirs"), ["name2", "other2"]).groupBy("name", "other").agg(F.min("theirs").alias("theirs"))

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordHashes, chain, connected_components, mix, written
+from ledgerloom.llm.common import WordScan, chain, connected_components, counter_of, mix, rarity, written
 
 #: Hash values of a signature, and how many make one band: a pair at similarity 0.75 misses all 32 bands with p < 1e-5.
 BINS, ROWS = 128, 4
@@ -22,19 +23,17 @@ _STARTS = np.arange(BINS, dtype=np.uint64) << _SHIFT
 _BORROW = np.stack([np.random.default_rng(1_000 + i).permutation(BINS) for i in range(BINS)])
 
 
-def shingle_set(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a whole text.
+def shingle_sets(texts: pa.Array, scan: WordScan, words: int = WORDS) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Sorted distinct 64-bit hashes of the word shingles of whole texts, for slices of rows: (first row, sets).
 
     A-Z is lower-cased and words are runs without ASCII white space. A text with fewer words is one shingle, an empty
     or null one has none.
     """
-    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not own:
-        return np.empty(0, np.uint64)
-    h = hashes.array(own, len(own))
-    k = min(words, len(own))
-    out = chain([h[i : len(h) - k + 1 + i] for i in range(k)])
-    return np.unique(out if k == words else out + np.uint64(k))
+    for start, end, h, row, _ in scan.parts(texts):
+        n = np.bincount(row, minlength=end - start)
+        at = np.cumsum(n) - n
+        full = chain([h[i : len(h) - words + 1 + i] for i in range(words)]) if len(h) >= words else h[:0]
+        yield start, [np.unique(full[a : a + k - words + 1]) if k >= words else chain([h[a + i : a + i + 1] for i in range(k)]) + np.uint64(k) if k else h[:0] for a, k in zip(at, n, strict=True)]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -54,35 +53,51 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return chain([parts[:, i] for i in range(ROWS)] + [np.arange(BANDS, dtype=np.uint64)]).view(np.int64)
 
 
+def _listed(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).view(np.int64), pa.int64()))
+
+
 def _signed(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        scan, other = WordScan(), np.uint64(0xA5A5A5A5A5A5A5A5)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for s in range(0, batch.num_rows, 512):
-                n, x, y, bands = [], [], [], []
-                for t in texts[s : s + 512]:
-                    own = shingle_set(t.as_py(), hashes, words)
-                    n.append(len(own))
-                    x.append(int(own.sum().view(np.int64)) if len(own) else 0)
-                    y.append(int(mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64)) if len(own) else 0)
-                    bands.append(band_keys(signature(own)) if len(own) else np.empty(0, np.int64))
-                offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids[s : s + 512], pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), flat], ["id", "n", "x", "y", "bands"])
+            for start, sets in shingle_sets(batch.column(1), scan, words):
+                x = [int(s.sum().view(np.int64)) for s in sets]
+                y = [int(mix(s ^ other).sum().view(np.int64)) for s in sets]
+                bands = [band_keys(signature(s)) if len(s) else np.empty(0, np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), _listed(bands)], ["id", "n", "x", "y", "bands"])
 
     return run
 
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        scan = WordScan()
+        for batch in batches:
+            for start, sets in shingle_sets(batch.column(1), scan, words):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), _listed([s.view(np.int64) for s in sets])], ["id", "shingles"])
+
+    return run
+
+
+def _prefixes(shared: Broadcast, percent: int):
+    """Rows (key, id, n, place) of the rarest shingles of sets, one of which any two linked sets share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
-                own = [shingle_set(t.as_py(), hashes, words).view(np.int64) for t in batch.column(1)[s : s + 256]]
-                offsets = np.concatenate([[0], np.cumsum([len(o) for o in own])]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s : s + 256], flat], ["id", "shingles"])
+                part = batch.slice(s, 256)
+                size = part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                h = part.column(1).flatten().to_numpy().view(np.uint64)
+                row = np.repeat(np.arange(len(size)), size)
+                level = levels[counter_of(h)]
+                order = np.lexsort((h, level, row))
+                h, level = h[order], level[order]
+                place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+                at = np.flatnonzero((place < (size - -(-percent * size // 100) + 1)[row]) & (level > 1))
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), part.column(0).take(pa.array(row[at])), pa.array(size[row[at]]), pa.array(place[at])], ["key", "id", "n", "place"])
 
     return run
 
@@ -96,9 +111,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: (id, n_shingles, component_id).
 
     Rows with equal shingle sets are one class. Classes share a bucket when a band of their signatures is equal. Each
-    bucket first links its smallest class to the rest (a star), then, where its members are still in several
-    components, its best linked class to those of other components, and last every remaining pair of classes in
-    different components; so no group of copies is expanded into all pairs and no link between buckets' members is
+    bucket links its smallest class to the rest (a star); then, where its members are still in several components, its
+    best linked class to those of other components. What is left, the members of buckets of several components, meet
+    by an exact set-similarity join: linked sets share one of their rarest shingles (prefix filter) and enough after it
+    (positional filter). So no group of copies is expanded into all pairs, and no link between a bucket's members is
     lost. All links are confirmed on full shingle sets: 100 * intersection >= percent * union.
 
     Null or empty texts have no shingles and stand alone; a row with a null id is returned with n_shingles and a null
@@ -113,9 +129,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.max("id").alias("top")).where("c.id <> top").select("bucket", "c")
     rows = written(rows.join(shared, "bucket"), "buckets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        own = written(bare.where("id IS NOT NULL").join(ends, "id", "left_semi").mapInArrow(_sets(words), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return written(bare.where("id IS NOT NULL").join(ids, "id", "left_semi").mapInArrow(_sets(words), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+
+    def confirmed(pairs: DataFrame, own: DataFrame | None = None) -> DataFrame:
+        own = own or sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         met = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
         both = F.size(F.array_intersect("sa", "sb"))
         return met.withColumn("i", both).where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
@@ -128,18 +146,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = now.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
         now = now.join(mixed, "bucket", "left_semi")
         if last:
-            one, other = now.select("bucket", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "component")]), now
-            pairs = one.join(other, "bucket").where("component1 < component")
+            own = sets_of(now.select("id").distinct())
+            levels = docs.sparkSession.sparkContext.broadcast(rarity(own, lambda: lambda batch: [batch.column(1).flatten().to_numpy().view(np.uint64)]))
+            posts = own.mapInArrow(_prefixes(levels, percent), "key long, id long, n long, place long").join(now.select("id", "component").distinct(), "id")
+            used = posts.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
+            posts = written(posts.join(used, "key", "left_semi").select("key", "id", "n", "place", "component"), "prefixes")
+            one = posts.select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "place", "component")])
+            pairs = one.join(posts, "key").where("component1 < component").where(F.least(F.col("n") - F.col("place"), F.col("n1") - F.col("place1")) >= F.ceil(percent * (F.col("n") + F.col("n1")) / (100 + percent)))
         else:
             degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
             now = now.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
             hub = now.groupBy("bucket").agg(F.max_by(F.struct(F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("component").alias("component1")), F.struct("degree", -F.col("id"))).alias("h"))
-            pairs = now.join(hub, "bucket").select("*", "h.*").where("component1 <> component")
+            pairs, own = now.join(hub, "bucket").select("*", "h.*").where("component1 <> component"), None
         pairs = pairs.where(_close("n", "n1", percent)).select(F.least("id", "id1").alias("a"), F.greatest("id", "id1").alias("b")).distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        found = written(confirmed(pairs), "links")
+        found = written(confirmed(pairs, own), "links")
         tried, links = tried.unionByName(pairs), links.unionByName(found)
         component = connected_components(links)
 

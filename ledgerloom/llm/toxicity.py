@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordHashes, chain, mix, written
+from ledgerloom.llm.common import WordScan, chain, mix, written
 
 #: Labelled rows that a fit uses at most (those with the smallest hashes of their ids), and those of one shard.
 MAX_TRAIN_ROWS, SHARD_ROWS = 24_000, 12_000
@@ -18,7 +18,7 @@ MAX_TRAIN_ROWS, SHARD_ROWS = 24_000, 12_000
 MAX_WEIGHTS, BITS = 100_000, 40
 ALPHA, BETA, LAMBDA1, LAMBDA2, EPOCHS, LEAST_DOCS = 1.0, 1.0, 8.0, 0.0, 8, 3
 
-_PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_GAPS = bytes(c for c in range(128) if not chr(c).isalnum())
 _DROP = np.uint64(64 - BITS)
 
 
@@ -32,21 +32,18 @@ def features(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(out), np.concatenate(of)
 
 
-def _hashed(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    split = [(t or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split() for t in texts]
-    n = np.array([len(s) for s in split])
-    return hashes.array((w for s in split for w in s), int(n.sum())), np.repeat(np.arange(len(split)), n)
-
-
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+    scan = WordScan(_GAPS, latin=True)
     for batch in batches:
-        for s in range(0, batch.num_rows, 128):
-            part = batch.slice(s, 128)
-            f, of = features(*_hashed(part.column(2).to_pylist(), hashes))
-            own = [np.unique(f[of == i]).view(np.int64) for i in range(part.num_rows)]
-            offsets = np.concatenate([[0], np.cumsum([len(o) for o in own])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own)))], ["id", "y", "features"])
+        for start, end, h, row, _ in scan.parts(batch.column(2)):
+            f, of = features(h, row)
+            order = np.lexsort((f, of))
+            f, of = f[order], of[order]
+            new = np.ones(len(f), bool)
+            new[1:] = (f[1:] != f[:-1]) | (of[1:] != of[:-1])
+            offsets = np.searchsorted(of[new], np.arange(end - start + 1)).astype(np.int32)
+            part = batch.slice(start, end - start)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(f[new].view(np.int64)))], ["id", "y", "features"])
 
 
 def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -111,22 +108,21 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights, bias = shared.value
-        names, hashes = names.astype(np.uint64), WordHashes()
+        names, scan = names.astype(np.uint64), WordScan(_GAPS, latin=True)
         low = np.zeros(1 << 22, bool)
         low[(names & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         for batch in batches:
-            for s in range(0, batch.num_rows, 128):
-                part = batch.slice(s, 128)
-                f, of = features(*_hashed(part.column(1).to_pylist(), hashes))
+            for start, end, h, row, _ in scan.parts(batch.column(1)):
+                f, of = features(h, row)
                 may = low[(f & np.uint64((1 << 22) - 1)).astype(np.int64)]
                 f, of = f[may], of[may]
-                total = np.full(part.num_rows, bias)
+                total = np.full(end - start, bias)
                 if len(f):
                     at = np.minimum(np.searchsorted(names, f), len(names) - 1)
                     hit = names[at] == f
                     seen = np.unique(of[hit] * np.int64(len(names)) + at[hit])
-                    total += np.bincount(seen // len(names), weights[seen % len(names)], part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))))], ["id", "score"])
+                    total += np.bincount(seen // len(names), weights[seen % len(names)], end - start)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))))], ["id", "score"])
 
     bare = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return bare.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
