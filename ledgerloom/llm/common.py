@@ -163,6 +163,27 @@ def rarity(rows: DataFrame, tokens_of: Callable[[], Callable[[pa.RecordBatch], I
     return out.reshape(-1)
 
 
+def bitmap(names: DataFrame) -> np.ndarray:
+    """Bitmap of fixed size over the leading bits of ``name`` (a hash); a bit too many costs time only."""
+    per = 1 << CHUNK_BITS
+
+    def gather(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(per, bool)
+        own[rows["bit"].to_numpy()] = True
+        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "bits": [np.packbits(own).tobytes()]})
+
+    top = F.shiftrightunsigned("name", 64 - COUNTER_BITS)
+    dealt = names.select(F.shiftright(top, CHUNK_BITS).alias("chunk"), top.bitwiseAND(F.lit(per - 1)).alias("bit")).distinct()
+    out = np.zeros((1 << COUNTER_BITS) // per * per, bool).reshape(-1, per)
+    for r in dealt.groupBy("chunk").applyInPandas(gather, "chunk long, bits binary").toLocalIterator():
+        out[r["chunk"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    return out.reshape(-1)
+
+
+def marked(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    return bits[(names.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable id for every id in ``edges``: columns (node, component).
 

@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordScan, chain, connected_components, counter_of, mix, rarity, written
+from ledgerloom.llm.common import WordScan, bitmap, chain, connected_components, counter_of, marked, mix, rarity, written
 
 #: Hash values of a signature, and how many make one band: a pair at similarity 0.75 misses all 32 bands with p < 1e-5.
 BINS, ROWS = 128, 4
@@ -71,12 +71,15 @@ def _signed(words: int):
     return run
 
 
-def _sets(words: int):
+def _sets(shared: Broadcast, words: int):
+    """Rows (id, shingles) of documents whose id may be among the wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = WordScan()
+        scan, bits = WordScan(), shared.value
         for batch in batches:
-            for start, sets in shingle_sets(batch.column(1), scan, words):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), _listed([s.view(np.int64) for s in sets])], ["id", "shingles"])
+            own = batch.filter(pa.array(marked(bits, batch.column(2).to_numpy())))
+            for start, sets in shingle_sets(own.column(1), scan, words):
+                yield pa.RecordBatch.from_arrays([own.column(0).slice(start, len(sets)), _listed([s.view(np.int64) for s in sets])], ["id", "shingles"])
 
     return run
 
@@ -130,7 +133,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(rows.join(shared, "bucket"), "buckets")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return written(bare.where("id IS NOT NULL").join(ids, "id", "left_semi").mapInArrow(_sets(words), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+        # a bitmap of fixed size keeps most other texts from being scanned or shuffled; the join is exact
+        bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("name"))))
+        own = bare.where("id IS NOT NULL").withColumn("h", F.xxhash64("id")).mapInArrow(_sets(bits, words), "id long, shingles array<long>")
+        return written(own.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
 
     def confirmed(pairs: DataFrame, own: DataFrame | None = None) -> DataFrame:
         own = own or sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
