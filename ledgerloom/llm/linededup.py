@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import CHUNK_BITS, COUNTER_BITS, WordScan, counter_of, level_of, mix, rarity, written
+from ledgerloom.llm.common import WordScan, bitmap, counter_of, level_of, marked, mix, rarity, written
 
 #: Least words of a line that is compared, and least Jaccard similarity (percent) of its distinct words.
 LEAST_WORDS, PERCENT = 5, 80
@@ -37,8 +36,12 @@ def _lines(texts: pa.Array, scan: WordScan, least: int) -> Iterator[tuple[np.nda
 def _sets(tokens: np.ndarray, line: np.ndarray, lines: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens of each line, rarest first (their level stands above the hash); their line, place and the line's size."""
     key = (levels[counter_of(tokens)].astype(np.uint64) << np.uint64(_TOKEN_BITS)) | tokens
-    order = np.lexsort((key, line))
-    key, line = key[order], line[order]
+    short = (line.astype(np.uint64) << np.uint64(44)) | (key >> np.uint64(20))  # lines of a slice stay under 2**20
+    order = np.argsort(short)
+    short, key, line = short[order], key[order], line[order]
+    if lines >> 20 or ((short[1:] == short[:-1]) & (key[1:] != key[:-1])).any():
+        order = np.lexsort((key, line))
+        key, line = key[order], line[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
     key, line = key[new], line[new]
@@ -54,6 +57,13 @@ def _names(key: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, n
     return a.view(np.int64), b.view(np.int64)
 
 
+def _parity(key: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
+    """64 parities of each line's tokens. Those of two sets differ in at most as many bits as tokens are in one set only."""
+    out = np.zeros(lines, np.uint64)
+    np.bitwise_xor.at(out, line, np.uint64(1) << (mix(key & _LOW) >> np.uint64(58)))
+    return out.view(np.int64)
+
+
 def _named(shared: Broadcast, least: int) -> Callable:
     """Rows (doc, line, name, other) of lines."""
 
@@ -69,7 +79,7 @@ def _named(shared: Broadcast, least: int) -> Callable:
 
 
 def _posted(shared: Broadcast, least: int, percent: int) -> Callable:
-    """Rows (key, name, n, place) of prefix tokens that another line may share."""
+    """Rows (key, name, n, place, parity) of prefix tokens that another line may share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, scan = shared.value, WordScan()
@@ -93,7 +103,7 @@ def _posted(shared: Broadcast, least: int, percent: int) -> Callable:
                     at.append(warm), keys.append(mix(key[warm] * np.uint64(3) + mix(key[warm + step])))
                     step += 1
                 at, keys = np.concatenate(at), np.concatenate(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(a[line[at]]), pa.array(size[line[at]].astype(np.int32)), pa.array(place[at].astype(np.int32))], ["key", "name", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(a[line[at]]), pa.array(size[line[at]].astype(np.int32)), pa.array(place[at].astype(np.int32)), pa.array(_parity(key, line, len(row))[line[at]])], ["key", "name", "n", "place", "parity"])
 
     return run
 
@@ -109,30 +119,13 @@ def _wanted(shared: Broadcast, bits: Broadcast, least: int) -> Callable:
                 a, b = _names(key, line, len(row))
                 _, first = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
                 on = np.zeros(len(row), bool)
-                on[first] = marks[(a[first].view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+                on[first] = marked(marks, a[first])
                 offsets = np.concatenate([[0], np.cumsum(size[on])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(b[on]), pa.ListArray.from_arrays(pa.array(offsets), pa.array((key & _LOW)[on[line]].view(np.int64)))], ["name", "other", "tokens"])
 
     return run
 
 
-def _marks(names: DataFrame) -> np.ndarray:
-    """Bitmap of fixed size over the leading bits of names; a bit too many costs time only."""
-    per = 1 << CHUNK_BITS
-
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(per, bool)
-        own[rows["bit"].to_numpy()] = True
-        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "bits": [np.packbits(own).tobytes()]})
-
-    top = F.shiftrightunsigned("name", 64 - COUNTER_BITS)
-    dealt = names.select(F.shiftright(top, CHUNK_BITS).alias("chunk"), top.bitwiseAND(F.lit(per - 1)).alias("bit")).distinct()
-    out = np.zeros((1 << COUNTER_BITS) // per * per, bool).reshape(-1, per)
-    for r in dealt.groupBy("chunk").applyInPandas(gather, "chunk long, bits binary").toLocalIterator():
-        out[r["chunk"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-    return out.reshape(-1)
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with each text's later matches cut out, and columns n_lines and removed_lines (numbers from 0).
 
@@ -159,13 +152,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = written(lines.groupBy("name", "other").agg(F.min(F.struct("doc", "line")).alias("first")), "firsts")
 
     # one exchange by key serves the removal of copies and both sides of the join
-    posts = bare.mapInArrow(_posted(levels, least_words, percent), "key long, name long, n int, place int").repartition("key").dropDuplicates(["key", "name", "n", "place"])
-    right = posts.select("key", *[F.col(c).alias(f"{c}2") for c in ("name", "n", "place")])
+    posts = bare.mapInArrow(_posted(levels, least_words, percent), "key long, name long, n int, place int, parity long").repartition("key").dropDuplicates(["key", "name", "n", "place", "parity"])
+    right = posts.select("key", *[F.col(c).alias(f"{c}2") for c in ("name", "n", "place", "parity")])
+    # sets of Jaccard t differ in at most (1 - t) / (1 + t) of their sizes' sum
+    apart = F.bit_count(F.col("parity").bitwiseXOR(F.col("parity2"))) * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n2"))
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100 + percent))
-    near = posts.join(right, "key").where("name < name2").where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)").where(F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= need)
+    near = posts.join(right, "key").where("name < name2").where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)").where(F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= need).where(apart)
     pairs = written(near.select("name", "name2").distinct(), "pairs")
 
-    marks = sc.broadcast(_marks(pairs.select("name").union(pairs.select("name2"))))
+    marks = sc.broadcast(bitmap(pairs.select("name").union(pairs.select("name2"))))
     sets = written(bare.mapInArrow(_wanted(levels, marks, least_words), "name long, other long, tokens array<long>").dropDuplicates(["name", "other"]), "sets")
     met = pairs.join(sets, "name").join(sets.toDF("name2", "other2", "tokens2"), "name2")
     met = met.withColumn("i", F.size(F.array_intersect("tokens", "tokens2"))).where(100 * F.col("i") >= percent * (F.size("tokens") + F.size("tokens2") - F.col("i"))).select("name", "other", "name2", "other2")
