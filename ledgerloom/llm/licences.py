@@ -64,8 +64,9 @@ def licence_matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", t
     lines = F.split(text, "\n")
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("unit")))
     units = F.when(F.size(lines) > 1, F.concat(numbered, F.array(F.struct(F.lit(-1).alias("line"), text.alias("unit"))))).otherwise(numbered)
-    each = docs.select(F.col(id_col).alias("id"), F.explode(units).alias("u")).select("id", "u.line", words_of(F.col("u.unit")).alias("words"))
-    each = each.where(F.size("words") > least[0]).select("id", "line", bigrams_of(F.col("words")).alias("own")).withColumn("n", F.size("own")).where(F.col("n") <= least[1])
+    each = docs.select(F.col(id_col).alias("id"), F.explode(units).alias("u")).select("id", "u.line", F.explode(F.array(words_of(F.col("u.unit")))).alias("words"))
+    # explode keeps words and bigrams from being worked out again wherever they are used
+    each = each.where(F.size("words") > least[0]).select("id", "line", F.explode(F.array(bigrams_of(F.col("words")))).alias("own")).withColumn("n", F.size("own")).where(F.col("n") <= least[1])
     met = each.join(F.broadcast(dealt), "n").withColumn("shared", F.size(F.array_intersect("own", "theirs")))
     met = met.withColumn("total", F.col("n") + F.size("theirs")).where(200 * F.col("shared") >= percent * F.col("total"))
     return met.select(F.col("id").alias(id_col), "line", "template", "licence", "shared", "total")
