@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ledgerloom.llm.common import WordScan, bitmap, counter_of, level_of, marked, mix, rarity, written
 
@@ -49,51 +50,37 @@ def _sets(tokens: np.ndarray, line: np.ndarray, lines: int, levels: np.ndarray)
     return key, line, np.arange(len(key)) - (np.cumsum(size) - size)[line], size
 
 
-def _names(key: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each line's set."""
-    a, b = np.zeros(lines, np.uint64), np.zeros(lines, np.uint64)
-    np.add.at(a, line, mix(key & _LOW))
-    np.add.at(b, line, mix((key & _LOW) ^ np.uint64(0x5BD1E9955BD1E995)))
-    return a.view(np.int64), b.view(np.int64)
+def _sums(key: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each line's set, and 64 parities of its tokens: those of two sets differ in at most as many bits as tokens are in one set only."""
+    if not len(size):
+        return (np.empty(0, np.int64),) * 3
+    start, own = np.cumsum(size) - size, mix(key & _LOW)
+    a = np.add.reduceat(own, start)
+    b = np.add.reduceat(mix((key & _LOW) ^ np.uint64(0x5BD1E9955BD1E995)), start)
+    parity = np.bitwise_xor.reduceat(np.uint64(1) << (own >> np.uint64(58)), start)
+    return a.view(np.int64), b.view(np.int64), parity.view(np.int64)
 
 
-def _parity(key: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
-    """64 parities of each line's tokens. Those of two sets differ in at most as many bits as tokens are in one set only."""
-    out = np.zeros(lines, np.uint64)
-    np.bitwise_xor.at(out, line, np.uint64(1) << (mix(key & _LOW) >> np.uint64(58)))
-    return out.view(np.int64)
+def _firsts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a line is the first of its slice with its set."""
+    out = np.zeros(len(a), bool)
+    out[np.unique(a.view(np.uint64) + mix(b.view(np.uint64)), return_index=True)[1]] = True
+    return out
 
 
-def _named(shared: Broadcast, least: int) -> Callable:
-    """Rows (doc, line, name, other) of lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, scan = shared.value, WordScan()
-        for batch in batches:
-            for tokens, line, row, number in _lines(batch.column(1), scan, least):
-                key, line, _, _ = _sets(tokens, line, len(row), levels)
-                a, b = _names(key, line, len(row))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(a), pa.array(b)], ["doc", "line", "name", "other"])
-
-    return run
-
-
-def _posted(shared: Broadcast, least: int, percent: int) -> Callable:
-    """Rows (key, name, n, place, parity) of prefix tokens that another line may share."""
+def _scanned(shared: Broadcast, least: int, percent: int) -> Callable:
+    """Rows (doc, line, name, other, n, parity, keys, places) of lines; keys and places are of prefix tokens that another line may share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, scan = shared.value, WordScan()
         hot = np.uint64(level_of(HOT))
         for batch in batches:
-            for tokens, line, row, _ in _lines(batch.column(1), scan, least):
+            for tokens, line, row, number in _lines(batch.column(1), scan, least):
                 key, line, place, size = _sets(tokens, line, len(row), levels)
-                a, b = _names(key, line, len(row))
-                _, first = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
-                once = np.zeros(len(row), bool)
-                once[first] = True
+                a, b, parity = _sums(key, size)
                 prefix = size - -(-percent * size // 100) + 1
                 level = key >> np.uint64(_TOKEN_BITS)
-                inside = (place < prefix[line]) & (level > 1) & (once & (size > 1))[line]
+                inside = (place < prefix[line]) & (level > 1) & (_firsts(a, b) & (size > 1))[line]
                 cold = np.flatnonzero(inside & (level < hot))
                 at, keys = [cold], [key[cold]]
                 warm = np.flatnonzero(inside & (level >= hot))
@@ -103,7 +90,13 @@ def _posted(shared: Broadcast, least: int, percent: int) -> Callable:
                     at.append(warm), keys.append(mix(key[warm] * np.uint64(3) + mix(key[warm + step])))
                     step += 1
                 at, keys = np.concatenate(at), np.concatenate(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(a[line[at]]), pa.array(size[line[at]].astype(np.int32)), pa.array(place[at].astype(np.int32)), pa.array(_parity(key, line, len(row))[line[at]])], ["key", "name", "n", "place", "parity"])
+                order = np.argsort(line[at], kind="stable")
+                at, keys = at[order], keys[order]
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(line[at], minlength=len(row)))]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(a), pa.array(b), pa.array(size.astype(np.int32)), pa.array(parity),
+                    pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(place[at].astype(np.int32))),
+                ], ["doc", "line", "name", "other", "n", "parity", "keys", "places"])
 
     return run
 
@@ -116,10 +109,8 @@ def _wanted(shared: Broadcast, bits: Broadcast, least: int) -> Callable:
         for batch in batches:
             for tokens, line, row, _ in _lines(batch.column(1), scan, least):
                 key, line, _, size = _sets(tokens, line, len(row), levels)
-                a, b = _names(key, line, len(row))
-                _, first = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
-                on = np.zeros(len(row), bool)
-                on[first] = marked(marks, a[first])
+                a, b, _ = _sums(key, size)
+                on = _firsts(a, b) & marked(marks, a)
                 offsets = np.concatenate([[0], np.cumsum(size[on])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(b[on]), pa.ListArray.from_arrays(pa.array(offsets), pa.array((key & _LOW)[on[line]].view(np.int64)))], ["name", "other", "tokens"])
 
@@ -136,6 +127,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     enough tokens left after the shared one; what passes is verified on full sets. Lines with equal sets are one entry,
     so copies make no pairs, and tokens of many lines are joined together with a second one.
 
+    One earlier match settles a line, so sets under one token first meet its earliest set and the two before them;
+    only those that stay unsettled meet all the others.
+
     Null and empty texts stay as they are (null: no lines). Rows equal in id and text are cut alike. Extra columns are kept.
     """
     row = F.xxhash64(id_col, text_col)
@@ -147,26 +141,63 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return lambda batch: (tokens for tokens, *_ in _lines(batch.column(1), scan, least_words))
 
     levels = sc.broadcast(rarity(bare, tokens_of))
-    kind = bare.schema["doc"].dataType.simpleString()
-    lines = written(bare.mapInArrow(_named(levels, least_words), f"doc {kind}, line int, name long, other long"), "lines")
+    kind = bare.schema["doc"].dataType
+    lines = written(bare.mapInArrow(_scanned(levels, least_words, percent), f"doc {kind.simpleString()}, line int, name long, other long, n int, parity long, keys array<long>, places array<int>"), "lines")
     firsts = written(lines.groupBy("name", "other").agg(F.min(F.struct("doc", "line")).alias("first")), "firsts")
 
-    # one exchange by key serves the removal of copies and both sides of the join
-    posts = bare.mapInArrow(_posted(levels, least_words, percent), "key long, name long, n int, place int, parity long").repartition("key").dropDuplicates(["key", "name", "n", "place", "parity"])
-    right = posts.select("key", *[F.col(c).alias(f"{c}2") for c in ("name", "n", "place", "parity")])
-    # sets of Jaccard t differ in at most (1 - t) / (1 + t) of their sizes' sum
-    apart = F.bit_count(F.col("parity").bitwiseXOR(F.col("parity2"))) * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n2"))
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100 + percent))
-    near = posts.join(right, "key").where("name < name2").where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)").where(F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= need).where(apart)
-    pairs = written(near.select("name", "name2").distinct(), "pairs")
-
-    marks = sc.broadcast(bitmap(pairs.select("name").union(pairs.select("name2"))))
-    sets = written(bare.mapInArrow(_wanted(levels, marks, least_words), "name long, other long, tokens array<long>").dropDuplicates(["name", "other"]), "sets")
-    met = pairs.join(sets, "name").join(sets.toDF("name2", "other2", "tokens2"), "name2")
-    met = met.withColumn("i", F.size(F.array_intersect("tokens", "tokens2"))).where(100 * F.col("i") >= percent * (F.size("tokens") + F.size("tokens2") - F.col("i"))).select("name", "other", "name2", "other2")
-    met = met.union(met.select("name2", "other2", "name", "other"))
-    partner = met.join(firsts.toDF("name2", "other2", "theirs"), ["name2", "other2"]).groupBy("name", "other").agg(F.min("theirs").alias("theirs"))
-    order = firsts.join(partner, ["name", "other"], "left").select("name", "other", F.coalesce(F.least("first", "theirs"), "first").alias("first"))
+    # ids place the sets under a token; a wrong order only makes worse first guesses
+    place = F.col("doc.id").cast("long") if isinstance(kind["id"].dataType, IntegralType) else F.xxhash64("doc.id")
+    spread = lines.where(F.size("keys") > 0).select("name", "n", "parity", F.coalesce(place, F.lit(-(2**63))).alias("at"), F.explode(F.arrays_zip("keys", "places")).alias("z"))
+    spread = spread.select(F.col("z.keys").alias("key"), "name", "n", F.col("z.places").alias("place"), "parity", "at")
+
+    def gathered(posts: DataFrame) -> DataFrame:
+        return posts.repartition("key").groupBy("key", "name", "n", "place", "parity").agg(F.min("at").alias("at"))
+
+    def may_match(one: str, two: str) -> str:
+        n, m = f"{one}n", f"{two}n"
+        # sets of Jaccard t differ in at most (1 - t) / (1 + t) of their sizes' sum
+        return (
+            f"{one}name <> {two}name AND 100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
+            f" AND (100 + {percent}) * least({n} - {one}place, {m} - {two}place) >= {percent} * ({n} + {m})"
+            f" AND bit_count({one}parity ^ {two}parity) * (100 + {percent}) <= (100 - {percent}) * ({n} + {m})"
+        )
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(name, other, theirs): the first line of each set that matches, in both directions."""
+        marks = sc.broadcast(bitmap(pairs.select("name").union(pairs.select("name2"))))
+        sets = bare.mapInArrow(_wanted(levels, marks, least_words), "name long, other long, tokens array<long>").repartition("name").dropDuplicates(["name", "other"])
+        met = pairs.join(sets, "name").join(sets.toDF("name2", "other2", "tokens2"), "name2")
+        met = met.withColumn("i", F.size(F.array_intersect("tokens", "tokens2"))).where(100 * F.col("i") >= percent * (F.size("tokens") + F.size("tokens2") - F.col("i"))).select("name", "other", "name2", "other2")
+        met = written(met, "matches")
+        met = met.union(met.select("name2", "other2", "name", "other"))
+        return met.join(firsts.toDF("name2", "other2", "theirs"), ["name2", "other2"]).select("name", "other", "theirs")
+
+    def ordered(matches: DataFrame) -> DataFrame:
+        """(name, other, first, theirs): each set's first line and the earliest of those that match, null without."""
+        return firsts.join(matches.groupBy("name", "other").agg(F.min("theirs").alias("theirs")), ["name", "other"], "left")
+
+    def once(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("name", "name2").alias("name"), F.greatest("name", "name2").alias("name2")).distinct()
+
+    by = Window.partitionBy("key").orderBy("at", "name")
+    me = F.struct("name", "n", "place", "parity")
+    before = F.array(F.first(me).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lag(me, 1).over(by), F.lag(me, 2).over(by))
+    # the fifth set under a token shows that some pairs under it are still to be seen
+    stars = gathered(spread).select("*", F.row_number().over(by).alias("rank"), before.alias("before")).where("rank > 1")
+    stars = stars.select("name", F.expr(f"array_distinct(transform(filter(before, o -> {may_match('', 'o.')}), o -> o.name))").alias("others"), F.when(F.col("rank") == 5, F.col("key")).alias("key"))
+    stars = written(stars.where("key IS NOT NULL OR size(others) > 0"), "stars")
+    tried = written(once(stars.select("name", F.explode("others").alias("name2"))), "pairs")
+    matches = verified(tried)
+
+    large = stars.where("key IS NOT NULL").select("key")
+    unsettled = ordered(matches).where("theirs IS NULL OR theirs > first").select("name").distinct()
+    posts = gathered(spread.join(large, "key", "left_semi"))
+    left = posts.join(unsettled, "name", "left_semi").select("key", *[F.col(c).alias(f"my_{c}") for c in ("name", "n", "place", "parity")])
+    rest = left.join(posts, "key").where(may_match("my_", "")).select(F.col("my_name").alias("name2"), "name")
+    rest = written(once(rest).join(tried, ["name", "name2"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        matches = matches.union(verified(rest))
+    order = ordered(matches).select("name", "other", F.coalesce(F.least("first", "theirs"), "first").alias("first"))
     at = F.struct("doc", "line")
     cut = lines.select("doc", "line", "name", "other").join(order, ["name", "other"]).where(at > F.col("first"))
     cut = cut.groupBy(F.col("doc.row").alias("__row")).agg(F.array_sort(F.collect_set("line")).alias("__cut"))

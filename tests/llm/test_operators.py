@@ -136,6 +136,9 @@ def test_lines_brute_force(spark, docs, empty):
                 own[rng.randrange(len(own))] = f"t{rng.randrange(60)}"
             ls.append(" ".join(own))
         rows.append((i, "\n".join(ls)))
+    base = [f"g{i}" for i in range(40)]  # one line in many versions, that match the first one, others or none
+    for i in range(80, 200):
+        rows.append((i, " ".join(f"h{rng.randrange(20)}" if rng.random() < rng.choice([0.02, 0.1, 0.2]) else w for w in base)))
     seen, want = [], {}
     for i, text in rows:
         cut = []
@@ -146,7 +149,7 @@ def test_lines_brute_force(spark, docs, empty):
                     cut.append(k)
                 seen.append(s)
         want[i] = cut
-    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").repartition(3)).collect()}
     assert {i: list(r.removed_lines) for i, r in got.items()} == want
     assert all(got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows)
     assert linededup.dedup_lines(docs).count() == len(TEXTS) + 2 and linededup.dedup_lines(empty).count() == 0
