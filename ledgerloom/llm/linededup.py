@@ -17,6 +17,8 @@ from ledgerloom.llm.common import WordScan, bitmap, counter_of, level_of, marked
 LEAST_WORDS, PERCENT = 5, 80
 #: A token of more lines than HOT is joined together with each later one of the prefix.
 HOT = 500
+#: Entries under one token up to which all of them meet at once; beyond, unsettled sets only.
+CROWD = 64
 
 _TOKEN_BITS = 56
 _LOW = np.uint64((1 << _TOKEN_BITS) - 1)
@@ -127,8 +129,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     enough tokens left after the shared one; what passes is verified on full sets. Lines with equal sets are one entry,
     so copies make no pairs, and tokens of many lines are joined together with a second one.
 
-    One earlier match settles a line, so sets under one token first meet its earliest set and the two before them;
-    only those that stay unsettled meet all the others.
+    One earlier match settles a line, so where a token has more than ``CROWD`` entries, its sets first meet its earliest
+    one and the two before them; only those that stay unsettled then meet all the others.
 
     Null and empty texts stay as they are (null: no lines). Rows equal in id and text are cut alike. Extra columns are kept.
     """
@@ -153,6 +155,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def gathered(posts: DataFrame) -> DataFrame:
         return posts.repartition("key").groupBy("key", "name", "n", "place", "parity").agg(F.min("at").alias("at"))
 
+    def renamed(posts: DataFrame) -> DataFrame:
+        return posts.select("key", *[F.col(c).alias(f"my_{c}") for c in ("name", "n", "place", "parity")])
+
     def may_match(one: str, two: str) -> str:
         n, m = f"{one}n", f"{two}n"
         # sets of Jaccard t differ in at most (1 - t) / (1 + t) of their sizes' sum
@@ -182,17 +187,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by = Window.partitionBy("key").orderBy("at", "name")
     me = F.struct("name", "n", "place", "parity")
     before = F.array(F.first(me).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lag(me, 1).over(by), F.lag(me, 2).over(by))
-    # the fifth set under a token shows that some pairs under it are still to be seen
-    stars = gathered(spread).select("*", F.row_number().over(by).alias("rank"), before.alias("before")).where("rank > 1")
-    stars = stars.select("name", F.expr(f"array_distinct(transform(filter(before, o -> {may_match('', 'o.')}), o -> o.name))").alias("others"), F.when(F.col("rank") == 5, F.col("key")).alias("key"))
-    stars = written(stars.where("key IS NOT NULL OR size(others) > 0"), "stars")
-    tried = written(once(stars.select("name", F.explode("others").alias("name2"))), "pairs")
+    many = written(spread.groupBy("key").agg(F.count("*").alias("entries")).where(F.col("entries") > CROWD).select("key"), "crowds")
+    # one exchange by key serves both sides of the join
+    few = spread.drop("at").join(many, "key", "left_anti").repartition("key")
+    few = once(renamed(few).join(few, "key").where("my_name < name").where(may_match("my_", "")).select(F.col("my_name").alias("name2"), "name"))
+    posts = gathered(spread.join(many, "key", "left_semi"))
+    stars = posts.select("*", before.alias("before")).select("name", F.expr(f"explode(array_distinct(transform(filter(before, o -> o.name IS NOT NULL AND {may_match('', 'o.')}), o -> o.name)))").alias("name2"))
+    tried = written(once(few.union(stars.select("name", "name2"))), "pairs")
     matches = verified(tried)
 
-    large = stars.where("key IS NOT NULL").select("key")
     unsettled = ordered(matches).where("theirs IS NULL OR theirs > first").select("name").distinct()
-    posts = gathered(spread.join(large, "key", "left_semi"))
-    left = posts.join(unsettled, "name", "left_semi").select("key", *[F.col(c).alias(f"my_{c}") for c in ("name", "n", "place", "parity")])
+    left = renamed(posts.join(unsettled, "name", "left_semi"))
     rest = left.join(posts, "key").where(may_match("my_", "")).select(F.col("my_name").alias("name2"), "name")
     rest = written(once(rest).join(tried, ["name", "name2"], "left_anti"), "pairs")
     if not rest.isEmpty():
