@@ -192,8 +192,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = spread.drop("at").join(many, "key", "left_anti").repartition("key")
     few = once(renamed(few).join(few, "key").where("my_name < name").where(may_match("my_", "")).select(F.col("my_name").alias("name2"), "name"))
     posts = gathered(spread.join(many, "key", "left_semi"))
-    stars = posts.select("*", before.alias("before")).select("name", F.expr(f"explode(array_distinct(transform(filter(before, o -> o.name IS NOT NULL AND {may_match('', 'o.')}), o -> o.name)))").alias("name2"))
-    tried = written(once(few.union(stars.select("name", "name2"))), "pairs")
+    stars = posts.select("*", before.alias("before")).select("name", F.expr(f"transform(filter(before, o -> o.name IS NOT NULL AND {may_match('', 'o.')}), o -> o.name)").alias("others"))
+    # a set has no more rows here than keys in its prefix
+    stars = stars.where(F.size("others") > 0).groupBy("name").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others")).select("name", F.explode("others").alias("name2"))
+    tried = written(once(few.unionByName(stars)), "pairs")
     matches = verified(tried)
 
     unsettled = ordered(matches).where("theirs IS NULL OR theirs > first").select("name").distinct()
