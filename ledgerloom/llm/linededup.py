@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegralType
 
 from ledgerloom.llm.common import WordScan, bitmap, counter_of, level_of, marked, mix, rarity, written
 
-#: Least words of a line that is compared, and least Jaccard similarity (percent) of its distinct words.
+#: Least words of a line that is compared, unless told otherwise (1: all lines with words, as op7_lines and the pipeline do), and least Jaccard similarity (percent) of its distinct words.
 LEAST_WORDS, PERCENT = 5, 80
 #: A token of more lines than HOT is joined together with each later one of the prefix.
 HOT = 500
@@ -82,7 +82,7 @@ def _scanned(shared: Broadcast, least: int, percent: int) -> Callable:
                 a, b, parity = _sums(key, size)
                 prefix = size - -(-percent * size // 100) + 1
                 level = key >> np.uint64(_TOKEN_BITS)
-                inside = (place < prefix[line]) & (level > 1) & (_firsts(a, b) & (size > 1))[line]
+                inside = (place < prefix[line]) & (level > 1) & (_firsts(a, b) & (100 * size >= percent * (size + 1)))[line]  # smaller sets match equal ones only
                 cold = np.flatnonzero(inside & (level < hot))
                 at, keys = [cold], [key[cold]]
                 warm = np.flatnonzero(inside & (level >= hot))
@@ -124,10 +124,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A text's lines end at line feeds. A line of at least ``least_words`` words is cut if an earlier one, cut or not, has
     100 * |shared| >= percent * |all| distinct words (A-Z lower-cased, parted by ASCII white space); order is that of
-    ids, nulls first, then of a hash of the row, then of lines in the text. Shorter lines stay. All tokens are put in
-    one order, rarest first; two lines that match share a token of their prefixes, lie close enough in length, and have
-    enough tokens left after the shared one; what passes is verified on full sets. Lines with equal sets are one entry,
-    so copies make no pairs, and tokens of many lines are joined together with a second one.
+    ids, nulls first, then of a hash of the row, then of lines in the text. Shorter lines stay; with ``least_words`` 1
+    those are blank ones. All tokens are put in one order, rarest first; two lines that match share a token of their
+    prefixes, lie close enough in length, and have enough tokens left after the shared one; what passes is verified on
+    full sets. Lines with equal sets are one entry, so copies make no pairs, and tokens of many lines are joined
+    together with a second one.
 
     One earlier match settles a line, so where a token has more than ``CROWD`` entries, its sets first meet its earliest
     one and the two before them; only those that stay unsettled then meet all the others.

@@ -58,7 +58,7 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    got = linededup.dedup_lines(_table(spark, sf_dir, "documents"), least_words=1)
     return got.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.col("removed_lines").cast("array<string>"), " ").alias("removed"), F.md5("text").alias("text_md5"))
 
 

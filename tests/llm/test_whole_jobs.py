@@ -3,7 +3,8 @@
 import random
 import textwrap
 
-from ledgerloom.llm import licences, linededup
+import corpus_pipeline
+from ledgerloom.llm import licences, queries
 
 
 def _bigrams(text):
@@ -64,3 +65,24 @@ def test_runs_of_lines_brute_force(spark):
                 want.add((i, -1, -1, t))
     got = {(r.doc_id, r.line, r["last"], r.template) for r in licences.licence_matches(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), licences.templates(spark, known)).collect()}
     assert got == want and sum(a < b for _, a, b, _ in got) > 10
+
+
+def test_lines_of_any_length_brute_force(spark, tmp_path):
+    rng = random.Random(9)
+    pool = [[f"t{rng.randrange(12)}" for _ in range(rng.randint(1, 7))] for _ in range(60)] + [["Les."], ["日本語の行です。"], ["All", "rights", "reserved."], []]
+    rows = [(i, "\n".join(" ".join(rng.choice(pool)) for _ in range(rng.randint(0, 6)))) for i in range(60)]
+    seen, want = [], {}
+    for i, text in rows:
+        want[i] = []
+        for k, line in enumerate(text.split("\n")):
+            s = set(line.lower().split())
+            if s:
+                if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                    want[i].append(k)
+                seen.append(s)
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rng.sample(rows, len(rows))], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: [int(k) for k in r.removed.split()] for r in queries.op7_lines(spark, str(tmp_path)).collect()}
+    assert got == want
+    kept = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows}
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()} == kept
