@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a per-worker cache holds before it starts afresh; bytes of text scanned at once.
-CACHE_ENTRIES, SCAN_BYTES = 400_000, 1 << 20
+CACHE_ENTRIES, SCAN_BYTES = 400_000, 1 << 18
 #: Token counts are kept in 2**COUNTER_BITS counters, sent in chunks of 2**CHUNK_BITS.
 COUNTER_BITS, CHUNK_BITS = 24, 16
 
@@ -22,12 +21,13 @@ M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``, or the one given to setCheckpointDir."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         set_by = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = set_by.get() if set_by.isDefined() else "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not set_by.isDefined():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = set_by.get()
     return at.rstrip("/")
 
 
@@ -36,12 +36,45 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing. It stays there."""
     at = fresh_path(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+class Scratch:
+    """Tables in between of one call, in the shared folder; they go when the call ends, so its result mustn't read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at, self.made = spark, fresh_path(spark, "scratch"), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failed: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.made += 1
+        df.write.parquet(at := f"{self.at}/{self.made}-{name}")
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def counted(self, df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict]:
+        """As written, with aggregates that are taken while the rows pass."""
+        seen = Observation()
+        table = self.written(df.observe(seen, *[f.alias(k) for k, f in figures.items()]), name)
+        return table, seen.get
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (SplitMix64)."""
     x = (x ^ (x >> np.uint64(30))) * M1
@@ -60,30 +93,22 @@ def chain(arrays: list[np.ndarray]) -> np.ndarray:
 SPACES = bytes([9, 10, 11, 12, 13, 32])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & (2**64 - 1), np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: By length of what is left of a word: which of eight bytes belong to it.
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Bytes of a word that are hashed eight at a time; longer words go through a digest.
+LONG_WORD = 64
 
 
 class WordScan:
     """Hashes of all words of a column of texts, straight from its buffers.
 
-    Words are runs without ``gaps`` bytes, A-Z lower-cased (``latin``: other Latin-1 letters too); 64-bit hashes of a
-    polynomial with random byte values, finalised with the word's length.
+    Words are runs without ``gaps`` bytes, A-Z lower-cased (``latin``: other Latin-1 letters too). Their 64-bit hashes
+    take eight bytes at a time, so that the work follows the number of words; no two words of one length up to 8 collide.
     """
 
     def __init__(self, gaps: bytes = SPACES, latin: bool = False):
-        self.gap, self.latin = np.zeros(256, bool), latin
-        self.gap[list(gaps)] = True
-        self._grow(2 * SCAN_BYTES)
-
-    def _grow(self, n: int) -> None:
-        self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n)
+        self.solid, self.latin = np.ones(256, bool), latin
+        self.solid[list(gaps)] = False
 
     def parts(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(first row, end row, hash, row, line of each word): rows in slices of about SCAN_BYTES; lines count line feeds before."""
@@ -101,31 +126,36 @@ class WordScan:
 
     def _words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(data)
-        if n >= len(self.up):
-            self._grow(2 * n)
-        low = _LOWER[data]
+        low = np.zeros(n + 8, np.uint8)
+        np.take(_LOWER, data, out=low[:n])
         if self.latin:
-            shift = np.zeros(n, bool)
-            shift[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-            low = np.where(shift, low + np.uint8(32), low)
-        solid = ~self.gap[low]
-        first, starts = solid.copy(), ends[:-1][ends[:-1] < n]
+            shift = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+            low[1:n][shift] += np.uint8(32)
+        solid = self.solid[low[:n]]
+        first, last, starts = solid.copy(), solid.copy(), ends[:-1][ends[:-1] < n]
         first[1:] &= ~solid[:-1]
         first[starts] = solid[starts]
-        last = solid.copy()
         last[:-1] &= ~solid[1:]
         last[starts[starts > 0] - 1] = solid[starts[starts > 0] - 1]
-        b, e = np.flatnonzero(first), np.flatnonzero(last)
-        v = _BYTES[low] * self.up[:n]
-        c = np.cumsum(v, dtype=np.uint64)
-        h = mix((c[e] - c[b] + v[b]) * self.down[b] + (e - b + 1).astype(np.uint64) * GOLD)
-        row = np.searchsorted(ends, b, "right") - 1
-        feeds = np.concatenate([[0], np.cumsum(data == 10)])
-        return h, row, feeds[b] - feeds[ends[row]]
+        b = np.flatnonzero(first)
+        size = np.flatnonzero(last) + 1 - b
+        eight = np.ndarray((n + 1,), "<u8", low, strides=(1,))
+        h = mix((eight[b] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * GOLD)
+        more, done = np.flatnonzero(size > 8), 8
+        while len(more) and done < LONG_WORD:
+            left = size[more] - done
+            h[more] = mix(h[more] * M1 + (eight[b[more] + done] & _MASK[np.minimum(left, 8)]))
+            more, done = more[left > 8], done + 8
+        for i in more:
+            h[i] = int.from_bytes(hashlib.blake2b(low[b[i] : b[i] + size[i]], digest_size=8).digest(), "little")
+        row = np.repeat(np.arange(len(ends) - 1), np.diff(np.searchsorted(b, ends)))
+        feeds = np.flatnonzero(data == 10)
+        line = np.repeat(np.arange(len(feeds) + 1), np.diff(np.concatenate([[0], np.searchsorted(b, feeds), [len(b)]])))
+        return h, row, line - np.searchsorted(feeds, ends[:-1])[row]
 
 
 def counter_of(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+    return (tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
 def level_of(count: float) -> int:
@@ -136,7 +166,7 @@ def rarity(rows: DataFrame, tokens_of: Callable[[], Callable[[pa.RecordBatch], I
     """How often each counter's tokens occur, as level_of(count) in a byte; 0: never, 1: once.
 
     The table's size doesn't depend on the data. Tokens that share a counter share a level; that costs filtering
-    power, never results, where levels only put all rows' tokens into one order.
+    power, never results, where levels only put all rows' tokens into one order. Tokens are 64-bit hashes.
     """
     chunk = 1 << CHUNK_BITS
 
@@ -148,17 +178,17 @@ def rarity(rows: DataFrame, tokens_of: Callable[[], Callable[[pa.RecordBatch], I
                 table[at] += n.astype(np.uint32)
         parts = table.reshape(-1, chunk)
         for k in np.flatnonzero(parts.any(1)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(parts[k].tobytes(), 1)], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pa.compress(parts[k].tobytes(), "zstd", asbytes=True)], pa.binary())], ["chunk", "counts"])
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(chunk, np.int64)
         for c in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(c), np.uint32)
+            total += np.frombuffer(pa.decompress(c, 4 * chunk, "zstd", asbytes=True), np.uint32)
         level = np.where(total > 0, 1 + np.round(8 * np.log2(np.maximum(total, 1))), 0)
         return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "levels": [np.minimum(level, 255).astype(np.uint8).tobytes()]})
 
     out = np.zeros(((1 << COUNTER_BITS) // chunk, chunk), np.uint8)
-    for r in rows.mapInArrow(counted, "chunk long, counts binary").groupBy("chunk").applyInPandas(summed, "chunk long, levels binary").toLocalIterator():
+    for r in rows.mapInArrow(counted, "chunk long, counts binary").groupBy("chunk").applyInPandas(summed, "chunk long, levels binary").collect():  # as many rows as chunks at most
         out[r["chunk"]] = np.frombuffer(r["levels"], np.uint8)
     return out.reshape(-1)
 
@@ -175,11 +205,23 @@ def bitmap(names: DataFrame) -> np.ndarray:
     top = F.shiftrightunsigned("name", 64 - COUNTER_BITS)
     dealt = names.select(F.shiftright(top, CHUNK_BITS).alias("chunk"), top.bitwiseAND(F.lit(per - 1)).alias("bit")).distinct()
     out = np.zeros((1 << COUNTER_BITS) // per * per, bool).reshape(-1, per)
-    for r in dealt.groupBy("chunk").applyInPandas(gather, "chunk long, bits binary").toLocalIterator():
+    for r in dealt.groupBy("chunk").applyInPandas(gather, "chunk long, bits binary").collect():
         out[r["chunk"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
     return out.reshape(-1)
 
 
+def flagged(df: DataFrame, name: str, bits: np.ndarray, into: str) -> DataFrame:
+    """``df`` with ``into``: whether the hash ``name`` may be in the bitmap; by join with its chunks, a table of fixed size."""
+    chunk, own = spare(df, "chunk"), spare(df, "bits")
+    rows = [(k, np.packbits(b).tobytes()) for k, b in enumerate(bits.reshape(-1, 1 << CHUNK_BITS))]
+    chunks = df.sparkSession.createDataFrame(rows, f"`{chunk}` long, `{own}` binary")
+    top = F.shiftrightunsigned(name, 64 - COUNTER_BITS)
+    bit = top.bitwiseAND(F.lit((1 << CHUNK_BITS) - 1))
+    byte = F.conv(F.hex(F.substring(F.col(own), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    on = F.getbit(byte, (7 - bit.bitwiseAND(F.lit(7))).cast("int")) == 1
+    return df.withColumn(chunk, F.shiftright(top, CHUNK_BITS)).join(F.broadcast(chunks), chunk).withColumn(into, on).drop(chunk, own)
+
+
 def marked(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
     return bits[(names.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
 

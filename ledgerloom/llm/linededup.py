@@ -7,21 +7,26 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ledgerloom.llm.common import WordScan, bitmap, counter_of, level_of, marked, mix, rarity, written
+from ledgerloom.llm.common import Scratch, WordScan, bitmap, counter_of, flagged, level_of, marked, mix, rarity, spare, written
 
 #: Least words of a line that is compared, unless told otherwise (1: all lines with words, as op7_lines and the pipeline do), and least Jaccard similarity (percent) of its distinct words.
 LEAST_WORDS, PERCENT = 5, 80
-#: A token of more lines than HOT is joined together with each later one of the prefix.
-HOT = 500
-#: Entries under one token up to which all of them meet at once; beyond, unsettled sets only.
-CROWD = 64
+#: A token of more words than HOT is joined together with each later one of the prefix.
+HOT = 2_000
+#: Sets under one key of which each meets at most TRIES others at first; entries that one group holds under one key.
+CROWD, TRIES, SALTED = 256, 3, 2_048
+#: A key is reported as frequent from so many sets of one task on; frequent keys that are dealt to several groups (the most frequent ones).
+LOCAL, MAX_SALTED = 64, 1 << 17
+#: Entries of a group, and pairs that are looked at together.
+GROUP, PAIRS = 250_000, 1 << 21
 
-_TOKEN_BITS = 56
-_LOW = np.uint64((1 << _TOKEN_BITS) - 1)
+_TOKEN_BITS, _LINE_BITS = 44, 12
+_LOW, _KEY = np.uint64((1 << _TOKEN_BITS) - 1), np.uint64((1 << (64 - _LINE_BITS)) - 1)
+_SALT = np.uint64(0x9FB21C651E98DF25)
 
 
 def _lines(texts: pa.Array, scan: WordScan, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -33,21 +38,27 @@ def _lines(texts: pa.Array, scan: WordScan, least: int) -> Iterator[tuple[np.nda
         n = np.diff(np.append(first, len(row)))
         keep = n >= least
         line = np.repeat(np.cumsum(keep) - 1, n)
-        yield tokens[np.repeat(keep, n)] & _LOW, line[np.repeat(keep, n)], row[first[keep]] + base, number[first[keep]]
+        if not keep.all():
+            words = np.repeat(keep, n)
+            tokens, line, first = tokens[words], line[words], first[keep]
+        yield tokens, line, row[first] + base, number[first]
 
 
 def _sets(tokens: np.ndarray, line: np.ndarray, lines: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens of each line, rarest first (their level stands above the hash); their line, place and the line's size."""
-    key = (levels[counter_of(tokens)].astype(np.uint64) << np.uint64(_TOKEN_BITS)) | tokens
-    short = (line.astype(np.uint64) << np.uint64(44)) | (key >> np.uint64(20))  # lines of a slice stay under 2**20
-    order = np.argsort(short)
-    short, key, line = short[order], key[order], line[order]
-    if lines >> 20 or ((short[1:] == short[:-1]) & (key[1:] != key[:-1])).any():
+    key = (levels[counter_of(tokens)].astype(np.uint64) << np.uint64(_TOKEN_BITS)) | (tokens >> np.uint64(64 - _TOKEN_BITS))
+    if lines >> _LINE_BITS:
         order = np.lexsort((key, line))
         key, line = key[order], line[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-    key, line = key[new], line[new]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        key, line = key[new], line[new]
+    else:  # both fit one number
+        both = np.sort((line.astype(np.uint64) << np.uint64(64 - _LINE_BITS)) | key)
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        both = both[new]
+        key, line = both & _KEY, (both >> np.uint64(64 - _LINE_BITS)).astype(np.int64)
     size = np.bincount(line, minlength=lines)
     return key, line, np.arange(len(key)) - (np.cumsum(size) - size)[line], size
 
@@ -58,67 +69,324 @@ def _sums(key: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         return (np.empty(0, np.int64),) * 3
     start, own = np.cumsum(size) - size, mix(key & _LOW)
     a = np.add.reduceat(own, start)
-    b = np.add.reduceat(mix((key & _LOW) ^ np.uint64(0x5BD1E9955BD1E995)), start)
+    b = np.add.reduceat(mix(own + _SALT), start)
     parity = np.bitwise_xor.reduceat(np.uint64(1) << (own >> np.uint64(58)), start)
     return a.view(np.int64), b.view(np.int64), parity.view(np.int64)
 
 
-def _firsts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether a line is the first of its slice with its set."""
-    out = np.zeros(len(a), bool)
-    out[np.unique(a.view(np.uint64) + mix(b.view(np.uint64)), return_index=True)[1]] = True
-    return out
+class _Seen:
+    """Which sets are new to a task; forgets at times, which costs repeated rows only."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.known, self.most = np.empty(0, np.uint64), most
+
+    def new(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = a.view(np.uint64) + mix(b.view(np.uint64))
+        own, at = np.unique(both, return_index=True)
+        if len(self.known):
+            there = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+            fresh = self.known[there] != own
+            own, at = own[fresh], at[fresh]
+        self.known = np.sort(np.concatenate([self.known if len(self.known) < self.most else self.known[:0], own]))
+        out = np.zeros(len(a), bool)
+        out[at] = True
+        return out
+
+
+def _prefixes(key: np.ndarray, line: np.ndarray, place: np.ndarray, size: np.ndarray, on: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Index of a prefix token (its first ``cold`` ones are single tokens) and 64-bit key: what two matching sets share at least once."""
+    prefix = size - -(-percent * size // 100) + 1
+    level = key >> np.uint64(_TOKEN_BITS)
+    inside = (place < prefix[line]) & (level > 1) & (on & (100 * size >= percent * (size + 1)))[line]  # smaller sets match equal ones only
+    hot = np.uint64(level_of(HOT))
+    cold = np.flatnonzero(inside & (level < hot))
+    at, keys = [cold], [mix(key[cold])]
+    warm, step = np.flatnonzero(inside & (level >= hot)), 1
+    while len(warm):  # a hot token and each later one of the prefix, taken one longer
+        warm = warm[place[warm] + step < np.minimum(prefix + 1, size)[line[warm]]]
+        at.append(warm), keys.append(mix(key[warm] * np.uint64(3) + mix(key[warm + step])))
+        step += 1
+    return np.concatenate(at), np.concatenate(keys), len(cold)
+
+
+_LINE_ROW = "line int, name long, other long, n int, parity long, at long, keys array<long>, places array<int>"
 
 
 def _scanned(shared: Broadcast, least: int, percent: int) -> Callable:
-    """Rows (doc, line, name, other, n, parity, keys, places) of lines; keys and places are of prefix tokens that another line may share."""
+    """A row for each line; keys and places are of prefix tokens that another line may share.
+
+    A task's frequent keys follow: rows of line -1 with the key, how many sets had it, and one of them (``other``: its place).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, scan = shared.value, WordScan()
-        hot = np.uint64(level_of(HOT))
+        levels, scan, seen, frequent, kind = shared.value, WordScan(), _Seen(), [], None
         for batch in batches:
+            kind, order = batch.column(0).type, batch.column(2).to_numpy(zero_copy_only=False)
             for tokens, line, row, number in _lines(batch.column(1), scan, least):
                 key, line, place, size = _sets(tokens, line, len(row), levels)
                 a, b, parity = _sums(key, size)
-                prefix = size - -(-percent * size // 100) + 1
-                level = key >> np.uint64(_TOKEN_BITS)
-                inside = (place < prefix[line]) & (level > 1) & (_firsts(a, b) & (100 * size >= percent * (size + 1)))[line]  # smaller sets match equal ones only
-                cold = np.flatnonzero(inside & (level < hot))
-                at, keys = [cold], [key[cold]]
-                warm = np.flatnonzero(inside & (level >= hot))
-                step = 1
-                while len(warm):  # a hot token and each later one of the prefix, taken one longer
-                    warm = warm[place[warm] + step < np.minimum(prefix + 1, size)[line[warm]]]
-                    at.append(warm), keys.append(mix(key[warm] * np.uint64(3) + mix(key[warm + step])))
-                    step += 1
-                at, keys = np.concatenate(at), np.concatenate(keys)
-                order = np.argsort(line[at], kind="stable")
-                at, keys = at[order], keys[order]
-                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(line[at], minlength=len(row)))]).astype(np.int32))
+                at, keys, cold = _prefixes(key, line, place, size, seen.new(a, b), percent)
+                own = line[at]
+                if len(keys) > cold:
+                    of = own[cold:]
+                    frequent.append(np.stack([keys[cold:].view(np.int64), a[of], size[of], parity[of], order[row[of]], place[at[cold:]]], 1))
+                by = np.argsort(own, kind="stable")
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(row)))]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(a), pa.array(b), pa.array(size.astype(np.int32)), pa.array(parity),
-                    pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(place[at].astype(np.int32))),
-                ], ["doc", "line", "name", "other", "n", "parity", "keys", "places"])
+                    batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(a), pa.array(b), pa.array(size.astype(np.int32)), pa.array(parity), pa.array(order[row]),
+                    pa.ListArray.from_arrays(ends, pa.array(keys[by].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(place[at[by]].astype(np.int32))),
+                ], ["doc", "line", "name", "other", "n", "parity", "at", "keys", "places"])
+        if frequent:
+            all_of = np.concatenate(frequent)
+            keys, first, count = np.unique(all_of[:, 0], return_index=True, return_counts=True)
+            keys, row, count = keys[count >= LOCAL], all_of[first[count >= LOCAL]], count[count >= LOCAL]
+            ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([
+                pa.nulls(len(keys), kind), pa.array(np.full(len(keys), -1, np.int32)), pa.array(row[:, 1]), pa.array(row[:, 5]), pa.array(row[:, 2].astype(np.int32)), pa.array(row[:, 3]), pa.array(row[:, 4]),
+                pa.ListArray.from_arrays(ends, pa.array(keys)), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32))),
+            ], ["doc", "line", "name", "other", "n", "parity", "at", "keys", "places"])
+
+    return run
+
+
+#: What a group gets of an entry: enough of the key and of the set's name (what collides is one pair more to verify), parities, a rough place in the order, size, place; whether it asks for matches.
+_ENTRY = [("key", "<u4"), ("high", "<u4"), ("low", "<u2"), ("parity", "<u8"), ("at", "<u2"), ("n", "<u4"), ("place", "<u4"), ("asks", "u1")]
+_NAME_BITS = 48
+
+
+def _short(name: np.ndarray) -> np.ndarray:
+    return name.view(np.uint64) >> np.uint64(64 - _NAME_BITS)
+
+
+def _blob(parts: list[np.ndarray]) -> bytes:
+    """Columns one after the other, each in the fewest bytes that hold it; the widths stand in front."""
+    out = []
+    for (_, kind), x in zip(_ENTRY, parts, strict=True):
+        x = x.astype(kind)
+        width = next(w for w in (1, 2, 4, 8) if w == x.itemsize or not (x >> np.array(8 * w, x.dtype)).any())
+        out.append((width, x.astype(f"<u{width}").tobytes()))
+    return len(parts[0]).to_bytes(4, "little") + bytes(w for w, _ in out) + b"".join(b for _, b in out)
+
+
+def _unpacked(blobs: pa.ChunkedArray) -> list[np.ndarray]:
+    columns: list[list[np.ndarray]] = [[] for _ in _ENTRY]
+    for blob in blobs:
+        data = memoryview(blob.as_py())
+        n, at = int.from_bytes(data[:4], "little"), 4 + len(_ENTRY)
+        for c, width in zip(columns, data[4:at], strict=True):
+            c.append(np.frombuffer(data, f"<u{width}", n, at).astype(np.int64 if width < 8 else np.uint64))
+            at += n * width
+    return [np.concatenate(c) for c in columns]
+
+
+def _dealt(groups: int, frequent: Broadcast, asking: Broadcast | None, wanted: Broadcast | None) -> Callable:
+    """Rows (group, entries) of prefix entries, by hash of the key; a frequent key's sets go to several groups, its first one and those that ask to all.
+
+    With ``asking`` (bits by name), only entries whose key is in ``wanted`` (bits by key) count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, salts, leaders = frequent.value
+        for batch in batches:
+            lists = batch.column("keys")
+            n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            key, of = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(n)), n)
+            place = batch.column("places").flatten().to_numpy()
+            name, parity, at, size = (batch.column(c).to_numpy() for c in ("name", "parity", "at", "n"))
+            asks = np.zeros(len(name), bool) if asking is None else marked(asking.value, name)
+            if wanted is not None:
+                on = marked(wanted.value, key.view(np.int64))
+                key, of, place = key[on], of[on], place[on]
+            if len(known) and len(key):
+                there = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                salt = np.where(known[there] == key, salts[there], 1)
+                every = asks[of] | (leaders[there] == name[of])
+            else:
+                salt, every = np.ones(len(key), np.int64), np.zeros(len(key), bool)
+            copies = np.where(every, salt, 1)
+            i = np.repeat(np.arange(len(key)), copies)
+            turn = np.arange(len(i)) - np.repeat(np.cumsum(copies) - copies, copies)
+            own = (name[of[i]].view(np.uint64) % salt[i].astype(np.uint64)).astype(np.int64)
+            sub = key[i] + np.where(salt[i] > 1, np.where(every[i], turn, own) + 1, 0).astype(np.uint64) * _SALT
+            sub = np.where(salt[i] > 1, mix(sub), sub)
+            group = (sub >> np.uint64(32)) % np.uint64(groups)
+            order = np.argsort(group, kind="stable")
+            i, group = i[order], group[order]
+            short = _short(name)[of[i]]
+            rough = np.maximum(at, 0).astype(np.float32).view(np.uint32) >> np.uint32(15)
+            parts = [sub[order] & np.uint64(0xFFFFFFFF), short >> np.uint64(16), short & np.uint64(0xFFFF), parity.view(np.uint64)[of[i]], rough[of[i]], size[of[i]], place[i], asks[of[i]]]
+            cuts = np.flatnonzero(np.diff(group, prepend=group[:1] + np.uint64(1)) != 0) if len(group) else np.empty(0, np.int64)
+            ends = np.append(cuts[1:], len(group))
+            blobs = [_blob([p[s:e] for p in parts]) for s, e in zip(cuts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(group[cuts].astype(np.int64)), pa.array(blobs, pa.binary())], ["group", "entries"])
+
+    return run
+
+
+def _candidates(percent: int, all_of: bool) -> Callable:
+    """Pairs of (short) names under a key that pass the filters; null partners stand for pairs that were left for later.
+
+    Under a key of over CROWD sets, a set meets the TRIES earliest that pass; both ends of what is left out are reported.
+    With ``all_of``, sets that ask meet all others.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        key, high, low, parity, at, n, place, asks = _unpacked(table.column("entries"))
+        name = (high << 16) | low
+        order = np.lexsort((place, name, (key << 32) | n))
+        key, name, parity, at, n, place, asks = (x[order] for x in (key, name, parity.astype(np.uint64), at, n, place, asks.astype(bool)))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        key, name, parity, at, n, place, asks = (x[new] for x in (key, name, parity, at, n, place, asks))
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        crowd = np.cumsum(first) - 1
+        members = np.bincount(crowd)
+        # sorted by size: a smaller set's position bounds how large its partners can be
+        most = np.minimum(100 * n // percent, (100 + percent) * (n - place) // percent - n)
+        wide = int(n.max(initial=0)) + 2
+        until = np.searchsorted(crowd * wide + n, crowd * wide + np.clip(most, -1, wide - 1), "right")
+        count = np.maximum(until - np.arange(len(key)) - 1, 0)
+        total = np.cumsum(count)
+        out: list[np.ndarray] = []
+        later: list[np.ndarray] = []
+        start = 0
+        crowded: list[np.ndarray] = []
+        while start < len(key):
+            end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS, "right")))
+            c = count[start:end]
+            i = np.repeat(np.arange(start, end), c)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+            both = n[i] + n[j]
+            on = ((100 + percent) * (n[j] - place[j]) >= percent * both) & (np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64) * (100 + percent) <= (100 - percent) * both)
+            if all_of:
+                on &= asks[i] | asks[j]
+            i, j = i[on], j[on]
+            many = np.zeros(len(i), bool) if all_of else members[crowd[i]] > CROWD
+            out.append(np.stack([name[i[~many]], name[j[~many]]], 1))
+            if many.any():
+                crowded.append(np.stack([i[many], j[many]], 1))
+            start = end
+            if crowded and (start >= len(key) or crowd[crowded[-1][-1, 0]] != crowd[start] or sum(map(len, crowded)) > 4 * PAIRS):
+                i, j = np.concatenate(crowded).T
+                crowded = []
+                swap = (at[i] > at[j]) | ((at[i] == at[j]) & (name[i] > name[j]))
+                x, y = np.where(swap, j, i), np.where(swap, i, j)
+                by = np.lexsort((name[x], at[x], y))
+                x, y = x[by], y[by]
+                fresh = np.ones(len(y), bool)
+                fresh[1:] = y[1:] != y[:-1]
+                turn = np.arange(len(y)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+                out.append(np.stack([name[x[turn < TRIES]], name[y[turn < TRIES]]], 1))
+                later += [name[x[turn >= TRIES]], name[y[turn >= TRIES]]]
+        pairs = np.concatenate([*out, np.empty((0, 2), np.int64)])
+        pairs.sort(axis=1)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))[: len(pairs)]]
+        left = np.unique(np.concatenate([*later, np.empty(0, np.int64)])).astype(np.int64)
+        both = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(left), pa.int64())])
+        return pa.table({"name": np.concatenate([pairs[:, 0], left]), "name2": both})
 
     return run
 
 
-def _wanted(shared: Broadcast, bits: Broadcast, least: int) -> Callable:
-    """Rows (name, other, tokens) of lines whose name may be among the wanted."""
+def _wanted(shared: Broadcast, docs: Broadcast, bits: Broadcast, least: int) -> Callable:
+    """Rows (short name, name, other, tokens) of lines whose name may be among the wanted, of documents that may hold their first ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, marks, scan = shared.value, bits.value, WordScan()
+        levels, marks, scan, seen = shared.value, bits.value, WordScan(), _Seen()
         for batch in batches:
-            for tokens, line, row, _ in _lines(batch.column(1), scan, least):
+            texts = batch.column(1).filter(pa.array(marked(docs.value, batch.column(0).to_numpy())))
+            for tokens, line, row, _ in _lines(texts, scan, least):
                 key, line, _, size = _sets(tokens, line, len(row), levels)
                 a, b, _ = _sums(key, size)
-                on = _firsts(a, b) & marked(marks, a)
+                on = marked(marks, a)
+                on[on] = seen.new(a[on], b[on])
                 offsets = np.concatenate([[0], np.cumsum(size[on])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(b[on]), pa.ListArray.from_arrays(pa.array(offsets), pa.array((key & _LOW)[on[line]].view(np.int64)))], ["name", "other", "tokens"])
+                own = pa.ListArray.from_arrays(pa.array(offsets), pa.array((key & _LOW)[on[line]].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(_short(a[on]).astype(np.int64)), pa.array(a[on]), pa.array(b[on]), own], ["short", "name", "other", "tokens"])
+
+    return run
+
+
+def _kept_by_name(bits: Broadcast) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked(bits.value, batch.column("name").to_numpy())))
+
+    return run
+
+
+def _keys_of(bits: Broadcast) -> Callable:
+    """Distinct prefix keys of lines whose name may be marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on = batch.filter(pa.array(marked(bits.value, batch.column("name").to_numpy())))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(on.column("keys").flatten().to_numpy()))], ["name"])
 
     return run
 
 
+def _cuts(bare: DataFrame, least_words: int, percent: int, tables: Scratch) -> DataFrame:
+    """(row, lines): the numbers of the lines that are cut from each (doc, text, at), by hash of the row."""
+    spark = bare.sparkSession
+    sc = spark.sparkContext
+
+    def tokens_of() -> Callable:
+        scan = WordScan()
+        return lambda batch: (tokens for tokens, *_ in _lines(batch.column(0), scan, least_words))
+
+    levels = sc.broadcast(rarity(bare.select("text"), tokens_of))
+    kind = bare.schema["doc"].dataType.simpleString()
+    all_lines, counts = tables.counted(bare.mapInArrow(_scanned(levels, least_words, percent), f"doc {kind}, {_LINE_ROW}"), "lines", entries=F.sum(F.when(F.col("line") >= 0, F.size("keys"))))
+    lines = all_lines.where("line >= 0")
+    groups = max((counts["entries"] or 0) // GROUP + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    reports = all_lines.where("line < 0").select(F.col("keys")[0].alias("key"), F.col("places")[0].alias("sets"), "name").groupBy("key").agg(F.sum("sets").alias("sets"), F.min("name").alias("name"))
+    reports = sorted(reports.where(F.col("sets") > SALTED).orderBy(F.desc("sets"), "key").limit(MAX_SALTED).collect(), key=lambda r: r["key"] % (1 << 64))
+    frequent = sc.broadcast((np.array([r["key"] % (1 << 64) for r in reports], np.uint64), np.array([-(-r["sets"] // SALTED) for r in reports], np.int64), np.array([r["name"] for r in reports], np.int64)))
+    firsts = lines.groupBy("name", "other").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("lines"))
+    firsts = tables.written(firsts, "firsts")
+
+    def met(asking: Broadcast | None = None, wanted: Broadcast | None = None) -> DataFrame:
+        dealt = lines.where(F.size("keys") > 0).select("name", "n", "parity", "at", "keys", "places").mapInArrow(_dealt(groups, frequent, asking, wanted), "group long, entries binary")
+        return dealt.groupBy("group").applyInArrow(_candidates(percent, wanted is not None), "name long, name2 long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(name, other) of sets of which an earlier one is a match."""
+        names = pairs.select("name").union(pairs.select("name2")).distinct()
+        marks = sc.broadcast(bitmap(names.select(F.shiftleft("name", 64 - _NAME_BITS).alias("name"))))
+        own = tables.written(firsts.select("name", "other", "first").mapInArrow(_kept_by_name(marks), firsts.select("name", "other", "first").schema), "wanted")
+        at = sc.broadcast(bitmap(own.select(F.col("first.doc.row").alias("name"))))
+        sets = bare.select("doc.row", "text").mapInArrow(_wanted(levels, at, marks, least_words), "short long, name long, other long, tokens array<long>")
+        sets = tables.written(sets.dropDuplicates(["name", "other"]).join(own, ["name", "other"]), "sets")
+        one = sets.select(F.col("short").alias("name"), F.struct("name", "other").alias("set"), "tokens", "first")
+        both = pairs.join(one, "name").join(one.select(F.col("name").alias("name2"), F.col("set").alias("set2"), F.col("tokens").alias("tokens2"), F.col("first").alias("first2")), "name2")
+        i = F.size(F.array_intersect("tokens", "tokens2"))
+        both = both.withColumn("i", i).where(100 * F.col("i") >= percent * (F.size("tokens") + F.size("tokens2") - F.col("i")))
+        later = F.when(F.col("first") > F.col("first2"), F.col("set")).otherwise(F.col("set2"))
+        return tables.written(both.select(later.alias("set")).distinct().select("set.*"), "settled")
+
+    raw = tables.written(met(), "candidates")
+    tried = tables.written(raw.where("name2 IS NOT NULL").distinct(), "pairs")
+    settled = verified(tried)
+    asks = raw.where("name2 IS NULL").select("name").distinct().join(settled.select(F.shiftrightunsigned("name", 64 - _NAME_BITS).alias("name")), "name", "left_anti")
+    asks = tables.written(asks.select(F.shiftleft("name", 64 - _NAME_BITS).alias("name")), "asks")
+    if not asks.isEmpty():
+        asking = sc.broadcast(bitmap(asks))
+        wanted = sc.broadcast(bitmap(lines.select("name", "keys").mapInArrow(_keys_of(asking), "name long")))
+        rest = tables.written(met(asking, wanted).distinct().join(tried, ["name", "name2"], "left_anti"), "pairs")
+        if not rest.isEmpty():
+            settled = settled.union(verified(rest)).distinct()
+
+    due = firsts.join(settled.withColumn("gone", F.lit(True)), ["name", "other"], "left").where("gone OR lines > 1").select("name", "other", "first", "gone")
+    due = tables.written(due, "due")
+    bits = sc.broadcast(bitmap(due.select("name")))
+    thin = lines.select("doc", "line", "name", "other")
+    cut = thin.mapInArrow(_kept_by_name(bits), thin.schema).join(due, ["name", "other"]).where(F.coalesce("gone", F.lit(False)) | (F.struct("doc", "line") > F.col("first")))
+    return written(cut.groupBy(F.col("doc.row").alias("row")).agg(F.array_sort(F.collect_set("line")).alias("lines")), "cuts")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with each text's later matches cut out, and columns n_lines and removed_lines (numbers from 0).
 
@@ -127,92 +395,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids, nulls first, then of a hash of the row, then of lines in the text. Shorter lines stay; with ``least_words`` 1
     those are blank ones. All tokens are put in one order, rarest first; two lines that match share a token of their
     prefixes, lie close enough in length, and have enough tokens left after the shared one; what passes is verified on
-    full sets. Lines with equal sets are one entry, so copies make no pairs, and tokens of many lines are joined
+    full sets. Lines with equal sets are one entry, so copies make no pairs, and tokens of many words are joined
     together with a second one.
 
-    One earlier match settles a line, so where a token has more than ``CROWD`` entries, its sets first meet its earliest
-    one and the two before them; only those that stay unsettled then meet all the others.
+    Entries are exchanged once, packed by hash of their key, in groups of bounded size: keys that a task meets often are
+    reported and dealt to several groups, each with one of the key's sets. One earlier match settles a line, so under a
+    key of over ``CROWD`` sets each meets a few at first; sets that then have no earlier match ask all others.
 
-    Null and empty texts stay as they are (null: no lines). Rows equal in id and text are cut alike. Extra columns are kept.
+    Null and empty texts stay as they are (null: no lines). Rows equal in id and text are cut alike. Extra columns are
+    kept; those called n_lines or removed_lines are replaced.
     """
     row = F.xxhash64(id_col, text_col)
-    bare = docs.select(F.struct(F.col(id_col).alias("id"), row.alias("row")).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    sc = docs.sparkSession.sparkContext
-
-    def tokens_of() -> Callable:
-        scan = WordScan()
-        return lambda batch: (tokens for tokens, *_ in _lines(batch.column(1), scan, least_words))
-
-    levels = sc.broadcast(rarity(bare, tokens_of))
-    kind = bare.schema["doc"].dataType
-    lines = written(bare.mapInArrow(_scanned(levels, least_words, percent), f"doc {kind.simpleString()}, line int, name long, other long, n int, parity long, keys array<long>, places array<int>"), "lines")
-    firsts = written(lines.groupBy("name", "other").agg(F.min(F.struct("doc", "line")).alias("first")), "firsts")
-
-    # ids place the sets under a token; a wrong order only makes worse first guesses
-    place = F.col("doc.id").cast("long") if isinstance(kind["id"].dataType, IntegralType) else F.xxhash64("doc.id")
-    spread = lines.where(F.size("keys") > 0).select("name", "n", "parity", F.coalesce(place, F.lit(-(2**63))).alias("at"), F.explode(F.arrays_zip("keys", "places")).alias("z"))
-    spread = spread.select(F.col("z.keys").alias("key"), "name", "n", F.col("z.places").alias("place"), "parity", "at")
-
-    def gathered(posts: DataFrame) -> DataFrame:
-        return posts.repartition("key").groupBy("key", "name", "n", "place", "parity").agg(F.min("at").alias("at"))
-
-    def renamed(posts: DataFrame) -> DataFrame:
-        return posts.select("key", *[F.col(c).alias(f"my_{c}") for c in ("name", "n", "place", "parity")])
-
-    def may_match(one: str, two: str) -> str:
-        n, m = f"{one}n", f"{two}n"
-        # sets of Jaccard t differ in at most (1 - t) / (1 + t) of their sizes' sum
-        return (
-            f"{one}name <> {two}name AND 100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
-            f" AND (100 + {percent}) * least({n} - {one}place, {m} - {two}place) >= {percent} * ({n} + {m})"
-            f" AND bit_count({one}parity ^ {two}parity) * (100 + {percent}) <= (100 - {percent}) * ({n} + {m})"
-        )
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(name, other, theirs): the first line of each set that matches, in both directions."""
-        marks = sc.broadcast(bitmap(pairs.select("name").union(pairs.select("name2"))))
-        sets = bare.mapInArrow(_wanted(levels, marks, least_words), "name long, other long, tokens array<long>").repartition("name").dropDuplicates(["name", "other"])
-        met = pairs.join(sets, "name").join(sets.toDF("name2", "other2", "tokens2"), "name2")
-        met = met.withColumn("i", F.size(F.array_intersect("tokens", "tokens2"))).where(100 * F.col("i") >= percent * (F.size("tokens") + F.size("tokens2") - F.col("i"))).select("name", "other", "name2", "other2")
-        met = written(met, "matches")
-        met = met.union(met.select("name2", "other2", "name", "other"))
-        return met.join(firsts.toDF("name2", "other2", "theirs"), ["name2", "other2"]).select("name", "other", "theirs")
-
-    def ordered(matches: DataFrame) -> DataFrame:
-        """(name, other, first, theirs): each set's first line and the earliest of those that match, null without."""
-        return firsts.join(matches.groupBy("name", "other").agg(F.min("theirs").alias("theirs")), ["name", "other"], "left")
-
-    def once(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("name", "name2").alias("name"), F.greatest("name", "name2").alias("name2")).distinct()
-
-    by = Window.partitionBy("key").orderBy("at", "name")
-    me = F.struct("name", "n", "place", "parity")
-    before = F.array(F.first(me).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lag(me, 1).over(by), F.lag(me, 2).over(by))
-    many = written(spread.groupBy("key").agg(F.count("*").alias("entries")).where(F.col("entries") > CROWD).select("key"), "crowds")
-    # one exchange by key serves both sides of the join
-    few = spread.drop("at").join(many, "key", "left_anti").repartition("key")
-    few = once(renamed(few).join(few, "key").where("my_name < name").where(may_match("my_", "")).select(F.col("my_name").alias("name2"), "name"))
-    posts = gathered(spread.join(many, "key", "left_semi"))
-    stars = posts.select("*", before.alias("before")).select("name", F.expr(f"transform(filter(before, o -> o.name IS NOT NULL AND {may_match('', 'o.')}), o -> o.name)").alias("others"))
-    # a set has no more rows here than keys in its prefix
-    stars = stars.where(F.size("others") > 0).groupBy("name").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others")).select("name", F.explode("others").alias("name2"))
-    tried = written(once(few.unionByName(stars)), "pairs")
-    matches = verified(tried)
-
-    unsettled = ordered(matches).where("theirs IS NULL OR theirs > first").select("name").distinct()
-    left = renamed(posts.join(unsettled, "name", "left_semi"))
-    rest = left.join(posts, "key").where(may_match("my_", "")).select(F.col("my_name").alias("name2"), "name")
-    rest = written(once(rest).join(tried, ["name", "name2"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        matches = matches.union(verified(rest))
-    order = ordered(matches).select("name", "other", F.coalesce(F.least("first", "theirs"), "first").alias("first"))
-    at = F.struct("doc", "line")
-    cut = lines.select("doc", "line", "name", "other").join(order, ["name", "other"]).where(at > F.col("first"))
-    cut = cut.groupBy(F.col("doc.row").alias("__row")).agg(F.array_sort(F.collect_set("line")).alias("__cut"))
-
-    own = docs.withColumn("__row", row).join(cut, "__row", "left").drop("__row").withColumn("__cut", F.coalesce("__cut", F.array().cast("array<int>")))
+    whole = isinstance(docs.schema[id_col].dataType, IntegralType)
+    place = F.coalesce(F.col(id_col).cast("long") if whole else F.xxhash64(id_col), F.lit(0))
+    bare = docs.select(F.struct(F.col(id_col).alias("id"), row.alias("row")).alias("doc"), F.col(text_col).cast("string").alias("text"), place.alias("at"))
+    with Scratch(docs.sparkSession) as tables:
+        cut = _cuts(bare, least_words, percent, tables)
+
+    own = docs.drop("n_lines", "removed_lines")
+    key, gone, may = spare(own, "row"), spare(own, "gone"), spare(own, "may")
+    touched = flagged(own.withColumn(key, row), key, bitmap(cut.select(F.col("row").alias("name"))), may)
+    none = F.array().cast("array<int>")
+    joined = touched.where(may).join(cut.toDF(key, gone), key, "left").withColumn(gone, F.coalesce(gone, none))
+    own = joined.unionByName(touched.where(~F.col(may)).withColumn(gone, none))
     split = F.split(F.col(text_col).cast("string"), "\n")
-    numbers = F.array_except(F.transform(split, lambda x, i: i), F.col("__cut"))
-    text = F.when(F.size("__cut") == 0, F.col(text_col).cast("string")).otherwise(F.array_join(F.transform(numbers, lambda i: F.element_at(split, i + 1)), "\n"))
+    numbers = F.array_except(F.transform(split, lambda x, i: i), F.col(gone))
+    text = F.when(F.size(gone) == 0, F.col(text_col).cast("string")).otherwise(F.array_join(F.transform(numbers, lambda i: F.element_at(split, i + 1)), "\n"))
     counted = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split))
-    return own.withColumns({"n_lines": counted, "removed_lines": F.col("__cut"), text_col: text}).drop("__cut")
+    return own.withColumns({"n_lines": counted, "removed_lines": F.col(gone), text_col: text}).drop(gone, key, may)
