@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,24 @@ from ledgerloom.llm.common import Scratch, WordScan, bitmap, counter_of, flagged
 
 #: Least words of a line that is compared, unless told otherwise (1: all lines with words, as op7_lines and the pipeline do), and least Jaccard similarity (percent) of its distinct words.
 LEAST_WORDS, PERCENT = 5, 80
-#: A token of more words than HOT is joined together with each later one of the prefix.
-HOT = 2_000
-#: Sets under one key of which each meets at most TRIES others at first; entries that one group holds under one key.
-CROWD, TRIES, SALTED = 256, 3, 2_048
-#: A key is reported as frequent from so many sets of one task on; frequent keys that are dealt to several groups (the most frequent ones).
-LOCAL, MAX_SALTED = 64, 1 << 17
+
+
+class Limits(NamedTuple):
+    """What bounds the work under one key; other values give the same result.
+
+    A token of more words than ``hot`` is joined together with each later one of the prefix. Under a key of over
+    ``crowd`` sets each meets at most ``tries`` others at first. A task reports a key of so many of its sets as ``local``;
+    the ``most`` heaviest reported keys are dealt to groups of about ``salted`` entries each.
+    """
+
+    hot: int = 2_000
+    crowd: int = 256
+    tries: int = 3
+    local: int = 64
+    salted: int = 2_048
+    most: int = 1 << 17
+
+
 #: Entries of a group, and pairs that are looked at together.
 GROUP, PAIRS = 250_000, 1 << 21
 
@@ -93,12 +106,12 @@ class _Seen:
         return out
 
 
-def _prefixes(key: np.ndarray, line: np.ndarray, place: np.ndarray, size: np.ndarray, on: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _prefixes(key: np.ndarray, line: np.ndarray, place: np.ndarray, size: np.ndarray, on: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Index of a prefix token (its first ``cold`` ones are single tokens) and 64-bit key: what two matching sets share at least once."""
     prefix = size - -(-percent * size // 100) + 1
     level = key >> np.uint64(_TOKEN_BITS)
     inside = (place < prefix[line]) & (level > 1) & (on & (100 * size >= percent * (size + 1)))[line]  # smaller sets match equal ones only
-    hot = np.uint64(level_of(HOT))
+    hot = np.uint64(level_of(most))
     cold = np.flatnonzero(inside & (level < hot))
     at, keys = [cold], [mix(key[cold])]
     warm, step = np.flatnonzero(inside & (level >= hot)), 1
@@ -112,7 +125,7 @@ def _prefixes(key: np.ndarray, line: np.ndarray, place: np.ndarray, size: np.nda
 _LINE_ROW = "line int, name long, other long, n int, parity long, at long, keys array<long>, places array<int>"
 
 
-def _scanned(shared: Broadcast, least: int, percent: int) -> Callable:
+def _scanned(shared: Broadcast, least: int, percent: int, limits: Limits) -> Callable:
     """A row for each line; keys and places are of prefix tokens that another line may share.
 
     A task's frequent keys follow: rows of line -1 with the key, how many sets had it, and one of them (``other``: its place).
@@ -125,7 +138,7 @@ def _scanned(shared: Broadcast, least: int, percent: int) -> Callable:
             for tokens, line, row, number in _lines(batch.column(1), scan, least):
                 key, line, place, size = _sets(tokens, line, len(row), levels)
                 a, b, parity = _sums(key, size)
-                at, keys, cold = _prefixes(key, line, place, size, seen.new(a, b), percent)
+                at, keys, cold = _prefixes(key, line, place, size, seen.new(a, b), percent, limits.hot)
                 own = line[at]
                 if len(keys) > cold:
                     of = own[cold:]
@@ -139,7 +152,7 @@ def _scanned(shared: Broadcast, least: int, percent: int) -> Callable:
         if frequent:
             all_of = np.concatenate(frequent)
             keys, first, count = np.unique(all_of[:, 0], return_index=True, return_counts=True)
-            keys, row, count = keys[count >= LOCAL], all_of[first[count >= LOCAL]], count[count >= LOCAL]
+            keys, row, count = keys[count >= limits.local], all_of[first[count >= limits.local]], count[count >= limits.local]
             ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([
                 pa.nulls(len(keys), kind), pa.array(np.full(len(keys), -1, np.int32)), pa.array(row[:, 1]), pa.array(row[:, 5]), pa.array(row[:, 2].astype(np.int32)), pa.array(row[:, 3]), pa.array(row[:, 4]),
@@ -149,8 +162,8 @@ def _scanned(shared: Broadcast, least: int, percent: int) -> Callable:
     return run
 
 
-#: What a group gets of an entry: enough of the key and of the set's name (what collides is one pair more to verify), parities, a rough place in the order, size, place; whether it asks for matches.
-_ENTRY = [("key", "<u4"), ("high", "<u4"), ("low", "<u2"), ("parity", "<u8"), ("at", "<u2"), ("n", "<u4"), ("place", "<u4"), ("asks", "u1")]
+#: What a group gets of an entry: enough of the key and of the set's name (what collides is one pair more to verify), parities, a rough place in the order, size, place; and whether it asks for matches (1) or meets a part of its key's sets (2).
+_ENTRY = [("key", "<u4"), ("high", "<u4"), ("low", "<u2"), ("parity", "<u8"), ("at", "<u2"), ("n", "<u4"), ("place", "<u4"), ("state", "u1")]
 _NAME_BITS = 48
 
 
@@ -214,7 +227,7 @@ def _dealt(groups: int, frequent: Broadcast, asking: Broadcast | None, wanted: B
             i, group = i[order], group[order]
             short = _short(name)[of[i]]
             rough = np.maximum(at, 0).astype(np.float32).view(np.uint32) >> np.uint32(15)
-            parts = [sub[order] & np.uint64(0xFFFFFFFF), short >> np.uint64(16), short & np.uint64(0xFFFF), parity.view(np.uint64)[of[i]], rough[of[i]], size[of[i]], place[i], asks[of[i]]]
+            parts = [sub[order] & np.uint64(0xFFFFFFFF), short >> np.uint64(16), short & np.uint64(0xFFFF), parity.view(np.uint64)[of[i]], rough[of[i]], size[of[i]], place[i], asks[of[i]] + 2 * (salt[i] > 1)]
             cuts = np.flatnonzero(np.diff(group, prepend=group[:1] + np.uint64(1)) != 0) if len(group) else np.empty(0, np.int64)
             ends = np.append(cuts[1:], len(group))
             blobs = [_blob([p[s:e] for p in parts]) for s, e in zip(cuts, ends, strict=True)]
@@ -223,21 +236,23 @@ def _dealt(groups: int, frequent: Broadcast, asking: Broadcast | None, wanted: B
     return run
 
 
-def _candidates(percent: int, all_of: bool) -> Callable:
+def _candidates(percent: int, all_of: bool, limits: Limits) -> Callable:
     """Pairs of (short) names under a key that pass the filters; null partners stand for pairs that were left for later.
 
-    Under a key of over CROWD sets, a set meets the TRIES earliest that pass; both ends of what is left out are reported.
+    Under a key of a crowd, a set meets the earliest few that pass; both ends of what is left out are reported, and
+    all sets of a key that is dealt to several groups.
     With ``all_of``, sets that ask meet all others.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        key, high, low, parity, at, n, place, asks = _unpacked(table.column("entries"))
+        key, high, low, parity, at, n, place, state = _unpacked(table.column("entries"))
         name = (high << 16) | low
         order = np.lexsort((place, name, (key << 32) | n))
-        key, name, parity, at, n, place, asks = (x[order] for x in (key, name, parity.astype(np.uint64), at, n, place, asks.astype(bool)))
+        key, name, parity, at, n, place, state = (x[order] for x in (key, name, parity.astype(np.uint64), at, n, place, state))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        key, name, parity, at, n, place, asks = (x[new] for x in (key, name, parity, at, n, place, asks))
+        key, name, parity, at, n, place, state = (x[new] for x in (key, name, parity, at, n, place, state))
+        asks = (state & 1).astype(bool)
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
         crowd = np.cumsum(first) - 1
@@ -249,7 +264,7 @@ def _candidates(percent: int, all_of: bool) -> Callable:
         count = np.maximum(until - np.arange(len(key)) - 1, 0)
         total = np.cumsum(count)
         out: list[np.ndarray] = []
-        later: list[np.ndarray] = []
+        later: list[np.ndarray] = [] if all_of else [name[state & 2 > 0]]
         start = 0
         crowded: list[np.ndarray] = []
         while start < len(key):
@@ -262,7 +277,7 @@ def _candidates(percent: int, all_of: bool) -> Callable:
             if all_of:
                 on &= asks[i] | asks[j]
             i, j = i[on], j[on]
-            many = np.zeros(len(i), bool) if all_of else members[crowd[i]] > CROWD
+            many = np.zeros(len(i), bool) if all_of else members[crowd[i]] > limits.crowd
             out.append(np.stack([name[i[~many]], name[j[~many]]], 1))
             if many.any():
                 crowded.append(np.stack([i[many], j[many]], 1))
@@ -277,8 +292,8 @@ def _candidates(percent: int, all_of: bool) -> Callable:
                 fresh = np.ones(len(y), bool)
                 fresh[1:] = y[1:] != y[:-1]
                 turn = np.arange(len(y)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-                out.append(np.stack([name[x[turn < TRIES]], name[y[turn < TRIES]]], 1))
-                later += [name[x[turn >= TRIES]], name[y[turn >= TRIES]]]
+                out.append(np.stack([name[x[turn < limits.tries]], name[y[turn < limits.tries]]], 1))
+                later += [name[x[turn >= limits.tries]], name[y[turn >= limits.tries]]]
         pairs = np.concatenate([*out, np.empty((0, 2), np.int64)])
         pairs.sort(axis=1)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
@@ -328,7 +343,7 @@ def _keys_of(bits: Broadcast) -> Callable:
     return run
 
 
-def _cuts(bare: DataFrame, least_words: int, percent: int, tables: Scratch) -> DataFrame:
+def _cuts(bare: DataFrame, least_words: int, percent: int, limits: Limits, tables: Scratch) -> DataFrame:
     """(row, lines): the numbers of the lines that are cut from each (doc, text, at), by hash of the row."""
     spark = bare.sparkSession
     sc = spark.sparkContext
@@ -339,18 +354,18 @@ def _cuts(bare: DataFrame, least_words: int, percent: int, tables: Scratch) -> D
 
     levels = sc.broadcast(rarity(bare.select("text"), tokens_of))
     kind = bare.schema["doc"].dataType.simpleString()
-    all_lines, counts = tables.counted(bare.mapInArrow(_scanned(levels, least_words, percent), f"doc {kind}, {_LINE_ROW}"), "lines", entries=F.sum(F.when(F.col("line") >= 0, F.size("keys"))))
+    all_lines, counts = tables.counted(bare.mapInArrow(_scanned(levels, least_words, percent, limits), f"doc {kind}, {_LINE_ROW}"), "lines", entries=F.sum(F.when(F.col("line") >= 0, F.size("keys"))))
     lines = all_lines.where("line >= 0")
     groups = max((counts["entries"] or 0) // GROUP + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     reports = all_lines.where("line < 0").select(F.col("keys")[0].alias("key"), F.col("places")[0].alias("sets"), "name").groupBy("key").agg(F.sum("sets").alias("sets"), F.min("name").alias("name"))
-    reports = sorted(reports.where(F.col("sets") > SALTED).orderBy(F.desc("sets"), "key").limit(MAX_SALTED).collect(), key=lambda r: r["key"] % (1 << 64))
-    frequent = sc.broadcast((np.array([r["key"] % (1 << 64) for r in reports], np.uint64), np.array([-(-r["sets"] // SALTED) for r in reports], np.int64), np.array([r["name"] for r in reports], np.int64)))
+    reports = sorted(reports.where(F.col("sets") > limits.salted).orderBy(F.desc("sets"), "key").limit(limits.most).collect(), key=lambda r: r["key"] % (1 << 64))
+    frequent = sc.broadcast((np.array([r["key"] % (1 << 64) for r in reports], np.uint64), np.array([-(-r["sets"] // limits.salted) for r in reports], np.int64), np.array([r["name"] for r in reports], np.int64)))
     firsts = lines.groupBy("name", "other").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("lines"))
     firsts = tables.written(firsts, "firsts")
 
     def met(asking: Broadcast | None = None, wanted: Broadcast | None = None) -> DataFrame:
         dealt = lines.where(F.size("keys") > 0).select("name", "n", "parity", "at", "keys", "places").mapInArrow(_dealt(groups, frequent, asking, wanted), "group long, entries binary")
-        return dealt.groupBy("group").applyInArrow(_candidates(percent, wanted is not None), "name long, name2 long")
+        return dealt.groupBy("group").applyInArrow(_candidates(percent, wanted is not None, limits), "name long, name2 long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(name, other) of sets of which an earlier one is a match."""
@@ -387,7 +402,7 @@ def _cuts(bare: DataFrame, least_words: int, percent: int, tables: Scratch) -> D
     return written(cut.groupBy(F.col("doc.row").alias("row")).agg(F.array_sort(F.collect_set("line")).alias("lines")), "cuts")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, percent: int = PERCENT) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, percent: int = PERCENT, limits: Limits = Limits()) -> DataFrame:
     """``docs`` with each text's later matches cut out, and columns n_lines and removed_lines (numbers from 0).
 
     A text's lines end at line feeds. A line of at least ``least_words`` words is cut if an earlier one, cut or not, has
@@ -400,7 +415,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Entries are exchanged once, packed by hash of their key, in groups of bounded size: keys that a task meets often are
     reported and dealt to several groups, each with one of the key's sets. One earlier match settles a line, so under a
-    key of over ``CROWD`` sets each meets a few at first; sets that then have no earlier match ask all others.
+    key of many sets each meets a few at first; sets that then have no earlier match ask all others.
 
     Null and empty texts stay as they are (null: no lines). Rows equal in id and text are cut alike. Extra columns are
     kept; those called n_lines or removed_lines are replaced.
@@ -410,7 +425,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.coalesce(F.col(id_col).cast("long") if whole else F.xxhash64(id_col), F.lit(0))
     bare = docs.select(F.struct(F.col(id_col).alias("id"), row.alias("row")).alias("doc"), F.col(text_col).cast("string").alias("text"), place.alias("at"))
     with Scratch(docs.sparkSession) as tables:
-        cut = _cuts(bare, least_words, percent, tables)
+        cut = _cuts(bare, least_words, percent, limits, tables)
 
     own = docs.drop("n_lines", "removed_lines")
     key, gone, may = spare(own, "row"), spare(own, "gone"), spare(own, "may")
