@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Vectors of a block of candidates and of a block of queries.
-BLOCK, QUERY_BLOCK = 8_192, 2_048
+#: Vectors of a block of candidates and of a block of queries; queries that a task searches for at once.
+BLOCK, QUERY_BLOCK, TOGETHER = 8_192, 8_192, 512
 
 
 def integers(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component as a long; null if the vector or a component is null or not finite."""
+    """floor(scale * x) of each component as a long; null if the vector or a component is null or not finite. An empty vector stays empty."""
     x = F.transform(vector, lambda v: v.cast("double"))
     good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return F.when(vector.isNotNull() & good, F.transform(x, lambda v: F.floor(scale * v).cast("long")))
@@ -26,41 +26,52 @@ class SortedLists:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         self.asc = np.argsort(self.vectors, axis=0, kind="stable")
+        self.most = int(np.abs(self.vectors).max(initial=0))
 
-    def search(self, query: np.ndarray, k: int, own: int | None = None, step: int = 32) -> tuple[list[tuple[int, int]], int]:
-        """Highest ``k`` (score, id), ties to the smaller id, and how many vectors were scored.
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, step: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query row, id, score) of each query's ``k`` highest scores, ties to the smaller id, and how many pairs were scored.
 
-        Each round goes down every list by twice as many entries, from the end where the query's component gains most,
-        and scores what is new. No unseen vector can score more than the sum over dimensions of the query's component
-        times the last value met; the search stops once that bound is below the kth score.
+        All queries go down the lists together, each round by twice as many entries: in every dimension from the top and
+        from the bottom, since a query gains most at the end that its component's sign names. What is new is scored for
+        all queries still searching in one product (of doubles while they hold every sum exactly). No vector that a
+        query hasn't met scores more than the sum over dimensions of its component times the last value met at its end;
+        a query stops once that bound is below its kth score.
         """
         n, dims = self.vectors.shape
-        used = np.flatnonzero(query)
-        seen, best, depth = np.zeros(n, bool), [], 0
-        if own is not None:
-            seen[self.ids == own] = True
-        while True:
-            deeper = min(n, depth + step)
-            if len(used) and deeper < n:
-                rows = np.arange(depth, deeper)
-                at = np.where(query[used] > 0, (n - 1 - rows)[:, None], rows[:, None])
-                new = np.unique(self.asc[at, used])
-                new = new[~seen[new]]
-            else:  # nothing orders the vectors, or the lists end
-                new, deeper = np.flatnonzero(~seen), n
+        exact = dims * self.most * int(np.abs(queries).max(initial=0)) < 2**53
+        kind = np.float64 if exact else np.int64
+        vectors, queries = self.vectors.astype(kind), queries.astype(kind)
+        gain, loss = np.maximum(queries, 0), np.minimum(queries, 0)
+        active, seen, depth, scored = np.arange(len(queries)), np.zeros(n, bool), 0, 0
+        ranks = np.full((len(queries), k), n, np.int64)
+        best = np.zeros((len(queries), k), kind)
+        while len(active) and n:
+            depth, step = (min(n, depth + step), 2 * step) if dims else (n, step)
+            near = np.unique(np.concatenate([self.asc[:depth].ravel(), self.asc[n - depth :].ravel()])) if 2 * depth < n else np.arange(n)
+            new = near[~seen[near]]
             seen[new] = True
-            score = self.vectors[new] @ query
-            if len(new) > k:
-                kth = np.partition(score, len(score) - k)[len(score) - k]
-                new, score = new[score >= kth], score[score >= kth]
-            best = sorted([*best, *((-int(s), int(i)) for s, i in zip(score, self.ids[new], strict=True))])[:k]
-            if deeper >= n:
+            scored += len(new) * len(active)
+            score = queries[active] @ vectors[new].T
+            allowed = self.ids[new][None, :] != own[active][:, None]
+            for row, (q, s, may) in enumerate(zip(active, score, allowed, strict=True)):
+                at, s = new[may], s[may]
+                if len(s) > k:
+                    least = np.partition(s, len(s) - k)[len(s) - k]
+                    at, s = at[s >= least], s[s >= least]
+                held = ranks[q] < n
+                at, s = np.concatenate([ranks[q][held], at]), np.concatenate([best[q][held], s])
+                top = np.lexsort((at, -s))[:k]
+                ranks[q, : len(top)], best[q, : len(top)] = at[top], s[top]
+            if len(near) == n:
                 break
-            edge = self.vectors[self.asc[at[-1], used], used]
-            if len(best) == k and (edge * query[used]).sum() < -best[-1][0]:
-                break
-            depth, step = deeper, 2 * step
-        return [(-s, i) for s, i in best], int(seen.sum())
+            bound = gain[active] @ vectors[self.asc[n - depth], np.arange(dims)] + loss[active] @ vectors[self.asc[depth - 1], np.arange(dims)]
+            active = active[(ranks[active, -1] == n) | (bound >= best[active, -1])]
+        q, turn = np.nonzero(ranks < n)
+        return q, self.ids[ranks[q, turn]], best[q, turn].astype(np.int64), scored
+
+
+def _matrix(lists: pa.ChunkedArray, dims: int) -> np.ndarray:
+    return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(lists), dims)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -70,26 +81,30 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     with sorted lists of its own, and the groups' best rows are ranked. Ties go to the smaller id. Only vectors of equal
     length are compared. Rows with a null id, and vectors that are null or hold null or non-finite components, take no
     part; rows of a query's own id aren't its candidates; a query without candidates has no rows; repeated candidates
-    each count, repeated queries count once. Scores are exact as long as they fit 63 bits.
+    each count; a repeated query id counts once, with the smallest of its vectors. Scores are exact as long as they fit
+    63 bits. An empty table has no rows; other columns are ignored.
     """
     own = vectors.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v"), is_query.alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
     n, nq = own.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
     blocks, query_blocks = n // block + 1, nq // query_block + 1
-    row = F.xxhash64("id", "v")
-    spread = own.withColumns({"d": F.size("v"), "r": row})
-    cand = spread.select("id", "v", "d", F.pmod("r", F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
-    asks = spread.where("q").dropDuplicates(["id"]).select("id", "v", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod("r", F.lit(query_blocks)).alias("qb"))
-
-    def search(asks: pd.DataFrame, cand: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asks) and len(cand):
-            lists = SortedLists(cand["id"].to_numpy(np.int64), np.array(cand["v"].tolist(), np.int64).reshape(len(cand), -1))
-            for key, v in zip(asks["id"], asks["v"], strict=True):
-                found, _ = lists.search(np.asarray(v, np.int64), k, key)
-                out += [(key, i, s) for s, i in found]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    cand = own.select("id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).alias("b"), each(query_blocks).alias("qb"))
+    asks = own.where("q").groupBy("id").agg(F.min("v").alias("v"))
+    asks = asks.select("id", "v", F.size("v").alias("d"), each(blocks).alias("b"), F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("qb"))
+
+    def search(key: tuple, asks: pa.Table, cand: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if asks.num_rows and cand.num_rows:
+            dims = key[0].as_py()
+            lists = SortedLists(cand["id"].to_numpy(), _matrix(cand["v"], dims))
+            ids, rows = asks["id"].to_numpy(), _matrix(asks["v"], dims)
+            for s in range(0, len(ids), TOGETHER):
+                q, at, score, _ = lists.search(rows[s : s + TOGETHER], ids[s : s + TOGETHER], k)
+                found.append((ids[s : s + TOGETHER][q], at, score))
+        columns = [np.concatenate([*(f[c] for f in found), np.empty(0, np.int64)]) for c in range(3)]
+        return pa.table(dict(zip(("query_id", "id", "score"), columns, strict=True)))
 
     keys = ["d", "b", "qb"]
-    found = asks.groupBy(*keys).cogroup(cand.groupBy(*keys)).applyInPandas(search, "query_id long, id long, score long")
+    found = asks.groupBy(*keys).cogroup(cand.groupBy(*keys)).applyInArrow(search, "query_id long, id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -115,6 +115,14 @@ def test_topk_brute_force(spark):
         want = sorted((-int(v[q] @ v[i]), i) for i in v if i != q)[:5]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
+    ties = spark.createDataFrame([(i, [1.0, 0.0], 7, 8) for i in range(40)] + [(3, [0.0, 1.0], 7, 8), (3, [0.0, 1.0], 7, 8)], "vec_id long, embedding array<double>, b int, qb int")
+    got = [(r["rank"], r.vec_id, r.score) for r in topk.top_k(ties, F.col("vec_id") == 3, block=8, query_block=1).collect()]
+    assert got == [(k + 1, i, 0) for k, i in enumerate([0, 1, 2, 4, 5])]  # the smaller vector of the repeated query counts
+    v = rng.normal(size=(500, 3)) * np.linspace(0.01, 4, 500)[:, None] ** 3
+    lists = topk.SortedLists(np.arange(500), np.floor(256 * v).astype(np.int64))
+    q, ids, score, scored = lists.search(lists.vectors[-3:], np.arange(497, 500), 5, step=2)
+    whole = lists.vectors[-3:] @ lists.vectors.T
+    assert scored < 3 * 500 and [sorted(score[q == r])[-1] for r in range(3)] == [max(np.delete(whole[r], 497 + r)) for r in range(3)]
 
 
 def test_licences(spark, docs, empty):
@@ -152,6 +160,14 @@ def test_lines_brute_force(spark, docs, empty):
     got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").repartition(3)).collect()}
     assert {i: list(r.removed_lines) for i, r in got.items()} == want
     assert all(got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows)
+    tight = linededup.Limits(hot=3, crowd=4, tries=1, local=2, salted=5)  # pairs of tokens, crowds, keys in several groups and second rounds everywhere
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), limits=tight).collect()
+    assert {r.doc_id: list(r.removed_lines) for r in got} == want
+    clash = spark.createDataFrame([(1, "a b c d e\na b c d e", "x", 1, 2, "y", "z")], "doc_id long, text string, row string, gone int, may int, n_lines string, removed_lines string")
+    (r,) = linededup.dedup_lines(clash).collect()
+    assert (r.text, r.row, r.gone, r.may, r.n_lines, r.removed_lines) == ("a b c d e", "x", 1, 2, 2, [1])
+    names = spark.createDataFrame([("b", "a b c d e f"), ("a", "f e d c b a"), (None, "a b c d e f x")], "doc_id string, text string")
+    assert {r.doc_id: r.removed_lines for r in linededup.dedup_lines(names).collect()} == {None: [], "a": [0], "b": [0]}
     assert linededup.dedup_lines(docs).count() == len(TEXTS) + 2 and linededup.dedup_lines(empty).count() == 0
 
 
