@@ -226,30 +226,37 @@ def marked(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
     return bits[(names.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Smallest reachable id for every id in ``edges``: columns (node, component).
-
-    Alternates large-star and small-star steps on written edge tables until they stop changing; each step is a
-    grouped minimum and a join, so a hub's edges are never gathered in one place. Null ends and loops are ignored.
-    """
+def components_in(edges: DataFrame, tables: Scratch, a: str = "a", b: str = "b") -> DataFrame:
+    """As connected_components, in a table that goes with ``tables``."""
     hi, lo = F.greatest(a, b), F.least(a, b)
-    now = written(edges.where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {a} <> {b}").select(hi.alias("u"), lo.alias("v")).distinct(), "edges")
-
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    seen = state(now)
-    while seen[0]:
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "edges")
+    now = tables.written(edges.where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {a} <> {b}").select(hi.alias("u"), lo.alias("v")).distinct(), "edges")
+    settled = False
+    while True:
+        # large star: an edge's lower end gives way to its own lowest neighbour
+        low = now.groupBy("u").agg(F.min("v").alias("m"))
+        step = now.join(low.toDF("k", "m"), F.col("v") == F.col("k"), "left")
+        large, seen = tables.counted(step.select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved")), "edges", edges=F.count("*"), moved=F.count_if("moved"))
+        if not seen["moved"] and (settled or not seen["edges"]):
+            break
+        # small star: a node keeps its lowest neighbour, to which the others move
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        after = state(now)
-        if after == seen:
+        moved = large.select("u", "v").join(low.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(1).alias("moved"))
+        both = moved.union(low.select("u", F.col("m").alias("v"), F.lit(0).alias("moved"))).groupBy("u", "v").agg(F.max("moved").alias("moved"))
+        now, after = tables.counted(both, "edges", moved=F.sum("moved"))
+        now, settled = now.select("u", "v"), not after["moved"]
+        if settled and not seen["moved"]:
             break
-        seen = after
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return tables.written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Smallest reachable id for every id in ``edges``: columns (node, component), in a written table.
+
+    Alternates large-star and small-star steps on written edge tables until neither moves an edge. Each step is a
+    grouped minimum, partly taken before rows are exchanged, and a join of the edges with it; where a hub's edges meet
+    in that join, adaptive execution splits them. Null ends and loops are ignored, repeated edges count once, and an
+    empty table has no rows.
+    """
+    with Scratch(edges.sparkSession) as tables:
+        return written(components_in(edges, tables, a, b), "components")

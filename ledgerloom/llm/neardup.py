@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordScan, bitmap, chain, connected_components, counter_of, marked, mix, rarity, written
+from ledgerloom.llm.common import Scratch, WordScan, bitmap, chain, components_in, counter_of, marked, mix, rarity, written
 
 #: Hash values of a signature, and how many make one band: a pair at similarity 0.75 misses all 32 bands with p < 1e-5.
 BINS, ROWS = 128, 4
@@ -114,65 +114,68 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: (id, n_shingles, component_id).
 
     Rows with equal shingle sets are one class. Classes share a bucket when a band of their signatures is equal. Each
-    bucket links its smallest class to the rest (a star); then, where its members are still in several components, its
-    best linked class to those of other components. What is left, the members of buckets of several components, meet
-    by an exact set-similarity join: linked sets share one of their rarest shingles (prefix filter) and enough after it
-    (positional filter). So no group of copies is expanded into all pairs, and no link between a bucket's members is
-    lost. All links are confirmed on full shingle sets: 100 * intersection >= percent * union.
-
-    Null or empty texts have no shingles and stand alone; a row with a null id is returned with n_shingles and a null
-    component and links nothing. Rows that repeat an id are one node. Other columns are ignored.
+    bucket links its smallest class to the rest (a star). What is left, the members of buckets that then lie in several
+    components, meet by an exact set-similarity join: linked sets share one of their rarest shingles (prefix filter) and
+    enough after it (positional filter). Of a shingle's members, those of its most frequent component meet only others.
+    So no group of copies is expanded into all pairs, and no link between a bucket's members is lost. All links are
+    confirmed on full shingle sets: 100 * intersection >= percent * union.
+
+    Ids are whole numbers, or texts of such; others fail under ANSI rules. Null or empty texts have no shingles and
+    stand alone; a row with a null id is returned with n_shingles and a null component and links nothing. Rows that
+    repeat an id are one node. An empty table has no rows; other columns are ignored.
     """
+    with Scratch(docs.sparkSession) as tables:
+        return written(_classes(docs, id_col, text_col, words, percent, tables), "near-duplicates").withColumnRenamed("id", id_col)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, tables: Scratch) -> DataFrame:
+    sc = docs.sparkSession.sparkContext
     bare = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(bare.mapInArrow(_signed(words), "id long, n long, x long, y long, bands array<long>"), "signed")
+    signed = tables.written(bare.mapInArrow(_signed(words), "id long, n long, x long, y long, bands array<long>"), "signed")
     classed = signed.where("n > 0 AND id IS NOT NULL")
-    reps = classed.groupBy("x", "y", "n").agg(F.min("id").alias("rep"))
-    firsts = classed.join(reps.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi")
-    rows = firsts.select("id", "n", F.explode("bands").alias("bucket")).distinct()
-    shared = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.max("id").alias("top")).where("c.id <> top").select("bucket", "c")
-    rows = written(rows.join(shared, "bucket"), "buckets")
+    reps = classed.groupBy("x", "y", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    rows = reps.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("top")).where("least <> top").select("bucket", "least")
+    rows = tables.written(rows.join(shared, "bucket"), "buckets")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        # a bitmap of fixed size keeps most other texts from being scanned or shuffled; the join is exact
-        bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("name"))))
+        # a bitmap of fixed size keeps most other texts from being scanned or shuffled; a few more sets do no harm
+        bits = sc.broadcast(bitmap(ids.select(F.xxhash64("id").alias("name"))))
         own = bare.where("id IS NOT NULL").withColumn("h", F.xxhash64("id")).mapInArrow(_sets(bits, words), "id long, shingles array<long>")
-        return written(own.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+        return tables.written(own.dropDuplicates(["id"]), "sets")
 
-    def confirmed(pairs: DataFrame, own: DataFrame | None = None) -> DataFrame:
-        own = own or sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    def confirmed(pairs: DataFrame, own: DataFrame) -> DataFrame:
         met = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
         both = F.size(F.array_intersect("sa", "sb"))
-        return met.withColumn("i", both).where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
-
-    tried = written(rows.where("id <> c.id").where(_close("n", "c.n", percent)).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = written(confirmed(tried), "links")
-    component = connected_components(links)
-    for last in (False, True):
-        now = rows.select("bucket", "id", "n").join(component.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
-        now = now.join(mixed, "bucket", "left_semi")
-        if last:
-            own = sets_of(now.select("id").distinct())
-            levels = docs.sparkSession.sparkContext.broadcast(rarity(own, lambda: lambda batch: [batch.column(1).flatten().to_numpy().view(np.uint64)]))
-            posts = own.mapInArrow(_prefixes(levels, percent), "key long, id long, n long, place long").join(now.select("id", "component").distinct(), "id")
-            used = posts.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
-            posts = written(posts.join(used, "key", "left_semi").select("key", "id", "n", "place", "component"), "prefixes")
-            one = posts.select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "place", "component")])
-            pairs = one.join(posts, "key").where("component1 < component").where(F.least(F.col("n") - F.col("place"), F.col("n1") - F.col("place1")) >= F.ceil(percent * (F.col("n") + F.col("n1")) / (100 + percent)))
-        else:
-            degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
-            now = now.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-            hub = now.groupBy("bucket").agg(F.max_by(F.struct(F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("component").alias("component1")), F.struct("degree", -F.col("id"))).alias("h"))
-            pairs, own = now.join(hub, "bucket").select("*", "h.*").where("component1 <> component"), None
-        pairs = pairs.where(_close("n", "n1", percent)).select(F.least("id", "id1").alias("a"), F.greatest("id", "id1").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        found = written(confirmed(pairs, own), "links")
-        tried, links = tried.unionByName(pairs), links.unionByName(found)
-        component = connected_components(links)
-
-    by_class = classed.select("id", "x", "y", "n").join(reps, ["x", "y", "n"]).select("id", "rep")
+        return met.withColumn("i", both).where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).drop("i", "sa", "sb")
+
+    sizes = rows.groupBy("least").agg(F.min(F.when(F.col("id") == F.col("least"), F.col("n"))).alias("m"))
+    stars = rows.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"), "n").distinct().join(sizes.withColumnRenamed("least", "a"), "a").where(_close("n", "m", percent))
+    stars = tables.written(stars.select("a", "b"), "pairs")
+    links = tables.written(confirmed(stars, sets_of(stars.select(F.col("a").alias("id")).union(stars.select("b")))), "links")
+    component = components_in(links, tables)
+
+    now = rows.select("bucket", "id", "n").join(component.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
+    left, seen = tables.counted(now.join(mixed, "bucket", "left_semi").select("id", "component").distinct(), "mixed", rows=F.count("*"))
+    if seen["rows"]:
+        own = sets_of(left.select("id"))
+        levels = sc.broadcast(rarity(own.select("shingles"), lambda: lambda batch: [batch.column(0).flatten().to_numpy().view(np.uint64)]))
+        posts = tables.written(own.mapInArrow(_prefixes(levels, percent), "key long, id long, n long, place long").join(left, "id"), "prefixes")
+        counts = posts.groupBy("key", "component").agg(F.count("*").alias("members"))
+        used = counts.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+        posts = posts.join(used, "key")
+        one = posts.where("component <> main").select("key", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "place", "component")])
+        # two sets outside the key's main component meet from one side only
+        pairs = one.join(posts, "key").where("component1 <> component AND (component = main OR component1 < component)").where(F.least(F.col("n") - F.col("place"), F.col("n1") - F.col("place1")) >= F.ceil(percent * (F.col("n") + F.col("n1")) / (100 + percent)))
+        ends = [F.when(F.col("id") < F.col("id1"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("id", "id1", "a"), ("id1", "id", "b"), ("component", "component1", "p"), ("component1", "component", "q"))]
+        pairs = pairs.where(_close("n", "n1", percent)).select(*ends).distinct().join(stars, ["a", "b"], "left_anti")
+        found, more = tables.counted(confirmed(tables.written(pairs, "pairs"), own).select("p", "q"), "links", rows=F.count("*"))
+        if more["rows"]:  # components that are one after all
+            merged = components_in(found, tables, "p", "q").toDF("component", "lower")
+            component = left.union(component.toDF("id", "component")).distinct().join(merged, "component", "left").select(F.col("id").alias("node"), F.coalesce("lower", "component").alias("component"))
+
+    by_class = classed.select("id", "x", "y", "n").join(reps.select("x", "y", "n", "rep"), ["x", "y", "n"]).select("id", "rep")
     by_class = by_class.join(component, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     by_class = by_class.groupBy("id").agg(F.min("component_id").alias("component_id"))
-    return signed.select("id", F.col("n").alias("n_shingles")).join(by_class, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return signed.select("id", F.col("n").alias("n_shingles")).join(by_class, "id", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
