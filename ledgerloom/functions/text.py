@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 _DATE = r"\b\d{1,2}-(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)-\d{4}\b"
 
 #: Same-day order of event types.
-TYPE_ORDER = ["DEPOSIT", "TRANSFER", "BUY", "SELL", "DIVIDEND", "DISTRIBUTION", "INTEREST", "FEE", "TAX", "WITHDRAWAL", "CORPORATE_ACTION", "OTHER"]
+TYPE_ORDER = ["CORPORATE_ACTION", "DEPOSIT", "TRANSFER", "BUY", "SELL", "DIVIDEND", "DISTRIBUTION", "INTEREST", "TAX", "FEE", "WITHDRAWAL", "OTHER"]
 
 
 def parse_decimal(c: Column, kind: str = "decimal(28,8)") -> Column:
@@ -68,4 +68,5 @@ def bucket_end(d: Column, granularity: str) -> Column:
 
 
 def type_order(c: Column) -> Column:
+    """Place of an event type within its day; types that aren't known come last."""
     return F.coalesce(F.array_position(F.array(*map(F.lit, TYPE_ORDER)), c), F.lit(99)).cast("int")

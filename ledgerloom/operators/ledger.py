@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import type_order
+
 EXTERNAL, INCOME = ("DEPOSIT", "WITHDRAWAL"), ("DIVIDEND", "DISTRIBUTION", "INTEREST")
 
 
@@ -38,7 +43,7 @@ def daily_cash(cash: DataFrame) -> DataFrame:
 
 
 def _by_position():
-    return W.partitionBy("account_id", "security_id").orderBy("trade_date", "type", "event_id")
+    return W.partitionBy("account_id", "security_id").orderBy("trade_date", type_order(F.col("type")), "event_id")
 
 
 def _so_far():
@@ -67,52 +72,72 @@ def fifo_matches(trades: DataFrame) -> DataFrame:
     run = running_units(trades).withColumn("moved", F.when(F.col("type") == "SELL", F.col("sold")).otherwise(F.col("units")).cast("decimal(28,2)")).where("moved > 0")
     side = W.partitionBy("account_id", "security_id", "type").orderBy("trade_date", "event_id").rowsBetween(W.unboundedPreceding, 0)
     cuts = run.withColumn("cut", F.sum("moved").over(side).cast("decimal(28,2)"))
-    at = W.partitionBy("account_id", "security_id").orderBy("cut", "type", "event_id")
-    rest = at.rowsBetween(0, W.unboundedFollowing)
-    lot = F.first(F.when(F.col("type") == "BUY", F.struct("event_id", F.col("gross").alias("g"), F.col("fees").alias("f"), "units")), ignorenulls=True).over(rest)
-    sell = F.first(F.when(F.col("type") == "SELL", F.struct("event_id")), ignorenulls=True).over(rest)
-    each = cuts.select("account_id", "security_id", lot.alias("lot"), sell.alias("sell"), (F.col("cut") - F.coalesce(F.lag("cut").over(at), F.lit(0))).cast("decimal(28,2)").alias("units")).where("units > 0 AND lot IS NOT NULL")
+    # backwards: what ends next is the last one met, and the frame only grows
+    back = W.partitionBy("account_id", "security_id").orderBy(F.desc("cut"), F.desc("type"), F.desc("event_id"))
+    rest = back.rowsBetween(W.unboundedPreceding, 0)
+    lot = F.last(F.when(F.col("type") == "BUY", F.struct("event_id", F.col("gross").alias("g"), F.col("fees").alias("f"), "units")), ignorenulls=True).over(rest)
+    sell = F.last(F.when(F.col("type") == "SELL", F.struct("event_id")), ignorenulls=True).over(rest)
+    each = cuts.select("account_id", "security_id", lot.alias("lot"), sell.alias("sell"), (F.col("cut") - F.coalesce(F.lead("cut").over(back), F.lit(0))).cast("decimal(28,2)").alias("units")).where("units > 0 AND lot IS NOT NULL")
     cost = F.col("units").cast("double") * (F.col("lot.g") + F.col("lot.f")).cast("double") / F.col("lot.units").cast("double")
     return each.select("account_id", "security_id", F.col("lot.event_id").alias("buy_id"), F.col("sell.event_id").alias("sell_id"), "units", cost.alias("cost"))
 
 
+_COSTED = "account_id {0}, security_id {1}, event_id {2}, trade_date date, type string, held double, cost double, allocated double, gain double"
+
+
+def _costed(names: list[str]):
+    """Folds events that come sorted by position: what is carried from one to the next are the position, its units and its cost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        position, held, cost = None, 0.0, 0.0
+        for batch in batches:
+            out: list[tuple[float, float, float, float]] = []
+            for account, security, kind, units, gross, fees, sold in zip(*(batch.column(c).to_pylist() for c in ("account_id", "security_id", "type", "units", "gross", "fees", "sold")), strict=True):
+                if (account, security) != position:
+                    position, held, cost = (account, security), 0.0, 0.0
+                if kind == "SELL":
+                    taken = cost * sold / held if held > 0 else 0.0
+                    held, cost, gain = held - sold, cost - taken, gross - fees - taken
+                else:
+                    taken, held, cost, gain = 0.0, held + units, cost + (gross + fees if kind == "BUY" else 0.0), 0.0
+                if held <= 0:
+                    held, cost = 0.0, 0.0
+                out.append((held, cost, taken, gain))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:5]), *(pa.array([r[k] for r in out], pa.float64()) for k in range(4))], names)
+
+    return run
+
+
 def average_cost(trades: DataFrame) -> DataFrame:
     """Each trade with units and pooled cost after it, allocated cost and gain of sells (fees are cost of buys, taken off sells).
 
-    A position that returns to zero starts a new epoch, so one sorted array is folded for each (account, security,
-    epoch). A sell with nothing held has no cost and its gain is its whole net proceeds.
+    A sell takes its share of the pooled cost, no units no cost; units that come by other events than buys cost nothing.
+    A sell with nothing held has no cost and its gain is its whole net proceeds. Positions are sorted within partitions
+    and folded as they stream by, so no history is held in memory. Figures are doubles: shares of cost don't end.
     """
-    run = running_units(trades)
-    flat = F.coalesce(F.sum((F.col("held") == 0).cast("int")).over(_by_position().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = run.withColumn("epoch", flat).groupBy("account_id", "security_id", "epoch").agg(F.array_sort(F.collect_list(F.struct("trade_date", "type", "event_id", F.col("units").cast("double").alias("units"), F.col("gross").cast("double").alias("gross"), F.col("fees").cast("double").alias("fees"), F.col("sold").cast("double").alias("sold")))).alias("events"))
-
-    def step(acc: Column, e: Column) -> Column:
-        buy = e["type"] == "BUY"
-        taken = F.when(buy | (acc["held"] <= 0), 0.0).otherwise(acc["cost"] * e["sold"] / acc["held"])
-        held = F.when(buy, acc["held"] + e["units"]).otherwise(acc["held"] - e["sold"])
-        cost = F.when(held <= 0, 0.0).when(buy, acc["cost"] + e["gross"] + e["fees"]).otherwise(acc["cost"] - taken)
-        gain = F.when(buy, 0.0).otherwise(e["gross"] - e["fees"] - taken)
-        now = F.struct(e["event_id"].alias("event_id"), e["trade_date"].alias("trade_date"), e["type"].alias("type"), held.alias("held"), cost.alias("cost"), taken.alias("allocated"), gain.alias("gain"))
-        return F.struct(held.alias("held"), cost.alias("cost"), F.concat(acc["out"], F.array(now)).alias("out"))
-
-    out = "array<struct<event_id:string,trade_date:date,type:string,held:double,cost:double,allocated:double,gain:double>>"
-    start = F.struct(F.lit(0.0).alias("held"), F.lit(0.0).alias("cost"), F.array().cast(out).alias("out"))
-    return rows.select("account_id", "security_id", F.inline(F.aggregate("events", start, step)["out"]))
+    kinds = dict(trades.dtypes)
+    run = running_units(trades).select("account_id", "security_id", "event_id", "trade_date", "type", *[F.col(c).cast("double").alias(c) for c in ("units", "gross", "fees", "sold")])
+    ordered = run.repartition("account_id", "security_id").sortWithinPartitions("account_id", "security_id", "trade_date", type_order(F.col("type")), "event_id")
+    names = ["account_id", "security_id", "event_id", "trade_date", "type", "held", "cost", "allocated", "gain"]
+    return ordered.mapInArrow(_costed(names), _COSTED.format(kinds["account_id"], kinds["security_id"], kinds["event_id"]))
 
 
 def asof_prices(points: DataFrame, prices: DataFrame) -> DataFrame:
-    """``points`` (security_id, on, ...) with the last price on or before ``on`` and its quality; never a later one."""
-    w = W.partitionBy("security_id").orderBy("price_date")
-    spans = prices.withColumn("__until", F.lead("price_date").over(w)).withColumnRenamed("security_id", "__s")
-    on = (F.col("security_id") == F.col("__s")) & (F.col("on") >= F.col("price_date")) & (F.col("__until").isNull() | (F.col("on") < F.col("__until")))
-    got = points.join(spans, on, "left")
+    """``points`` (security_id, on, ...) with the last price on or before ``on`` and its quality; never a later one.
+
+    Points and prices are laid into one order of dates, in which the last price is carried forward; nothing is joined by range.
+    """
+    known = prices.where("price IS NOT NULL").select("security_id", F.col("price_date").alias("__d"), F.lit(0).alias("__k"), F.struct("price_date", "price").alias("__q"))
+    asked = points.select("security_id", F.col("on").alias("__d"), F.lit(1).alias("__k"), F.struct(*points.columns).alias("__p"))
+    w = W.partitionBy("security_id").orderBy("__d", "__k").rowsBetween(W.unboundedPreceding, 0)
+    got = known.unionByName(asked, allowMissingColumns=True).withColumn("__q", F.last("__q", ignorenulls=True).over(w)).where("__k = 1").select("__p.*", "__q.*")
     quality = F.when(F.col("price").isNull(), "UNAVAILABLE").when(F.col("price_date") == F.col("on"), "QUOTED").otherwise("CARRIED_FORWARD")
-    return got.withColumn("quality", quality).drop("__s", "__until")
+    return got.withColumn("quality", quality)
 
 
 def portfolio_state(trades: DataFrame, prices: DataFrame, on) -> DataFrame:
     """Units, average cost, realised gain, value and unrealised gain of every account and security on a date."""
-    done = average_cost(trades.where(F.col("trade_date") <= F.lit(on))).groupBy("account_id", "security_id").agg(F.max_by(F.struct("held", "cost"), F.struct("trade_date", "type", "event_id")).alias("s"), F.sum("gain").alias("realised"))
+    done = average_cost(trades.where(F.col("trade_date") <= F.lit(on))).groupBy("account_id", "security_id").agg(F.max_by(F.struct("held", "cost"), F.struct("trade_date", type_order(F.col("type")), "event_id")).alias("s"), F.sum("gain").alias("realised"))
     at = asof_prices(done.select("account_id", "security_id", F.col("s.held").alias("units"), F.col("s.cost").alias("cost"), "realised", F.lit(on).cast("date").alias("on")), prices)
     value = F.when(F.col("units") == 0, 0.0).otherwise(F.col("units") * F.col("price"))
     return at.select("account_id", "security_id", "units", "cost", "realised", "price", F.when(F.col("units") == 0, "NOT_HELD").otherwise(F.col("quality")).alias("quality"), value.alias("value"), (value - F.col("cost")).alias("unrealised"))

@@ -15,9 +15,11 @@ def match_trades(one: DataFrame, other: DataFrame, cents: int = 1, days: int = 5
     whose candidate has several, is AMBIGUOUS; row order decides nothing.
     """
     key = F.round(F.col("gross") * 100).cast("long")
+    span = lambda d, shift: F.floor((F.unix_date(d) + shift) / (2 * days + 1))  # noqa: E731  a window of days meets two spans at most
     left = one.select("account_id", "security_id", "type", F.col("trade_date").alias("d1"), key.alias("c1"), F.col("event_id").alias("id1")).withColumn("c", F.explode(F.sequence(F.col("c1") - cents, F.col("c1") + cents)))
-    right = other.select("account_id", "security_id", "type", F.col("trade_date").alias("d2"), key.alias("c"), F.col("event_id").alias("id2"))
-    pairs = left.join(right, ["account_id", "security_id", "type", "c"]).where(F.abs(F.datediff("d1", "d2")) <= days)
+    left = left.withColumn("span", F.explode(F.array_distinct(F.array(span("d1", -days), span("d1", days)))))
+    right = other.select("account_id", "security_id", "type", F.col("trade_date").alias("d2"), key.alias("c"), F.col("event_id").alias("id2"), span("trade_date", 0).alias("span"))
+    pairs = left.join(right, ["account_id", "security_id", "type", "c", "span"]).where(F.abs(F.datediff("d1", "d2")) <= days)
     pairs = pairs.withColumn("n1", F.count("*").over(W.partitionBy("id1"))).withColumn("n2", F.count("*").over(W.partitionBy("id2")))
     status = F.when(F.max(F.greatest("n1", "n2")) > 1, "AMBIGUOUS").when((F.max("c1") != F.max("c")) | (F.max("d1") != F.max("d2")), "MATCH_WITH_MINOR_DIFFERENCE").otherwise("MATCH")
     by_one = pairs.groupBy("id1").agg(status.alias("status"), F.when(F.max(F.greatest("n1", "n2")) == 1, F.max("id2")).alias("id2"), F.when(F.max(F.greatest("n1", "n2")) == 1, F.max(F.datediff("d2", "d1"))).alias("days"))
@@ -52,7 +54,7 @@ def pair_settlements(trades: DataFrame, transfers: DataFrame) -> DataFrame:
     both = trades.select("account_id", "event_id", "trade_date", F.round(net * 100).cast("long").alias("c"), F.lit(1).alias("side")).unionByName(transfers.select("account_id", "event_id", "trade_date", F.round(F.col("amount") * 100).cast("long").alias("c"), F.lit(2).alias("side")))
     w = W.partitionBy("account_id").orderBy("c")
     both = both.withColumn("block", F.sum(F.coalesce((F.col("c") - F.lag("c").over(w) > 1).cast("int"), F.lit(0))).over(w.rangeBetween(W.unboundedPreceding, 0)))
-    t = both.where("side = 1").select("account_id", "block", F.col("event_id").alias("trade_id"), F.col("trade_date").alias("traded"), F.col("c").alias("c1"))
-    c = both.where("side = 2").select("account_id", "block", F.col("event_id").alias("transfer_id"), F.col("trade_date").alias("settled"), F.col("c").alias("c2"))
-    pairs = t.join(c, ["account_id", "block"]).where("abs(c1 - c2) <= 1 AND settled >= traded").withColumn("days_to_cash", F.datediff("settled", "traded")).drop("c1", "c2")
+    t = both.where("side = 1").select("account_id", "block", F.col("event_id").alias("trade_id"), F.col("trade_date").alias("traded"), F.explode(F.sequence(F.col("c") - 1, F.col("c") + 1)).alias("c"))
+    c = both.where("side = 2").select("account_id", F.col("event_id").alias("transfer_id"), F.col("trade_date").alias("settled"), "c")
+    pairs = t.join(c, ["account_id", "c"]).where("settled >= traded").withColumn("days_to_cash", F.datediff("settled", "traded")).drop("c")
     return greedy_one_to_one(pairs, ["account_id", "block"], "trade_id", "transfer_id", ["traded"], ["days_to_cash"])

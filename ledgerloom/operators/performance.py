@@ -27,8 +27,9 @@ def modified_dietz(periods: DataFrame, flows: DataFrame) -> DataFrame:
     """
     ends = periods.select("account_id", F.col("period_end").alias("date"), F.struct("period_start", "period_end").alias("p"), F.lit(None).cast("double").alias("amount"))
     both = ends.unionByName(flows.select("account_id", "date", F.lit(None).cast("struct<period_start:date,period_end:date>").alias("p"), F.col("amount").cast("double").alias("amount")))
-    w = W.partitionBy("account_id").orderBy("date", F.col("p").isNotNull()).rowsBetween(0, W.unboundedFollowing)
-    own = both.withColumn("p", F.first("p", ignorenulls=True).over(w)).where("amount IS NOT NULL AND p IS NOT NULL AND date > p.period_start")
+    # backwards, so that the frame grows: one that shrinks would be worked out anew for each row
+    w = W.partitionBy("account_id").orderBy(F.desc("date"), F.col("p").isNotNull().desc()).rowsBetween(W.unboundedPreceding, 0)
+    own = both.withColumn("p", F.last("p", ignorenulls=True).over(w)).where("amount IS NOT NULL AND p IS NOT NULL AND date > p.period_start")
     days = F.datediff("p.period_end", "p.period_start")
     weight = F.when(days == 0, 1.0).otherwise(F.datediff("p.period_end", "date") / days)
     sums = own.groupBy("account_id", F.col("p.period_end").alias("period_end")).agg(F.sum("amount").alias("flow"), F.sum(F.col("amount") * weight).alias("weighted"))

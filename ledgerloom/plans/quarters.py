@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import bucket_end
+from ledgerloom.functions.text import bucket_end, type_order
 from ledgerloom.operators.ledger import running_units
 from ledgerloom.operators.performance import modified_dietz
 
@@ -18,7 +18,7 @@ def quarterly_returns(trades: DataFrame, prices: DataFrame) -> DataFrame:
     """
     end = bucket_end(F.col("trade_date"), "quarter")
     held = running_units(trades)
-    last = held.groupBy("account_id", "security_id", end.alias("period_end")).agg(F.max_by("held", F.struct("trade_date", "type", "event_id")).alias("held"))
+    last = held.groupBy("account_id", "security_id", end.alias("period_end")).agg(F.max_by("held", F.struct("trade_date", type_order(F.col("type")), "event_id")).alias("held"))
     span = trades.agg(F.min(end).alias("a"), F.max(end).alias("b")).select(F.explode(F.expr("sequence(trunc(a, 'quarter'), trunc(b, 'quarter'), interval 3 month)")).alias("q")).select(bucket_end(F.col("q"), "quarter").alias("period_end"))
     grid = last.select("account_id", "security_id").distinct().join(F.broadcast(span))  # a calendar, some rows a year
     w = W.partitionBy("account_id", "security_id").orderBy("period_end").rowsBetween(W.unboundedPreceding, 0)
