@@ -213,8 +213,8 @@ def bitmap(names: DataFrame) -> np.ndarray:
 def flagged(df: DataFrame, name: str, bits: np.ndarray, into: str) -> DataFrame:
     """``df`` with ``into``: whether the hash ``name`` may be in the bitmap; by join with its chunks, a table of fixed size."""
     chunk, own = spare(df, "chunk"), spare(df, "bits")
-    rows = [(k, np.packbits(b).tobytes()) for k, b in enumerate(bits.reshape(-1, 1 << CHUNK_BITS))]
-    chunks = df.sparkSession.createDataFrame(rows, f"`{chunk}` long, `{own}` binary")
+    rows = [np.packbits(b).tobytes() for b in bits.reshape(-1, 1 << CHUNK_BITS)]
+    chunks = df.sparkSession.createDataFrame(pa.table({chunk: pa.array(range(len(rows)), pa.int64()), own: pa.array(rows, pa.binary())}))
     top = F.shiftrightunsigned(name, 64 - COUNTER_BITS)
     bit = top.bitwiseAND(F.lit((1 << CHUNK_BITS) - 1))
     byte = F.conv(F.hex(F.substring(F.col(own), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")

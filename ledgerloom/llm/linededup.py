@@ -22,20 +22,22 @@ class Limits(NamedTuple):
     """What bounds the work under one key; other values give the same result.
 
     A token of more words than ``hot`` is joined together with each later one of the prefix. Under a key of over
-    ``crowd`` sets each meets at most ``tries`` others at first. A task reports a key of so many of its sets as ``local``;
+    ``crowd`` sets each meets at most the ``tries`` earliest of those before it at first. A task reports a key of so many of its sets as ``local``;
     the ``most`` heaviest reported keys are dealt to groups of about ``salted`` entries each.
     """
 
-    hot: int = 2_000
-    crowd: int = 256
-    tries: int = 3
+    hot: int = 4_000
+    crowd: int = 512
+    tries: int = 2
     local: int = 64
-    salted: int = 2_048
+    salted: int = 4_096
     most: int = 1 << 17
 
 
 #: Entries of a group, and pairs that are looked at together.
 GROUP, PAIRS = 250_000, 1 << 21
+#: Sets of more tokens have a second word of parities.
+LARGE = 80
 
 _TOKEN_BITS, _LINE_BITS = 44, 12
 _LOW, _KEY = np.uint64((1 << _TOKEN_BITS) - 1), np.uint64((1 << (64 - _LINE_BITS)) - 1)
@@ -76,15 +78,32 @@ def _sets(tokens: np.ndarray, line: np.ndarray, lines: int, levels: np.ndarray)
     return key, line, np.arange(len(key)) - (np.cumsum(size) - size)[line], size
 
 
-def _sums(key: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each line's set, and 64 parities of its tokens: those of two sets differ in at most as many bits as tokens are in one set only."""
+def _sums(key: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each line's set, and parities of its tokens.
+
+    The parities of two sets differ in at most as many bits as tokens are in one set only. Large sets have 128 of them,
+    in two words, others 64, in the first; both words folded make the 64 of any set.
+    """
     if not len(size):
-        return (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.int64),) * 4
     start, own = np.cumsum(size) - size, mix(key & _LOW)
     a = np.add.reduceat(own, start)
     b = np.add.reduceat(mix(own + _SALT), start)
-    parity = np.bitwise_xor.reduceat(np.uint64(1) << (own >> np.uint64(58)), start)
-    return a.view(np.int64), b.view(np.int64), parity.view(np.int64)
+    bit, upper = np.uint64(1) << (own >> np.uint64(58)), ((own >> np.uint64(57)) & np.uint64(1)).astype(bool)
+    upper &= np.repeat(size > LARGE, size)
+    low = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), bit), start)
+    high = np.bitwise_xor.reduceat(np.where(upper, bit, np.uint64(0)), start)
+    return a.view(np.int64), b.view(np.int64), low.view(np.int64), high.view(np.int64)
+
+
+def _apart(n: np.ndarray, low: np.ndarray, high: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the parities of sets differ."""
+    x, y = low[i] ^ low[j], high[i] ^ high[j]
+    bits = np.bitwise_count(x ^ y).astype(np.int64)
+    both = (n[i] > LARGE) & (n[j] > LARGE)
+    if both.any():
+        bits[both] = np.bitwise_count(x[both]).astype(np.int64) + np.bitwise_count(y[both])
+    return bits
 
 
 class _Seen:
@@ -122,13 +141,13 @@ def _prefixes(key: np.ndarray, line: np.ndarray, place: np.ndarray, size: np.nda
     return np.concatenate(at), np.concatenate(keys), len(cold)
 
 
-_LINE_ROW = "line int, name long, other long, n int, parity long, at long, keys array<long>, places array<int>"
+_LINE_ROW = "line int, name long, other long, n int, parity long, parity2 long, at long, keys array<long>, places array<int>"
 
 
 def _scanned(shared: Broadcast, least: int, percent: int, limits: Limits) -> Callable:
     """A row for each line; keys and places are of prefix tokens that another line may share.
 
-    A task's frequent keys follow: rows of line -1 with the key, how many sets had it, and one of them (``other``: its place).
+    A task's frequent keys follow: rows of line -1 with the key, how many sets had it, and the name of one of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,33 +156,33 @@ def _scanned(shared: Broadcast, least: int, percent: int, limits: Limits) -> Cal
             kind, order = batch.column(0).type, batch.column(2).to_numpy(zero_copy_only=False)
             for tokens, line, row, number in _lines(batch.column(1), scan, least):
                 key, line, place, size = _sets(tokens, line, len(row), levels)
-                a, b, parity = _sums(key, size)
+                a, b, parity, parity2 = _sums(key, size)
                 at, keys, cold = _prefixes(key, line, place, size, seen.new(a, b), percent, limits.hot)
                 own = line[at]
                 if len(keys) > cold:
                     of = own[cold:]
-                    frequent.append(np.stack([keys[cold:].view(np.int64), a[of], size[of], parity[of], order[row[of]], place[at[cold:]]], 1))
+                    frequent.append(np.stack([keys[cold:].view(np.int64), a[of]], 1))
                 by = np.argsort(own, kind="stable")
                 ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(row)))]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(a), pa.array(b), pa.array(size.astype(np.int32)), pa.array(parity), pa.array(order[row]),
+                    batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(a), pa.array(b), pa.array(size.astype(np.int32)), pa.array(parity), pa.array(parity2), pa.array(order[row]),
                     pa.ListArray.from_arrays(ends, pa.array(keys[by].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(place[at[by]].astype(np.int32))),
-                ], ["doc", "line", "name", "other", "n", "parity", "at", "keys", "places"])
+                ], ["doc", "line", "name", "other", "n", "parity", "parity2", "at", "keys", "places"])
         if frequent:
             all_of = np.concatenate(frequent)
             keys, first, count = np.unique(all_of[:, 0], return_index=True, return_counts=True)
             keys, row, count = keys[count >= limits.local], all_of[first[count >= limits.local]], count[count >= limits.local]
             ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(len(keys), kind), pa.array(np.full(len(keys), -1, np.int32)), pa.array(row[:, 1]), pa.array(row[:, 5]), pa.array(row[:, 2].astype(np.int32)), pa.array(row[:, 3]), pa.array(row[:, 4]),
+                pa.nulls(len(keys), kind), pa.array(np.full(len(keys), -1, np.int32)), pa.array(row[:, 1]), *(pa.nulls(len(keys), x) for x in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())),
                 pa.ListArray.from_arrays(ends, pa.array(keys)), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32))),
-            ], ["doc", "line", "name", "other", "n", "parity", "at", "keys", "places"])
+            ], ["doc", "line", "name", "other", "n", "parity", "parity2", "at", "keys", "places"])
 
     return run
 
 
-#: What a group gets of an entry: enough of the key and of the set's name (what collides is one pair more to verify), parities, a rough place in the order, size, place; and whether it asks for matches (1) or meets a part of its key's sets (2).
-_ENTRY = [("key", "<u4"), ("high", "<u4"), ("low", "<u2"), ("parity", "<u8"), ("at", "<u2"), ("n", "<u4"), ("place", "<u4"), ("state", "u1")]
+#: What a group gets of an entry: enough of the key and of the set's name (what collides is one pair more to verify), parities, place of its document in the order, size, place in its line, and whether it asks for matches (1) or meets a part of its key's sets (2).
+_ENTRY = [("key", "<u4"), ("high", "<u4"), ("low", "<u2"), ("parity", "<u8"), ("parity2", "<u8"), ("at", "<u8"), ("n", "<u4"), ("place", "<u4"), ("state", "u1")]
 _NAME_BITS = 48
 
 
@@ -172,22 +191,26 @@ def _short(name: np.ndarray) -> np.ndarray:
 
 
 def _blob(parts: list[np.ndarray]) -> bytes:
-    """Columns one after the other, each in the fewest bytes that hold it; the widths stand in front."""
-    out = []
+    """Columns one after the other, each above its least value in the fewest bytes that hold it; least values and widths stand in front."""
+    head, out = [len(parts[0]).to_bytes(4, "little")], []
     for (_, kind), x in zip(_ENTRY, parts, strict=True):
         x = x.astype(kind)
-        width = next(w for w in (1, 2, 4, 8) if w == x.itemsize or not (x >> np.array(8 * w, x.dtype)).any())
-        out.append((width, x.astype(f"<u{width}").tobytes()))
-    return len(parts[0]).to_bytes(4, "little") + bytes(w for w, _ in out) + b"".join(b for _, b in out)
+        least, most = int(x.min()), int(x.max())
+        width = next(w for w in (0, 1, 2, 4, 8) if (most - least) >> 8 * w == 0)
+        head.append(bytes([width]) + least.to_bytes(8, "little"))
+        out.append((x - x.dtype.type(least)).astype(f"<u{width}").tobytes() if width else b"")
+    return b"".join(head + out)
 
 
 def _unpacked(blobs: pa.ChunkedArray) -> list[np.ndarray]:
     columns: list[list[np.ndarray]] = [[] for _ in _ENTRY]
     for blob in blobs:
-        data = memoryview(blob.as_py())
-        n, at = int.from_bytes(data[:4], "little"), 4 + len(_ENTRY)
-        for c, width in zip(columns, data[4:at], strict=True):
-            c.append(np.frombuffer(data, f"<u{width}", n, at).astype(np.int64 if width < 8 else np.uint64))
+        data = blob.as_py()
+        n, at = int.from_bytes(data[:4], "little"), 4 + 9 * len(_ENTRY)
+        for k, c in enumerate(columns):
+            width, least = data[4 + 9 * k], int.from_bytes(data[5 + 9 * k : 13 + 9 * k], "little")
+            own = np.frombuffer(data, f"<u{width}", n, at) if width else np.zeros(n, "u1")
+            c.append(own.astype(np.uint64) + np.uint64(least))
             at += n * width
     return [np.concatenate(c) for c in columns]
 
@@ -205,7 +228,7 @@ def _dealt(groups: int, frequent: Broadcast, asking: Broadcast | None, wanted: B
             n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             key, of = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(n)), n)
             place = batch.column("places").flatten().to_numpy()
-            name, parity, at, size = (batch.column(c).to_numpy() for c in ("name", "parity", "at", "n"))
+            name, parity, parity2, at, size = (batch.column(c).to_numpy() for c in ("name", "parity", "parity2", "at", "n"))
             asks = np.zeros(len(name), bool) if asking is None else marked(asking.value, name)
             if wanted is not None:
                 on = marked(wanted.value, key.view(np.int64))
@@ -226,8 +249,8 @@ def _dealt(groups: int, frequent: Broadcast, asking: Broadcast | None, wanted: B
             order = np.argsort(group, kind="stable")
             i, group = i[order], group[order]
             short = _short(name)[of[i]]
-            rough = np.maximum(at, 0).astype(np.float32).view(np.uint32) >> np.uint32(15)
-            parts = [sub[order] & np.uint64(0xFFFFFFFF), short >> np.uint64(16), short & np.uint64(0xFFFF), parity.view(np.uint64)[of[i]], rough[of[i]], size[of[i]], place[i], asks[of[i]] + 2 * (salt[i] > 1)]
+            place_of = at.view(np.uint64) ^ np.uint64(1 << 63)
+            parts = [sub[order] & np.uint64(0xFFFFFFFF), short >> np.uint64(16), short & np.uint64(0xFFFF), parity.view(np.uint64)[of[i]], parity2.view(np.uint64)[of[i]], place_of[of[i]], size[of[i]], place[i], asks[of[i]] + 2 * (salt[i] > 1)]
             cuts = np.flatnonzero(np.diff(group, prepend=group[:1] + np.uint64(1)) != 0) if len(group) else np.empty(0, np.int64)
             ends = np.append(cuts[1:], len(group))
             blobs = [_blob([p[s:e] for p in parts]) for s, e in zip(cuts, ends, strict=True)]
@@ -236,23 +259,23 @@ def _dealt(groups: int, frequent: Broadcast, asking: Broadcast | None, wanted: B
     return run
 
 
-def _candidates(percent: int, all_of: bool, limits: Limits) -> Callable:
+def _candidates(percent: int, all_of: bool, exact: bool, limits: Limits) -> Callable:
     """Pairs of (short) names under a key that pass the filters; null partners stand for pairs that were left for later.
 
-    Under a key of a crowd, a set meets the earliest few that pass; both ends of what is left out are reported, and
-    all sets of a key that is dealt to several groups.
-    With ``all_of``, sets that ask meet all others.
+    Under a key of a crowd, a set meets the earliest few; the later end of what is left out is reported (both ends where
+    the order isn't ``exact``), and all sets of a key that is dealt to several groups. With ``all_of``, sets that ask
+    meet all others.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        key, high, low, parity, at, n, place, state = _unpacked(table.column("entries"))
-        name = (high << 16) | low
-        order = np.lexsort((place, name, (key << 32) | n))
-        key, name, parity, at, n, place, state = (x[order] for x in (key, name, parity.astype(np.uint64), at, n, place, state))
+        key, high, low, parity, parity2, at, n, place, state = _unpacked(table.column("entries"))
+        name = (high << np.uint64(16)) | low
+        order = np.lexsort((name, (key << np.uint64(32)) | n))
+        key, name, parity, parity2, at, n, place, state = (x[order] for x in (key, name, parity, parity2, at, n, place, state))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        key, name, parity, at, n, place, state = (x[new] for x in (key, name, parity, at, n, place, state))
-        asks = (state & 1).astype(bool)
+        key, name, parity, parity2, at, n, place, state = (x[new] for x in (key, name, parity, parity2, at, n, place, state))
+        n, place, name, asks = n.astype(np.int64), place.astype(np.int64), name.astype(np.int64), (state & np.uint64(1)).astype(bool)
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
         crowd = np.cumsum(first) - 1
@@ -264,7 +287,7 @@ def _candidates(percent: int, all_of: bool, limits: Limits) -> Callable:
         count = np.maximum(until - np.arange(len(key)) - 1, 0)
         total = np.cumsum(count)
         out: list[np.ndarray] = []
-        later: list[np.ndarray] = [] if all_of else [name[state & 2 > 0]]
+        later: list[np.ndarray] = [] if all_of else [name[state & np.uint64(2) > 0]]
         start = 0
         crowded: list[np.ndarray] = []
         while start < len(key):
@@ -273,16 +296,18 @@ def _candidates(percent: int, all_of: bool, limits: Limits) -> Callable:
             i = np.repeat(np.arange(start, end), c)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
             both = n[i] + n[j]
-            on = ((100 + percent) * (n[j] - place[j]) >= percent * both) & (np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64) * (100 + percent) <= (100 - percent) * both)
+            on = (100 + percent) * (n[j] - place[j]) >= percent * both
             if all_of:
                 on &= asks[i] | asks[j]
+            i, j, both = i[on], j[on], both[on]
+            on = _apart(n, parity, parity2, i, j) * (100 + percent) <= (100 - percent) * both
             i, j = i[on], j[on]
             many = np.zeros(len(i), bool) if all_of else members[crowd[i]] > limits.crowd
             out.append(np.stack([name[i[~many]], name[j[~many]]], 1))
             if many.any():
                 crowded.append(np.stack([i[many], j[many]], 1))
             start = end
-            if crowded and (start >= len(key) or crowd[crowded[-1][-1, 0]] != crowd[start] or sum(map(len, crowded)) > 4 * PAIRS):
+            if crowded and (start >= len(key) or sum(map(len, crowded)) > 4 * PAIRS):
                 i, j = np.concatenate(crowded).T
                 crowded = []
                 swap = (at[i] > at[j]) | ((at[i] == at[j]) & (name[i] > name[j]))
@@ -291,9 +316,9 @@ def _candidates(percent: int, all_of: bool, limits: Limits) -> Callable:
                 x, y = x[by], y[by]
                 fresh = np.ones(len(y), bool)
                 fresh[1:] = y[1:] != y[:-1]
-                turn = np.arange(len(y)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-                out.append(np.stack([name[x[turn < limits.tries]], name[y[turn < limits.tries]]], 1))
-                later += [name[x[turn >= limits.tries]], name[y[turn >= limits.tries]]]
+                left = np.arange(len(y)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1] >= limits.tries
+                out.append(np.stack([name[x[~left]], name[y[~left]]], 1))
+                later += [name[y[left]], name[x[left & (at[x] == at[y])]] if exact else name[x[left]]]
         pairs = np.concatenate([*out, np.empty((0, 2), np.int64)])
         pairs.sort(axis=1)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
@@ -305,16 +330,15 @@ def _candidates(percent: int, all_of: bool, limits: Limits) -> Callable:
     return run
 
 
-def _wanted(shared: Broadcast, docs: Broadcast, bits: Broadcast, least: int) -> Callable:
-    """Rows (short name, name, other, tokens) of lines whose name may be among the wanted, of documents that may hold their first ones."""
+def _wanted(shared: Broadcast, bits: Broadcast, least: int) -> Callable:
+    """Rows (short name, name, other, tokens) of lines whose name may be among the wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, marks, scan, seen = shared.value, bits.value, WordScan(), _Seen()
         for batch in batches:
-            texts = batch.column(1).filter(pa.array(marked(docs.value, batch.column(0).to_numpy())))
-            for tokens, line, row, _ in _lines(texts, scan, least):
+            for tokens, line, row, _ in _lines(batch.column(0), scan, least):
                 key, line, _, size = _sets(tokens, line, len(row), levels)
-                a, b, _ = _sums(key, size)
+                a, b, *_ = _sums(key, size)
                 on = marked(marks, a)
                 on[on] = seen.new(a[on], b[on])
                 offsets = np.concatenate([[0], np.cumsum(size[on])]).astype(np.int32)
@@ -343,8 +367,8 @@ def _keys_of(bits: Broadcast) -> Callable:
     return run
 
 
-def _cuts(bare: DataFrame, least_words: int, percent: int, limits: Limits, tables: Scratch) -> DataFrame:
-    """(row, lines): the numbers of the lines that are cut from each (doc, text, at), by hash of the row."""
+def _cuts(bare: DataFrame, least_words: int, percent: int, limits: Limits, exact: bool, tables: Scratch) -> DataFrame:
+    """(row, lines): the numbers of the lines that are cut from each (doc, text, at), by hash of the row; ``exact``: at orders documents but for ties."""
     spark = bare.sparkSession
     sc = spark.sparkContext
 
@@ -364,16 +388,16 @@ def _cuts(bare: DataFrame, least_words: int, percent: int, limits: Limits, table
     firsts = tables.written(firsts, "firsts")
 
     def met(asking: Broadcast | None = None, wanted: Broadcast | None = None) -> DataFrame:
-        dealt = lines.where(F.size("keys") > 0).select("name", "n", "parity", "at", "keys", "places").mapInArrow(_dealt(groups, frequent, asking, wanted), "group long, entries binary")
-        return dealt.groupBy("group").applyInArrow(_candidates(percent, wanted is not None, limits), "name long, name2 long")
+        dealt = lines.where(F.size("keys") > 0).select("name", "n", "parity", "parity2", "at", "keys", "places").mapInArrow(_dealt(groups, frequent, asking, wanted), "group long, entries binary")
+        return dealt.groupBy("group").applyInArrow(_candidates(percent, wanted is not None, exact, limits), "name long, name2 long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(name, other) of sets of which an earlier one is a match."""
         names = pairs.select("name").union(pairs.select("name2")).distinct()
         marks = sc.broadcast(bitmap(names.select(F.shiftleft("name", 64 - _NAME_BITS).alias("name"))))
         own = tables.written(firsts.select("name", "other", "first").mapInArrow(_kept_by_name(marks), firsts.select("name", "other", "first").schema), "wanted")
-        at = sc.broadcast(bitmap(own.select(F.col("first.doc.row").alias("name"))))
-        sets = bare.select("doc.row", "text").mapInArrow(_wanted(levels, at, marks, least_words), "short long, name long, other long, tokens array<long>")
+        texts = flagged(bare.select("doc.row", "text"), "row", bitmap(own.select(F.col("first.doc.row").alias("name"))), "may").where("may").select("text")
+        sets = texts.mapInArrow(_wanted(levels, marks, least_words), "short long, name long, other long, tokens array<long>")
         sets = tables.written(sets.dropDuplicates(["name", "other"]).join(own, ["name", "other"]), "sets")
         one = sets.select(F.col("short").alias("name"), F.struct("name", "other").alias("set"), "tokens", "first")
         both = pairs.join(one, "name").join(one.select(F.col("name").alias("name2"), F.col("set").alias("set2"), F.col("tokens").alias("tokens2"), F.col("first").alias("first2")), "name2")
@@ -422,19 +446,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     row = F.xxhash64(id_col, text_col)
     whole = isinstance(docs.schema[id_col].dataType, IntegralType)
-    place = F.coalesce(F.col(id_col).cast("long") if whole else F.xxhash64(id_col), F.lit(0))
+    place = F.coalesce(F.col(id_col).cast("long") if whole else F.xxhash64(id_col), F.lit(-(2**63)))
     bare = docs.select(F.struct(F.col(id_col).alias("id"), row.alias("row")).alias("doc"), F.col(text_col).cast("string").alias("text"), place.alias("at"))
     with Scratch(docs.sparkSession) as tables:
-        cut = _cuts(bare, least_words, percent, limits, tables)
+        cut = _cuts(bare, least_words, percent, limits, whole, tables)
 
     own = docs.drop("n_lines", "removed_lines")
     key, gone, may = spare(own, "row"), spare(own, "gone"), spare(own, "may")
     touched = flagged(own.withColumn(key, row), key, bitmap(cut.select(F.col("row").alias("name"))), may)
+    text = F.col(text_col).cast("string")
+    less = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    joined = touched.where(may).join(cut.toDF(key, gone), key, "left")
+    added = {"n_lines": F.coalesce((F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("int"), F.lit(0))}
     none = F.array().cast("array<int>")
-    joined = touched.where(may).join(cut.toDF(key, gone), key, "left").withColumn(gone, F.coalesce(gone, none))
-    own = joined.unionByName(touched.where(~F.col(may)).withColumn(gone, none))
-    split = F.split(F.col(text_col).cast("string"), "\n")
-    numbers = F.array_except(F.transform(split, lambda x, i: i), F.col(gone))
-    text = F.when(F.size(gone) == 0, F.col(text_col).cast("string")).otherwise(F.array_join(F.transform(numbers, lambda i: F.element_at(split, i + 1)), "\n"))
-    counted = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split))
-    return own.withColumns({"n_lines": counted, "removed_lines": F.col(gone), text_col: text}).drop(gone, key, may)
+    with_cuts = joined.withColumns(added | {"removed_lines": F.coalesce(gone, none), text_col: less})
+    whole_ones = touched.where(~F.col(may)).withColumns(added | {"removed_lines": none, text_col: text})
+    return whole_ones.unionByName(with_cuts.drop(gone)).drop(key, may)
