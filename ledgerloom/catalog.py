@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as t
-from ledgerloom.operators import analytics, ledger, matching, performance, quality
+from ledgerloom.operators import analytics, history, ledger, matching, performance, quality
 from ledgerloom.plans.quarters import quarterly_returns
 from ledgerloom.sources import testdata as td
 from ledgerloom.streaming import staging
@@ -95,7 +95,7 @@ def average_cost(spark, sf):
     return _d(ledger.average_cost(td.trades(spark, sf)).select("account_id", "security_id", "event_id", "held", "cost", "allocated", "gain"), 4, 0.0000123)
 
 
-_PRICES = "pr AS (SELECT security_id, last_day(trade_date) AS price_date, round(arg_max(gross, (trade_date, event_id))::DOUBLE / arg_max(units, (trade_date, event_id))::DOUBLE, 6) AS price FROM tr GROUP BY ALL)"
+_PRICES = "pr AS (SELECT security_id, last_day(trade_date) AS price_date, round(arg_max(gross, (trade_date, event_id))::DOUBLE / arg_max(units, (trade_date, event_id))::DOUBLE + 0.00000001, 6) AS price FROM tr GROUP BY ALL)"
 
 
 @query(f", {_PRICES}, p AS (SELECT event_id, security_id, trade_date AS \"on\" FROM tr) SELECT p.event_id, p.security_id, pr.price_date, pr.price, CASE WHEN pr.price IS NULL THEN 'UNAVAILABLE' WHEN pr.price_date = \"on\" THEN 'QUOTED' ELSE 'CARRIED_FORWARD' END AS quality FROM p ASOF LEFT JOIN pr ON p.security_id = pr.security_id AND p.\"on\" >= pr.price_date")
@@ -200,7 +200,10 @@ def scan_pii(spark, sf):
     return quality.scan_pii(td.table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query()
+_DATE = r"\b\d{1,2}-(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)-\d{4}\b"
+
+
+@query(rf"SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '(?s){_DATE}|\d{{4,}}|.'), lambda x: CASE WHEN regexp_full_match(x, '\d{{4,}}') THEN repeat('#', length(x)) ELSE x END), '')) AS redacted_md5 FROM documents WHERE regexp_matches(regexp_replace(text, '{_DATE}', '', 'g'), '\d{{4,}}')")
 def redact_documents(spark, sf):
     return quality.redacted(td.table(spark, sf, "documents"), "doc_id", "text")
 
@@ -226,11 +229,24 @@ def match_trades(spark, sf):
     return matching.match_trades(*_two_sources(spark, sf))
 
 
-@query()
+@query(f""", tt AS (SELECT account_id, event_id, trade_date, round(100 * CASE WHEN type = 'SELL' THEN gross - fees ELSE -(gross + fees) END)::BIGINT AS c, 1 AS side FROM tr),
+    o AS (SELECT account_id, 'x' || event_id AS event_id, (trade_date + CASE z WHEN 1 THEN 2 WHEN 2 THEN 9 ELSE 0 END)::DATE AS trade_date,
+          round(100 * CASE WHEN type = 'SELL' THEN g - fees ELSE -(g + fees) END)::BIGINT AS c, 2 AS side FROM (SELECT *, gross + CASE WHEN z = 3 THEN 0.01 ELSE 0 END AS g FROM ({_TWO}) WHERE z <> 0)),
+    bo AS (SELECT * FROM tt UNION ALL SELECT * FROM o), sp AS (SELECT *, c - lag(c) OVER (PARTITION BY account_id ORDER BY c) > 1 AS gap FROM (SELECT DISTINCT account_id, c FROM bo)),
+    bl AS (SELECT account_id, c, coalesce(sum(gap::INTEGER) OVER (PARTITION BY account_id ORDER BY c), 0) AS block FROM sp),
+    lf AS (SELECT account_id, event_id, trade_date, c, block, row_number() OVER (PARTITION BY account_id, block ORDER BY trade_date, event_id) AS k FROM tt JOIN bl USING (account_id, c)),
+    cd AS MATERIALIZED (SELECT l.account_id, l.block, l.k, l.event_id AS trade_id, l.trade_date AS traded, o.event_id AS transfer_id, o.trade_date AS settled, o.trade_date - l.trade_date AS days
+           FROM lf l JOIN o ON o.account_id = l.account_id AND o.c IN (l.c - 1, l.c, l.c + 1) AND o.trade_date >= l.trade_date),
+    st AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY account_id, block ORDER BY k) AS n FROM cd),
+    g(account_id, block, n, used, k, best) AS (SELECT DISTINCT account_id, block, 0::BIGINT, []::VARCHAR[], 0::BIGINT, NULL::VARCHAR FROM st
+        UNION ALL SELECT account_id, block, n, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END, k, best FROM (
+            SELECT st.account_id, st.block, st.n, g.used, st.k, arg_min(st.transfer_id, (st.days, st.transfer_id)) FILTER (NOT list_contains(g.used, st.transfer_id)) AS best
+            FROM g JOIN st ON st.account_id = g.account_id AND st.block = g.block AND st.n = g.n + 1 GROUP BY ALL))
+    SELECT cd.account_id, trade_id, traded, transfer_id, settled, days::INTEGER AS days_to_cash FROM g JOIN cd ON cd.account_id = g.account_id AND cd.block = g.block AND cd.k = g.k AND cd.transfer_id = g.best""")
 def settlement_pairs(spark, sf):
     one, other = _two_sources(spark, sf)
     net = F.when(F.col("type") == "SELL", F.col("gross") - F.col("fees")).otherwise(-(F.col("gross") + F.col("fees")))
-    return matching.pair_settlements(one, other.select("account_id", "event_id", "trade_date", net.alias("amount")))
+    return matching.pair_settlements(one, other.select("account_id", "event_id", "trade_date", net.alias("amount"))).drop("block")
 
 
 @query(f""", o AS (SELECT event_id, concat_ws('|', account_id, security_id, trade_date) AS slot FROM tr WHERE account_id % 3 <> 0), n AS (SELECT CASE WHEN units > 40 THEN 'n' ELSE '' END || event_id AS event_id, concat_ws('|', account_id, security_id, trade_date) AS slot FROM tr)
@@ -246,40 +262,81 @@ def _returns(spark, sf):
     return quarterly_returns(tr, td.prices(tr))
 
 
-@query()
+_QE = "last_day(date_trunc('quarter', {0}) + INTERVAL 2 MONTH)"
+_RETURNS = f"""{_UNITS}, {_PRICES}, la AS (SELECT account_id, security_id, {_QE.format("trade_date")} AS period_end, arg_max(held, (trade_date, type, event_id)) AS held FROM h GROUP BY ALL),
+    qs AS (SELECT last_day(q + INTERVAL 2 MONTH) AS period_end, (q - INTERVAL 1 DAY)::DATE AS period_start FROM (SELECT unnest(generate_series(date_trunc('quarter', min(trade_date)), date_trunc('quarter', max(trade_date)), INTERVAL 3 MONTH)) AS q FROM tr)),
+    un AS (SELECT g.account_id, g.security_id, qs.period_end, coalesce(last_value(la.held IGNORE NULLS) OVER (PARTITION BY g.account_id, g.security_id ORDER BY qs.period_end), 0) AS held
+           FROM (SELECT DISTINCT account_id, security_id FROM la) g CROSS JOIN qs LEFT JOIN la ON la.account_id = g.account_id AND la.security_id = g.security_id AND la.period_end = qs.period_end),
+    pq AS (SELECT s.security_id, qs.period_end, last_value(p.price IGNORE NULLS) OVER (PARTITION BY s.security_id ORDER BY qs.period_end) AS price FROM (SELECT DISTINCT security_id FROM pr) s CROSS JOIN qs
+           LEFT JOIN (SELECT security_id, {_QE.format("price_date")} AS period_end, arg_max(price, price_date) AS price FROM pr GROUP BY ALL) p ON p.security_id = s.security_id AND p.period_end = qs.period_end),
+    va AS (SELECT account_id, un.period_end, sum(CASE WHEN held <> 0 THEN held::DOUBLE * price ELSE 0 END) AS end_value FROM un JOIN pq ON pq.security_id = un.security_id AND pq.period_end = un.period_end GROUP BY ALL),
+    fl AS (SELECT account_id, {_QE.format("trade_date")} AS period_end, trade_date, CASE WHEN type = 'BUY' THEN gross::DOUBLE ELSE -gross::DOUBLE * sold::DOUBLE / units::DOUBLE END AS amount FROM h),
+    fs AS (SELECT account_id, fl.period_end, sum(amount) AS flow, sum(amount * (fl.period_end - trade_date) / (fl.period_end - period_start)) AS weighted FROM fl JOIN qs ON qs.period_end = fl.period_end GROUP BY ALL),
+    qr AS (SELECT account_id, period_end, period_start, begin_value, end_value, flow, CASE WHEN begin_value + weighted > 0 THEN (end_value - begin_value - flow) / (begin_value + weighted) END AS r
+           FROM (SELECT va.account_id, va.period_end, period_start, coalesce(lag(end_value) OVER (PARTITION BY va.account_id ORDER BY va.period_end), 0) AS begin_value, end_value, coalesce(flow, 0) AS flow, coalesce(weighted, 0) AS weighted
+                 FROM va JOIN qs ON qs.period_end = va.period_end LEFT JOIN fs ON fs.account_id = va.account_id AND fs.period_end = va.period_end)),
+    ix AS (SELECT *, 100 * product(coalesce(1 + r, 1)) OVER w AS index FROM qr WINDOW w AS (PARTITION BY account_id ORDER BY period_end)),
+    hi AS (SELECT *, greatest(100, max(index) OVER (PARTITION BY account_id ORDER BY period_end)) AS high FROM ix)"""
+
+
+@query(f", {_RETURNS} SELECT account_id, period_end, period_start, round(0.0000123 + begin_value, 3) AS begin_value, round(0.0000123 + end_value, 3) AS end_value, round(0.0000123 + flow, 3) AS flow, round(r, 6) AS r FROM qr")
 def quarterly_returns_query(spark, sf):
-    return _d(_returns(spark, sf))
+    money = lambda c: F.round(F.col(c) + 0.0000123, 3).alias(c)
+    return _returns(spark, sf).select("account_id", "period_end", "period_start", money("begin_value"), money("end_value"), money("flow"), F.round("r", 6).alias("r"))
 
 
-@query()
+@query(f", {_RETURNS} SELECT account_id, period_end, round(0.0000123 + index, 4) AS index, round(0.0000123 + high, 4) AS high, round(0.0000123 + index / high - 1, 4) AS drawdown FROM hi")
 def return_index(spark, sf):
-    return _d(performance.return_index(_returns(spark, sf)).select("account_id", "period_end", "index", "high", "drawdown"))
+    return _d(performance.return_index(_returns(spark, sf)).select("account_id", "period_end", "index", "high", "drawdown"), 4, 0.0000123)
+
 
+_EPISODES = f"""{_RETURNS}, ep0 AS (SELECT account_id, period_end, index, max(index) OVER (PARTITION BY account_id ORDER BY period_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ix),
+    ep1 AS (SELECT *, top IS NULL OR index >= top AS touch FROM ep0), ep2 AS (SELECT *, sum(touch::INTEGER) OVER (PARTITION BY account_id ORDER BY period_end) AS segment FROM ep1),
+    ep3 AS (SELECT account_id, segment, min(period_end) FILTER (touch) AS touched, min(index) FILTER (touch) AS level, min(top) FILTER (touch) AS top, min(index) FILTER (NOT touch) AS low, arg_min(period_end, (index, period_end)) FILTER (NOT touch) AS trough FROM ep2 GROUP BY ALL),
+    ep4 AS (SELECT *, coalesce(1 - low / level >= 0.05, false) AS deep FROM ep3),
+    ep5 AS (SELECT *, top IS NULL OR level > top OR coalesce(lag(deep) OVER (PARTITION BY account_id ORDER BY segment), false) AS anchor, lead(touched) OVER (PARTITION BY account_id ORDER BY segment) AS recovery FROM ep4),
+    ep AS (SELECT *, last_value(CASE WHEN anchor THEN touched END IGNORE NULLS) OVER (PARTITION BY account_id ORDER BY segment) AS peak FROM ep5)"""
 
-@query()
+
+@query(f", {_EPISODES} SELECT account_id, peak, trough, recovery, round(0.0000123 + low / level - 1, 4) AS depth, (recovery - trough)::INTEGER AS recovery_days FROM ep WHERE deep")
 def drawdown_episodes(spark, sf):
-    return _d(performance.drawdown_episodes(performance.return_index(_returns(spark, sf))))
+    return _d(performance.drawdown_episodes(performance.return_index(_returns(spark, sf))), 4, 0.0000123)
+
+
+@query(f", {_EPISODES} SELECT account_id, round(0.0000123 + min(depth), 4) AS worst, round(0.0000123 + avg(depth), 4) AS average, count(*) AS episodes, max(recovery - peak)::INTEGER AS longest_days, min(recovery - trough)::INTEGER AS fastest_days FROM (SELECT *, low / level - 1 AS depth FROM ep WHERE deep) GROUP BY ALL")
+def drawdown_analytics(spark, sf):
+    got = history.drawdown_analytics(performance.drawdown_episodes(performance.return_index(_returns(spark, sf))))
+    return _d(got, 4, 0.0000123)
 
 
-@query()
+@query(f""", {_RETURNS}, a AS (SELECT account_id, count(r) AS observations, stddev_samp(r) AS s, stddev_samp(r) FILTER (r < 0) AS d, product(1 + r) AS p FROM qr WHERE r IS NOT NULL GROUP BY ALL),
+    b AS (SELECT *, CASE WHEN observations >= 6 AND p > 0 THEN pow(p, 4.0 / observations) - 1 END AS annualised FROM a)
+    SELECT account_id, observations, round(0.0000123 + CASE WHEN observations >= 6 THEN 2 * s END, 4) AS volatility, round(0.0000123 + annualised, 4) AS annualised, round(0.0000123 + annualised / nullif(2 * s, 0), 4) AS sharpe, round(0.0000123 + annualised / nullif(2 * d, 0), 4) AS sortino,
+           CASE WHEN observations >= 24 THEN 'HIGH' WHEN observations >= 12 THEN 'MEDIUM' WHEN observations >= 6 THEN 'LOW' ELSE 'NONE' END AS confidence FROM b""")
 def risk_summary(spark, sf):
-    return _d(performance.risk_summary(_returns(spark, sf)))
+    return _d(performance.risk_summary(_returns(spark, sf)), 4, 0.0000123)
 
 
-@query()
+@query(f", {_RETURNS} SELECT account_id, period_end, round(0.0000123 + 2 * s, 4) AS volatility FROM (SELECT account_id, period_end, stddev_samp(r) OVER w AS s, count(*) OVER w AS n FROM qr WHERE r IS NOT NULL WINDOW w AS (PARTITION BY account_id ORDER BY period_end ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)) WHERE n = 8")
 def rolling_volatility(spark, sf):
-    return _d(performance.rolling_volatility(_returns(spark, sf)))
+    return _d(performance.rolling_volatility(_returns(spark, sf)), 4, 0.0000123)
 
 
-@query()
+@query(f", {_RETURNS} SELECT account_id, arg_max(period_end, (r, -(period_end - DATE '1970-01-01'))) AS best, round(0.0000123 + max(r), 4) AS best_return, arg_min(period_end, (r, period_end)) AS worst, round(0.0000123 + min(r), 4) AS worst_return FROM qr WHERE r IS NOT NULL GROUP BY ALL")
 def best_worst(spark, sf):
-    return _d(analytics.best_worst(_returns(spark, sf)))
+    return _d(analytics.best_worst(_returns(spark, sf)), 4, 0.0000123)
 
 
-@query()
+@query(""", f0 AS (SELECT account_id, trade_date, sum(-amount)::DOUBLE AS amount FROM ca WHERE type IN ('DEPOSIT', 'WITHDRAWAL') GROUP BY ALL),
+    f AS MATERIALIZED (SELECT account_id, amount, (trade_date - min(trade_date) OVER (PARTITION BY account_id)) / 365.0::DOUBLE AS years FROM f0),
+    w AS MATERIALIZED (SELECT account_id, min(amount) < 0 AND max(amount) > 0 AND sign(sum(amount * pow(0.0001, -years))) * sign(sum(amount * pow(11.0, -years))) < 0 AS ok, sign(sum(amount * pow(0.0001, -years))) AS s FROM f GROUP BY ALL),
+    b(account_id, s, low, high, k, answer) AS (SELECT account_id, s, -0.9999::DOUBLE, 10.0::DOUBLE, 0, NULL::DOUBLE FROM w WHERE ok
+        UNION ALL SELECT account_id, s, CASE WHEN sign(v) = s THEN mid ELSE low END, CASE WHEN sign(v) = s THEN high ELSE mid END, k + 1, CASE WHEN abs(v) < 1e-9 OR k = 199 THEN mid END FROM (
+            SELECT b.account_id, b.s, b.low, b.high, b.k, (b.low + b.high) / 2 AS mid, sum(f.amount * pow(1 + (b.low + b.high) / 2, -f.years)) AS v FROM b JOIN f ON f.account_id = b.account_id WHERE b.answer IS NULL AND b.k < 200 GROUP BY ALL))
+    SELECT w.account_id, round(answer, 6) AS xirr FROM w LEFT JOIN (SELECT * FROM b WHERE answer IS NOT NULL) b ON b.account_id = w.account_id""")
 def xirr(spark, sf):
     cash = td.cash_events(spark, sf).where("type IN ('DEPOSIT', 'WITHDRAWAL')").select("account_id", F.col("trade_date").alias("date"), (-F.col("amount")).alias("amount"))
-    return performance.xirr(cash, "account_id")
+    return _d(performance.xirr(cash, "account_id"))
 
 
 @query(r"SELECT user_id AS account_id, event_id, value AS parsed, left(sha256('EVENT|' || user_id || '|' || event_type || '|'), 16) AS id FROM events")

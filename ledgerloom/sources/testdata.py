@@ -41,4 +41,5 @@ def cash_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prices(trades: DataFrame) -> DataFrame:
     """Month-end prices of the last trade of each security and month: (security_id, price_date, price)."""
     last = trades.groupBy("security_id", F.last_day("trade_date").alias("price_date")).agg(F.max_by(F.struct("gross", "units"), F.struct("trade_date", "event_id")).alias("t"))
-    return last.select("security_id", "price_date", F.round(F.col("t.gross").cast("double") / F.col("t.units").cast("double"), 6).alias("price"))
+    # halves of the last place, which rounding errors would settle either way, go up
+    return last.select("security_id", "price_date", F.round(F.col("t.gross").cast("double") / F.col("t.units").cast("double") + 1e-8, 6).alias("price"))
