@@ -194,7 +194,7 @@ def rarity(rows: DataFrame, tokens_of: Callable[[], Callable[[pa.RecordBatch], I
 
 
 def bitmap(names: DataFrame) -> np.ndarray:
-    """Bitmap of fixed size over the leading bits of ``name`` (a hash); a bit too many costs time only."""
+    """Bitmap (packed, of fixed size) over the leading bits of ``name`` (a hash); a bit too many costs time only."""
     per = 1 << CHUNK_BITS
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
@@ -204,16 +204,16 @@ def bitmap(names: DataFrame) -> np.ndarray:
 
     top = F.shiftrightunsigned("name", 64 - COUNTER_BITS)
     dealt = names.select(F.shiftright(top, CHUNK_BITS).alias("chunk"), top.bitwiseAND(F.lit(per - 1)).alias("bit")).distinct()
-    out = np.zeros((1 << COUNTER_BITS) // per * per, bool).reshape(-1, per)
-    for r in dealt.groupBy("chunk").applyInPandas(gather, "chunk long, bits binary").collect():
-        out[r["chunk"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    out = np.zeros(((1 << COUNTER_BITS) // per, per // 8), np.uint8)
+    for r in dealt.groupBy("chunk").applyInPandas(gather, "chunk long, bits binary").collect():  # as many rows as chunks at most
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 
 
 def flagged(df: DataFrame, name: str, bits: np.ndarray, into: str) -> DataFrame:
     """``df`` with ``into``: whether the hash ``name`` may be in the bitmap; by join with its chunks, a table of fixed size."""
     chunk, own = spare(df, "chunk"), spare(df, "bits")
-    rows = [np.packbits(b).tobytes() for b in bits.reshape(-1, 1 << CHUNK_BITS)]
+    rows = [b.tobytes() for b in bits.reshape(-1, (1 << CHUNK_BITS) // 8)]
     chunks = df.sparkSession.createDataFrame(pa.table({chunk: pa.array(range(len(rows)), pa.int64()), own: pa.array(rows, pa.binary())}))
     top = F.shiftrightunsigned(name, 64 - COUNTER_BITS)
     bit = top.bitwiseAND(F.lit((1 << CHUNK_BITS) - 1))
@@ -223,7 +223,8 @@ def flagged(df: DataFrame, name: str, bits: np.ndarray, into: str) -> DataFrame:
 
 
 def marked(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
-    return bits[(names.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+    at = (names.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 != 0
 
 
 def components_in(edges: DataFrame, tables: Scratch, a: str = "a", b: str = "b") -> DataFrame:
