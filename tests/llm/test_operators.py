@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, licences, linededup, media, neardup, packing, rules, topk, toxicity, urlfilter
+from ledgerloom.llm.common import connected_components
 
 DOCS = "doc_id long, text string, score double, id string"  # the last two clash with names used inside
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -181,6 +182,55 @@ def test_urls(spark):
     assert urlfilter.judge_urls(pages.limit(0), known, links).count() == 0
 
 
+def test_links_of_pages(spark):
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    tags = [
+        ('<link rel="canonical" href="{}">', True), ("<LINK href='{}' rel='nofollow Canonical'/>", True), ("<link rel=canonical href={}>", True), ('<meta http-equiv="refresh" content="0; url={}">', True), ("<meta content='5;URL={}' http-equiv=Refresh>", True),
+        ('<!-- <link rel="canonical" href="{}"> -->', False), ('<link rel="stylesheet" href="{}">', False), ('<link rel="canonicalish" href="{}">', False), ('<meta name="x" content="0; url={}">', False), ('<a rel="canonical" href="{}">', False),
+    ]
+    targets = ["http://x.org/a?b=1&amp;c=2", "//y.org/p", "/root/./z/../w", "2", "../up/3.html", "?q=4", "./", "..", "https://z.net", "d/e/../f?x=../y#frag", "#only", "mailto:a@b.c", ""]
+    bases = ["http://Site.com/dir/page.html?old=1#f", "https://site.com", "http://site.com/a/b/"]
+    rng, rows, want = random.Random(3), [], []
+
+    class Tags(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out = []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            if tag == "link" and "canonical" in (a.get("rel") or "").lower().split():
+                self.out.append(a.get("href") or "")
+            if tag == "meta" and (a.get("http-equiv") or "").lower() == "refresh":
+                self.out.append((a.get("content") or "").partition("=")[2])
+
+    for i in range(120):
+        html = "<html><head>" + " ".join(rng.choice(tags)[0].format(rng.choice(targets)) for _ in range(rng.randint(0, 4))) + "</head>canonical</html>"
+        base = rng.choice(bases)
+        p = Tags()
+        p.feed(html.replace("href=>", "href=''>"))
+        rows.append((i, base, html))
+        want += [(base, urljoin(base if base.count("/") > 2 else f"{base}/", x).partition("#")[0]) for x in p.out if x and not x.startswith(("#", "mailto:"))]
+    pages = spark.createDataFrame([*rows, (500, None, rows[0][2]), (501, "", "<link rel=canonical href=/x>"), (502, bases[0], None), (503, bases[0], "")], "page_id long, url string, html string")
+    got = [(r.source, r.target.partition("#")[0]) for r in urlfilter.html_links(pages).collect()]
+    assert sorted(got) == sorted(want) and len(set(want)) > 20
+
+
+def test_components_of_chains_and_hubs(spark):
+    chain = [(i, i + 1) for i in range(0, 300)]
+    hub = [(1000, i) for i in range(1001, 1400)] + [(1399, 2000), (999, 1200)]
+    odd = [(None, 5), (7, None), (5000, 5000), (3, 2), (2, 3), (6001, 6000)]
+    rng = random.Random(1)
+    edges = chain + hub + odd
+    rng.shuffle(edges)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = dict.fromkeys(range(301), 0) | dict.fromkeys([999, *range(1000, 1400), 2000], 999) | {6001: 6000, 6000: 6000}
+    assert got == want
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_brute_force(spark, docs, empty):
     rng = random.Random(6)
     rows = []
