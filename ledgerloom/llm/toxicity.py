@@ -5,18 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WordScan, chain, mix, written
+from ledgerloom.llm.common import Scratch, WordScan, chain, counter_of, level_of, mix, rarity
 
-#: Labelled rows that a fit uses at most (those with the smallest hashes of their ids), and those of one shard.
-MAX_TRAIN_ROWS, SHARD_ROWS = 24_000, 12_000
-#: Weights that may be broadcast, and the bits of a feature's hash.
+#: Labelled rows that a fit uses at most (those with the smallest hashes of their ids).
+MAX_TRAIN_ROWS = 24_000
+#: Weights that may be broadcast (the penalty doubles until they fit), and the bits of a feature's hash.
 MAX_WEIGHTS, BITS = 100_000, 40
 ALPHA, BETA, LAMBDA1, LAMBDA2, EPOCHS, LEAST_DOCS = 1.0, 1.0, 8.0, 0.0, 8, 3
+#: Score at which a document counts as toxic, and what recall weighs against precision where that cut is set.
+CUT, RECALL_WEIGHT = 0.7, 0.5
 
 _GAPS = bytes(c for c in range(128) if not chr(c).isalnum())
 _DROP = np.uint64(64 - BITS)
@@ -46,7 +48,21 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(f[new].view(np.int64)))], ["id", "y", "features"])
 
 
-def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+def _frequent(shared: Broadcast, least: int):
+    """Rows with only those features that may occur in ``least`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
+        for batch in batches:
+            f, n = batch.column(2).flatten().to_numpy(), batch.column(2).value_lengths().to_numpy()
+            on = levels[counter_of(f.view(np.uint64) << _DROP)] >= level_of(least)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(n)), n)[on], minlength=len(n)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(f[on]))], ["id", "y", "features"])
+
+    return run
+
+
+def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, l1: float = LAMBDA1) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal over binary features: (features, weights other than 0, bias), each coordinate with its own rate."""
     names, counts = np.unique(np.concatenate([*rows, np.empty(0, np.int64)]), return_counts=True)
     names = names[counts >= LEAST_DOCS]
@@ -54,51 +70,85 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> tuple[n
     for r in rows:
         at = np.searchsorted(names, r)
         own.append(np.append(at[(at < len(names)) & (names[np.minimum(at, max(len(names) - 1, 0))] == r)] if len(names) else at[:0], len(names)))
-    z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    l1 = np.append(np.full(len(names), LAMBDA1), 0.0)
-
-    def weights(at: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(z[at]) <= l1[at], 0.0, -(z[at] - np.sign(z[at]) * l1[at]) / ((BETA + np.sqrt(n[at])) / ALPHA + LAMBDA2))
-
     order = np.random.default_rng(11).permutation(len(rows))
-    for _ in range(epochs):
-        for i in order:
-            at = own[i]
-            w = weights(at)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y[i]
-            n2 = n[at] + g * g
-            z[at] += g - (np.sqrt(n2) - np.sqrt(n[at])) / ALPHA * w
-            n[at] = n2
-    w = weights(np.arange(len(names) + 1))
-    keep = np.flatnonzero(w[:-1])
-    return names[keep], w[keep], float(w[-1])
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on at most ``max_rows`` labelled documents, in shards of SHARD_ROWS whose weights are averaged.
-
-    Returns sorted features, their weights and the bias. Rows with a null id or label are left out; a repeated id keeps
-    its largest label. With no rows the bias is 0, so every score is 0.5.
+    while True:
+        z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+        least = np.append(np.full(len(names), l1), 0.0)
+
+        def weights(at: np.ndarray) -> np.ndarray:
+            return np.where(np.abs(z[at]) <= least[at], 0.0, -(z[at] - np.sign(z[at]) * least[at]) / ((BETA + np.sqrt(n[at])) / ALPHA + LAMBDA2))
+
+        for _ in range(epochs):
+            for i in order:
+                at = own[i]
+                w = weights(at)
+                g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y[i]
+                n2 = n[at] + g * g
+                z[at] += g - (np.sqrt(n2) - np.sqrt(n[at])) / ALPHA * w
+                n[at] = n2
+        w = weights(np.arange(len(names) + 1))
+        keep = np.flatnonzero(w[:-1])
+        if len(keep) <= MAX_WEIGHTS:
+            return names[keep], w[keep], float(w[-1])
+        l1 *= 2
+
+
+def _logits(model: tuple[np.ndarray, np.ndarray, float], rows: list[np.ndarray]) -> np.ndarray:
+    names, weights, bias = model
+    out = np.full(len(rows), bias)
+    for k, r in enumerate(rows if len(names) else []):
+        at = np.minimum(np.searchsorted(names, r), len(names) - 1)
+        out[k] += weights[at][names[at] == r].sum()
+    return out
+
+
+def best_cut(logits: np.ndarray, y: np.ndarray, recall_weight: float = RECALL_WEIGHT) -> float | None:
+    """Where rows are best told apart (F measure with ``recall_weight``), halfway between two of them; null with one label."""
+    if not len(y) or y.min() == y.max():
+        return None
+    order = np.argsort(-logits, kind="stable")
+    caught, last = np.cumsum(y[order]), np.append(np.diff(logits[order]) != 0, True)
+    b = recall_weight**2
+    f = np.where(last, (1 + b) * caught / (np.arange(1, len(y) + 1) + b * y.sum()), -1)
+    k = int(f.argmax())
+    return float(logits[order[k]] - 1 if k + 1 == len(y) else (logits[order[k]] + logits[order[k + 1]]) / 2)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, cut: float = CUT) -> tuple[np.ndarray, np.ndarray, float]:
+    """Fit on at most ``max_rows`` labelled documents: sorted features, their weights and the bias.
+
+    Three fits run side by side: one on all rows, and one on either half that scores the other. The bias is then moved
+    so that ``cut`` is where those scores tell the halves' rows apart best, precision before recall. Rows with a null id
+    or label are left out; a repeated id keeps its largest label, and each of its documents counts. Null and empty texts
+    have no features; an empty table or one without labels gives a bias of 0, so every score is 0.5. Extra columns are
+    ignored.
     """
+    sc = docs.sparkSession.sparkContext
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("__y"))
     own = own.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    bare = docs.join(F.broadcast(own), F.col(id_col) == F.col("__id")).select(F.col("__id").cast("string").alias("id"), "__y", F.col(text_col).cast("string").alias("text"))
-    rows = written(bare.mapInArrow(_featured, "id string, y int, features array<long>"), "features")
-    shards = -(-rows.count() // SHARD_ROWS)
-    if not shards:
-        return np.empty(0, np.int64), np.empty(0), 0.0
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", ignore_index=True)
-        f, w, bias = ftrl([np.asarray(x, np.int64) for x in rows["features"]], rows["y"].to_numpy(float))
-        return pd.DataFrame({"feature": np.append(f, -1), "weight": np.append(w, bias)})
-
-    each = rows.withColumn("__shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("__shard").applyInPandas(fit, "feature long, weight double")
-    got = each.groupBy("feature").agg((F.sum("weight") / shards).alias("weight")).limit(MAX_WEIGHTS + 1).toPandas().sort_values("feature")
-    if len(got) > MAX_WEIGHTS:
-        raise ValueError(f"over {MAX_WEIGHTS} weights; raise LAMBDA1")
+    bare = docs.select(F.col(id_col).alias("__key"), F.col(text_col).cast("string").alias("text"))
+    bare = bare.join(F.broadcast(own), F.col("__key") == F.col("__id")).select(F.col("__id").cast("string").alias("id"), "__y", "text")
+    kind = "id string, y int, features array<long>"
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("id", "ascending"), ("text", "ascending")])
+        each, y = [np.asarray(x, np.int64) for x in rows["features"].to_pandas()], rows["y"].to_numpy().astype(float)
+        half, part = rows["half"].to_numpy(), key[0].as_py()
+        if part == 2:
+            f, w, bias = ftrl(each, y)
+            return pa.table({"feature": np.append(f, -1), "weight": np.append(w, bias)})
+        fitted = ftrl([x for x, h in zip(each, half, strict=True) if h != part], y[half != part])
+        return pa.table({"feature": -2 - y[half == part].astype(np.int64), "weight": _logits(fitted, [x for x, h in zip(each, half, strict=True) if h == part])})
+
+    with Scratch(docs.sparkSession) as tables:
+        rows = tables.written(bare.mapInArrow(_featured, kind), "features")
+        levels = sc.broadcast(rarity(rows.select("features"), lambda: lambda batch: [batch.column(0).flatten().to_numpy().view(np.uint64) << _DROP]))
+        kept = rows.mapInArrow(_frequent(levels, LEAST_DOCS), kind).withColumns({"half": F.pmod(F.xxhash64("id"), F.lit(2)).cast("int"), "text": F.xxhash64("features")})
+        got = kept.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).groupBy("part").applyInArrow(run, "feature long, weight double").toPandas().sort_values(["feature", "weight"])
     f, w = got["feature"].to_numpy(np.int64), got["weight"].to_numpy(float)
-    return f[f >= 0], w[f >= 0], float(w[f < 0].sum())
+    at = best_cut(w[f < -1], -2.0 - f[f < -1])
+    shift = 0.0 if at is None else float(np.log(cut / (1 - cut))) - at
+    return f[f >= 0], w[f >= 0], float(w[f == -1].sum()) + shift
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
