@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm.bpe import CHUNKS, cut_at_spaces, matches
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import spare, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Id that ends each document, tokens of a sequence, and pieces that one task packs together.
@@ -25,9 +25,7 @@ END, MAX_TOKENS, SHARD = 2, 1024, 8_000
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> Tokenizer:
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 class ChunkBytes(dict):
@@ -38,7 +36,9 @@ class ChunkBytes(dict):
     """
 
     def __init__(self, path: str):
-        self.find, self.model, self.pieces = regex.compile(public_tokenizers.PATTERN).findall, _tokenizer(path).model, {}
+        self.whole = _tokenizer(path)
+        self.find, self.model, self.pieces = regex.compile(public_tokenizers.PATTERN).findall, self.whole.model, {}
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
 
@@ -58,6 +58,8 @@ class ChunkBytes(dict):
         return out
 
     def encode(self, text: str) -> bytes:
+        if any(x in text for x in self.added):  # texts that spell one of the tokenizer's added tokens are few
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         head, rest = cut_at_spaces(text)
         return b"".join([*map(self._piece, self.find(head)), *map(self.__getitem__, rest)])
 
@@ -127,26 +129,29 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, max_documents: int | N
     A sequence holds at most ``max_tokens`` tokens, ``max_documents`` pieces and an attention cost (the sum of squared
     lengths) of ``max_cost``; by default the last two can't bind before the first. Pieces of full length are sequences
     of their own; the others are dealt evenly to shards of about ``shard`` pieces and packed within each, which leaves
-    at most about one part-filled sequence a shard. Pieces longer than ``max_tokens`` fail.
+    at most about one part-filled sequence a shard. Ties go to the earlier piece and bin; rows that repeat are pieces of
+    their own; a null length counts as 0 tokens; an empty table has no rows. Extra columns are kept, but for a
+    sequence_id or offset, which are replaced. Pieces longer than ``max_tokens`` fail.
     """
     caps = np.array([max_tokens, max_documents or max_tokens, max_cost or float(max_tokens) ** 2], float)
-    own = [c for c in pieces.columns if c not in ("sequence_id", "offset", "__shard", "__row")]
-    kept = written(pieces.select(*own).withColumn("__row", F.monotonically_increasing_id()), "pieces")
-    alone = (F.col("length") == max_tokens) if max_cost is None else F.lit(False)
+    own = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    number, dealt = spare(pieces, "number"), spare(pieces, "dealt")
+    kept = written(pieces.select(*own).withColumn(number, F.monotonically_increasing_id()), "pieces")
+    alone = F.coalesce(F.col("length") == max_tokens, F.lit(False)) if max_cost is None else F.lit(False)
     many = kept.where(~alone).count() // shard + 1
     schema = kept.select(*own).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__row", ignore_index=True)
-        n = rows["length"].to_numpy(np.int64)
+        rows = rows.sort_values(number, ignore_index=True)
+        n = rows["length"].fillna(0).to_numpy(np.int64)
         if len(n) and n.max() > max_tokens:
             raise ValueError("a piece is longer than a sequence")
         bins = best_fit(np.stack([n, np.ones_like(n), n * n], 1).astype(float), caps, np.array(weights), rule)
         rows["sequence_id"] = bins * (1 << 24) + int(key[0])
-        rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
+        rows["offset"] = pd.Series(n).groupby(bins).cumsum() - n
         return rows[schema.names]
 
-    shared = kept.where(~alone).withColumn("__shard", F.pmod(F.xxhash64("__row"), F.lit(many)))
-    packed = shared.groupBy("__shard").applyInPandas(run, schema)
-    full = kept.where(alone).select(*own, (-1 - F.col("__row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    shared = kept.where(~alone).withColumn(dealt, F.pmod(F.xxhash64(number), F.lit(many)))
+    packed = shared.groupBy(dealt).applyInPandas(run, schema)
+    full = kept.where(alone).select(*own, (-1 - F.col(number)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)

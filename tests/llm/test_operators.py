@@ -46,23 +46,42 @@ def test_bpe_round_trip_and_edits(docs, empty):
         assert own.ids() == b.encode(own.data) == next(b.encode_many([own.data]))
 
 
-def test_packing(docs, empty):
+def test_packing(spark, docs, empty):
+    import zlib
+
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.TOKENIZER)
-    tok.encode_special_tokens = True
-    rows = packing.pack(packing.cut(docs)).toPandas()
-    want = [len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for t in [*TEXTS, "a b c", "null id text"]]
-    assert rows.length.sum() == sum(want)
+    pieces = packing.cut(docs)
+    rows = packing.pack(pieces).toPandas()
+    for key, text in [(i, t) for i, t in enumerate(TEXTS) if i != 3] + [(None, "null id text")]:
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        own = rows[rows.doc_id.isna() if key is None else rows.doc_id == key].sort_values("piece")
+        assert own.piece.tolist() == list(range(len(own))) and own.start.tolist() == [0, *own.length.cumsum()[:-1]] and own.length.sum() == len(ids)
+        assert (own.length[1:] == 1024).all() and (len(ids) <= 1024) == (len(own) == 1)
+        assert own.ids_crc32.tolist() == [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(own.start, own.length)]
+    assert 50256 in tok.encode(TEXTS[6], add_special_tokens=False).ids and (rows.doc_id == 3).sum() == 2
     for _, s in rows.groupby("sequence_id"):
         s = s.sort_values("offset")
         assert s.length.sum() <= 1024 and (s.offset == s.length.cumsum() - s.length).all()
     assert packing.pack(packing.cut(empty)).count() == 0
+    rng = random.Random(7)
+    many = spark.createDataFrame([(i, rng.randint(1, 1024), "x", "y", i) for i in range(3_000)] + [(-1, None, "x", "y", 0), (-2, 5, None, None, None), (-2, 5, None, None, None)], "doc_id long, length long, number string, dealt string, offset long")
+    got = packing.pack(many, shard=500).toPandas()
+    filled = got.length.fillna(0).groupby(got.sequence_id).sum()
+    assert len(got) == 3_003 and filled.max() <= 1024 and len(filled) <= -(-int(filled.sum()) // 1024) * 1.03 + 7 and set(got.number.dropna()) == {"x"}
+    got["length"] = got.length.fillna(0)
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values(["offset", "length"])
+        assert (s.offset == s.length.cumsum() - s.length).all()
     caps = np.array([10.0, 2, 60])
     d = np.array([[n, 1, n * n] for n in (7, 5, 5, 3, 2, 1, 1)], float)
     for rule in ("norm", "dot"):
         bins = packing.best_fit(d, caps, np.ones(3), rule)
         assert all((d[bins == k].sum(0) <= caps).all() for k in set(bins))
+        tight = packing.pack(many.where("length <= 300"), max_documents=4, max_cost=150_000.0, weights=(1.0, 1.0, 1.0), rule=rule).toPandas()
+        each = tight.groupby("sequence_id").length
+        assert each.count().max() <= 4 and (tight.length**2).groupby(tight.sequence_id).sum().max() <= 150_000 and each.sum().max() <= 1024 and len(tight) == len(got[(got.length <= 300) & (got.doc_id != -1)])
 
 
 def test_rules_and_toxicity(spark, docs, empty):
