@@ -10,12 +10,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, WordScan, bitmap, chain, components_in, counter_of, marked, mix, rarity, written
+from ledgerloom.llm.common import Scratch, WordScan, bitmap, chain, components_in, counter_of, flagged, marked, mix, rarity, written
 
 #: Hash values of a signature, and how many make one band: a pair at similarity 0.75 misses all 32 bands with p < 1e-5.
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 WORDS = 5
+#: Classes of more copies are dealt to so many places where rows meet their class.
+LARGE, SALTS = 1_000, 64
 
 _SHIFT = np.uint64(64 - 7)
 _STARTS = np.arange(BINS, dtype=np.uint64) << _SHIFT
@@ -133,7 +135,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     bare = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = tables.written(bare.mapInArrow(_signed(words), "id long, n long, x long, y long, bands array<long>"), "signed")
     classed = signed.where("n > 0 AND id IS NOT NULL")
-    reps = classed.groupBy("x", "y", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    reps = tables.written(classed.groupBy("x", "y", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "classes")
     rows = reps.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("top")).where("least <> top").select("bucket", "least")
     rows = tables.written(rows.join(shared, "bucket"), "buckets")
@@ -175,7 +177,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
             merged = components_in(found, tables, "p", "q").toDF("component", "lower")
             component = left.union(component.toDF("id", "component")).distinct().join(merged, "component", "left").select(F.col("id").alias("node"), F.coalesce("lower", "component").alias("component"))
 
-    by_class = classed.select("id", "x", "y", "n").join(reps.select("x", "y", "n", "rep"), ["x", "y", "n"]).select("id", "rep")
+    # copies of one text may be many: they meet their class in SALTS places
+    large = bitmap(reps.where(F.col("copies") > LARGE).select(F.xxhash64("x").alias("name")))
+    own = flagged(classed.select("id", "x", "y", "n").withColumn("h", F.xxhash64("x")), "h", large, "large")
+    own = own.withColumn("salt", F.when(F.col("large"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    each = flagged(reps.select("x", "y", "n", "rep").withColumn("h", F.xxhash64("x")), "h", large, "large")
+    each = each.withColumn("salt", F.explode(F.when(F.col("large"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    by_class = own.join(each.select("x", "y", "n", "salt", "rep"), ["x", "y", "n", "salt"]).select("id", "rep")
     by_class = by_class.join(component, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     by_class = by_class.groupBy("id").agg(F.min("component_id").alias("component_id"))
     return signed.select("id", F.col("n").alias("n_shingles")).join(by_class, "id", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
