@@ -229,7 +229,7 @@ def match_trades(spark, sf):
     return matching.match_trades(*_two_sources(spark, sf))
 
 
-@query(f""", tt AS (SELECT account_id, event_id, trade_date, round(100 * CASE WHEN type = 'SELL' THEN gross - fees ELSE -(gross + fees) END)::BIGINT AS c, 1 AS side FROM tr),
+_PAIRS = f""", tt AS (SELECT account_id, event_id, trade_date, round(100 * CASE WHEN type = 'SELL' THEN gross - fees ELSE -(gross + fees) END)::BIGINT AS c, 1 AS side FROM tr),
     o AS (SELECT account_id, 'x' || event_id AS event_id, (trade_date + CASE z WHEN 1 THEN 2 WHEN 2 THEN 9 ELSE 0 END)::DATE AS trade_date,
           round(100 * CASE WHEN type = 'SELL' THEN g - fees ELSE -(g + fees) END)::BIGINT AS c, 2 AS side FROM (SELECT *, gross + CASE WHEN z = 3 THEN 0.01 ELSE 0 END AS g FROM ({_TWO}) WHERE z <> 0)),
     bo AS (SELECT * FROM tt UNION ALL SELECT * FROM o), sp AS (SELECT *, c - lag(c) OVER (PARTITION BY account_id ORDER BY c) > 1 AS gap FROM (SELECT DISTINCT account_id, c FROM bo)),
@@ -241,8 +241,11 @@ def match_trades(spark, sf):
     g(account_id, block, n, used, k, best) AS (SELECT DISTINCT account_id, block, 0::BIGINT, []::VARCHAR[], 0::BIGINT, NULL::VARCHAR FROM st
         UNION ALL SELECT account_id, block, n, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END, k, best FROM (
             SELECT st.account_id, st.block, st.n, g.used, st.k, arg_min(st.transfer_id, (st.days, st.transfer_id)) FILTER (NOT list_contains(g.used, st.transfer_id)) AS best
-            FROM g JOIN st ON st.account_id = g.account_id AND st.block = g.block AND st.n = g.n + 1 GROUP BY ALL))
-    SELECT cd.account_id, trade_id, traded, transfer_id, settled, days::INTEGER AS days_to_cash FROM g JOIN cd ON cd.account_id = g.account_id AND cd.block = g.block AND cd.k = g.k AND cd.transfer_id = g.best""")
+            FROM g JOIN st ON st.account_id = g.account_id AND st.block = g.block AND st.n = g.n + 1 GROUP BY ALL))"""
+_PAIRED = "SELECT cd.account_id, trade_id, traded, transfer_id, settled, days::INTEGER AS days_to_cash FROM g JOIN cd ON cd.account_id = g.account_id AND cd.block = g.block AND cd.k = g.k AND cd.transfer_id = g.best"
+
+
+@query(f"{_PAIRS} {_PAIRED}")
 def settlement_pairs(spark, sf):
     one, other = _two_sources(spark, sf)
     net = F.when(F.col("type") == "SELL", F.col("gross") - F.col("fees")).otherwise(-(F.col("gross") + F.col("fees")))

@@ -82,7 +82,7 @@ def fifo_matches(trades: DataFrame) -> DataFrame:
     return each.select("account_id", "security_id", F.col("lot.event_id").alias("buy_id"), F.col("sell.event_id").alias("sell_id"), "units", cost.alias("cost"))
 
 
-_COSTED = "account_id {0}, security_id {1}, event_id {2}, trade_date date, type string, held double, cost double, allocated double, gain double"
+_COSTED = "account_id {0}, security_id {1}, event_id {2}, trade_date date, type string, held double, cost double, allocated double, gain double, sold double"
 
 
 def _costed(names: list[str]):
@@ -103,7 +103,7 @@ def _costed(names: list[str]):
                 if held <= 0:
                     held, cost = 0.0, 0.0
                 out.append((held, cost, taken, gain))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:5]), *(pa.array([r[k] for r in out], pa.float64()) for k in range(4))], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:5]), *(pa.array([r[k] for r in out], pa.float64()) for k in range(4)), batch.column("sold")], names)
 
     return run
 
@@ -118,7 +118,7 @@ def average_cost(trades: DataFrame) -> DataFrame:
     kinds = dict(trades.dtypes)
     run = running_units(trades).select("account_id", "security_id", "event_id", "trade_date", "type", *[F.col(c).cast("double").alias(c) for c in ("units", "gross", "fees", "sold")])
     ordered = run.repartition("account_id", "security_id").sortWithinPartitions("account_id", "security_id", "trade_date", type_order(F.col("type")), "event_id")
-    names = ["account_id", "security_id", "event_id", "trade_date", "type", "held", "cost", "allocated", "gain"]
+    names = ["account_id", "security_id", "event_id", "trade_date", "type", "held", "cost", "allocated", "gain", "sold"]
     return ordered.mapInArrow(_costed(names), _COSTED.format(kinds["account_id"], kinds["security_id"], kinds["event_id"]))
 
 
