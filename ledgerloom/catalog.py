@@ -178,9 +178,9 @@ def check_signs(spark, sf):
     return quality.check_signs(td.trades(spark, sf).withColumn("gross", F.col("gross") - 1000))
 
 
-@query("SELECT account_id, month::DATE AS month FROM (SELECT account_id, unnest(generate_series(date_trunc('month', min(trade_date)), date_trunc('month', max(trade_date)), INTERVAL 1 MONTH)) AS month FROM tr WHERE security_id = 'Brand#2' GROUP BY account_id) s WHERE NOT EXISTS (SELECT 1 FROM tr WHERE security_id = 'Brand#2' AND tr.account_id = s.account_id AND date_trunc('month', trade_date) = month)")
+@query("SELECT account_id, security_id, month::DATE AS month FROM (SELECT account_id, security_id, unnest(generate_series(date_trunc('month', min(trade_date)), date_trunc('month', max(trade_date)), INTERVAL 1 MONTH)) AS month FROM tr GROUP BY account_id, security_id) s WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.security_id = s.security_id AND tr.account_id = s.account_id AND date_trunc('month', trade_date) = month)")
 def missing_months(spark, sf):
-    return quality.missing_months(ledger.ledger_slice(td.trades(spark, sf), security="Brand#2"))
+    return quality.missing_months(td.trades(spark, sf), "security_id")
 
 
 @query("SELECT account_id, left(sha256(string_agg(h, '' ORDER BY trade_date)), 16) AS fingerprint FROM (SELECT account_id, trade_date, sha256(string_agg(event_id, '' ORDER BY event_id)) AS h FROM tr GROUP BY ALL) GROUP BY ALL")
@@ -252,6 +252,13 @@ def settlement_pairs(spark, sf):
     return matching.pair_settlements(one, other.select("account_id", "event_id", "trade_date", net.alias("amount"))).drop("block")
 
 
+@query("SELECT account_id, min(trade_date) AS rebuild_from, count(*) AS late FROM tr WHERE units > 40 AND account_id % 3 <> 0 GROUP BY ALL")
+def rebuild_boundary(spark, sf):
+    """A wider export of the accounts of two thirds: rows of over 40 units are new to the store."""
+    tr = td.trades(spark, sf).where("account_id % 3 <> 0")
+    return staging.rebuild_boundary(tr.where("units <= 40"), tr)
+
+
 @query(f""", o AS (SELECT event_id, concat_ws('|', account_id, security_id, trade_date) AS slot FROM tr WHERE account_id % 3 <> 0), n AS (SELECT CASE WHEN units > 40 THEN 'n' ELSE '' END || event_id AS event_id, concat_ws('|', account_id, security_id, trade_date) AS slot FROM tr)
     SELECT event_id, CASE WHEN event_id IN (SELECT event_id FROM o) THEN 'UNCHANGED' WHEN slot IN (SELECT slot FROM o) THEN 'SOURCE_CHANGED' ELSE 'ADDED' END AS status FROM n""")
 def stage_events(spark, sf):
@@ -293,6 +300,15 @@ def return_index(spark, sf):
     return _d(performance.return_index(_returns(spark, sf)).select("account_id", "period_end", "index", "high", "drawdown"), 4, 0.0000123)
 
 
+@query(f", {_RETURNS} SELECT account_id, period_end, round(0.0000123 + index, 4) AS index, round(0.0000123 + high, 4) AS high, round(0.0000123 + index / high - 1, 4) AS drawdown FROM hi")
+def extended_index(spark, sf):
+    """The return index, built anew from the end of 1996 on what is stored before."""
+    returns = _returns(spark, sf)
+    stored = performance.return_index(returns.where("period_end <= DATE '1996-12-31'")).select("account_id", "period_end", "index", "high", "drawdown")
+    later = performance.extended_index(stored, returns.where("period_end > DATE '1996-12-31'")).select(stored.columns)
+    return _d(stored.unionByName(later), 4, 0.0000123)
+
+
 _EPISODES = f"""{_RETURNS}, ep0 AS (SELECT account_id, period_end, index, max(index) OVER (PARTITION BY account_id ORDER BY period_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ix),
     ep1 AS (SELECT *, top IS NULL OR index >= top AS touch FROM ep0), ep2 AS (SELECT *, sum(touch::INTEGER) OVER (PARTITION BY account_id ORDER BY period_end) AS segment FROM ep1),
     ep3 AS (SELECT account_id, segment, min(period_end) FILTER (touch) AS touched, min(index) FILTER (touch) AS level, min(top) FILTER (touch) AS top, min(index) FILTER (NOT touch) AS low, arg_min(period_end, (index, period_end)) FILTER (NOT touch) AS trough FROM ep2 GROUP BY ALL),

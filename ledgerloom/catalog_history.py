@@ -145,13 +145,24 @@ def data_coverage(spark, sf):
     return history.data_coverage(_priced(spark, sf))
 
 
-@query("""SELECT account_id, event_id, reverses, (trade_date - d)::INTEGER AS days FROM (
-    SELECT *, last_value(CASE WHEN amount > 0 THEN event_id END IGNORE NULLS) OVER x AS reverses, last_value(CASE WHEN amount > 0 THEN trade_date END IGNORE NULLS) OVER x AS d FROM (SELECT account_id, event_id, trade_date, trunc(amount)::BIGINT AS amount FROM ca)
-    WINDOW x AS (PARTITION BY account_id, abs(amount) ORDER BY trade_date, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE amount < 0 AND trade_date - d <= 30""")
+_REVERSED = """SELECT account_id, event_id, reverses, (trade_date - d)::INTEGER AS days FROM (
+    SELECT *, last_value(CASE WHEN {0} > 0 THEN event_id END IGNORE NULLS) OVER x AS reverses, last_value(CASE WHEN {0} > 0 THEN trade_date END IGNORE NULLS) OVER x AS d FROM ({1})
+    WINDOW x AS (PARTITION BY account_id, abs(amount) ORDER BY trade_date, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE {0} < 0 AND trade_date - d <= {2}"""
+
+
+@query(_REVERSED.format("amount", "SELECT account_id, event_id, trade_date, trunc(amount)::BIGINT AS amount FROM ca", 30))
 def reversal_pairs(spark, sf):
+    """Of whole units, since no two amounts of these tables are equal to the cent."""
     return history.reversal_pairs(td.cash_events(spark, sf).withColumn("amount", F.col("amount").cast("long")))
 
 
+@query(_REVERSED.format("-amount", "SELECT account_id % 10 AS account_id, event_id, trade_date, CASE WHEN type = 'FEE' THEN amount ELSE -amount END AS amount FROM ca WHERE type IN ('FEE', 'WITHDRAWAL')", 60))
+def fee_reversals(spark, sf):
+    """Fees, and withdrawals in the place of fees given back, to the cent."""
+    cash = td.cash_events(spark, sf).where("type IN ('FEE', 'WITHDRAWAL')").withColumns({"amount": F.when(F.col("type") == "FEE", F.col("amount")).otherwise(-F.col("amount")), "account_id": F.col("account_id") % 10})
+    return history.reversal_pairs(cash, 60, -1)
+
+
 @query("SELECT account_id, event_id, trade_date, row_number() OVER (PARTITION BY account_id ORDER BY trade_date DESC, event_id)::INTEGER AS position FROM tr QUALIFY position <= 200")
 def activity(spark, sf):
     return history.activity(td.trades(spark, sf)).select("account_id", "event_id", "trade_date", "position")
@@ -189,10 +200,10 @@ def canonical_source(spark, sf):
     return history.canonical_source(shown.select(F.col("l_partkey").alias("record_id"), F.col("o_orderkey").alias("document_id"), "period_end"))
 
 
-@query("""SELECT account_id, last_day(q::DATE + INTERVAL 2 MONTH) AS period_end FROM (SELECT account_id, unnest(generate_series(date_trunc('quarter', min(trade_date)), date_trunc('quarter', max(trade_date)), INTERVAL 3 MONTH)) AS q FROM tr WHERE security_id = 'Brand#2' GROUP BY account_id) s
-    WHERE NOT EXISTS (SELECT 1 FROM tr WHERE security_id = 'Brand#2' AND tr.account_id = s.account_id AND date_trunc('quarter', trade_date) = q)""")
+@query("""SELECT account_id, security_id, last_day(q::DATE + INTERVAL 2 MONTH) AS period_end FROM (SELECT account_id, security_id, unnest(generate_series(date_trunc('quarter', min(trade_date)), date_trunc('quarter', max(trade_date)), INTERVAL 3 MONTH)) AS q FROM tr GROUP BY account_id, security_id) s
+    WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.account_id = s.account_id AND tr.security_id = s.security_id AND date_trunc('quarter', trade_date) = q)""")
 def missing_quarters(spark, sf):
-    return history.missing_quarters(ledger.ledger_slice(td.trades(spark, sf), security="Brand#2"))
+    return history.missing_quarters(td.trades(spark, sf), "security_id")
 
 
 _TOTALS = "SELECT o_orderkey AS order_id, sum(l_extendedprice::DECIMAL(18,2)) AS computed, any_value(o_totalprice::DECIMAL(18,2)) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey HAVING abs(computed - total) > 0.05"

@@ -69,4 +69,4 @@ def bucket_end(d: Column, granularity: str) -> Column:
 
 def type_order(c: Column) -> Column:
     """Place of an event type within its day; types that aren't known come last."""
-    return F.coalesce(F.array_position(F.array(*map(F.lit, TYPE_ORDER)), c), F.lit(99)).cast("int")
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TYPE_ORDER)), c), F.lit(0)), F.lit(99)).cast("int")

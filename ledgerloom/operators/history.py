@@ -155,14 +155,15 @@ def data_coverage(priced: DataFrame) -> DataFrame:
     return priced.groupBy("account_id").agg(*counts, F.countDistinct("price_date").alias("price_dates"), F.min("on").alias("first_on"), F.max("on").alias("last_on"))
 
 
-def reversal_pairs(events: DataFrame, days: int = 30) -> DataFrame:
+def reversal_pairs(events: DataFrame, days: int = 30, sign: int = 1) -> DataFrame:
     """Each negative event with the latest earlier positive one of the same size, at most ``days`` before.
 
-    One earlier event may be taken by several. A window over (account, size) finds it, so equal sizes make no pairs.
+    With ``sign`` -1 it is each positive event (a fee that is given back) with the latest negative one. One earlier event
+    may be taken by several. A window over (account, size) finds it, so equal sizes make no pairs.
     """
     w = W.partitionBy("account_id", F.abs("amount")).orderBy("trade_date", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    prior = F.last(F.when(F.col("amount") > 0, F.struct("event_id", "trade_date")), ignorenulls=True).over(w)
-    got = events.withColumn("p", prior).where("amount < 0").withColumn("gap", F.datediff("trade_date", "p.trade_date")).where(F.col("gap") <= days)
+    prior = F.last(F.when(F.col("amount") * sign > 0, F.struct("event_id", "trade_date")), ignorenulls=True).over(w)
+    got = events.withColumn("p", prior).where(F.col("amount") * sign < 0).withColumn("gap", F.datediff("trade_date", "p.trade_date")).where(F.col("gap") <= days)
     return got.select("account_id", "event_id", F.col("p.event_id").alias("reverses"), F.col("gap").alias("days"))
 
 
@@ -208,12 +209,12 @@ def canonical_source(sources: DataFrame) -> DataFrame:
     return sources.withColumn("k", F.row_number().over(w)).where("k = 1").select("record_id", "document_id", "period_end").join(n, "record_id")
 
 
-def missing_quarters(dates: DataFrame, date: str = "trade_date") -> DataFrame:
-    """Quarter ends between an account's first and last date without any."""
-    end = bucket_end(F.col(date), "quarter")
-    own = dates.select("account_id", end.alias("period_end")).distinct()
-    span = own.groupBy("account_id").agg(F.min("period_end").alias("a"), F.max("period_end").alias("b")).select("account_id", F.explode(F.expr("sequence(trunc(a, 'quarter'), trunc(b, 'quarter'), interval 3 month)")).alias("q"))
-    return span.select("account_id", bucket_end(F.col("q"), "quarter").alias("period_end")).join(own, ["account_id", "period_end"], "left_anti")
+def missing_quarters(dates: DataFrame, *keys: str, date: str = "trade_date") -> DataFrame:
+    """Quarter ends between the first and last date of each account (and of further keys) without any."""
+    by, end = ["account_id", *keys], bucket_end(F.col(date), "quarter")
+    own = dates.select(*by, end.alias("period_end")).distinct()
+    span = own.groupBy(*by).agg(F.min("period_end").alias("a"), F.max("period_end").alias("b")).select(*by, F.explode(F.expr("sequence(trunc(a, 'quarter'), trunc(b, 'quarter'), interval 3 month)")).alias("q"))
+    return span.select(*by, bucket_end(F.col("q"), "quarter").alias("period_end")).join(own, [*by, "period_end"], "left_anti")
 
 
 def issues_by_code(*checks: DataFrame) -> DataFrame:

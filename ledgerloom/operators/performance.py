@@ -44,6 +44,19 @@ def return_index(returns: DataFrame, base: float = 100.0) -> DataFrame:
     return index.withColumn("high", F.greatest(F.lit(base), F.max("index").over(_to_here()))).withColumn("drawdown", F.col("index") / F.col("high") - 1)
 
 
+def extended_index(stored: DataFrame, returns: DataFrame) -> DataFrame:
+    """Index, high-water mark and drawdown of ``returns`` that follow what is ``stored``, as a rebuild of all would give them.
+
+    Each account's last stored row is the seed of the running product and maximum; accounts that aren't stored start at 100.
+    """
+    seed = stored.groupBy("account_id").agg(F.max_by(F.struct("index", "high"), "period_end").alias("s"))
+    own = return_index(returns).join(seed, "account_id", "left")
+    index = F.col("index") * F.coalesce(F.col("s.index") / 100.0, F.lit(1.0))
+    own = own.withColumn("index", index)
+    high = F.greatest(F.coalesce(F.col("s.high"), F.lit(100.0)), F.max("index").over(_to_here()))
+    return own.withColumn("high", high).withColumn("drawdown", F.col("index") / F.col("high") - 1).drop("s")
+
+
 def drawdown_episodes(index: DataFrame, floor: float = 0.05) -> DataFrame:
     """Peak, trough, recovery of every fall of ``floor`` or more of ``index`` (account_id, period_end, index).
 

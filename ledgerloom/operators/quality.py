@@ -31,9 +31,9 @@ def redacted(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def upsert(target: DataFrame, updates: DataFrame, *keys: str) -> DataFrame:
-    """Insert or replace on keys: updates win."""
+    """Insert or replace on keys: updates win; of several rows of one side with a key, the one with the least hash stays."""
     both = target.withColumn("__v", F.lit(0)).unionByName(updates.withColumn("__v", F.lit(1)))
-    w = W.partitionBy(*keys).orderBy(F.desc("__v"))
+    w = W.partitionBy(*keys).orderBy(F.desc("__v"), F.xxhash64(*target.columns))
     return both.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k", "__v")
 
 
@@ -48,8 +48,8 @@ def ledger_fingerprint(trades: DataFrame) -> DataFrame:
     return days.groupBy("account_id").agg(F.substring(F.sha2(F.concat_ws("", F.transform(whole, lambda x: x["h"])), 256), 1, 16).alias("fingerprint"))
 
 
-def missing_months(trades: DataFrame) -> DataFrame:
-    """Months between an account's first and last trade without any."""
-    month = F.trunc("trade_date", "month")
-    span = trades.groupBy("account_id").agg(F.min(month).alias("a"), F.max(month).alias("b")).select("account_id", F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
-    return span.join(trades.select("account_id", month.alias("month")).distinct(), ["account_id", "month"], "left_anti")
+def missing_months(trades: DataFrame, *keys: str) -> DataFrame:
+    """Months between the first and last trade of each account (and of further keys) without any."""
+    by, month = ["account_id", *keys], F.trunc("trade_date", "month")
+    span = trades.groupBy(*by).agg(F.min(month).alias("a"), F.max(month).alias("b")).select(*by, F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
+    return span.join(trades.select(*by, month.alias("month")).distinct(), [*by, "month"], "left_anti")

@@ -85,9 +85,32 @@ def stream_exports(spark: SparkSession, path: str, columns: list[str]) -> DataFr
     return spark.readStream.option("header", True).schema(schema).csv(path)
 
 
-def write_history(rows: DataFrame, path: str, date: str = "trade_date") -> None:
-    """Partition by year and replace only the years that ``rows`` holds."""
-    rows.withColumn("year", F.year(date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+def write_history(rows: DataFrame, path: str, date: str = "trade_date", from_date: str | None = None) -> None:
+    """Persist a history, partitioned by year, under ``path``.
+
+    With ``from_date`` stored rows before it stay, all others give way to those of ``rows`` from it on; without, ``rows``
+    replace everything. What is kept of the boundary's year is written anew with the rest of that year, years after it
+    that have no rows any more are removed, and years before it aren't touched.
+    """
+    spark = rows.sparkSession
+    new = rows.withColumn("year", F.year(date))
+    if from_date is None:
+        new.write.mode("overwrite").partitionBy("year").parquet(path)
+        return
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    new = new.where(F.col(date) >= F.lit(from_date))
+    if fs.exists(folder):
+        stored = spark.read.option("mergeSchema", True).parquet(path)
+        boundary = int(from_date[:4])
+        kept = stored.where((F.col("year") == boundary) & (F.col(date) < F.lit(from_date)))
+        new = new.unionByName(kept, allowMissingColumns=True)
+        gone = [r["year"] for r in stored.where(F.col("year") >= boundary).select("year").distinct().join(new.select("year").distinct(), "year", "left_anti").collect()]
+    else:
+        gone = []
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+    for year in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/year={year}"), True)
 
 
 def export_dataset(rows: DataFrame, path: str, kind: str = "csv") -> None:
