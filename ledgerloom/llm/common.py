@@ -222,6 +222,14 @@ def flagged(df: DataFrame, name: str, bits: np.ndarray, into: str) -> DataFrame:
     return df.withColumn(chunk, F.shiftright(top, CHUNK_BITS)).join(F.broadcast(chunks), chunk).withColumn(into, on).drop(chunk, own)
 
 
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` isn't among ``ids`` (a column of that name), nulls too; only those that may be meet the ids in an exchange."""
+    h, may = spare(df, "hashed"), spare(df, "may")
+    bits = bitmap(ids.select(F.xxhash64(key).alias("name")))
+    own = flagged(df.withColumn(h, F.xxhash64(key)), h, bits, may)
+    return own.where(~F.col(may)).unionByName(own.where(may).join(ids.select(key).distinct(), key, "left_anti")).select(*df.columns)
+
+
 def marked(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
     at = (names.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 != 0

@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, WordScan, chain, counter_of, level_of, mix, rarity
+from ledgerloom.llm.common import Scratch, WordScan, chain, counter_of, level_of, mix, rarity, spare
 
 #: Labelled rows that a fit uses at most (those with the smallest hashes of their ids).
 MAX_TRAIN_ROWS = 24_000
@@ -151,10 +151,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return f[f >= 0], w[f >= 0], float(w[f == -1].sum()) + shift
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every whole text; null and empty texts score by the bias. Other columns are ignored."""
-    kind = docs.select(id_col).dtypes[0][1]
+def with_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with the score of every whole text; null and empty texts score by the bias. A column called as ``score_col`` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = docs.drop(score_col)
+    names_of, text = [*own.columns, score_col], spare(own, "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights, bias = shared.value
@@ -162,17 +163,23 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
         low = np.zeros(1 << 22, bool)
         low[(names & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         for batch in batches:
-            for start, end, h, row, _ in scan.parts(batch.column(1)):
+            total = np.full(batch.num_rows, bias)
+            for start, end, h, row, _ in scan.parts(batch.column(batch.num_columns - 1)):
                 f, of = features(h, row)
                 may = low[(f & np.uint64((1 << 22) - 1)).astype(np.int64)]
                 f, of = f[may], of[may]
-                total = np.full(end - start, bias)
                 if len(f):
                     at = np.minimum(np.searchsorted(names, f), len(names) - 1)
                     hit = names[at] == f
                     seen = np.unique(of[hit] * np.int64(len(names)) + at[hit])
-                    total += np.bincount(seen // len(names), weights[seen % len(names)], end - start)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))))], ["id", "score"])
+                    total[start:end] += np.bincount(seen // len(names), weights[seen % len(names)], end - start)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))))], names_of)
+
+    schema = own.withColumn(score_col, F.lit(0.0)).schema
+    return own.withColumn(text, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
-    bare = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return bare.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of every whole text; null and empty texts score by the bias. Other columns are ignored."""
+    bare = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return with_score(bare, model).select(F.col("id").alias(id_col), "score")
