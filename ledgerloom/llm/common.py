@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +44,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables in between of one call, in the shared folder; they go when the call ends, so its result mustn't read them."""
+    """Tables in between of one call, in the shared folder, and what it broadcasts; both go when the call ends, so its result mustn't read them."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.at, self.made = spark, fresh_path(spark, "scratch"), 0
+        self.spark, self.at, self.made, self.sent = spark, fresh_path(spark, "scratch"), 0, []
 
     def __enter__(self) -> Scratch:
         return self
@@ -54,6 +55,12 @@ class Scratch:
     def __exit__(self, *failed: object) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for b in self.sent:
+            b.destroy()
+
+    def broadcast(self, value: object) -> Broadcast:
+        self.sent.append(self.spark.sparkContext.broadcast(value))
+        return self.sent[-1]
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self.made += 1

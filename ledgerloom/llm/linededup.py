@@ -370,20 +370,19 @@ def _keys_of(bits: Broadcast) -> Callable:
 def _cuts(bare: DataFrame, least_words: int, percent: int, limits: Limits, exact: bool, tables: Scratch) -> DataFrame:
     """(row, lines): the numbers of the lines that are cut from each (doc, text, at), by hash of the row; ``exact``: at orders documents but for ties."""
     spark = bare.sparkSession
-    sc = spark.sparkContext
 
     def tokens_of() -> Callable:
         scan = WordScan()
         return lambda batch: (tokens for tokens, *_ in _lines(batch.column(0), scan, least_words))
 
-    levels = sc.broadcast(rarity(bare.select("text"), tokens_of))
+    levels = tables.broadcast(rarity(bare.select("text"), tokens_of))
     kind = bare.schema["doc"].dataType.simpleString()
     all_lines, counts = tables.counted(bare.mapInArrow(_scanned(levels, least_words, percent, limits), f"doc {kind}, {_LINE_ROW}"), "lines", entries=F.sum(F.when(F.col("line") >= 0, F.size("keys"))))
     lines = all_lines.where("line >= 0")
     groups = max((counts["entries"] or 0) // GROUP + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     reports = all_lines.where("line < 0").select(F.col("keys")[0].alias("key"), F.col("places")[0].alias("sets"), "name").groupBy("key").agg(F.sum("sets").alias("sets"), F.min("name").alias("name"))
     reports = sorted(reports.where(F.col("sets") > limits.salted).orderBy(F.desc("sets"), "key").limit(limits.most).collect(), key=lambda r: r["key"] % (1 << 64))
-    frequent = sc.broadcast((np.array([r["key"] % (1 << 64) for r in reports], np.uint64), np.array([-(-r["sets"] // limits.salted) for r in reports], np.int64), np.array([r["name"] for r in reports], np.int64)))
+    frequent = tables.broadcast((np.array([r["key"] % (1 << 64) for r in reports], np.uint64), np.array([-(-r["sets"] // limits.salted) for r in reports], np.int64), np.array([r["name"] for r in reports], np.int64)))
     firsts = lines.groupBy("name", "other").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("lines"))
     firsts = tables.written(firsts, "firsts")
 
@@ -394,7 +393,7 @@ def _cuts(bare: DataFrame, least_words: int, percent: int, limits: Limits, exact
     def verified(pairs: DataFrame) -> DataFrame:
         """(name, other) of sets of which an earlier one is a match."""
         names = pairs.select("name").union(pairs.select("name2")).distinct()
-        marks = sc.broadcast(bitmap(names.select(F.shiftleft("name", 64 - _NAME_BITS).alias("name"))))
+        marks = tables.broadcast(bitmap(names.select(F.shiftleft("name", 64 - _NAME_BITS).alias("name"))))
         own = tables.written(firsts.select("name", "other", "first").mapInArrow(_kept_by_name(marks), firsts.select("name", "other", "first").schema), "wanted")
         texts = flagged(bare.select("doc.row", "text"), "row", bitmap(own.select(F.col("first.doc.row").alias("name"))), "may").where("may").select("text")
         sets = texts.mapInArrow(_wanted(levels, marks, least_words), "short long, name long, other long, tokens array<long>")
@@ -412,15 +411,15 @@ def _cuts(bare: DataFrame, least_words: int, percent: int, limits: Limits, exact
     asks = raw.where("name2 IS NULL").select("name").distinct().join(settled.select(F.shiftrightunsigned("name", 64 - _NAME_BITS).alias("name")), "name", "left_anti")
     asks = tables.written(asks.select(F.shiftleft("name", 64 - _NAME_BITS).alias("name")), "asks")
     if not asks.isEmpty():
-        asking = sc.broadcast(bitmap(asks))
-        wanted = sc.broadcast(bitmap(lines.select("name", "keys").mapInArrow(_keys_of(asking), "name long")))
+        asking = tables.broadcast(bitmap(asks))
+        wanted = tables.broadcast(bitmap(lines.select("name", "keys").mapInArrow(_keys_of(asking), "name long")))
         rest = tables.written(met(asking, wanted).distinct().join(tried, ["name", "name2"], "left_anti"), "pairs")
         if not rest.isEmpty():
             settled = settled.union(verified(rest)).distinct()
 
     due = firsts.join(settled.withColumn("gone", F.lit(True)), ["name", "other"], "left").where("gone OR lines > 1").select("name", "other", "first", "gone")
     due = tables.written(due, "due")
-    bits = sc.broadcast(bitmap(due.select("name")))
+    bits = tables.broadcast(bitmap(due.select("name")))
     thin = lines.select("doc", "line", "name", "other")
     cut = thin.mapInArrow(_kept_by_name(bits), thin.schema).join(due, ["name", "other"]).where(F.coalesce("gone", F.lit(False)) | (F.struct("doc", "line") > F.col("first")))
     return written(cut.groupBy(F.col("doc.row").alias("row")).agg(F.array_sort(F.collect_set("line")).alias("lines")), "cuts")

@@ -131,7 +131,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, tables: Scratch) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
     bare = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = tables.written(bare.mapInArrow(_signed(words), "id long, n long, x long, y long, bands array<long>"), "signed")
     classed = signed.where("n > 0 AND id IS NOT NULL")
@@ -142,7 +141,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
 
     def sets_of(ids: DataFrame) -> DataFrame:
         # a bitmap of fixed size keeps most other texts from being scanned or shuffled; a few more sets do no harm
-        bits = sc.broadcast(bitmap(ids.select(F.xxhash64("id").alias("name"))))
+        bits = tables.broadcast(bitmap(ids.select(F.xxhash64("id").alias("name"))))
         own = bare.where("id IS NOT NULL").withColumn("h", F.xxhash64("id")).mapInArrow(_sets(bits, words), "id long, shingles array<long>")
         return tables.written(own.dropDuplicates(["id"]), "sets")
 
@@ -162,7 +161,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     left, seen = tables.counted(now.join(mixed, "bucket", "left_semi").select("id", "component").distinct(), "mixed", rows=F.count("*"))
     if seen["rows"]:
         own = sets_of(left.select("id"))
-        levels = sc.broadcast(rarity(own.select("shingles"), lambda: lambda batch: [batch.column(0).flatten().to_numpy().view(np.uint64)]))
+        levels = tables.broadcast(rarity(own.select("shingles"), lambda: lambda batch: [batch.column(0).flatten().to_numpy().view(np.uint64)]))
         posts = tables.written(own.mapInArrow(_prefixes(levels, percent), "key long, id long, n long, place long").join(left, "id"), "prefixes")
         counts = posts.groupBy("key", "component").agg(F.count("*").alias("members"))
         used = counts.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")

@@ -123,7 +123,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     have no features; an empty table or one without labels gives a bias of 0, so every score is 0.5. Extra columns are
     ignored.
     """
-    sc = docs.sparkSession.sparkContext
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("__y"))
     own = own.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     bare = docs.select(F.col(id_col).alias("__key"), F.col(text_col).cast("string").alias("text"))
@@ -142,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     with Scratch(docs.sparkSession) as tables:
         rows = tables.written(bare.mapInArrow(_featured, kind), "features")
-        levels = sc.broadcast(rarity(rows.select("features"), lambda: lambda batch: [batch.column(0).flatten().to_numpy().view(np.uint64) << _DROP]))
+        levels = tables.broadcast(rarity(rows.select("features"), lambda: lambda batch: [batch.column(0).flatten().to_numpy().view(np.uint64) << _DROP]))
         kept = rows.mapInArrow(_frequent(levels, LEAST_DOCS), kind).withColumns({"half": F.pmod(F.xxhash64("id"), F.lit(2)).cast("int"), "text": F.xxhash64("features")})
         got = kept.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).groupBy("part").applyInArrow(run, "feature long, weight double").toPandas().sort_values(["feature", "weight"])
     f, w = got["feature"].to_numpy(np.int64), got["weight"].to_numpy(float)
