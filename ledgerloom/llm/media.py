@@ -75,94 +75,135 @@ def feature(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]} mean={mean:.4f} std={spread:.4f} entropy={-(p * np.log2(p)).sum() + 0.0:.4f} zero={counts[0] / samples.size:.4f}"
 
 
-def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to: str | None = None) -> str:
-    """Store every row's text (UTF-8; null: empty) as an image in one zip archive a task; returns the manifest's path.
+_ENTRY = struct.Struct("<QQIH")  # offset of a member's header, its size, its sum, length of its name
 
-    Archives go to a fresh shared folder under names no other attempt uses; the manifest lists those of successful
-    attempts alone, so a lost executor leaves at most files that nobody reads. A member's name is the id (or "null").
+
+def _slice_of(members: list[zipfile.ZipInfo]) -> bytes:
+    names = [m.filename.encode() for m in members]
+    return b"".join(_ENTRY.pack(m.header_offset, m.file_size, m.CRC, len(n)) + n for m, n in zip(members, names, strict=True))
+
+
+def _members_of(part: bytes) -> Iterator[tuple[int, int, int, str]]:
+    at = 0
+    while at < len(part):
+        offset, size, crc, n = _ENTRY.unpack_from(part, at)
+        at += _ENTRY.size + n
+        yield offset, size, crc, part[at - n : at].decode()
+
+
+def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to: str | None = None, range_bytes: int = RANGE_BYTES) -> str:
+    """Store every row's text (UTF-8; null: empty) as an image in one zip archive a task; returns the path.
+
+    Beside each archive stands an index of its directory, in slices for byte ranges of about ``range_bytes``; the manifest
+    has a row for each range. Files go to a fresh shared folder under names no other attempt uses, and the manifest lists
+    those of successful attempts alone, so a lost executor leaves at most files that nobody reads. A member's name holds
+    the id, or none for null. Rows may repeat; an empty table has an empty manifest; other columns are ignored.
     """
     to = to or fresh_path(docs.sparkSession, "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(to)
         archive, name, n = None, f"{root}/archives/{uuid.uuid4().hex}.zip", 0
+        held: list[zipfile.ZipInfo] = []
+        slices: list[tuple[int, int, int, int]] = []  # start and end in the archive, start and length in the index
+
+        def close_slice(end: int) -> None:
+            part = _slice_of(held)
+            index.write(part)
+            slices.append((held[0].header_offset, end, sum(x[3] for x in slices), len(part)))
+            held.clear()
+
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 if archive is None:
                     store.create_dir(os.path.dirname(name), recursive=True)
-                    out = store.open_output_stream(name)
+                    out, index = store.open_output_stream(name), store.open_output_stream(f"{name}.index")
                     archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-                image = to_png((text.as_py() or "").encode("utf-8", "surrogatepass"))
-                archive.writestr(zipfile.ZipInfo(f"{n}/{key.as_py() if key.is_valid else 'null'}.png"), image)
+                info = zipfile.ZipInfo(f"{n}/{key.as_py()}.png" if key.is_valid else f"{n}.png")
+                archive.writestr(info, to_png((text.as_py() or "").encode("utf-8", "surrogatepass")))
+                if held and info.header_offset - held[0].header_offset >= range_bytes:
+                    close_slice(info.header_offset)
+                held.append(info)
                 n += 1
         if archive is not None:
+            close_slice(archive.start_dir)
             archive.close()
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([store.get_file_info(name).size], pa.int64()), pa.array([n], pa.int64())], ["archive", "bytes", "members"])
+            index.close()
+            columns = [pa.array(c, pa.int64()) for c in zip(*slices, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(slices)), *columns], ["archive", "start", "end", "index_start", "index_bytes"])
 
     bare = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    bare.mapInArrow(run, "archive string, bytes long, members long").write.parquet(f"{to}/manifest")
+    bare.mapInArrow(run, "archive string, start long, end long, index_start long, index_bytes long").write.parquet(f"{to}/manifest")
     return to
 
 
 class ByteRange(InputPartition):
-    def __init__(self, archive: str, start: int, end: int):
-        self.archive, self.start, self.end = archive, start, end
+    def __init__(self, archive: str, start: int, end: int, index_start: int, index_bytes: int):
+        self.archive, self.start, self.end, self.index_start, self.index_bytes = archive, start, end, index_start, index_bytes
+
 
+def _read(f: pa.NativeFile, offset: int, size: int, crc: int) -> bytes:
+    head = f.read_at(30, offset)
+    magic, name_len, extra_len = head[:4], *struct.unpack("<HH", head[26:30])
+    if magic != b"PK\x03\x04":
+        raise ValueError("no member here")
+    data = f.read_at(size, offset + 30 + name_len + extra_len)
+    if len(data) != size or zlib.crc32(data) != crc:
+        raise ValueError("damaged member")
+    return data
 
-def read_member(store: fs.FileSystem, archive: str, offset: int, size: int, crc: int, tries: int = TRIES, wait_s: float = 0.2) -> tuple[bytes | None, int, str | None]:
+
+def read_member(store: fs.FileSystem, archive: str, offset: int, size: int, crc: int, tries: int = TRIES, wait_s: float = 0.2, before: int = 0) -> tuple[bytes | None, int, str | None]:
     """The stored member whose local header is at ``offset``: (bytes or None, tries made, last error); each try opens the archive anew."""
     error = None
-    for k in range(1, tries + 1):
+    for k in range(before + 1, tries + 1):
+        if k > 1:
+            time.sleep(wait_s * 2 ** (k - 2))
         try:
             with store.open_input_file(archive) as f:
-                head = f.read_at(30, offset)
-                magic, name_len, extra_len = head[:4], *struct.unpack("<HH", head[26:30])
-                if magic != b"PK\x03\x04":
-                    raise ValueError("no member here")
-                data = f.read_at(size, offset + 30 + name_len + extra_len)
-            if len(data) != size or zlib.crc32(data) != crc:
-                raise ValueError("damaged member")
-            return data, k, None
+                return _read(f, offset, size, crc), k, None
         except (OSError, ValueError, struct.error) as e:
             error = f"{type(e).__name__}: {e}"
-            if k < tries:
-                time.sleep(wait_s * 2 ** (k - 1))
     return None, tries, error
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.size = options["path"], int(options.get("rangeBytes", RANGE_BYTES))
+        self.root = options["path"]
         self.permissive = str(options.get("permissive", "false")).lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        """Byte ranges of the archives that the manifest lists; their directories are read by the tasks."""
+        """The byte ranges that the manifest lists; what lies in them is read by the tasks."""
         store, root = fs.FileSystem.from_uri(self.root)
         files = [f.path for f in store.get_file_info(fs.FileSelector(f"{root}/manifest")) if f.base_name.startswith("part-")]
         out: list[InputPartition] = []
         for f in files:
-            t = pq.read_table(f, filesystem=store, columns=["archive", "bytes"])
-            out += [ByteRange(a, s, s + self.size) for a, n in zip(t["archive"].to_pylist(), t["bytes"].to_pylist(), strict=True) for s in range(0, n, self.size)]
-        return out or [ByteRange("", 0, 0)]
+            t = pq.read_table(f, filesystem=store)
+            out += [ByteRange(*row) for row in zip(*(t[c].to_pylist() for c in ("archive", "start", "end", "index_start", "index_bytes")), strict=True)]
+        return out or [ByteRange("", 0, 0, 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        """Members whose headers lie in the range, from the archive's directory, in small batches."""
+        """Members of the range, from its slice of the directory, in small batches; the archive is opened once, and anew for each further try of a member."""
         if not partition.archive:
             return
         store, _ = fs.FileSystem.from_uri(self.root)
-        with store.open_input_file(partition.archive) as f, zipfile.ZipFile(f) as z:
-            own = [i for i in z.infolist() if partition.start <= i.header_offset < partition.end]
+        with store.open_input_file(f"{partition.archive}.index") as f:
+            part = f.read_at(partition.index_bytes, partition.index_start)
         rows, held = [], 0
-        for i in own:
-            data, tries, error = read_member(store, partition.archive, i.header_offset, i.file_size, i.CRC)
-            if error and not self.permissive:
-                raise OSError(f"{partition.archive} at {i.header_offset}: {error}")
-            rows.append((partition.archive, i.header_offset, i.filename, data, tries, error))
-            held += i.file_size
-            if held >= BATCH_BYTES:
-                yield self._batch(rows)
-                rows, held = [], 0
+        with store.open_input_file(partition.archive) as f:
+            for offset, size, crc, name in _members_of(part):
+                try:
+                    data, tries, error = _read(f, offset, size, crc), 1, None
+                except (OSError, ValueError, struct.error):
+                    data, tries, error = read_member(store, partition.archive, offset, size, crc, before=1)
+                if error and not self.permissive:
+                    raise OSError(f"{partition.archive} at {offset}: {error}")
+                rows.append((partition.archive, offset, name, data, tries, error))
+                held += size
+                if held >= BATCH_BYTES:
+                    yield self._batch(rows)
+                    rows, held = [], 0
         if rows:
             yield self._batch(rows)
 
@@ -175,7 +216,7 @@ class ArchiveReader(DataSourceReader):
 class ArchiveSource(DataSource):
     """``spark.read.format("archive_members").load(path)`` on a path that write_archives returned.
 
-    Options: rangeBytes; permissive (a member that can't be read after its tries is a row with an error, not a failure).
+    Option: permissive (a member that can't be read after its tries is a row with an error, not a failure).
     """
 
     @classmethod
@@ -190,7 +231,11 @@ class ArchiveSource(DataSource):
 
 
 def decode_media(members: DataFrame) -> DataFrame:
-    """``archive, offset, name, media`` with n_bytes, payload (all samples) and feature; unreadable members have nulls."""
+    """``archive, offset, name, media`` with n_bytes, payload (all samples) and feature.
+
+    Null media (members that couldn't be read) have nulls; damaged images fail; equal images have equal results; an empty
+    table has no rows; other columns are dropped.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,5 +256,5 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     spark.dataSource.register(ArchiveSource)
     members = spark.read.format("archive_members").load(write_archives(docs, id_col, text_col))
-    key = F.regexp_extract("name", r"(?s)^\d+/(.*)\.png$", 1)
-    return decode_media(members).select(F.when(key != "null", key).alias(id_col), "n_bytes", "media", "payload", "feature")
+    name = r"(?s)^\d+/(.*)\.png$"
+    return decode_media(members).select(F.when(F.col("name").rlike(name), F.regexp_extract("name", name, 1)).alias(id_col), "n_bytes", "media", "payload", "feature")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, licences, linededup, media, neardup, packing, rules, topk, toxicity, urlfilter
+from ledgerloom.llm import bpe, licences, linededup, media, neardup, packing, queries, rules, topk, toxicity, urlfilter
 from ledgerloom.llm.common import connected_components
 
 DOCS = "doc_id long, text string, score double, id string"  # the last two clash with names used inside
@@ -101,7 +101,7 @@ def test_rules_and_toxicity(spark, docs, empty):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
-def test_media(docs, empty):
+def test_media(spark, docs, empty):
     got = media.media_columns(docs).collect()
     assert len(got) == len(TEXTS) + 2
     for r in got:
@@ -109,13 +109,33 @@ def test_media(docs, empty):
         assert r.n_bytes == len(data) and len(r.payload) % 64 == 0 and len(r.payload) >= 64 and bytes(r.payload) == data.ljust(len(r.payload), b"\0")
     assert len({hashlib.sha256(r.media).hexdigest() for r in got if r.doc_id == "3" or r.doc_id == "4"}) == 1
     assert media.media_columns(empty).count() == 0
+    named = spark.createDataFrame([("null", "x"), (None, "y"), ("a/b.png", "z")], "doc_id string, text string")
+    assert {r.doc_id: bytes(r.payload)[:1] for r in media.media_columns(named).collect()} == {"null": b"x", None: b"y", "a/b.png": b"z"}
+
+
+def test_media_query(spark, tmp_path):
+    import zlib
+
+    texts = ["", None, "x" * 64, "y" * 65, "é" * 40, "a", "a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op4_media(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+        r = got[i]
+        n, samples = media.from_png(media.to_png(data))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert r.media_sha256 == hashlib.sha256(media.to_png(data)).hexdigest() and r.media_bytes == len(media.to_png(data)) and r.feature == media.feature(samples) and n == len(data)
+    assert got[5].feature == got[6].feature and len({r.feature for r in got.values()}) > 3
 
 
 def test_damaged_member_is_one_row(spark, docs, tmp_path):
-    at = media.write_archives(docs.coalesce(1), to=f"file://{tmp_path}/m")
+    at = media.write_archives(docs.coalesce(1), to=f"file://{tmp_path}/m", range_bytes=500)
     spark.dataSource.register(media.ArchiveSource)
-    good = spark.read.format("archive_members").option("rangeBytes", 500).load(at).collect()
-    (path,) = (tmp_path / "m/archives").iterdir()
+    read = spark.read.format("archive_members").load(at)
+    good = read.collect()
+    assert read.rdd.getNumPartitions() > 3 and {r.name.split("/")[0].split(".")[0] for r in good} == {str(k) for k in range(len(TEXTS) + 2)}
+    (path,) = (tmp_path / "m/archives").glob("*.zip")
     data = bytearray(path.read_bytes())
     data[good[0].offset] ^= 1
     path.write_bytes(bytes(data))
