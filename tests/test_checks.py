@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as e
-from ledgerloom import catalog, catalog_checks, catalog_reconcile, catalog_windows
+from ledgerloom import catalog, catalog_checks, catalog_reconcile, catalog_statements, catalog_windows
 from ledgerloom.functions.text import TYPE_ORDER, type_order
 from ledgerloom.operators import checks, performance, reconcile
 from ledgerloom.streaming import staging
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.001"
 TABLES = ["lineitem", "orders", "part", "events", "nation", "documents"]
 OWN = {"rebuild_boundary", "extended_index", "quarterly_returns_query", "drawdown_analytics", "settlement_pairs", "xirr", "average_cost", "asof_prices", "redact_documents"}
-NAMES = sorted(OWN | {n for m in (catalog_checks, catalog_reconcile, catalog_windows) for n in catalog.QUERIES if getattr(m, n, None) is catalog.QUERIES[n]})
+NAMES = sorted(OWN | {n for m in (catalog_checks, catalog_reconcile, catalog_statements, catalog_windows) for n in catalog.QUERIES if getattr(m, n, None) is catalog.QUERIES[n]})
 
 
 def _day(n):
