@@ -92,3 +92,16 @@ def test_stages_on_odd_rows(spark, corpus):
             got = stage(spark, docs, corpus)
             assert got.columns == docs.columns and got.count() <= n
         assert corpus_pipeline.pack(spark, docs, corpus).count() == n
+
+
+def test_scores_depend_on_texts_alone(spark, corpus, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs, labels = spark.read.parquet(f"{corpus}/documents.parquet"), spark.read.parquet(f"{corpus}/labels.parquet")
+    docs.withColumns({"lang": F.lit("zz"), "source": F.col("doc_id").cast("string"), "n_chars": F.lit(0).cast("long")}).write.parquet(str(tmp_path / "documents.parquet"))
+    fold = lambda n: F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    flipped = labels.withColumns({"quality": F.when(fold(5) == 0, 1 - F.col("quality")).otherwise(F.col("quality")), "toxic": F.when(fold(3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic"))})
+    flipped.write.parquet(str(tmp_path / "labels.parquet"))
+    for query, n, held in ((queries.op3_quality, 5, 0), (queries.op10_toxicity, 3, 1)):
+        one, two = ({r.doc_id: (r.held_out, round(r.score, 12), r.predicted) for r in query(spark, str(at)).collect()} for at in (corpus, tmp_path))
+        assert one == two and {i for i, x in one.items() if x[0]} == {r.doc_id for r in docs.where(fold(n) == held).collect()}
