@@ -36,6 +36,8 @@ class Limits(NamedTuple):
 
 #: Entries of a group, and pairs that are looked at together.
 GROUP, PAIRS = 250_000, 1 << 21
+#: Keys that a task counts at a time.
+CHUNK = 1 << 21
 #: Sets of more tokens have a second word of parities.
 LARGE = 80
 
@@ -125,6 +127,33 @@ class _Seen:
         return out
 
 
+class _Frequent:
+    """Keys that a task meets often, with one set of each. A key met once among CHUNK isn't kept, so that counts may be short."""
+
+    def __init__(self):
+        self.keys, self.names, self.held, self.done = [], [], 0, []
+
+    def add(self, keys: np.ndarray, names: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.names.append(names)
+        self.held += len(keys)
+        if self.held >= CHUNK:
+            self._fold()
+
+    def _fold(self) -> None:
+        keys, first, count = np.unique(np.concatenate([*self.keys, np.empty(0, np.int64)]), return_index=True, return_counts=True)
+        on = count > 1
+        self.done.append((keys[on], np.concatenate([*self.names, np.empty(0, np.int64)])[first[on]], count[on]))
+        self.keys, self.names, self.held = [], [], 0
+
+    def of_least(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._fold()
+        keys, names, count = (np.concatenate(c) for c in zip(*self.done, strict=True))
+        own, first, of = np.unique(keys, return_index=True, return_inverse=True)
+        total = np.bincount(of, count, len(own)).astype(np.int64)
+        return own[total >= least], names[first[total >= least]], total[total >= least]
+
+
 def _prefixes(key: np.ndarray, line: np.ndarray, place: np.ndarray, size: np.ndarray, on: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Index of a prefix token (its first ``cold`` ones are single tokens) and 64-bit key: what two matching sets share at least once."""
     prefix = size - -(-percent * size // 100) + 1
@@ -151,7 +180,7 @@ def _scanned(shared: Broadcast, least: int, percent: int, limits: Limits) -> Cal
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, scan, seen, frequent, kind = shared.value, WordScan(), _Seen(), [], None
+        levels, scan, seen, frequent, kind = shared.value, WordScan(), _Seen(), _Frequent(), None
         for batch in batches:
             kind, order = batch.column(0).type, batch.column(2).to_numpy(zero_copy_only=False)
             for tokens, line, row, number in _lines(batch.column(1), scan, least):
@@ -161,20 +190,18 @@ def _scanned(shared: Broadcast, least: int, percent: int, limits: Limits) -> Cal
                 own = line[at]
                 if len(keys) > cold:
                     of = own[cold:]
-                    frequent.append(np.stack([keys[cold:].view(np.int64), a[of]], 1))
+                    frequent.add(keys[cold:].view(np.int64), a[of])
                 by = np.argsort(own, kind="stable")
                 ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(row)))]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(a), pa.array(b), pa.array(size.astype(np.int32)), pa.array(parity), pa.array(parity2), pa.array(order[row]),
                     pa.ListArray.from_arrays(ends, pa.array(keys[by].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(place[at[by]].astype(np.int32))),
                 ], ["doc", "line", "name", "other", "n", "parity", "parity2", "at", "keys", "places"])
-        if frequent:
-            all_of = np.concatenate(frequent)
-            keys, first, count = np.unique(all_of[:, 0], return_index=True, return_counts=True)
-            keys, row, count = keys[count >= limits.local], all_of[first[count >= limits.local]], count[count >= limits.local]
+        if kind is not None:
+            keys, names, count = frequent.of_least(limits.local)
             ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(len(keys), kind), pa.array(np.full(len(keys), -1, np.int32)), pa.array(row[:, 1]), *(pa.nulls(len(keys), x) for x in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())),
+                pa.nulls(len(keys), kind), pa.array(np.full(len(keys), -1, np.int32)), pa.array(names), *(pa.nulls(len(keys), x) for x in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())),
                 pa.ListArray.from_arrays(ends, pa.array(keys)), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32))),
             ], ["doc", "line", "name", "other", "n", "parity", "parity2", "at", "keys", "places"])
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, licences, linededup, media, neardup, packing, rules, topk, toxicity, urlfilter
+from ledgerloom.llm.urlsql import url_sql
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 QUALITY_CUT, TOXICITY_CUT = 0.3, 0.7
@@ -112,11 +113,5 @@ ORACLE = {
              r AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, template) AS k FROM g)
         SELECT d.doc_id, coalesce(r.n, 0)::BIGINT AS n_matches, r.line::INTEGER AS line, r.template::INTEGER AS template, r.licence, r.dice
         FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND r.k = 1""",
-    "op8_urls": """
-        WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-             rules(v, h, s) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-             m AS (SELECT page_id, h || s AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || s) DESC, v) AS k
-                   FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s))
-        SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id AND k = 1""",
+    "op8_urls": url_sql(URL_RULES),
 }

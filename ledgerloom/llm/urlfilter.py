@@ -15,7 +15,7 @@ _TAG = r"""(?is)<{0}\b(?:"[^"]*"|'[^']*'|[^'">])*>"""
 _VALUE = r"""(?is)[\s"'/]{0}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _REFRESH = r"(?is)^[\s\d.]*[;,]?\s*url\s*=\s*(.*)$"
 #: Character references that are read in addresses.
-_REFERENCES = [("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")]
+REFERENCES = [("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")]
 
 
 def host_of(url: Column) -> Column:
@@ -36,7 +36,7 @@ def address_of(url: Column) -> Column:
 def _value(tag: Column, name: str) -> Column:
     """An attribute's value without quotes and with its character references read; empty without the attribute."""
     bare = F.regexp_replace(F.regexp_extract(tag, _VALUE.format(name), 1), r"""(?s)^(["'])(.*)\1$""", "$2")
-    for shown, meant in _REFERENCES:
+    for shown, meant in REFERENCES:
         bare = F.regexp_replace(bare, f"(?i){shown}", meant)
     return F.regexp_replace(bare, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 

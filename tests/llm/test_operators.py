@@ -257,6 +257,23 @@ def test_links_of_pages(spark):
     assert sorted(got) == sorted(want) and len(set(want)) > 20
 
 
+def test_url_query_with_links_equals_sql(spark, tmp_path):
+    import duckdb
+
+    rng, rows = random.Random(11), []
+    urls = [f"http://{h}/{p}" for h in ("a.org", "b.net", "example.com", "www.example.com", "c.com", "D.org") for p in ("", "en/1", "es/2?x=1", "fr/3#f", "q/r/s.html")]
+    for i in range(90):
+        refs = [rng.choice([rng.choice(urls), "../" + rng.choice(["en/1", "es/2", "k"]), "/es/2", "//b.net/fr/3", "?x=1", "./s.html", "#f", "mailto:x@y.z", "http://e.org/?a=1&amp;b=2"]) for _ in range(rng.randint(0, 2))]
+        tags = [rng.choice(['<link rel="canonical" href="{}">', "<meta http-equiv=refresh content='1; url={}'>", "<!-- <link rel=canonical href={}> -->", '<link rel=next href="{}">']).format(r) for r in refs]
+        rows.append((i, rng.choice([*urls, "nothing"]), "<html>" + "".join(tags) + "</html>"))
+    spark.createDataFrame([*rows, (500, None, rows[0][2]), (501, urls[0], None)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = {r[0]: r for r in con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.ORACLE['op8_urls']})").fetchall()}
+    got = {r.page_id: tuple(r) for r in queries.op8_urls(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()}
+    assert got == want and len(got) == 92 and sum(x[3] is None and x[4] == "block" for x in got.values()) > 5
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(0, 300)]
     hub = [(1000, i) for i in range(1001, 1400)] + [(1399, 2000), (999, 1200)]
