@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,13 +24,20 @@ M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``, or the one given to setCheckpointDir."""
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``, or the one given to setCheckpointDir.
+
+    Where neither is set, a session of one process gets a temporary one; on a cluster, where executors wouldn't see it,
+    that is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         set_by = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not set_by.isDefined():
+        if set_by.isDefined():
+            return set_by.get().rstrip("/")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = set_by.get()
+        at = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
