@@ -289,7 +289,7 @@ _RETURNS = f"""{_UNITS}, {_PRICES}, la AS (SELECT account_id, security_id, {_QE.
     hi AS (SELECT *, greatest(100, max(index) OVER (PARTITION BY account_id ORDER BY period_end)) AS high FROM ix)"""
 
 
-@query(f", {_RETURNS} SELECT account_id, period_end, period_start, round(0.0000123 + begin_value, 3) AS begin_value, round(0.0000123 + end_value, 3) AS end_value, round(0.0000123 + flow, 3) AS flow, round(r, 6) AS r FROM qr")
+@query(f", {_RETURNS} SELECT account_id, period_end, period_start, round(0.0000123 + begin_value, 3) AS begin_value, round(0.0000123 + end_value, 3) AS end_value, round(0.0000123 + flow, 3) AS flow, round(r, 6) + 0.0::DOUBLE AS r FROM qr")
 def quarterly_returns_query(spark, sf):
     money = lambda c: F.round(F.col(c) + 0.0000123, 3).alias(c)
     return _returns(spark, sf).select("account_id", "period_end", "period_start", money("begin_value"), money("end_value"), money("flow"), F.round("r", 6).alias("r"))

@@ -14,7 +14,7 @@ START, END, SHIFT = "1995-06-30", "1998-06-30", 9_800
 
 
 def _round(x: str, places: int = 3) -> str:
-    return f"round(0.0000123 + ({x})::DOUBLE, {places})"
+    return f"(round(0.0000123 + ({x})::DOUBLE, {places}) + 0.0::DOUBLE)"
 
 
 _WEEKS = f"""{_DAILY}, l AS (SELECT account_id, (date_trunc('week', trade_date) + INTERVAL 6 DAY)::DATE AS period_end, arg_max(cash, trade_date) AS closing, arg_max(cumulative_contributions, trade_date) AS a, arg_max(cumulative_withdrawals, trade_date) AS b, arg_max(cumulative_income, trade_date) AS c, arg_max(cumulative_fees, trade_date) AS d FROM da GROUP BY ALL),

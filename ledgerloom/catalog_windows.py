@@ -8,7 +8,7 @@ from ledgerloom.catalog import _DAILY, _PRICES, _RETURNS, _UNITS, _d, _returns,
 from ledgerloom.operators import analytics, ledger, windows
 from ledgerloom.sources import testdata as td
 
-_R = lambda x, places=3: f"round(0.0000123 + ({x})::DOUBLE, {places})"
+_R = lambda x, places=3: f"(round(0.0000123 + ({x})::DOUBLE, {places}) + 0.0::DOUBLE)"
 
 _HISTORY = f"""{_UNITS}, {_PRICES}, lm AS (SELECT account_id, security_id, last_day(trade_date) AS "on", arg_max(held, (trade_date, type, event_id)) AS held FROM h GROUP BY ALL),
     gr AS (SELECT d.account_id, f.security_id, d."on" FROM (SELECT DISTINCT account_id, "on" FROM lm) d JOIN (SELECT account_id, security_id, min("on") AS first FROM lm GROUP BY ALL) f ON f.account_id = d.account_id AND d."on" >= f.first),

@@ -23,7 +23,7 @@ def _day(n):
 
 
 def _cells(rows):
-    return sorted(tuple(("" if v is None or v != v else f"{float(v):.5g}" if isinstance(v, (int, float, decimal.Decimal)) and not isinstance(v, bool) else str(v)) for v in r) for r in rows)
+    return sorted(tuple(("" if v is None or v != v else f"{float(v) + 0.0:.5g}" if isinstance(v, (int, float, decimal.Decimal)) and not isinstance(v, bool) else str(v)) for v in r) for r in rows)
 
 
 @pytest.mark.parametrize("name", NAMES)
