@@ -83,9 +83,9 @@ class Scratch:
         return table, seen.get
 
 
-def spare(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have, in any case."""
-    taken = {c.lower() for c in df.columns}
+def spare(df: DataFrame, name: str, *others: DataFrame) -> str:
+    """A column name that ``df`` and ``others`` don't have, in any case."""
+    taken = {c.lower() for d in (df, *others) for c in d.columns}
     while name in taken:
         name += "_"
     return name
@@ -246,6 +246,21 @@ def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return own.where(~F.col(may)).unionByName(own.where(may).join(ids.select(key).distinct(), key, "left_anti")).select(*df.columns)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: Column, large: int = 1_000, places: int = 64) -> DataFrame:
+    """``rows`` with the columns that ``table`` (one row per key, no null keys) has for their keys.
+
+    Keys of more than ``large`` rows by ``weight`` (a column over ``table``) are met in several ``places``. No column but
+    the keys may be in both.
+    """
+    h, may, place = (spare(rows, n, table) for n in ("hashed", "may_be_large", "place"))
+    bits = bitmap(table.where(weight > large).select(F.xxhash64(*keys).alias("name")))
+    dealt = F.pmod(F.xxhash64(*rows.columns), F.lit(places)).cast("int")
+    own = flagged(rows.withColumn(h, F.xxhash64(*keys)), h, bits, may).withColumn(place, F.when(F.col(may), dealt).otherwise(0)).drop(h, may)
+    each = F.explode(F.when(F.col(may), F.sequence(F.lit(0), F.lit(places - 1))).otherwise(F.array(F.lit(0))))
+    met = flagged(table.withColumn(h, F.xxhash64(*keys)), h, bits, may).withColumn(place, each).drop(h, may)
+    return own.join(met, [*keys, place]).drop(place)
+
+
 def marked(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
     at = (names.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 != 0

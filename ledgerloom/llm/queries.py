@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, licences, linededup, media, neardup, packing, rules, topk, toxicity, urlfilter
+from ledgerloom.llm import bpe, licences, linededup, media, neardup, packing, rules, simhash, topk, toxicity, urlfilter
 from ledgerloom.llm.urlsql import url_sql
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -82,7 +82,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= TOXICITY_CUT).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_bpe, op3_quality, op4_media, op5_topk, op6_licences, op7_lines, op8_urls, op9_neardup, op10_toxicity)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_bpe, op3_quality, op4_media, op5_topk, op6_licences, op7_lines, op8_urls, op9_neardup, op10_toxicity, op11_simhash)}
 
 
 def _quoted(x: str) -> str:
