@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, licences, linededup, media, neardup, negatives, packing, rules, simhash, topk, toxicity, urlfilter
+from ledgerloom.llm import bpe, licences, linededup, media, neardup, negatives, packing, prefixtrie, rules, simhash, topk, toxicity, urlfilter
+from ledgerloom.llm.triesql import TRIE_SQL
 from ledgerloom.llm.urlsql import url_sql
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -91,7 +92,11 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_bpe, op3_quality, op4_media, op5_topk, op6_licences, op7_lines, op8_urls, op9_neardup, op10_toxicity, op11_simhash, op12_negatives)}
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(_table(spark, sf_dir, "conversations"), lambda c: c - c % 20, lambda c: F.crc32(c.cast("string").cast("binary")) % 4)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_bpe, op3_quality, op4_media, op5_topk, op6_licences, op7_lines, op8_urls, op9_neardup, op10_toxicity, op11_simhash, op12_negatives, op13_trie)}
 
 
 def _quoted(x: str) -> str:
@@ -123,6 +128,7 @@ ORACLE = {
         SELECT d.doc_id, coalesce(r.n, 0)::BIGINT AS n_matches, r.line::INTEGER AS line, r.template::INTEGER AS template, r.licence, r.dice
         FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND r.k = 1""",
     "op8_urls": url_sql(URL_RULES),
+    "op13_trie": TRIE_SQL,
     "op12_negatives": """
         WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
