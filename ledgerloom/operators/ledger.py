@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,12 +39,24 @@ def daily_cash(cash: DataFrame) -> DataFrame:
     return span.join(days, ["account_id", "trade_date"], "left").select("account_id", "trade_date", *[F.coalesce(F.sum(c).over(w), F.lit(0)).cast("decimal(18,2)").alias(n) for c, n in names.items()])
 
 
-def _by_position():
-    return W.partitionBy("account_id", "security_id").orderBy("trade_date", type_order(F.col("type")), "event_id")
+def _by_position(*more: str):
+    return W.partitionBy("account_id", "security_id", *more).orderBy("trade_date", "__o", "event_id")
+
+
+def _placed(trades: DataFrame) -> DataFrame:
+    """With the place of each event's type within its day, worked out once for all sorts."""
+    return trades.withColumn("__o", type_order(F.col("type")))
 
 
-def _so_far():
-    return _by_position().rowsBetween(W.unboundedPreceding, 0)
+def _running(trades: DataFrame) -> DataFrame:
+    w = _by_position()
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    signed = F.when(F.col("type") == "SELL", -F.col("units")).otherwise(F.col("units"))
+    s = _placed(trades).withColumn("__s", F.sum(signed).over(so_far))
+    held = s.withColumn("held", (F.col("__s") - F.least(F.lit(0).cast("decimal(28,2)"), F.min("__s").over(so_far))).cast("decimal(28,2)"))
+    held = held.withColumn("before", F.coalesce(F.lag("held").over(w), F.lit(0)).cast("decimal(28,2)"))
+    sold = F.when(F.col("type") == "SELL", F.col("before") - F.col("held")).otherwise(F.lit(0)).cast("decimal(28,2)")
+    return held.withColumn("sold", sold).withColumn("excess", F.when(F.col("type") == "SELL", F.col("units") - F.col("sold")).otherwise(F.lit(0)).cast("decimal(28,2)")).drop("__s")
 
 
 def running_units(trades: DataFrame) -> DataFrame:
@@ -55,82 +64,81 @@ def running_units(trades: DataFrame) -> DataFrame:
 
     With S the prefix sum of signed units, holdings clamped at zero are S - min(0, lowest S so far).
     """
-    signed = F.when(F.col("type") == "SELL", -F.col("units")).otherwise(F.col("units"))
-    s = trades.withColumn("__s", F.sum(signed).over(_so_far()))
-    held = s.withColumn("held", (F.col("__s") - F.least(F.lit(0).cast("decimal(28,2)"), F.min("__s").over(_so_far()))).cast("decimal(28,2)"))
-    before = F.coalesce(F.lag("held").over(_by_position()), F.lit(0)).cast("decimal(28,2)")
-    sold = F.when(F.col("type") == "SELL", before - F.col("held")).otherwise(F.lit(0)).cast("decimal(28,2)")
-    return held.withColumn("sold", sold).withColumn("excess", F.when(F.col("type") == "SELL", F.col("units") - F.col("sold")).otherwise(F.lit(0)).cast("decimal(28,2)")).drop("__s")
+    return _running(trades).drop("__o", "before")
 
 
 def fifo_matches(trades: DataFrame) -> DataFrame:
     """Overlaps of first-in-first-out parcels and sells: (account, security, buy event, sell event, units, cost).
 
-    Buys and effective sells each cover intervals of cumulative units. All ends are cut points; between two cut points
-    the parcel and the sell are those whose intervals end next. Nothing is joined by range. Open lots have no sell.
+    All that adds units (buys, and other events such as corporate actions, which cost nothing) covers one axis of
+    cumulative units, effective sells another, both in the order of running_units. All ends are cut points; between two
+    cut points the parcel and the sell are those whose intervals end next. Nothing is joined by range. Open lots have no
+    sell.
     """
-    run = running_units(trades).withColumn("moved", F.when(F.col("type") == "SELL", F.col("sold")).otherwise(F.col("units")).cast("decimal(28,2)")).where("moved > 0")
-    side = W.partitionBy("account_id", "security_id", "type").orderBy("trade_date", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    run = _running(trades).withColumn("sells", F.col("type") == "SELL").withColumn("moved", F.when(F.col("sells"), F.col("sold")).otherwise(F.col("units")).cast("decimal(28,2)")).where("moved > 0")
+    side = _by_position("sells").rowsBetween(W.unboundedPreceding, 0)
     cuts = run.withColumn("cut", F.sum("moved").over(side).cast("decimal(28,2)"))
     # backwards: what ends next is the last one met, and the frame only grows
-    back = W.partitionBy("account_id", "security_id").orderBy(F.desc("cut"), F.desc("type"), F.desc("event_id"))
+    back = W.partitionBy("account_id", "security_id").orderBy(F.desc("cut"), F.desc("sells"))
     rest = back.rowsBetween(W.unboundedPreceding, 0)
-    lot = F.last(F.when(F.col("type") == "BUY", F.struct("event_id", F.col("gross").alias("g"), F.col("fees").alias("f"), "units")), ignorenulls=True).over(rest)
-    sell = F.last(F.when(F.col("type") == "SELL", F.struct("event_id")), ignorenulls=True).over(rest)
+    paid = F.when(F.col("type") == "BUY", F.col("gross") + F.col("fees")).otherwise(0).cast("double")
+    lot = F.last(F.when(~F.col("sells"), F.struct("event_id", paid.alias("paid"), "units")), ignorenulls=True).over(rest)
+    sell = F.last(F.when(F.col("sells"), F.struct("event_id")), ignorenulls=True).over(rest)
     each = cuts.select("account_id", "security_id", lot.alias("lot"), sell.alias("sell"), (F.col("cut") - F.coalesce(F.lead("cut").over(back), F.lit(0))).cast("decimal(28,2)").alias("units")).where("units > 0 AND lot IS NOT NULL")
-    cost = F.col("units").cast("double") * (F.col("lot.g") + F.col("lot.f")).cast("double") / F.col("lot.units").cast("double")
+    cost = F.col("units").cast("double") * F.col("lot.paid") / F.col("lot.units").cast("double")
     return each.select("account_id", "security_id", F.col("lot.event_id").alias("buy_id"), F.col("sell.event_id").alias("sell_id"), "units", cost.alias("cost"))
 
 
-_COSTED = "account_id {0}, security_id {1}, event_id {2}, trade_date date, type string, held double, cost double, allocated double, gain double, sold double"
-
-
-def _costed(names: list[str]):
-    """Folds events that come sorted by position: what is carried from one to the next are the position, its units and its cost."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        position, held, cost = None, 0.0, 0.0
-        for batch in batches:
-            out: list[tuple[float, float, float, float]] = []
-            for account, security, kind, units, gross, fees, sold in zip(*(batch.column(c).to_pylist() for c in ("account_id", "security_id", "type", "units", "gross", "fees", "sold")), strict=True):
-                if (account, security) != position:
-                    position, held, cost = (account, security), 0.0, 0.0
-                if kind == "SELL":
-                    taken = cost * sold / held if held > 0 else 0.0
-                    held, cost, gain = held - sold, cost - taken, gross - fees - taken
-                else:
-                    taken, held, cost, gain = 0.0, held + units, cost + (gross + fees if kind == "BUY" else 0.0), 0.0
-                if held <= 0:
-                    held, cost = 0.0, 0.0
-                out.append((held, cost, taken, gain))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:5]), *(pa.array([r[k] for r in out], pa.float64()) for k in range(4)), batch.column("sold")], names)
-
-    return run
+#: Logarithms that one scale of average_cost spans; exp of twice as much and the largest cost still fit a double.
+_SPAN = 300
 
 
 def average_cost(trades: DataFrame) -> DataFrame:
     """Each trade with units and pooled cost after it, allocated cost and gain of sells (fees are cost of buys, taken off sells).
 
     A sell takes its share of the pooled cost, no units no cost; units that come by other events than buys cost nothing.
-    A sell with nothing held has no cost and its gain is its whole net proceeds. Positions are sorted within partitions
-    and folded as they stream by, so no history is held in memory. Figures are doubles: shares of cost don't end.
+    A sell with nothing held has no cost and its gain is its whole net proceeds. Figures are doubles.
+
+    A trade maps the cost before it to one after: a buy adds, a sell keeps the share held / held before. Within an epoch
+    (from nothing held to nothing held) the cost is the sum of all buys, each times the shares kept since: with L the
+    running sum of logarithms of shares, exp(L) * sum(buy * exp(-L at the buy)). L falls without end, so it is cut into
+    scales of _SPAN; what was bought two scales back is below a double's last place, since units of two decimals can't
+    shrink that far with nothing bought. L is a sum of decimals, so long histories add no errors. All are windows over
+    positions already sorted.
     """
-    kinds = dict(trades.dtypes)
-    run = running_units(trades).select("account_id", "security_id", "event_id", "trade_date", "type", *[F.col(c).cast("double").alias(c) for c in ("units", "gross", "fees", "sold")])
-    ordered = run.repartition("account_id", "security_id").sortWithinPartitions("account_id", "security_id", "trade_date", type_order(F.col("type")), "event_id")
-    names = ["account_id", "security_id", "event_id", "trade_date", "type", "held", "cost", "allocated", "gain", "sold"]
-    return ordered.mapInArrow(_costed(names), _COSTED.format(kinds["account_id"], kinds["security_id"], kinds["event_id"]))
+    run = _running(trades).select("account_id", "security_id", "event_id", "trade_date", "type", "__o", "held", "before", "sold", "gross", "fees")
+    empty = F.coalesce(F.lag((F.col("held") == 0).cast("int")).over(_by_position()), F.lit(0))
+    run = run.withColumn("__new", empty).withColumn("epoch", F.sum("__new").over(_by_position().rowsBetween(W.unboundedPreceding, 0)))
+    kept = F.when((F.col("sold") > 0) & (F.col("held") > 0), F.log(F.col("held").cast("double") / F.col("before").cast("double"))).otherwise(0.0).cast("decimal(28,18)")
+    run = run.withColumn("__kept", kept).withColumn("__l", F.sum("__kept").over(_by_position("epoch").rowsBetween(W.unboundedPreceding, 0)))
+    run = run.withColumn("__g", F.floor(-F.col("__l") / _SPAN).cast("long")).withColumn("__x", (F.col("__l") + F.col("__g") * _SPAN).cast("double"))
+    paid = F.when(F.col("type") == "BUY", (F.col("gross") + F.col("fees")).cast("double")).otherwise(0.0)
+    run = run.withColumn("__own", paid * F.exp(-F.col("__x"))).withColumn("__next", paid * F.exp(-F.col("__x") - _SPAN))
+    of_scale = F.sum("__own").over(_by_position("epoch", "__g").rowsBetween(W.unboundedPreceding, 0))
+    of_last = F.coalesce(F.sum("__next").over(W.partitionBy("account_id", "security_id", "epoch").orderBy("__g").rangeBetween(-1, -1)), F.lit(0.0))
+    run = run.withColumn("cost", F.when(F.col("held") > 0, F.exp("__x") * (of_scale + of_last)).otherwise(0.0))
+    before = F.coalesce(F.lag("cost").over(_by_position("epoch")), F.lit(0.0))
+    taken = F.when(F.col("sold") > 0, before * F.col("sold").cast("double") / F.col("before").cast("double")).otherwise(0.0)
+    run = run.withColumn("allocated", taken)
+    gain = F.when(F.col("type") == "SELL", F.col("gross").cast("double") - F.col("fees").cast("double") - F.col("allocated")).otherwise(0.0)
+    return run.select("account_id", "security_id", "event_id", "trade_date", "type", F.col("held").cast("double").alias("held"), "cost", "allocated", gain.alias("gain"), F.col("sold").cast("double").alias("sold"))
 
 
 def asof_prices(points: DataFrame, prices: DataFrame) -> DataFrame:
     """``points`` (security_id, on, ...) with the last price on or before ``on`` and its quality; never a later one.
 
-    Points and prices are laid into one order of dates, in which the last price is carried forward; nothing is joined by range.
+    Only the distinct days asked for and the priced days of a security are laid into one order, in which the last price
+    is carried forward: as many rows as days, however many points or accounts ask. Points then meet their security and
+    day by an equi-join, which spreads a security over its days. Points without a security or day have no price; of
+    several prices of one day the highest counts.
     """
-    known = prices.where("price IS NOT NULL").select("security_id", F.col("price_date").alias("__d"), F.lit(0).alias("__k"), F.struct("price_date", "price").alias("__q"))
-    asked = points.select("security_id", F.col("on").alias("__d"), F.lit(1).alias("__k"), F.struct(*points.columns).alias("__p"))
-    w = W.partitionBy("security_id").orderBy("__d", "__k").rowsBetween(W.unboundedPreceding, 0)
-    got = known.unionByName(asked, allowMissingColumns=True).withColumn("__q", F.last("__q", ignorenulls=True).over(w)).where("__k = 1").select("__p.*", "__q.*")
+    known = prices.where("price IS NOT NULL").groupBy("security_id", F.col("price_date").alias("on")).agg(F.max("price").alias("__price"))
+    asked = points.select("security_id", "on").where("security_id IS NOT NULL AND on IS NOT NULL").distinct()
+    days = known.withColumn("__q", F.struct(F.col("on").alias("price_date"), F.col("__price").alias("price"))).select("security_id", "on", "__q", F.lit(False).alias("__asked")).unionByName(asked.withColumn("__asked", F.lit(True)), allowMissingColumns=True)
+    days = days.groupBy("security_id", "on").agg(F.max("__q").alias("__q"), F.max("__asked").alias("__asked"))
+    w = W.partitionBy("security_id").orderBy("on").rowsBetween(W.unboundedPreceding, 0)
+    carried = days.withColumn("__q", F.last("__q", ignorenulls=True).over(w)).where("__asked").select("security_id", "on", "__q")
+    got = points.join(carried, ["security_id", "on"], "left").select(*points.columns, "__q.*")
     quality = F.when(F.col("price").isNull(), "UNAVAILABLE").when(F.col("price_date") == F.col("on"), "QUOTED").otherwise("CARRIED_FORWARD")
     return got.withColumn("quality", quality)
 
