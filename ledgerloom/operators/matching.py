@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.shared import checkpointed
+
 
 def match_trades(one: DataFrame, other: DataFrame, cents: int = 1, days: int = 5) -> DataFrame:
     """Status of every row of both sides (account_id, security_id, type, trade_date, gross, event_id).
@@ -28,33 +33,83 @@ def match_trades(one: DataFrame, other: DataFrame, cents: int = 1, days: int = 5
     return first.select("id1", "status", "id2", "days").unionByName(rest)
 
 
-def greedy_one_to_one(pairs: DataFrame, block: list[str], left: str, right: str, order: list[str], preference: list[str]) -> DataFrame:
-    """Left rows, in order, take their best free right row. Pairs without rivals are taken as they are; only contested blocks are walked."""
-    n = pairs.withColumn("__l", F.count("*").over(W.partitionBy(left))).withColumn("__r", F.count("*").over(W.partitionBy(right)))
-    n = n.withColumn("__open", F.max(F.greatest("__l", "__r")).over(W.partitionBy(*block)) == 1)
-    names = pairs.columns
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, used, keep = set(), set(), []
-        for row in rows.sort_values([*order, left, *preference, right]).itertuples():
-            a, b = getattr(row, left), getattr(row, right)
-            if a not in taken and b not in used:
-                taken.add(a), used.add(b), keep.append(row.Index)
-        return rows.loc[keep, names]
+def greedy_one_to_one(pairs: DataFrame, left: str, right: str, order: list[str], preference: list[str], alike: list[str]) -> DataFrame:
+    """Left rows, in ``order`` and then by id, take their best free right row by ``preference`` and then by id.
 
-    return n.where("__open").select(*names).unionByName(n.where("NOT __open").select(*names).groupBy(*block).applyInPandas(walk, pairs.schema))
+    Done for all rows at once, in rounds of proposals, each in a checkpoint: every left row proposes to its best right row;
+    a right row keeps the first of those that propose, and is struck off the lists of all that come after. Since right
+    rows rank left ones alike, what is left in the end is what a walk gives. Rows that say the same would queue up for
+    one right row after the other. So of left rows that agree in ``alike`` (columns that decide their candidates and how
+    they prefer them) the i-th passes over the first i - 1 of their common list, which those before it take or refuse: a
+    crowd of equal rows is settled, and moves on, in one round. No group is gathered in one task's memory.
+    """
+    names, place = pairs.columns, F.struct(*order, left)
+    crowd, own = W.partitionBy(*alike), W.partitionBy(*alike, left)
+    now = pairs
+    while True:
+        rows = now.withColumn("__at", F.dense_rank().over(crowd.orderBy(*preference, right))).withColumn("__i", F.dense_rank().over(crowd.orderBy(*order, left))).where("__at >= __i")
+        rows = rows.withColumn("__asks", F.col("__at") == F.min("__at").over(own))
+        rows = rows.withColumn("__kept", F.min(F.when(F.col("__asks"), place)).over(W.partitionBy(right))).where(F.col("__kept").isNull() | (place <= F.col("__kept")) | F.col("__asks"))
+        rows = checkpointed(rows.select(*names, "__asks", (F.col("__asks") & (place > F.col("__kept"))).alias("__refused")))
+        if rows.where("__refused").isEmpty():
+            return rows.where("__asks").select(*names)
+        now = rows.where("NOT __refused").select(*names)
 
 
 def pair_settlements(trades: DataFrame, transfers: DataFrame) -> DataFrame:
     """Each trade with the nearest later transfer of its net amount (within a cent), each transfer used once.
 
-    Amounts of an account are cut into blocks where sorted ones lie over a cent apart; no pair crosses a cut.
+    Trades choose in order of day and id. All transfers rank trades alike and trades rank transfers alike, so it is the
+    same to let each transfer, in order, take the first trade that still waits; no pairs of candidates are made. Amounts
+    of an account are cut into blocks where sorted ones lie over a cent apart. In a block of at most two adjoining
+    amounts every trade fits every later transfer: the i-th trade takes transfer max(next after the trade before, first
+    on or after its day), a running maximum. Blocks of more amounts stream by day, with queues of what waits.
+
+    Rows with a null day or amount, and transfers before a trade, pair with nothing.
     """
     net = F.when(F.col("type") == "SELL", F.col("gross") - F.col("fees")).otherwise(-(F.col("gross") + F.col("fees")))
-    both = trades.select("account_id", "event_id", "trade_date", F.round(net * 100).cast("long").alias("c"), F.lit(1).alias("side")).unionByName(transfers.select("account_id", "event_id", "trade_date", F.round(F.col("amount") * 100).cast("long").alias("c"), F.lit(2).alias("side")))
-    w = W.partitionBy("account_id").orderBy("c")
-    both = both.withColumn("block", F.sum(F.coalesce((F.col("c") - F.lag("c").over(w) > 1).cast("int"), F.lit(0))).over(w.rangeBetween(W.unboundedPreceding, 0)))
-    t = both.where("side = 1").select("account_id", "block", F.col("event_id").alias("trade_id"), F.col("trade_date").alias("traded"), F.explode(F.sequence(F.col("c") - 1, F.col("c") + 1)).alias("c"))
-    c = both.where("side = 2").select("account_id", F.col("event_id").alias("transfer_id"), F.col("trade_date").alias("settled"), "c")
-    pairs = t.join(c, ["account_id", "c"]).where("settled >= traded").withColumn("days_to_cash", F.datediff("settled", "traded")).drop("c")
-    return greedy_one_to_one(pairs, ["account_id", "block"], "trade_id", "transfer_id", ["traded"], ["days_to_cash"])
+    row = lambda amount, side: ["account_id", F.col("event_id").cast("string").alias("id"), F.col("trade_date").alias("day"), F.round(amount * 100).cast("long").alias("c"), F.lit(side).alias("side")]
+    both = trades.select(*row(net, 1)).unionByName(transfers.select(*row(F.col("amount"), 2))).where("day IS NOT NULL AND c IS NOT NULL")
+    amounts, w = both.select("account_id", "c").distinct(), W.partitionBy("account_id").orderBy("c")
+    blocks = amounts.withColumn("__new", F.coalesce((F.col("c") - F.lag("c").over(w) > 1).cast("int"), F.lit(0))).withColumn("block", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    blocks = blocks.withColumn("wide", F.max("c").over(W.partitionBy("account_id", "block")) - F.min("c").over(W.partitionBy("account_id", "block")) > 1).drop("__new")
+    both = checkpointed(both.join(blocks, ["account_id", "c"]))
+
+    turn = W.partitionBy("account_id", "block").orderBy("day", "side", "id")
+    upto = turn.rowsBetween(W.unboundedPreceding, 0)
+    flat = both.where("NOT wide").withColumn("trades", F.count_if(F.col("side") == 1).over(upto)).withColumn("moved", F.count_if(F.col("side") == 2).over(upto))
+    # counted from 0, trade i finds ``moved`` transfers before its day
+    takes = F.col("trades") - 1 + F.max(F.when(F.col("side") == 1, F.col("moved") - (F.col("trades") - 1))).over(upto)
+    flat = flat.withColumn("place", F.when(F.col("side") == 1, takes).otherwise(F.col("moved") - 1))
+    t = flat.where("side = 1").select("account_id", "block", "place", F.col("id").alias("trade_id"), F.col("day").alias("traded"))
+    m = flat.where("side = 2").select("account_id", "block", "place", F.col("id").alias("transfer_id"), F.col("day").alias("settled"))
+    plain = t.join(m, ["account_id", "block", "place"]).drop("place")
+
+    ordered = both.where("wide").repartition("account_id", "block").sortWithinPartitions("account_id", "block", "day", "side", "id").select("account_id", "block", "id", "day", "c", "side")
+    chained = ordered.mapInArrow(_first_waiting, f"account_id {dict(both.dtypes)['account_id']}, block long, trade_id string, traded date, transfer_id string, settled date")
+    ids = {"trade_id": trades.schema["event_id"].dataType, "transfer_id": transfers.schema["event_id"].dataType}
+    out = plain.unionByName(chained).withColumn("days_to_cash", F.datediff("settled", "traded"))
+    return out.select("account_id", "block", *[F.col(c).cast(k).alias(c) for c, k in ids.items()], "traded", "settled", "days_to_cash")
+
+
+def _first_waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams blocks by day; a transfer takes the trade that has waited longest among those within a cent. Only what waits is held."""
+    block, waiting, n = None, {}, 0
+    for batch in batches:
+        at, trade, traded = [], [], []
+        for i, (account, number, id_, day, c, side) in enumerate(zip(*(x.to_pylist() for x in batch.columns), strict=True)):
+            if (account, number) != block:
+                block, waiting, n = (account, number), {}, 0
+            if side == 1:
+                waiting.setdefault(c, deque()).append((n, id_, day))
+                n += 1
+            elif heads := [(waiting[k][0], k) for k in (c - 1, c, c + 1) if waiting.get(k)]:
+                _, k = min(heads)
+                _, own, since = waiting[k].popleft()
+                if not waiting[k]:
+                    del waiting[k]
+                at.append(i)
+                trade.append(own)
+                traded.append(since)
+        took = batch.take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([took.column("account_id"), took.column("block"), pa.array(trade, pa.string()), pa.array(traded, pa.date32()), took.column("id"), took.column("day")], ["account_id", "block", "trade_id", "traded", "transfer_id", "settled"])

@@ -19,14 +19,6 @@ def _cents(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("long")
 
 
-def _blocks(left: DataFrame, right: DataFrame, keys: list[str], by: str, gap: int) -> DataFrame:
-    """(keys, by, block): where sorted values of both sides lie over ``gap`` apart, no pair crosses."""
-    each = left.select(*keys, by).union(right.select(*keys, by)).distinct()
-    w = W.partitionBy(*keys).orderBy(by)
-    new = F.coalesce((F.col(by) - F.lag(by).over(w) > gap).cast("int"), F.lit(0))
-    return each.withColumn("__new", new).withColumn("block", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
-
-
 def _spans(day: Column, days: int) -> tuple[Column, Column]:
     """Spans of days that a window around a day meets (two at most), and the span of a day."""
     of = lambda shift: F.floor((F.unix_date(day) + shift) / (2 * days + 1))
@@ -42,24 +34,23 @@ def cash_pairs(own: DataFrame, other: DataFrame, days: int = DAYS, cents: int =
     keys = ["account_id", "type"]
     a, b = own.withColumn("c", _cents("amount")), other.withColumn("c", _cents("amount"))
     wide, at = _spans(F.col("on"), days)
-    left = a.join(_blocks(a, b, keys, "c", cents), [*keys, "c"]).select(*keys, "block", F.col("event_id").alias("id1"), F.col("on").alias("on1"), F.col("security_id").alias("s1"), F.explode(F.sequence(F.col("c") - cents, F.col("c") + cents)).alias("c"), "on").withColumn("span", wide).drop("on")
+    left = a.select(*keys, F.col("c").alias("c1"), F.col("event_id").alias("id1"), F.col("on").alias("on1"), F.col("security_id").alias("s1"), F.explode(F.sequence(F.col("c") - cents, F.col("c") + cents)).alias("c"), "on").withColumn("span", wide).drop("on")
     right = b.select(*keys, "c", F.col("event_id").alias("id2"), F.col("on").alias("on2"), F.col("security_id").alias("s2"), at.alias("span"))
     pairs = left.join(right, [*keys, "c", "span"]).withColumn("days", F.abs(F.datediff("on1", "on2"))).where(F.col("days") <= days)
     tier = (~F.coalesce(F.col("s1") == F.col("s2"), F.lit(True))).cast("int")
-    pairs = pairs.select(*keys, "block", "id1", "id2", "on1", tier.alias("tier"), "days")
-    return greedy_one_to_one(pairs, [*keys, "block"], "id1", "id2", ["on1"], ["tier", "days"]).select(*keys, "id1", "id2")
+    pairs = pairs.select(*keys, "id1", "id2", "on1", "s1", "c1", tier.alias("tier"), "days")
+    return greedy_one_to_one(pairs, "id1", "id2", ["on1"], ["tier", "days"], [*keys, "on1", "s1", "c1"]).select(*keys, "id1", "id2")
 
 
 def trade_pairs(own: DataFrame, other: DataFrame, days: int = DAYS, units: float = UNITS) -> DataFrame:
     """One-to-one pairs (account_id, type, id1, id2) of trades (account_id, event_id, type, security_id, on, amount, units): nearest date, then nearest amount."""
     keys = ["account_id", "type", "security_id"]
-    a, b = own.withColumn("d", F.unix_date("on")), other.withColumn("d", F.unix_date("on"))
     wide, at = _spans(F.col("on"), days)
-    left = a.join(_blocks(a, b, keys, "d", days), [*keys, "d"]).select(*keys, "block", F.col("event_id").alias("id1"), F.col("on").alias("on1"), F.col("units").alias("u1"), F.col("amount").alias("m1"), wide.alias("span"))
-    right = b.select(*keys, F.col("event_id").alias("id2"), F.col("on").alias("on2"), F.col("units").alias("u2"), F.col("amount").alias("m2"), at.alias("span"))
+    left = own.select(*keys, F.col("event_id").alias("id1"), F.col("on").alias("on1"), F.col("units").alias("u1"), F.col("amount").alias("m1"), wide.alias("span"))
+    right = other.select(*keys, F.col("event_id").alias("id2"), F.col("on").alias("on2"), F.col("units").alias("u2"), F.col("amount").alias("m2"), at.alias("span"))
     pairs = left.join(right, [*keys, "span"]).withColumn("days", F.abs(F.datediff("on1", "on2"))).where(F.col("days") <= days)
-    pairs = pairs.where(F.abs(F.abs("u1") - F.abs("u2")) < units).withColumn("off", F.abs(_cents("m1") - _cents("m2"))).select(*keys, "block", "id1", "id2", "on1", "days", "off")
-    return greedy_one_to_one(pairs, [*keys, "block"], "id1", "id2", ["on1"], ["days", "off"]).select("account_id", "type", "id1", "id2")
+    pairs = pairs.where(F.abs(F.abs("u1") - F.abs("u2")) < units).withColumn("off", F.abs(_cents("m1") - _cents("m2"))).select(*keys, "id1", "id2", "on1", "u1", "m1", "days", "off")
+    return greedy_one_to_one(pairs, "id1", "id2", ["on1"], ["days", "off"], [*keys, "on1", "u1", "m1"]).select("account_id", "type", "id1", "id2")
 
 
 def reconciled(own: DataFrame, other: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -70,21 +61,23 @@ def reconciled(own: DataFrame, other: DataFrame, pairs: DataFrame) -> DataFrame:
     OWN_ONLY or OTHER_ONLY, which wait for a decision.
     """
     units = lambda d: F.col("units") if "units" in d.columns else F.lit(None).cast("double")
-    a = own.select("account_id", "type", F.col("event_id").alias("id1"), F.col("on").alias("on1"), _cents("amount").alias("c1"), units(own).alias("u1"))
-    b = other.select("account_id", "type", F.col("event_id").alias("id2"), F.col("on").alias("on2"), _cents("amount").alias("c2"), units(other).alias("u2"))
-    both = pairs.join(a, ["account_id", "type", "id1"]).join(b, ["account_id", "type", "id2"])
-    status = F.when(F.abs(F.abs("u1") - F.abs("u2")) > 0.0001, "QUANTITY_MISMATCH").when(F.col("c1") != F.col("c2"), "MATCH_WITH_MINOR_DIFFERENCE").when(F.col("on1") != F.col("on2"), "TIMING_DIFFERENCE").otherwise("MATCH")
-    found = both.select("account_id", "type", "id1", "id2", status.alias("status"), F.when(status == "QUANTITY_MISMATCH", "UNRESOLVED").otherwise("OWN_PREFERRED").alias("authority"))
-
-    def alone(rows: DataFrame, key: str, on: str, covered: DataFrame, only: str, authority: str) -> DataFrame:
-        span = covered.groupBy("account_id").agg(F.min("on").alias("a"), F.max("on").alias("z"))
-        left = rows.join(pairs.select(key), key, "left_anti").join(span, "account_id", "left")
-        outside = F.coalesce((F.col(on) < F.col("a")) | (F.col(on) > F.col("z")), F.lit(True))
-        ids = [F.col(c) if c == key else F.lit(None).cast("string").alias(c) for c in ("id1", "id2")]
-        return left.select("account_id", "type", *ids, F.when(outside, "SOURCE_COVERAGE_DIFFERENCE").otherwise(only).alias("status"), F.when(outside, authority).otherwise("UNRESOLVED").alias("authority"))
-
-    rows = found.unionByName(alone(a, "id1", "on1", other, "OWN_ONLY", "OWN_PREFERRED")).unionByName(alone(b, "id2", "on2", own, "OTHER_ONLY", "OTHER_ONLY_SUPPORTED"))
-    return rows.withColumn("resolved", F.col("status").isin(*RESOLVED))
+    keys = ["account_id", "type"]
+    a = own.select(*keys, F.col("event_id").alias("id1"), F.col("on").alias("on1"), _cents("amount").alias("c1"), units(own).alias("u1"))
+    b = other.select(*keys, F.col("event_id").alias("id2"), F.col("on").alias("on2"), _cents("amount").alias("c2"), units(other).alias("u2"))
+    # what an own event is paired with travels with it, so both sides meet once
+    rows = a.join(pairs.select(*keys, "id1", F.col("id2").alias("mate")), [*keys, "id1"], "left").withColumnsRenamed({c: f"own_{c}" for c in keys})
+    rows = rows.join(b, (F.col("own_account_id") == F.col("account_id")) & (F.col("own_type") == F.col("type")) & (F.col("mate") == F.col("id2")), "full")
+    rows = rows.select(*[F.coalesce(f"own_{c}", c).alias(c) for c in keys], "id1", "id2", "on1", "on2", "c1", "c2", "u1", "u2")
+    spans = own.groupBy("account_id").agg(F.min("on").alias("a1"), F.max("on").alias("z1")).join(other.groupBy("account_id").agg(F.min("on").alias("a2"), F.max("on").alias("z2")), "account_id", "full")
+    rows = rows.join(spans, "account_id", "left")
+    outside = lambda on, side: F.coalesce((F.col(on) < F.col(f"a{side}")) | (F.col(on) > F.col(f"z{side}")), F.lit(True))
+    paired = F.col("id1").isNotNull() & F.col("id2").isNotNull()
+    far = F.when(F.col("id2").isNull(), outside("on1", 2)).otherwise(outside("on2", 1))
+    same = F.when(F.abs(F.abs("u1") - F.abs("u2")) > 0.0001, "QUANTITY_MISMATCH").when(F.col("c1") != F.col("c2"), "MATCH_WITH_MINOR_DIFFERENCE").when(F.col("on1") != F.col("on2"), "TIMING_DIFFERENCE").otherwise("MATCH")
+    rows = rows.withColumn("status", F.when(paired, same).when(far, "SOURCE_COVERAGE_DIFFERENCE").when(F.col("id2").isNull(), "OWN_ONLY").otherwise("OTHER_ONLY"))
+    resolved = F.col("status").isin(*RESOLVED)
+    authority = F.when(~resolved, "UNRESOLVED").when(F.col("id1").isNull(), "OTHER_ONLY_SUPPORTED").otherwise("OWN_PREFERRED")
+    return rows.select(*keys, "id1", "id2", "status", authority.alias("authority"), resolved.alias("resolved"))
 
 
 def match_summary(results: DataFrame) -> DataFrame:
@@ -140,6 +133,6 @@ def attach_brokerage(trades: DataFrame, fees: DataFrame, days: int = 7) -> DataF
     t = trades.where("brokerage > 0").select("account_id", "event_id", "type", "security_id", F.col("on").alias("traded"), _cents("brokerage").alias("c"))
     f = fees.select("account_id", "fee_id", F.col("on").alias("charged"), F.abs(_cents("amount")).alias("c"), F.lower("description").alias("said"))
     named = F.col("said").contains(F.lower("type")) & F.col("said").contains(F.lower("security_id"))
-    pairs = t.join(f, ["account_id", "c"]).withColumn("days", F.datediff("charged", "traded")).where(F.col("days").between(0, days) & named).select("account_id", "c", "event_id", "fee_id", "traded", "days")
-    best = greedy_one_to_one(pairs, ["account_id", "c"], "event_id", "fee_id", ["traded"], ["days"])
+    pairs = t.join(f, ["account_id", "c"]).withColumn("days", F.datediff("charged", "traded")).where(F.col("days").between(0, days) & named).select("account_id", "c", "type", "security_id", "event_id", "fee_id", "traded", "days")
+    best = greedy_one_to_one(pairs, "event_id", "fee_id", ["traded"], ["days"], ["account_id", "c", "type", "security_id", "traded"])
     return trades.join(best.select("event_id", "fee_id", "days"), "event_id", "left")
