@@ -33,7 +33,7 @@ def _d(df: DataFrame, places: int = 6, shift: float = 0.0) -> DataFrame:
     return df.select(*[F.round(F.col(c).cast("double") + shift, places).alias(c) if k.startswith(("decimal", "double")) else F.col(c) for c, k in df.dtypes])
 
 
-_FLOWS = "sum(CASE WHEN type = 'DEPOSIT' THEN amount ELSE 0 END) AS deposits, sum(CASE WHEN type = 'WITHDRAWAL' THEN amount ELSE 0 END) AS withdrawals, sum(CASE WHEN type IN ('DIVIDEND', 'INTEREST') THEN amount ELSE 0 END) AS income, sum(CASE WHEN type = 'FEE' THEN amount ELSE 0 END) AS fees, sum(amount) AS net"
+_FLOWS = "sum(CASE WHEN type = 'DEPOSIT' THEN amount ELSE 0 END) AS deposits, sum(CASE WHEN type = 'WITHDRAWAL' THEN amount ELSE 0 END) AS withdrawals, sum(CASE WHEN type IN ('DIVIDEND', 'DISTRIBUTION', 'INTEREST') THEN amount ELSE 0 END) AS income, sum(CASE WHEN type = 'FEE' THEN amount ELSE 0 END) AS fees, sum(amount) AS net"
 
 
 @query(f"SELECT account_id, deposits::DOUBLE AS deposits, withdrawals::DOUBLE AS withdrawals, income::DOUBLE AS income, fees::DOUBLE AS fees, net::DOUBLE AS net, (deposits + withdrawals)::DOUBLE AS external_net FROM (SELECT account_id, {_FLOWS} FROM ca WHERE trade_date > DATE '2024-01-05' AND trade_date <= DATE '2024-01-25' GROUP BY account_id)")
@@ -146,16 +146,49 @@ def most_traded(spark, sf):
     return analytics.most_traded(td.trades(spark, sf))
 
 
-@query("SELECT account_id, (date_trunc('week', trade_date) + INTERVAL 6 DAY)::DATE AS period_end, coalesce(sum(amount) FILTER (type = 'DIVIDEND'), 0)::DOUBLE AS dividend, coalesce(sum(amount) FILTER (type = 'INTEREST'), 0)::DOUBLE AS interest, sum(amount)::DOUBLE AS gross FROM ca WHERE type IN ('DIVIDEND', 'INTEREST') GROUP BY ALL")
+@query("SELECT account_id, (date_trunc('week', trade_date) + INTERVAL 6 DAY)::DATE AS period_end, coalesce(sum(amount) FILTER (type = 'DIVIDEND'), 0)::DOUBLE AS dividend, coalesce(sum(amount) FILTER (type = 'DISTRIBUTION'), 0)::DOUBLE AS distribution, coalesce(sum(amount) FILTER (type = 'INTEREST'), 0)::DOUBLE AS interest, sum(amount)::DOUBLE AS gross FROM ca WHERE type IN ('DIVIDEND', 'DISTRIBUTION', 'INTEREST') GROUP BY ALL")
 def income_history(spark, sf):
     return _d(analytics.income_history(td.cash_events(spark, sf), "week"))
 
 
-@query(f""", {_DAILY}, i AS (SELECT account_id, trade_date, sum(amount) AS i FROM ca WHERE type IN ('DIVIDEND', 'INTEREST') GROUP BY ALL)
-    SELECT account_id, trade_date, coalesce(sum(i) OVER (PARTITION BY account_id ORDER BY trade_date RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW), 0)::DOUBLE AS income, round(0.0000123 + (sum(cash) OVER x)::DOUBLE / count(*) OVER x, 4) AS average_cash FROM da LEFT JOIN i USING (account_id, trade_date) WINDOW x AS (PARTITION BY account_id ORDER BY trade_date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW)""")
+_TRAILING = f""", {_DAILY}, i AS (SELECT account_id, trade_date, sum(amount) AS i FROM ca WHERE type IN ('DIVIDEND', 'DISTRIBUTION', 'INTEREST') GROUP BY ALL),
+    v AS (SELECT da.account_id, da.trade_date, i, CASE WHEN cash > 0 THEN cash END AS cash FROM da LEFT JOIN i ON i.account_id = da.account_id AND i.trade_date = da.trade_date),
+    y AS (SELECT account_id, trade_date, coalesce(sum(i) OVER (PARTITION BY account_id ORDER BY trade_date RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW), 0)::DOUBLE AS income, (sum(cash) OVER x)::DOUBLE / count(cash) OVER x AS mean, count(cash) OVER x = count(*) OVER x AS whole FROM v
+          WINDOW x AS (PARTITION BY account_id ORDER BY trade_date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW))
+    SELECT account_id, trade_date, income, round(0.0000123 + mean, 4) AS average_cash, round(0.0000123 + income / mean, 4) AS yield, CASE WHEN mean IS NULL THEN 'UNAVAILABLE' WHEN whole THEN 'ACTUAL' ELSE 'ESTIMATED' END AS quality FROM y"""
+
+
+def _valued(cash):
+    return ledger.daily_cash(cash).withColumn("cash", F.when(F.col("cash") > 0, F.col("cash")))
+
+
+@query(_TRAILING)
 def trailing_income(spark, sf):
     cash = td.cash_events(spark, sf)
-    return _d(analytics.trailing_income(cash, ledger.daily_cash(cash), 7), 4, 0.0000123)
+    return _d(analytics.trailing_income(cash, _valued(cash), 7), 4, 0.0000123)
+
+
+@query(f"{_TRAILING} WHERE dayofweek(trade_date) = 0")
+def rolling_income_yield(spark, sf):
+    """At the ends of weeks, since the given events span one month."""
+    cash = td.cash_events(spark, sf)
+    return _d(analytics.trailing_income(cash, _valued(cash), 7, ends="week"), 4, 0.0000123)
+
+
+_TAXED = "SELECT *, CASE WHEN type <> 'INTEREST' THEN 'S' || event_id % 5 END AS security_id, CASE WHEN type = 'DIVIDEND' AND event_id % 2 = 0 THEN (amount * 100)::BIGINT * 3 // 7 END::DECIMAL(18,2) AS franking, CASE WHEN event_id % 7 = 0 THEN (amount * 100)::BIGINT // 10 END::DECIMAL(18,2) AS withheld FROM ca"
+
+
+def _taxed(spark, sf):
+    e = F.col("event_id")
+    return td.cash_events(spark, sf).withColumns({
+        "security_id": F.when(F.col("type") != "INTEREST", F.concat(F.lit("S"), e % 5)), "franking": F.when((F.col("type") == "DIVIDEND") & (e % 2 == 0), F.expr("cast(amount * 100 AS bigint) * 3 div 7")).cast("decimal(18,2)"), "withheld": F.when(e % 7 == 0, F.expr("cast(amount * 100 AS bigint) div 10")).cast("decimal(18,2)"),
+    })
+
+
+@query(f"""SELECT account_id, security_id, last_day(trade_date) AS period_end, coalesce(sum(amount) FILTER (type = 'DIVIDEND'), 0)::DOUBLE AS dividend, coalesce(sum(amount) FILTER (type = 'DISTRIBUTION'), 0)::DOUBLE AS distribution, coalesce(sum(amount) FILTER (type = 'INTEREST'), 0)::DOUBLE AS interest,
+    sum(amount)::DOUBLE AS gross, coalesce(sum(franking), 0)::DOUBLE AS franking, coalesce(sum(withheld), 0)::DOUBLE AS withheld, (sum(amount) - coalesce(sum(withheld), 0))::DOUBLE AS net FROM ({_TAXED}) WHERE type IN ('DIVIDEND', 'DISTRIBUTION', 'INTEREST') GROUP BY ALL""")
+def income_by_security(spark, sf):
+    return _d(analytics.income_history(_taxed(spark, sf), "month", "security_id"))
 
 
 @query(f", {_DAILY} SELECT account_id, 'reached ' || t AS milestone, min(trade_date) AS \"on\" FROM da, (VALUES (100), (500), (1000)) v(t) WHERE cash >= t GROUP BY ALL UNION ALL SELECT account_id, 'all-time high', arg_max(trade_date, (cash, trade_date)) FROM da GROUP BY ALL")

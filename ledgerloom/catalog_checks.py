@@ -74,11 +74,11 @@ def check_missing_security(spark, sf):
 
 
 @query("""SELECT account_id, financial_year, computed, total, 'TAX_DIVIDEND_FRANKING_DRIFT' AS code, 'WARNING' AS severity FROM (SELECT account_id, (year(trade_date) + CASE WHEN month(trade_date) > 6 THEN 1 ELSE 0 END)::INTEGER AS financial_year,
-    sum(CASE WHEN type = 'DIVIDEND' THEN amount ELSE 0 END)::DOUBLE AS computed, sum(CASE WHEN type IN ('DIVIDEND', 'INTEREST') THEN amount ELSE 0 END)::DOUBLE AS total FROM ca GROUP BY ALL) WHERE abs(computed - total) > 0.05""")
+    sum(CASE WHEN type = 'DIVIDEND' THEN amount ELSE 0 END)::DOUBLE AS computed, sum(CASE WHEN type IN ('DIVIDEND', 'DISTRIBUTION', 'INTEREST') THEN amount ELSE 0 END)::DOUBLE AS total FROM ca GROUP BY ALL) WHERE abs(computed - total) > 0.05""")
 def check_tax_totals(spark, sf):
     """Dividends against reports that count interest among them."""
     cash = td.cash_events(spark, sf).withColumn("financial_year", financial_year(F.col("trade_date")))
-    reported = cash.groupBy("account_id", "financial_year").agg(F.coalesce(F.sum(F.when(F.col("type").isin("DIVIDEND", "INTEREST"), F.col("amount"))), F.lit(0)).alias("total"))
+    reported = cash.groupBy("account_id", "financial_year").agg(F.coalesce(F.sum(F.when(F.col("type").isin("DIVIDEND", "DISTRIBUTION", "INTEREST"), F.col("amount"))), F.lit(0)).alias("total"))
     return _d(checks.check_tax_totals(reported, cash.where("type = 'DIVIDEND'")))
 
 
@@ -126,9 +126,9 @@ _WINDOW = f"""{_AVG}, {_PRICES}, {_state_sql("sa", START)}, {_state_sql("sb", EN
     ev AS (SELECT account_id, NULL::VARCHAR AS security_id, type, amount::DOUBLE AS amount, 0::DOUBLE AS fees, (trade_date - {SHIFT})::DATE AS d FROM ca WHERE (trade_date - {SHIFT})::DATE > DATE '{START}' AND (trade_date - {SHIFT})::DATE <= DATE '{END}'
            UNION ALL SELECT account_id, security_id, type, CASE WHEN type = 'BUY' THEN gross + fees ELSE -(gross - fees) END::DOUBLE, fees::DOUBLE, trade_date FROM tr WHERE trade_date > DATE '{START}' AND trade_date <= DATE '{END}'),
     ta AS (SELECT account_id, sum(value) AS v, sum(unrealised) AS u, sum(realised) AS r FROM sa GROUP BY ALL), tb AS (SELECT account_id, sum(value) AS v, sum(unrealised) AS u, sum(realised) AS r FROM sb GROUP BY ALL),
-    te AS (SELECT account_id, coalesce(sum(amount) FILTER (type = 'DIVIDEND'), 0) AS dividends, coalesce(sum(amount) FILTER (type = 'INTEREST'), 0) AS interest, coalesce(sum(amount) FILTER (type IN ('DEPOSIT', 'WITHDRAWAL')), 0) AS external, abs(coalesce(sum(amount) FILTER (type = 'FEE'), 0)) AS all_fees, coalesce(sum(fees) FILTER (type IN ('BUY', 'SELL')), 0) AS trade_costs,
+    te AS (SELECT account_id, coalesce(sum(amount) FILTER (type = 'DIVIDEND'), 0) AS dividends, coalesce(sum(amount) FILTER (type = 'DISTRIBUTION'), 0) AS distributions, coalesce(sum(amount) FILTER (type = 'INTEREST'), 0) AS interest, coalesce(sum(amount) FILTER (type IN ('DEPOSIT', 'WITHDRAWAL')), 0) AS external, abs(coalesce(sum(amount) FILTER (type = 'FEE'), 0)) AS all_fees, coalesce(sum(fees) FILTER (type IN ('BUY', 'SELL')), 0) AS trade_costs,
            coalesce(sum(amount * (DATE '{END}' - d) / (DATE '{END}' - DATE '{START}')) FILTER (type IN ('DEPOSIT', 'WITHDRAWAL')), 0) AS weighted FROM ev GROUP BY ALL),
-    gd AS (SELECT coalesce(tb.account_id, ta.account_id, te.account_id) AS account_id, coalesce(tb.u, 0) - coalesce(ta.u, 0) + coalesce(tb.r, 0) - coalesce(ta.r, 0) AS capital_gains, coalesce(dividends, 0) AS dividends, coalesce(interest, 0) AS interest, coalesce(all_fees - trade_costs, 0) AS fees, coalesce(trade_costs, 0) AS trade_costs, coalesce(external, 0) AS external
+    gd AS (SELECT coalesce(tb.account_id, ta.account_id, te.account_id) AS account_id, coalesce(tb.u, 0) - coalesce(ta.u, 0) + coalesce(tb.r, 0) - coalesce(ta.r, 0) AS capital_gains, coalesce(dividends, 0) AS dividends, coalesce(distributions, 0) AS distributions, coalesce(interest, 0) AS interest, coalesce(all_fees - trade_costs, 0) AS fees, coalesce(trade_costs, 0) AS trade_costs, coalesce(external, 0) AS external
            FROM tb FULL JOIN ta ON ta.account_id = tb.account_id FULL JOIN te ON te.account_id = coalesce(tb.account_id, ta.account_id)),
     ac AS (SELECT coalesce(tb.account_id, ta.account_id) AS account_id, CASE WHEN coalesce(ta.v, 0) + coalesce(weighted, 0) > 0 THEN coalesce(ta.v, 0) + coalesce(weighted, 0) ELSE (coalesce(ta.v, 0) + coalesce(tb.v, 0)) / 2 END AS average_capital
            FROM tb FULL JOIN ta ON ta.account_id = tb.account_id LEFT JOIN te ON te.account_id = coalesce(tb.account_id, ta.account_id))"""
@@ -147,7 +147,7 @@ def _window(spark, sf):
     return begin, finish, events, attribution.average_capital(begin, finish, flows, START, END)
 
 
-@query(f", {_WINDOW} SELECT account_id, {_round('capital_gains')} AS capital_gains, {_round('dividends')} AS dividends, {_round('0')} AS distributions, {_round('interest')} AS interest, {_round('fees')} AS fees, {_round('trade_costs')} AS trade_costs, {_round('0')} AS taxes, {_round('0')} AS other, {_round('external')} AS external FROM gd")
+@query(f", {_WINDOW} SELECT account_id, {_round('capital_gains')} AS capital_gains, {_round('dividends')} AS dividends, {_round('distributions')} AS distributions, {_round('interest')} AS interest, {_round('fees')} AS fees, {_round('trade_costs')} AS trade_costs, {_round('0')} AS taxes, {_round('0')} AS other, {_round('external')} AS external FROM gd")
 def growth_decomposition(spark, sf):
     begin, finish, events, _ = _window(spark, sf)
     return _d(attribution.growth_decomposition(begin, finish, events), 3, 0.0000123)
@@ -173,7 +173,7 @@ def profit_attribution(spark, sf):
     return _d(attribution.profit_attribution(finish, income, cash, capital), 3, 0.0000123)
 
 
-@query(f", {_WINDOW} SELECT gd.account_id, {_round('CASE WHEN average_capital > 0 THEN capital_gains / average_capital END', 4)} AS capital_return, {_round('CASE WHEN average_capital > 0 THEN (dividends + interest) / average_capital END', 4)} AS income_return, {_round('CASE WHEN average_capital > 0 THEN fees / average_capital END', 4)} AS fee_drag, {_round('CASE WHEN average_capital > 0 THEN (capital_gains + dividends + interest - fees) / average_capital END', 4)} AS total_return FROM gd LEFT JOIN ac ON ac.account_id = gd.account_id")
+@query(f", {_WINDOW} SELECT gd.account_id, {_round('CASE WHEN average_capital > 0 THEN capital_gains / average_capital END', 4)} AS capital_return, {_round('CASE WHEN average_capital > 0 THEN (dividends + distributions + interest) / average_capital END', 4)} AS income_return, {_round('CASE WHEN average_capital > 0 THEN fees / average_capital END', 4)} AS fee_drag, {_round('CASE WHEN average_capital > 0 THEN (capital_gains + dividends + distributions + interest - fees) / average_capital END', 4)} AS total_return FROM gd LEFT JOIN ac ON ac.account_id = gd.account_id")
 def return_decomposition(spark, sf):
     begin, finish, events, capital = _window(spark, sf)
     return _d(attribution.return_decomposition(attribution.growth_decomposition(begin, finish, events), capital), 4, 0.0000123)
@@ -196,10 +196,10 @@ def gains_by_security(spark, sf):
     return _d(attribution.gains_by_security(ledger.average_cost(td.trades(spark, sf)).where("type = 'SELL'")), 3, 0.0000123)
 
 
-@query(f", {_WINDOW}, x AS (SELECT coalesce(tb.account_id, i.account_id) AS account_id, coalesce(u, 0) AS u, coalesce(r, 0) AS r, coalesce(income, 0) AS income FROM tb FULL JOIN (SELECT account_id, sum(amount) AS income FROM ev WHERE type IN ('DIVIDEND', 'INTEREST') GROUP BY ALL) i ON i.account_id = tb.account_id) SELECT account_id, {_round('u')} AS unrealised, {_round('r')} AS realised, {_round('income')} AS income, {_round('u + r + income')} AS total FROM x")
+@query(f", {_WINDOW}, x AS (SELECT coalesce(tb.account_id, i.account_id) AS account_id, coalesce(u, 0) AS u, coalesce(r, 0) AS r, coalesce(income, 0) AS income FROM tb FULL JOIN (SELECT account_id, sum(amount) AS income FROM ev WHERE type IN ('DIVIDEND', 'DISTRIBUTION', 'INTEREST') GROUP BY ALL) i ON i.account_id = tb.account_id) SELECT account_id, {_round('u')} AS unrealised, {_round('r')} AS realised, {_round('income')} AS income, {_round('u + r + income')} AS total FROM x")
 def gain_attribution(spark, sf):
     _, finish, events, _ = _window(spark, sf)
-    income = events.where(F.col("type").isin("DIVIDEND", "INTEREST")).groupBy("account_id").agg(F.sum("amount").cast("double").alias("income"))
+    income = events.where(F.col("type").isin("DIVIDEND", "DISTRIBUTION", "INTEREST")).groupBy("account_id").agg(F.sum("amount").cast("double").alias("income"))
     return _d(attribution.gain_attribution(finish, income), 3, 0.0000123)
 
 
@@ -225,7 +225,7 @@ def fee_summary(spark, sf):
     return got.select("account_id", *[F.round(F.col(c) + 0.0000123, 5 if c == "ratio" else 3).alias(c) for c in ("brokerage", "account_fees", "mean_value", "ratio")])
 
 
-@query(f""", {_VALUES}, x AS (SELECT gd.*, mean_value, dividends + interest AS income, capital_gains + dividends + interest - fees AS gain FROM gd LEFT JOIN mv ON mv.account_id = gd.account_id)
+@query(f""", {_VALUES}, x AS (SELECT gd.*, mean_value, dividends + distributions + interest AS income, capital_gains + dividends + distributions + interest - fees AS gain FROM gd LEFT JOIN mv ON mv.account_id = gd.account_id)
     SELECT account_id, {_round('CASE WHEN external > 0 THEN income / external END')} AS income_on_contributions, {_round('CASE WHEN external > 0 THEN gain / external END', 2)} AS gain_on_contributions, {_round('CASE WHEN mean_value > 0 THEN fees / mean_value END', 5)} AS fees_on_value, {_round('CASE WHEN gain > 0 THEN income / gain END')} AS income_share FROM x""")
 def efficiency_metrics(spark, sf):
     begin, finish, events, _ = _window(spark, sf)
@@ -233,17 +233,17 @@ def efficiency_metrics(spark, sf):
     return got.select("account_id", *[F.round(F.col(c) + 0.0000123, k).alias(c) for c, k in (("income_on_contributions", 3), ("gain_on_contributions", 2), ("fees_on_value", 5), ("income_share", 3))])
 
 
-@query("SELECT account_id, (date_trunc('week', trade_date) + INTERVAL 6 DAY)::DATE AS period_end, CASE WHEN type = 'DIVIDEND' THEN 'australian_equities' ELSE 'unknown' END AS asset_class, sum(amount)::DOUBLE AS income FROM ca WHERE type IN ('DIVIDEND', 'INTEREST') GROUP BY ALL")
+@query("SELECT account_id, (date_trunc('week', trade_date) + INTERVAL 6 DAY)::DATE AS period_end, CASE WHEN type = 'DIVIDEND' THEN 'australian_equities' ELSE 'unknown' END AS asset_class, sum(amount)::DOUBLE AS income FROM ca WHERE type IN ('DIVIDEND', 'DISTRIBUTION', 'INTEREST') GROUP BY ALL")
 def income_by_class(spark, sf):
     """Income whose kind stands for its security: dividends have a class, interest has none."""
-    income = td.cash_events(spark, sf).where(F.col("type").isin("DIVIDEND", "INTEREST")).withColumnRenamed("type", "security_id")
+    income = td.cash_events(spark, sf).where(F.col("type").isin("DIVIDEND", "DISTRIBUTION", "INTEREST")).withColumnRenamed("type", "security_id")
     return _d(attribution.income_by_class(income, spark.createDataFrame([("DIVIDEND", "australian_equities")], "security_id string, asset_class string"), bucket_end(F.col("trade_date"), "week")))
 
 
 @query(f""", {_DAILY}, v AS (SELECT account_id, avg(value) AS mean_value, count(value) AS known, count(*) AS days FROM (SELECT account_id, CASE WHEN cash > 0 THEN cash::DOUBLE END AS value FROM da) GROUP BY ALL),
-    i AS (SELECT account_id, sum(amount)::DOUBLE AS income FROM ca WHERE type IN ('DIVIDEND', 'INTEREST') GROUP BY ALL)
+    i AS (SELECT account_id, sum(amount)::DOUBLE AS income FROM ca WHERE type IN ('DIVIDEND', 'DISTRIBUTION', 'INTEREST') GROUP BY ALL)
     SELECT v.account_id, {_round('coalesce(income, 0)')} AS income, {_round('mean_value')} AS mean_value, {_round('CASE WHEN mean_value > 0 THEN coalesce(income, 0) / mean_value END')} AS yield, CASE WHEN known = days THEN 'ACTUAL' ELSE 'ESTIMATED' END AS quality FROM v LEFT JOIN i ON i.account_id = v.account_id""")
 def income_yield(spark, sf):
     cash = td.cash_events(spark, sf)
     values = ledger.daily_cash(cash).select("account_id", F.when(F.col("cash") > 0, F.col("cash").cast("double")).alias("value"))
-    return _d(attribution.income_yield(cash.where(F.col("type").isin("DIVIDEND", "INTEREST")), values, "account_id"), 3, 0.0000123)
+    return _d(attribution.income_yield(cash.where(F.col("type").isin("DIVIDEND", "DISTRIBUTION", "INTEREST")), values, "account_id"), 3, 0.0000123)

@@ -68,7 +68,7 @@ def rolling_return(spark, sf):
 
 
 @query("""SELECT account_id, period_end, gross::DOUBLE AS gross, CASE WHEN lag(gross) OVER w > 0 THEN round(gross::DOUBLE / (lag(gross) OVER w)::DOUBLE - 1, 6) END AS growth
-    FROM (SELECT account_id, (date_trunc('week', trade_date) + INTERVAL 6 DAY)::DATE AS period_end, sum(amount) AS gross FROM ca WHERE type IN ('DIVIDEND', 'INTEREST') GROUP BY ALL) WINDOW w AS (PARTITION BY account_id ORDER BY period_end)""")
+    FROM (SELECT account_id, (date_trunc('week', trade_date) + INTERVAL 6 DAY)::DATE AS period_end, sum(amount) AS gross FROM ca WHERE type IN ('DIVIDEND', 'DISTRIBUTION', 'INTEREST') GROUP BY ALL) WINDOW w AS (PARTITION BY account_id ORDER BY period_end)""")
 def income_growth(spark, sf):
     return _d(history.income_growth(analytics.income_history(td.cash_events(spark, sf), "week")))
 

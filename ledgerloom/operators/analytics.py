@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ledger import INCOME
 from ledgerloom.functions.text import bucket_end, financial_year
 
 
@@ -44,11 +45,13 @@ def realised_gains(disposals: DataFrame) -> DataFrame:
     return disposals.groupBy("account_id", financial_year(F.col("trade_date")).alias("financial_year")).agg(F.sum(F.greatest("gain", F.lit(0.0))).alias("gains"), F.sum(F.least("gain", F.lit(0.0))).alias("losses"), F.sum("gain").alias("net"), F.count("*").alias("sells"))
 
 
-def income_history(cash: DataFrame, granularity: str = "month") -> DataFrame:
-    """Income by kind and bucket."""
-    kinds = ["DIVIDEND", "INTEREST"]
-    own = cash.where(F.col("type").isin(*kinds)).groupBy("account_id", bucket_end(F.col("trade_date"), granularity).alias("period_end"))
-    return own.agg(*[F.coalesce(F.sum(F.when(F.col("type") == k, F.col("amount"))), F.lit(0)).cast("decimal(18,2)").alias(k.lower()) for k in kinds], F.sum("amount").alias("gross"))
+def income_history(cash: DataFrame, granularity: str = "month", *keys: str) -> DataFrame:
+    """Income by kind, bucket and ``keys`` (such as a security); franking credits, tax withheld and what is left, where ``cash`` has such columns."""
+    own = cash.where(F.col("type").isin(*INCOME)).groupBy("account_id", *keys, bucket_end(F.col("trade_date"), granularity).alias("period_end"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("decimal(18,2)")
+    extra = [c for c in ("franking", "withheld") if c in cash.columns]
+    got = own.agg(*[total(F.when(F.col("type") == k, F.col("amount"))).alias(k.lower()) for k in INCOME], F.sum("amount").alias("gross"), *[total(c).alias(c) for c in extra])
+    return got.withColumn("net", (F.col("gross") - F.col("withheld")).cast("decimal(18,2)")) if "withheld" in extra else got
 
 
 def attribution(state: DataFrame, fees: DataFrame) -> DataFrame:
@@ -76,9 +79,19 @@ def milestones(daily: DataFrame, thresholds: list[int]) -> DataFrame:
     return crossed.unionByName(high)
 
 
-def trailing_income(cash: DataFrame, daily: DataFrame, days: int = 360) -> DataFrame:
-    """Income of the last ``days`` days over the mean balance of that span, for every day."""
-    income = cash.where(F.col("type").isin("DIVIDEND", "INTEREST")).groupBy("account_id", "trade_date").agg(F.sum("amount").alias("i"))
+def trailing_income(cash: DataFrame, daily: DataFrame, days: int = 360, value: str = "cash", ends: str | None = None) -> DataFrame:
+    """Income of the last ``days`` days over the mean of what was valued in that span: for every day, or at the ends of buckets.
+
+    The yield is null where nothing was valued or the mean isn't positive, ESTIMATED where some day of the span wasn't.
+    """
+    income = cash.where(F.col("type").isin(*INCOME)).groupBy("account_id", "trade_date").agg(F.sum("amount").alias("i"))
     n = F.unix_date("trade_date")
     w = W.partitionBy("account_id").orderBy(n)
-    return daily.join(income, ["account_id", "trade_date"], "left").select("account_id", "trade_date", F.coalesce(F.sum("i").over(w.rangeBetween(-(days - 1), 0)), F.lit(0)).cast("decimal(18,2)").alias("income"), F.avg(F.col("cash").cast("double")).over(w.rangeBetween(-days, 0)).alias("average_cash"))
+    span = w.rangeBetween(-days, 0)
+    got = daily.join(income, ["account_id", "trade_date"], "left").select(
+        "account_id", "trade_date", F.coalesce(F.sum("i").over(w.rangeBetween(-(days - 1), 0)), F.lit(0)).cast("decimal(18,2)").alias("income"), F.avg(F.col(value).cast("double")).over(span).alias(f"average_{value}"),
+        (F.count(value).over(span) == F.count("*").over(span)).alias("all"),
+    )
+    mean = F.col(f"average_{value}")
+    got = got.withColumn("yield", F.when(mean > 0, F.col("income").cast("double") / mean)).withColumn("quality", F.when(mean.isNull() | (mean <= 0), "UNAVAILABLE").when(F.col("all"), "ACTUAL").otherwise("ESTIMATED")).drop("all")
+    return got if ends is None else got.where(F.col("trade_date") == bucket_end(F.col("trade_date"), ends))

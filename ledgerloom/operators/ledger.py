@@ -27,16 +27,28 @@ def ledger_slice(ledger: DataFrame, after=None, to=None, types: tuple[str, ...]
     return ledger
 
 
-def daily_cash(cash: DataFrame) -> DataFrame:
+def opening_cash(periods: DataFrame) -> DataFrame:
+    """(account_id, opening_cash) of each account's earliest statement period with a start and an opening balance; 0 without one."""
+    known = F.col("period_start").isNotNull() & F.col("opening_cash").isNotNull()
+    return periods.groupBy("account_id").agg(F.coalesce(F.min(F.when(known, F.struct("period_start", "opening_cash")))["opening_cash"], F.lit(0)).cast("decimal(18,2)").alias("opening_cash"))
+
+
+def daily_cash(cash: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """Dense calendar of each account from its first to its last event, with running balance and cumulative flows.
 
+    Balances start at what ``opening`` (opening_cash) has for the account, else at 0.
+
     Events are summed by day first, so a large account's window runs over days, not over events.
     """
     days = cash_flows(cash, "account_id", "trade_date")
     span = cash.groupBy("account_id").agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b")).select("account_id", F.explode(F.sequence("a", "b")).alias("trade_date"))
     w = W.partitionBy("account_id").orderBy("trade_date").rowsBetween(W.unboundedPreceding, 0)
     names = {"net": "cash", "deposits": "cumulative_contributions", "withdrawals": "cumulative_withdrawals", "income": "cumulative_income", "fees": "cumulative_fees"}
-    return span.join(days, ["account_id", "trade_date"], "left").select("account_id", "trade_date", *[F.coalesce(F.sum(c).over(w), F.lit(0)).cast("decimal(18,2)").alias(n) for c, n in names.items()])
+    own = span.join(days, ["account_id", "trade_date"], "left").select("account_id", "trade_date", *[F.coalesce(F.sum(c).over(w), F.lit(0)).cast("decimal(18,2)").alias(n) for c, n in names.items()])
+    if opening is None:
+        return own
+    first = opening.select("account_id", F.col("opening_cash").alias("__first"))
+    return own.join(first, "account_id", "left").withColumn("cash", (F.col("cash") + F.coalesce("__first", F.lit(0))).cast("decimal(18,2)")).drop("__first")
 
 
 def _by_position(*more: str):

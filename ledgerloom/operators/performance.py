@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -127,10 +127,16 @@ def _xirr(days: pd.Series, amounts: pd.Series) -> pd.Series:
     return pd.Series(np.where(solvable, np.round(answer, 10), np.nan)).where(solvable, None)
 
 
+def rate_of(flows: Column) -> Column:
+    """Money-weighted yearly rate of an array of (date, amount) in order of dates; null without two signs."""
+    first = flows[0]["date"]
+    amounts = F.transform(flows, lambda x: x["amount"])
+    both = (F.array_min(amounts) < 0) & (F.array_max(amounts) > 0)
+    return F.when(both, _xirr(F.transform(flows, lambda x: F.datediff(x["date"], first)), amounts))
+
+
 def xirr(flows: DataFrame, *keys: str) -> DataFrame:
     """Money-weighted yearly rate of dated amounts (date, amount) by keys; null without two signs."""
     day = flows.groupBy(*keys, "date").agg(F.sum(F.col("amount").cast("double")).alias("amount"))
-    got = day.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "amount"))).alias("f"), F.min("amount").alias("a"), F.max("amount").alias("b"))
-    first = F.col("f")[0]["date"]
-    days = F.transform("f", lambda x: F.datediff(x["date"], first))
-    return got.select(*keys, F.when((F.col("a") < 0) & (F.col("b") > 0), _xirr(days, F.transform("f", lambda x: x["amount"]))).alias("xirr"))
+    got = day.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "amount"))).alias("f"))
+    return got.select(*keys, rate_of(F.col("f")).alias("xirr"))

@@ -13,7 +13,7 @@ TRADES_SQL = """
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""
 CASH_SQL = """
     SELECT user_id AS account_id, ts::DATE AS trade_date, event_id,
-           CASE event_type WHEN 'purchase' THEN 'DEPOSIT' WHEN 'click' THEN 'WITHDRAWAL' WHEN 'view' THEN 'DIVIDEND' WHEN 'signup' THEN 'INTEREST' ELSE 'FEE' END AS type,
+           CASE event_type WHEN 'purchase' THEN 'DEPOSIT' WHEN 'click' THEN 'WITHDRAWAL' WHEN 'view' THEN CASE WHEN event_id % 4 = 0 THEN 'DISTRIBUTION' ELSE 'DIVIDEND' END WHEN 'signup' THEN 'INTEREST' ELSE 'FEE' END AS type,
            (CASE WHEN event_type IN ('click', 'error') THEN -1 ELSE 1 END * value::DECIMAL(18,2))::DECIMAL(18,2) AS amount
     FROM events"""
 
@@ -33,7 +33,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cash_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "purchase", "DEPOSIT").when(F.col("event_type") == "click", "WITHDRAWAL").when(F.col("event_type") == "view", "DIVIDEND").when(F.col("event_type") == "signup", "INTEREST").otherwise("FEE")
+    kind = F.when(F.col("event_type") == "purchase", "DEPOSIT").when(F.col("event_type") == "click", "WITHDRAWAL").when((F.col("event_type") == "view") & (F.col("event_id") % 4 == 0), "DISTRIBUTION").when(F.col("event_type") == "view", "DIVIDEND").when(F.col("event_type") == "signup", "INTEREST").otherwise("FEE")
     sign = F.when(F.col("event_type").isin("click", "error"), -1).otherwise(1)
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("account_id"), F.to_date("ts").alias("trade_date"), "event_id", kind.alias("type"), (sign * F.col("value").cast("decimal(18,2)")).cast("decimal(18,2)").alias("amount"))
 
