@@ -52,6 +52,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def dropped(table: DataFrame) -> None:
+    """Delete the files of a table made by ``written``, of which nothing is read any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0].rsplit("/", 1)[0]) if table.inputFiles() else None
+    if path is not None and "/ledgerloom/" in path.toString():
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables in between of one call, in the shared folder, and what it broadcasts; both go when the call ends, so its result mustn't read them."""
 

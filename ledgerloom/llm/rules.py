@@ -8,8 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import spare
+
 #: Labelled rows that a fit uses at most: those with the smallest hashes of their ids.
 MAX_TRAIN_ROWS = 20_000
+#: Rows, drawn with replacement from those of a fit, that one tree grows on at most.
+TREE_ROWS = 4_000
 TREES, DEPTH, L1, SEED = 24, 3, 0.0005, 7
 
 
@@ -98,8 +102,8 @@ def _lasso(r: np.ndarray, y: np.ndarray, l1: float, steps: int = 600) -> tuple[n
     return w[:-1], float(w[-1])
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], trees: int = TREES, depth: int = DEPTH, l1: float = L1, seed: int = SEED) -> RuleEnsemble:
-    """Grow trees on resampled rows, take all paths as rules, keep those with weight under the lasso.
+def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], trees: int = TREES, depth: int = DEPTH, l1: float = L1, seed: int = SEED, tree_rows: int = TREE_ROWS) -> RuleEnsemble:
+    """Grow trees on resampled rows (``tree_rows`` at most each), take all paths as rules, keep those with weight under the lasso on all rows.
 
     With no rows the score is 0.5; with rows of one label, it is that label's smoothed share.
     """
@@ -108,7 +112,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], trees: int =
         return RuleEnsemble(names, (), (), float(np.log(rate / (1 - rate))))
     rng, found = np.random.default_rng(seed), {}
     for _ in range(trees):
-        rows = rng.integers(0, len(y), min(len(y), 4_000))
+        rows = rng.integers(0, len(y), min(len(y), tree_rows))
         for path in _paths(x[rows], y[rows].astype(float), rng, depth):
             held = np.all([(x[:, i] > c) == over for i, over, c in path], 0)
             if 0 < held.sum() < len(y):
@@ -122,20 +126,28 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], trees: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_TRAIN_ROWS, **options) -> RuleEnsemble:
-    """Fit on at most ``max_rows`` labelled documents; statistics of those alone reach the driver.
+    """Fit on at most ``max_rows`` labelled documents; statistics of those alone reach the driver. ``options`` go to fit_rules.
 
-    Rows with a null id or label are left out; labels other than 0 count as 1. A repeated id keeps its largest label.
+    Rows with a null id or label are left out; labels other than 0 count as 1. A repeated id keeps its largest label, and
+    of its documents the one with the least statistics counts, so no more than ``max_rows`` rows come back. Equal hashes
+    of ids are settled by the id. Very long texts count whole, as their statistics do. Columns of any name may stand
+    beside those asked for.
     """
-    own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("__y"))
-    own = own.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    stats = statistics(F.col(text_col))
-    rows = docs.join(F.broadcast(own), F.col(id_col) == F.col("__id")).select("__id", "__y", *[c.alias(f"__{n}") for n, c in stats.items()])
-    got = rows.toPandas().sort_values(["__id", *[f"__{n}" for n in stats]])
-    return fit_rules(got[[f"__{n}" for n in stats]].to_numpy(float), got["__y"].to_numpy(), tuple(stats), **options)
+    own = labels.select(F.col(id_col).alias("key"), F.col(label_col).alias("y")).where("key IS NOT NULL AND y IS NOT NULL").groupBy("key").agg(F.max((F.col("y") != 0).cast("int")).alias("y"))
+    own = own.orderBy(F.xxhash64("key"), "key").limit(max_rows)
+    stats = statistics(F.col("text"))
+    bare = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = bare.join(F.broadcast(own), F.col("id") == F.col("key")).select("id", "y", F.struct(*[c.alias(n) for n, c in stats.items()]).alias("s"))
+    got = rows.groupBy("id").agg(F.max("y").alias("y"), F.min("s").alias("s")).select("id", "y", "s.*").toPandas().sort_values("id")
+    return fit_rules(got[list(stats)].to_numpy(float), got["y"].to_numpy(), tuple(stats), **options)
 
 
 def score(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with the model's score of each whole text; a null or empty text has one too."""
-    stats = statistics(F.col(text_col))
-    full = docs.withColumns({f"__{n}": c for n, c in stats.items()})
-    return full.withColumn(score_col, model.score({n: F.col(f"__{n}") for n in stats})).drop(*[f"__{n}" for n in stats])
+    """``docs`` with the model's score of each whole text; a null or empty text has one too, equal texts have equal ones.
+
+    A column called as ``score_col`` is replaced; all others stay, whatever their names. An empty table stays empty.
+    """
+    kept = [c for c in docs.columns if c.lower() != score_col.lower()]
+    names = {n: spare(docs, f"stat_{n}") for n in statistics(F.col(text_col))}
+    full = docs.withColumns({names[n]: c for n, c in statistics(F.col(text_col)).items()})
+    return full.select(*[F.col(f"`{c}`") for c in kept], model.score({n: F.col(c) for n, c in names.items()}).alias(score_col))

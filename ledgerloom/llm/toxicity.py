@@ -62,8 +62,11 @@ def _frequent(shared: Broadcast, least: int):
     return run
 
 
-def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, l1: float = LAMBDA1) -> tuple[np.ndarray, np.ndarray, float]:
-    """FTRL-proximal over binary features: (features, weights other than 0, bias), each coordinate with its own rate."""
+def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, l1: float = LAMBDA1, max_weights: int = MAX_WEIGHTS) -> tuple[np.ndarray, np.ndarray, float]:
+    """FTRL-proximal over binary features: (features, weights other than 0, bias), each coordinate with its own rate.
+
+    The L1 penalty ``l1`` is doubled and the fit done again while more than ``max_weights`` weights are left.
+    """
     names, counts = np.unique(np.concatenate([*rows, np.empty(0, np.int64)]), return_counts=True)
     names = names[counts >= LEAST_DOCS]
     own = []
@@ -88,7 +91,7 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, l1: float
                 n[at] = n2
         w = weights(np.arange(len(names) + 1))
         keep = np.flatnonzero(w[:-1])
-        if len(keep) <= MAX_WEIGHTS:
+        if len(keep) <= max_weights:
             return names[keep], w[keep], float(w[-1])
         l1 *= 2
 
@@ -114,9 +117,11 @@ def best_cut(logits: np.ndarray, y: np.ndarray, recall_weight: float = RECALL_WE
     return float(logits[order[k]] - 1 if k + 1 == len(y) else (logits[order[k]] + logits[order[k + 1]]) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, cut: float = CUT) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, cut: float = CUT, max_weights: int = MAX_WEIGHTS) -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on at most ``max_rows`` labelled documents: sorted features, their weights and the bias.
 
+    Weights are broadcast when texts are scored, so there are ``max_weights`` of them at most: a vocabulary that leaves
+    more is fitted under a doubled penalty (the given tables stay below a hundredth of that).
     Three fits run side by side: one on all rows, and one on either half that scores the other. The bias is then moved
     so that ``cut`` is where those scores tell the halves' rows apart best, precision before recall. Rows with a null id
     or label are left out; a repeated id keeps its largest label, and each of its documents counts. Null and empty texts
@@ -134,9 +139,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         each, y = [np.asarray(x, np.int64) for x in rows["features"].to_pandas()], rows["y"].to_numpy().astype(float)
         half, part = rows["half"].to_numpy(), key[0].as_py()
         if part == 2:
-            f, w, bias = ftrl(each, y)
+            f, w, bias = ftrl(each, y, max_weights=max_weights)
             return pa.table({"feature": np.append(f, -1), "weight": np.append(w, bias)})
-        fitted = ftrl([x for x, h in zip(each, half, strict=True) if h != part], y[half != part])
+        fitted = ftrl([x for x, h in zip(each, half, strict=True) if h != part], y[half != part], max_weights=max_weights)
         return pa.table({"feature": -2 - y[half == part].astype(np.int64), "weight": _logits(fitted, [x for x, h in zip(each, half, strict=True) if h == part])})
 
     with Scratch(docs.sparkSession) as tables:
