@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,18 +63,36 @@ def _frequent(shared: Broadcast, least: int):
     return run
 
 
-def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, l1: float = LAMBDA1, max_weights: int = MAX_WEIGHTS) -> tuple[np.ndarray, np.ndarray, float]:
+class Bags:
+    """Features of rows in one flat array, and where each row's begin: no row has an array of its own."""
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray):
+        self.flat, self.starts = flat, starts
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def of(self, row: int) -> np.ndarray:
+        return self.flat[self.starts[row] : self.starts[row + 1]]
+
+    def only(self, keep: np.ndarray) -> Bags:
+        size = np.diff(self.starts)
+        return Bags(self.flat[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]))
+
+
+def ftrl(bags: Bags, y: np.ndarray, order: np.ndarray, epochs: int = EPOCHS, l1: float = LAMBDA1, max_weights: int = MAX_WEIGHTS) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal over binary features: (features, weights other than 0, bias), each coordinate with its own rate.
 
-    The L1 penalty ``l1`` is doubled and the fit done again while more than ``max_weights`` weights are left.
+    Rows are taken in ``order``. The L1 penalty ``l1`` is doubled and the fit done again while more than ``max_weights``
+    weights are left.
     """
-    names, counts = np.unique(np.concatenate([*rows, np.empty(0, np.int64)]), return_counts=True)
+    names, counts = np.unique(bags.flat, return_counts=True)
     names = names[counts >= LEAST_DOCS]
-    own = []
-    for r in rows:
-        at = np.searchsorted(names, r)
-        own.append(np.append(at[(at < len(names)) & (names[np.minimum(at, max(len(names) - 1, 0))] == r)] if len(names) else at[:0], len(names)))
-    order = np.random.default_rng(11).permutation(len(rows))
+    at = np.searchsorted(names, bags.flat).astype(np.int32)
+    known = names[np.minimum(at, max(len(names) - 1, 0))] == bags.flat if len(names) else np.zeros(len(at), bool)
+    ends = np.concatenate([[0], np.cumsum(known)])[bags.starts[1:]]
+    own = Bags(np.insert(at[known], ends, np.int32(len(names))), np.concatenate([[0], ends]) + np.arange(len(bags) + 1))  # a row's last one is the bias
+    del at, known
     while True:
         z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
         least = np.append(np.full(len(names), l1), 0.0)
@@ -83,7 +102,7 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, l1: float
 
         for _ in range(epochs):
             for i in order:
-                at = own[i]
+                at = own.of(i)
                 w = weights(at)
                 g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y[i]
                 n2 = n[at] + g * g
@@ -96,10 +115,11 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, l1: float
         l1 *= 2
 
 
-def _logits(model: tuple[np.ndarray, np.ndarray, float], rows: list[np.ndarray]) -> np.ndarray:
+def _logits(model: tuple[np.ndarray, np.ndarray, float], bags: Bags) -> np.ndarray:
     names, weights, bias = model
-    out = np.full(len(rows), bias)
-    for k, r in enumerate(rows if len(names) else []):
+    out = np.full(len(bags), bias)
+    for k in range(len(bags) if len(names) else 0):
+        r = bags.of(k)
         at = np.minimum(np.searchsorted(names, r), len(names) - 1)
         out[k] += weights[at][names[at] == r].sum()
     return out
@@ -135,14 +155,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kind = "id string, y int, features array<long>"
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("id", "ascending"), ("text", "ascending")])
-        each, y = [np.asarray(x, np.int64) for x in rows["features"].to_pandas()], rows["y"].to_numpy().astype(float)
-        half, part = rows["half"].to_numpy(), key[0].as_py()
+        place = np.argsort(pc.sort_indices(rows.select(["id", "text"]), [("id", "ascending"), ("text", "ascending")]).to_numpy())
+        lists = rows["features"].combine_chunks()
+        bags = Bags(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]))
+        y, half, part = rows["y"].to_numpy().astype(float), rows["half"].to_numpy(), key[0].as_py()
+
+        def fit(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+            by_id = np.argsort(place[keep])  # the k-th row by id is row by_id[k] of those kept
+            order = by_id[np.random.default_rng(11).permutation(len(by_id))]
+            return ftrl(bags if keep.all() else bags.only(keep), y[keep], order, max_weights=max_weights)
+
         if part == 2:
-            f, w, bias = ftrl(each, y, max_weights=max_weights)
+            f, w, bias = fit(np.ones(len(y), bool))
             return pa.table({"feature": np.append(f, -1), "weight": np.append(w, bias)})
-        fitted = ftrl([x for x, h in zip(each, half, strict=True) if h != part], y[half != part], max_weights=max_weights)
-        return pa.table({"feature": -2 - y[half == part].astype(np.int64), "weight": _logits(fitted, [x for x, h in zip(each, half, strict=True) if h == part])})
+        return pa.table({"feature": -2 - y[half == part].astype(np.int64), "weight": _logits(fit(half != part), bags.only(half == part))})
 
     with Scratch(docs.sparkSession) as tables:
         rows = tables.written(bare.mapInArrow(_featured, kind), "features")
