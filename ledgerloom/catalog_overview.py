@@ -9,6 +9,7 @@ from ledgerloom.catalog import _DAILY, _TAXED, _d, _taxed, query
 from ledgerloom.operators import income, ledger, overview
 from ledgerloom.operators.periods import STANDARD_DAYS
 from ledgerloom.sources import testdata as td
+from ledgerloom.streaming import histories
 
 
 def _r(x: str, places: int = 6) -> str:
@@ -143,3 +144,11 @@ def reported_reconciliation(spark, sf):
 @query(f", {_CHECKS} SELECT account_id, count(*) AS total, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (status = 'SKIP') AS skipped FROM cs GROUP BY ALL")
 def reconciliation_counts(spark, sf):
     return income.reconciliation_counts(_checks(spark, sf))
+
+
+@query(f""", d AS (SELECT account_id, trade_date AS t, sum(amount) AS net, coalesce(sum(amount) FILTER (type IN ('DEPOSIT', 'WITHDRAWAL')), 0) AS ext FROM ca GROUP BY ALL), c AS (SELECT *, sum(net) OVER w AS cash, sum(net) OVER w - net AS prior FROM d WINDOW w AS (PARTITION BY account_id ORDER BY t)),
+    i AS (SELECT *, 100 * product(CASE WHEN prior > 0 THEN 1 + (net - ext)::DOUBLE / prior::DOUBLE ELSE 1 END) OVER (PARTITION BY account_id ORDER BY t) AS index FROM c)
+    SELECT account_id, t AS "on", (cash * 100)::BIGINT AS cash, greatest(0, (max(cash) OVER w * 100)::BIGINT) AS high, {_r("index")} AS index, {_r("greatest(100, max(index) OVER w)")} AS index_high FROM i WINDOW w AS (PARTITION BY account_id ORDER BY t)""")
+def cash_history(spark, sf):
+    """What stream_history keeps up by account, built at once; tests hold the stream against it."""
+    return _d(histories.cash_history(td.cash_events(spark, sf)), 6, 0.0000000123)
