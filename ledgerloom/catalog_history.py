@@ -259,7 +259,7 @@ def parse_investment(spark, sf):
 
 
 @query("""SELECT event_id, c AS cash_class, CASE WHEN c IS NULL THEN 'UNKNOWN_CASH_TYPE' WHEN event_id % 31 = 0 THEN 'BAD_DATE' WHEN event_id % 37 = 0 THEN 'BAD_TOTAL' END AS reason_code, event_id % 37 <> 0 AND coalesce(CASE WHEN c IN ('DEPOSIT', 'DISTRIBUTION_INCOME', 'FEE_REVERSAL') THEN amount < 0 WHEN c IN ('WITHDRAWAL', 'ADMIN_FEE', 'TRADE_BROKERAGE_CASH') THEN amount > 0 END, false) AS warned, CASE WHEN event_id % 37 <> 0 THEN amount::DOUBLE END AS signed_total
-    FROM (SELECT event_id, amount, CASE WHEN event_id % 29 = 0 THEN NULL WHEN type = 'DIVIDEND' THEN 'DISTRIBUTION_INCOME' WHEN type <> 'FEE' THEN type WHEN event_id % 3 = 0 THEN 'FEE_REVERSAL' WHEN event_id % 3 = 1 THEN 'TRADE_BROKERAGE_CASH' ELSE 'ADMIN_FEE' END AS c FROM ca)""")
+    FROM (SELECT event_id, amount, CASE WHEN event_id % 29 = 0 THEN NULL WHEN type IN ('DIVIDEND', 'DISTRIBUTION') THEN 'DISTRIBUTION_INCOME' WHEN type <> 'FEE' THEN type WHEN event_id % 3 = 0 THEN 'FEE_REVERSAL' WHEN event_id % 3 = 1 THEN 'TRADE_BROKERAGE_CASH' ELSE 'ADMIN_FEE' END AS c FROM ca)""")
 def parse_cash(spark, sf):
     """The cash events written as an export, with some cells spoilt."""
     e = F.col("event_id")
