@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm.bpe import CHUNKS, cut_at_spaces, matches
-from ledgerloom.llm.common import spare, written
+from ledgerloom.llm.common import given_back, spare, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Id that ends each document, tokens of a sequence, and pieces that one task packs together.
@@ -76,6 +76,9 @@ def _pieces(path: str, most: int, end: int):
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     at.append(row), piece.append(k), start.append(a), length.append(b - a), crc.append(zlib.crc32(data[4 * a : 4 * b]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["id", "piece", "start", "length", "ids_crc32"])
+        known.pieces.clear()
+        known.clear()
+        given_back()
 
     return run
 
