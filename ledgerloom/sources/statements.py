@@ -18,10 +18,11 @@ SECTIONS = {
 }
 HEADINGS = {"Exchange traded funds": "etf", "Australian shares": "australian_share", "Managed funds": "managed_fund", "Cash account": "cash"}
 KINDS = {"Annual Tax Report": "TAX_REPORT", "Performance Report": "PERFORMANCE", "Annual Statement": "ANNUAL", "Quarterly Statement": "QUARTERLY"}
-SUMMARY = {"opening_value": rf"opening value as at .+?\s({NUMBER})\s*$", "closing_value": rf"closing value as at .+?\s({NUMBER})\s*$", "deposits": rf"Deposits\b.*?\s({NUMBER})", "withdrawals": rf"Withdrawals\b.*?\s({NUMBER})", "income": rf"Income from your investments\s+({NUMBER})", "fees": rf"fees and costs\s+({NUMBER})"}
+SUMMARY = {"opening_value": rf"opening value as at .+?\s({NUMBER})\s*$", "closing_value": rf"closing value as at .+?\s({NUMBER})\s*$", "deposits": rf"(?i)^\s*deposits into\b.*?\s({NUMBER})\s*$", "withdrawals": rf"(?i)^\s*withdrawals from\b.*?\s({NUMBER})\s*$", "transfers_in": rf"(?i)assets transferred in\s+({NUMBER})", "transfers_out": rf"(?i)assets transferred out\s+({NUMBER})", "change_in_value": rf"(?i)change in investment value\s+({NUMBER})", "withholding_tax": rf"(?i)withholding tax\s+({NUMBER})", "reported_return": rf"(?i)return after withholding tax and fees\s+({NUMBER})", "income": rf"Income from your investments\s+({NUMBER})", "fees": rf"fees and costs\s+({NUMBER})"}
 IDENTITY = r"(?i)^\s*(Investor name|Account number|Tax file number status|BSB)\s*:"
 SELF_CONTAINED = r"(?i)^(DIV\s*:|Buy transaction of|Sell transaction of|Account Fee|Cash Account Interest|Opening balance|Closing balance|Failed Direct Debit)"
 
+#: How rows of holdings, trades and cash are laid out.
 _HOLDING = rf"^([A-Z]{{2,5}})\s+(.*?)\s*({NUMBER})\s+({NUMBER})\s+({DATE_SHORT})\s+({NUMBER})\s*$"
 _TRADE = rf"^({DATE_LONG})\s+({DATE_LONG}|Not yet settled)\s+(.*?)({NUMBER})\s+({NUMBER})\s+({NUMBER})\s+([A-Z]{{3}})\s+({NUMBER})\s*$"
 _CODE = r"\(([A-Z]{2,5})\)"
@@ -62,9 +63,9 @@ def _part(pattern: str, k: int, text: str = "text") -> Column:
 
 def extract_holdings(lines: DataFrame, headings: dict[str, str] = HEADINGS) -> DataFrame:
     """Holdings under asset-class headings: (document_id, page, code, name, asset_class, units, price, price_date, value); totals and cash are none."""
-    heading = F.when(F.lit(False), None)
-    for phrase, kind in headings.items():
-        heading = heading.when(F.col("text").startswith(phrase), kind)
+    heading = F.when(F.col("text").rlike(_HOLDING), None)
+    for phrase, kind in headings.items():  # a provider's name may stand before a heading
+        heading = heading.when(F.col("text").rlike(rf"(?i)^\s*(\w+\s+)?{phrase}\b"), kind)
     own = _of(lines, "holdings").withColumn("asset_class", F.last(heading, ignorenulls=True).over(_in_order().rowsBetween(W.unboundedPreceding, 0)))
     rows = own.where(F.col("text").rlike(_HOLDING) & ~F.col("text").startswith("Total") & (F.col("asset_class") != "cash"))
     number = lambda k: parse_decimal(_part(_HOLDING, k))
