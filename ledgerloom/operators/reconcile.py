@@ -133,6 +133,8 @@ def attach_brokerage(trades: DataFrame, fees: DataFrame, days: int = 7) -> DataF
     t = trades.where("brokerage > 0").select("account_id", "event_id", "type", "security_id", F.col("on").alias("traded"), _cents("brokerage").alias("c"))
     f = fees.select("account_id", "fee_id", F.col("on").alias("charged"), F.abs(_cents("amount")).alias("c"), F.lower("description").alias("said"))
     named = F.col("said").contains(F.lower("type")) & F.col("said").contains(F.lower("security_id"))
-    pairs = t.join(f, ["account_id", "c"]).withColumn("days", F.datediff("charged", "traded")).where(F.col("days").between(0, days) & named).select("account_id", "c", "type", "security_id", "event_id", "fee_id", "traded", "days")
+    span = lambda d, shift: F.floor((F.unix_date(d) + shift) / (days + 1))  # noqa: E731  a window of days meets two spans at most
+    t = t.withColumn("span", F.explode(F.array_distinct(F.array(span("traded", 0), span("traded", days)))))
+    pairs = t.join(f.withColumn("span", span("charged", 0)), ["account_id", "c", "span"]).withColumn("days", F.datediff("charged", "traded")).where(F.col("days").between(0, days) & named).select("account_id", "c", "type", "security_id", "event_id", "fee_id", "traded", "days")
     best = greedy_one_to_one(pairs, "event_id", "fee_id", ["traded"], ["days"], ["account_id", "c", "type", "security_id", "traded"])
     return trades.join(best.select("event_id", "fee_id", "days"), "event_id", "left")
