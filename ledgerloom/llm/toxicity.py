@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, WordScan, chain, counter_of, level_of, mix, rarity, spare
+from ledgerloom.llm.common import Scratch, WordScan, chain, counter_of, given_back, level_of, mix, rarity, spare
 
 #: Labelled rows that a fit uses at most (those with the smallest hashes of their ids).
 MAX_TRAIN_ROWS = 24_000
@@ -75,10 +75,6 @@ class Bags:
     def of(self, row: int) -> np.ndarray:
         return self.flat[self.starts[row] : self.starts[row + 1]]
 
-    def only(self, keep: np.ndarray) -> Bags:
-        size = np.diff(self.starts)
-        return Bags(self.flat[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]))
-
 
 def ftrl(bags: Bags, y: np.ndarray, order: np.ndarray, epochs: int = EPOCHS, l1: float = LAMBDA1, max_weights: int = MAX_WEIGHTS) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal over binary features: (features, weights other than 0, bias), each coordinate with its own rate.
@@ -88,8 +84,11 @@ def ftrl(bags: Bags, y: np.ndarray, order: np.ndarray, epochs: int = EPOCHS, l1:
     """
     names, counts = np.unique(bags.flat, return_counts=True)
     names = names[counts >= LEAST_DOCS]
-    at = np.searchsorted(names, bags.flat).astype(np.int32)
-    known = names[np.minimum(at, max(len(names) - 1, 0))] == bags.flat if len(names) else np.zeros(len(at), bool)
+    at, known = np.zeros(len(bags.flat), np.int32), np.zeros(len(bags.flat), bool)
+    for k in range(0, len(at) if len(names) else 0, 1 << 20):  # in pieces: places of all features at once would be as large as the features
+        part = bags.flat[k : k + (1 << 20)]
+        at[k : k + (1 << 20)] = place = np.minimum(np.searchsorted(names, part), len(names) - 1)
+        known[k : k + (1 << 20)] = names[place] == part
     ends = np.concatenate([[0], np.cumsum(known)])[bags.starts[1:]]
     own = Bags(np.insert(at[known], ends, np.int32(len(names))), np.concatenate([[0], ends]) + np.arange(len(bags) + 1))  # a row's last one is the bias
     del at, known
@@ -142,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Weights are broadcast when texts are scored, so there are ``max_weights`` of them at most: a vocabulary that leaves
     more is fitted under a doubled penalty (the given tables stay below a hundredth of that).
-    Three fits run side by side: one on all rows, and one on either half that scores the other. The bias is then moved
+    Three fits run side by side: one on all rows, and one on either half, which then scores the other. A fit gets its own
+    rows only, in batches, and holds their features once. The bias is then moved
     so that ``cut`` is where those scores tell the halves' rows apart best, precision before recall. Rows with a null id
     or label are left out; a repeated id keeps its largest label, and each of its documents counts. Null and empty texts
     have no features; an empty table or one without labels gives a bias of 0, so every score is 0.5. Extra columns are
@@ -154,31 +154,50 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     bare = bare.join(F.broadcast(own), F.col("__key") == F.col("__id")).select(F.col("__id").cast("string").alias("id"), "__y", "text")
     kind = "id string, y int, features array<long>"
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        place = np.argsort(pc.sort_indices(rows.select(["id", "text"]), [("id", "ascending"), ("text", "ascending")]).to_numpy())
-        lists = rows["features"].combine_chunks()
-        bags = Bags(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]))
-        y, half, part = rows["y"].to_numpy().astype(float), rows["half"].to_numpy(), key[0].as_py()
-
-        def fit(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-            by_id = np.argsort(place[keep])  # the k-th row by id is row by_id[k] of those kept
-            order = by_id[np.random.default_rng(11).permutation(len(by_id))]
-            return ftrl(bags if keep.all() else bags.only(keep), y[keep], order, max_weights=max_weights)
-
-        if part == 2:
-            f, w, bias = fit(np.ones(len(y), bool))
-            return pa.table({"feature": np.append(f, -1), "weight": np.append(w, bias)})
-        return pa.table({"feature": -2 - y[half == part].astype(np.int64), "weight": _logits(fit(half != part), bags.only(half == part))})
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said, sizes, flats = [], [], []
+        for batch in batches:  # features are copied out, so that no batch outlives the next
+            said.append(batch.select(["id", "y", "text"]))
+            sizes.append(batch["features"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            flats.append(batch["features"].flatten().to_numpy().copy())
+        del batch
+        rows = pa.Table.from_batches(said)
+        starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        flat, k = np.empty(starts[-1], np.int64), 0
+        while flats:
+            flat[k : k + len(flats[0])] = flats[0]
+            k += len(flats.pop(0))
+        by_id = pc.sort_indices(rows.select(["id", "text"]), [("id", "ascending"), ("text", "ascending")]).to_numpy()
+        f, w, bias = ftrl(Bags(flat, starts), rows["y"].to_numpy().astype(float), by_id[np.random.default_rng(11).permutation(len(by_id))], max_weights=max_weights)
+        del flat
+        given_back()
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f) + 1, key[0].as_py()), pa.int32()), pa.array(np.append(f, -1)), pa.array(np.append(w, bias))], ["part", "feature", "weight"])
+
+    def other_half(shared: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            models = shared.value
+            for batch in batches:
+                lists, half = batch.column(1), batch.column(2).to_numpy()
+                bags = Bags(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]))
+                logits = np.choose(half, [_logits(models[1], bags), _logits(models[0], bags)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(logits)], ["y", "logit"])
+
+        return run
 
     with Scratch(docs.sparkSession) as tables:
         rows = tables.written(bare.mapInArrow(_featured, kind), "features")
         levels = tables.broadcast(rarity(rows.select("features"), lambda: lambda batch: [batch.column(0).flatten().to_numpy().view(np.uint64) << _DROP]))
-        kept = rows.mapInArrow(_frequent(levels, LEAST_DOCS), kind).withColumns({"half": F.pmod(F.xxhash64("id"), F.lit(2)).cast("int"), "text": F.xxhash64("features")})
-        got = kept.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).groupBy("part").applyInArrow(run, "feature long, weight double").toPandas().sort_values(["feature", "weight"])
-    f, w = got["feature"].to_numpy(np.int64), got["weight"].to_numpy(float)
-    at = best_cut(w[f < -1], -2.0 - f[f < -1])
+        half = F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")
+        kept = rows.mapInArrow(_frequent(levels, LEAST_DOCS), kind).withColumns({"half": half, "text": F.xxhash64("features")})
+        got = kept.withColumn("part", F.explode(F.array("half", F.lit(2)))).drop("half").groupBy("part").applyInArrow(run, "part int, feature long, weight double").toPandas().sort_values(["part", "feature"])
+        models = []
+        for part in range(3):
+            f, w = (got.loc[got["part"] == part, c].to_numpy() for c in ("feature", "weight"))
+            models.append((f[f >= 0], w[f >= 0], float(w[f == -1].sum())))
+        scored = rows.select("y", "features", half.alias("half")).mapInArrow(other_half(tables.broadcast(models[:2])), "y int, logit double").toPandas().sort_values(["y", "logit"], ascending=[False, True])
+    at = best_cut(scored["logit"].to_numpy(), scored["y"].to_numpy().astype(float))
     shift = 0.0 if at is None else float(np.log(cut / (1 - cut))) - at
-    return f[f >= 0], w[f >= 0], float(w[f == -1].sum()) + shift
+    return models[2][0], models[2][1], models[2][2] + shift
 
 
 def with_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
