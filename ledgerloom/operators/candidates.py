@@ -42,7 +42,8 @@ def match_exports(trades: DataFrame, cash: DataFrame, cents: int = 1, days: int
     or a QUANTITY_MISMATCH. Rows that say the same are counted before the join: a crowd of them makes one pair.
 
     Ids come from what rows say and the ordinal among equal trades, so reordered exports have the same ids; unmatched
-    cash has no ordinal. Rows with a null day or amount fit nothing.
+    cash has no ordinal. Rows with a null day or amount fit nothing. The ordinals of a crowd of equal trades are counted
+    by one task, as a sort that spills.
     """
     span = lambda d, shift: F.floor((F.unix_date(d) + shift) / (2 * days + 1))  # noqa: E731  a window of days meets two spans at most
     said = ["account_id", "side", "pid", "name", "trade_date", "gross_value"]
