@@ -112,18 +112,29 @@ def benchmark_risk(paired: DataFrame, least: int = 6) -> DataFrame:
     return both.select("account_id", "observations", F.when(enough & (F.col("v") > 0), F.col("c") / F.col("v")).alias("beta"), F.when(enough, F.col("k")).alias("correlation"))
 
 
-def benchmark_comparison(paired: DataFrame) -> DataFrame:
-    """Chained return of account and benchmark over all their measurable periods, the difference, and how many have both."""
+def benchmark_comparison(paired: DataFrame, methodology: str | None = None) -> DataFrame:
+    """Chained return of account and benchmark over all their measurable periods, the difference, and how many have both.
+
+    With a ``methodology`` of the benchmark also a status, and whether it's a price return, against which an account's
+    total return looks better than it is.
+    """
     got = paired.groupBy("account_id").agg((F.product(1 + F.col("r")) - 1).alias("portfolio"), (F.product(1 + F.col("b")) - 1).alias("benchmark"), F.count_if(F.col("r").isNotNull() & F.col("b").isNotNull()).alias("covered"), F.count("*").alias("periods"))
-    return got.withColumn("relative", F.col("portfolio") - F.col("benchmark"))
+    got = got.withColumn("relative", F.col("portfolio") - F.col("benchmark"))
+    if methodology is None:
+        return got
+    status = F.when(F.col("relative").isNull(), "UNAVAILABLE").otherwise("OK")
+    return got.withColumn("status", status).withColumn("mismatch", (F.col("status") == "OK") & F.lit(methodology == "price_return"))
 
 
-def turnover(activity: DataFrame, daily: DataFrame) -> DataFrame:
-    """The smaller of all bought and sold over the mean daily value; null where that isn't positive."""
+def turnover(activity: DataFrame, daily: DataFrame, method: str = "lesser") -> DataFrame:
+    """The ``lesser`` of all bought and sold, or the ``total`` of both, over the mean daily value; null where that isn't positive."""
+    if method not in ("lesser", "total"):
+        raise ValueError(f"no turnover by {method}")
     mean = daily.groupBy("account_id").agg(F.sum("cash").alias("s"), F.count("cash").alias("n"))
     own = activity.groupBy("account_id").agg(F.sum("bought").alias("bought"), F.sum("sold").alias("sold")).join(mean, "account_id")
     value = F.col("s").cast("double") / F.col("n")
-    return own.select("account_id", F.when(value > 0, F.least("bought", "sold").cast("double") / value).alias("turnover"))
+    traded = F.least("bought", "sold") if method == "lesser" else F.col("bought") + F.col("sold")
+    return own.select("account_id", F.when(value > 0, traded.cast("double") / value).alias("turnover"))
 
 
 def fees_by_year(cash: DataFrame, trades: DataFrame) -> DataFrame:

@@ -19,11 +19,12 @@ def _to_here():
     return _by_period().rowsBetween(W.unboundedPreceding, 0)
 
 
-def modified_dietz(periods: DataFrame, flows: DataFrame) -> DataFrame:
+def modified_dietz(periods: DataFrame, flows: DataFrame, with_capital: bool = False) -> DataFrame:
     """``periods`` (account_id, period_start, period_end, begin_value, end_value) with flow and return ``r``.
 
     Flows (account_id, date, amount) count in (start, end], weighted by the share of days left. A flow finds its period
-    by an as-of step on period ends, not a range join. Null where the weighted capital isn't positive.
+    by an as-of step on period ends, not a range join. Null where the weighted capital isn't positive. ``with_capital``
+    keeps that capital as a column.
     """
     ends = periods.select("account_id", F.col("period_end").alias("date"), F.struct("period_start", "period_end").alias("p"), F.lit(None).cast("double").alias("amount"))
     both = ends.unionByName(flows.select("account_id", "date", F.lit(None).cast("struct<period_start:date,period_end:date>").alias("p"), F.col("amount").cast("double").alias("amount")))
@@ -35,7 +36,8 @@ def modified_dietz(periods: DataFrame, flows: DataFrame) -> DataFrame:
     sums = own.groupBy("account_id", F.col("p.period_end").alias("period_end")).agg(F.sum("amount").alias("flow"), F.sum(F.col("amount") * weight).alias("weighted"))
     got = periods.join(sums, ["account_id", "period_end"], "left").fillna(0.0, ["flow", "weighted"])
     capital = F.col("begin_value") + F.col("weighted")
-    return got.withColumn("r", F.when(capital > 0, (F.col("end_value") - F.col("begin_value") - F.col("flow")) / capital)).drop("weighted")
+    got = got.withColumn("r", F.when(capital > 0, (F.col("end_value") - F.col("begin_value") - F.col("flow")) / capital))
+    return (got.withColumn("capital", capital) if with_capital else got).drop("weighted")
 
 
 def return_index(returns: DataFrame, base: float = 100.0) -> DataFrame:

@@ -11,7 +11,7 @@ from ledgerloom.operators.ledger import running_units
 from ledgerloom.operators.performance import modified_dietz
 
 
-def quarterly_returns(trades: DataFrame, prices: DataFrame) -> DataFrame:
+def quarterly_returns(trades: DataFrame, prices: DataFrame, with_capital: bool = False) -> DataFrame:
     """(account_id, period_start, period_end, begin_value, end_value, flow, r): buys flow in, effective sells out.
 
     Units and prices are both carried forward over a calendar of quarter ends by windows, never joined by range.
@@ -31,4 +31,4 @@ def quarterly_returns(trades: DataFrame, prices: DataFrame) -> DataFrame:
     periods = value.withColumn("begin_value", F.coalesce(F.lag("end_value").over(wa), F.lit(0.0))).withColumn("period_start", F.date_sub(F.trunc("period_end", "quarter"), 1))
     share = F.col("sold").cast("double") / F.col("units").cast("double")
     flows = held.select("account_id", F.col("trade_date").alias("date"), F.when(F.col("type") == "BUY", F.col("gross").cast("double")).otherwise(-F.col("gross").cast("double") * share).alias("amount"))
-    return modified_dietz(periods, flows)
+    return modified_dietz(periods, flows, with_capital)
