@@ -56,6 +56,11 @@ def financial_year(d: Column) -> Column:
     return F.year(d) + (F.month(d) > 6).cast("int")
 
 
+def quarter_of(d: Column) -> Column:
+    """(year, quarter) of a date; null for none."""
+    return F.when(d.isNotNull(), F.struct(F.year(d).alias("year"), F.quarter(d).alias("quarter")))
+
+
 def bucket_end(d: Column, granularity: str) -> Column:
     """Last day of a date's day, week (Sunday), month, quarter or year."""
     return {

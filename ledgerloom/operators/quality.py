@@ -26,6 +26,24 @@ def scan_pii(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select(F.col(id_col), runs.alias("runs"), contains_identifier(F.col(text_col)).alias("identifier")).where(F.size("runs") > 0).select(id_col, F.size("runs").alias("n_runs"), F.array_max(F.transform("runs", F.length)).alias("longest"), "identifier")
 
 
+#: Labels of personal fields, which stored text must not hold.
+FORBIDDEN_LABELS = ["investor name", "tax file number", "account number", "bsb:"]
+
+
+def pii_issues(rows: DataFrame, id_col: str, text_cols: list[str], labels: list[str] = FORBIDDEN_LABELS) -> DataFrame:
+    """One issue for each label that a free-text cell holds, whatever its case, and for each run of six or more digits in it.
+
+    (row_id, field, code, detail, severity); detail is the label, or the run's length, never the run. Only ``text_cols`` are
+    looked at: a long number elsewhere is an amount, a date or an id. Null cells have no issues.
+    """
+    cells = rows.select(F.col(id_col).cast("string").alias("row_id"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c), F.lit("")).alias("text")) for c in text_cols])).alias("c")).select("row_id", "c.*")
+    low = F.lower("text")
+    named = [F.when(F.contains(low, F.lit(label)), F.struct(F.lit("PII_LABEL_PRESENT").alias("code"), F.lit(label).alias("detail"))) for label in labels]
+    runs = F.transform(F.regexp_extract_all("text", F.lit(r"\b\d{6,}\b"), F.lit(0)), lambda x: F.struct(F.lit("PII_DIGITS_PRESENT").alias("code"), F.length(x).cast("string").alias("detail")))
+    found = F.concat(F.array_compact(F.array(*named)), runs) if named else runs
+    return cells.select("row_id", "field", F.inline(found)).withColumn("severity", F.lit("ERROR"))
+
+
 def redacted(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.where(contains_identifier(F.col(text_col))).select(id_col, F.md5(redact(F.col(text_col))).alias("redacted_md5"))
 

@@ -111,6 +111,23 @@ def apply_promotion(stored: DataFrame, arriving: DataFrame, superseded: DataFram
     return stored.join(superseded, "event_id", "left_anti").unionByName(arriving.join(new, "event_id", "left_semi").select(stored.columns))
 
 
+def unknown_codes(new: DataFrame, securities: DataFrame) -> DataFrame:
+    """Codes of ``new`` (security_id is a code) that ``securities`` (security_id, code) don't know, and how many rows have them."""
+    return new.where("security_id IS NOT NULL").groupBy(F.col("security_id").alias("code")).agg(F.count("*").alias("n_rows")).join(securities.select("code"), "code", "left_anti")
+
+
+def with_stored_ids(new: DataFrame, securities: DataFrame) -> DataFrame:
+    """``new``, whose security_id is a code, with the id that ``securities`` (security_id, code) store for it.
+
+    Rows without a code stay without; of several securities with a code the smallest id counts. An unknown code fails the
+    job: nothing that is promoted may name a security that isn't stored.
+    """
+    ids = securities.where("code IS NOT NULL").groupBy(F.col("code").alias("__code")).agg(F.min("security_id").alias("__id"))
+    code = F.col("security_id")
+    known = F.when(code.isNull(), F.lit(None).cast(ids.schema["__id"].dataType)).when(F.col("__id").isNotNull(), F.col("__id")).otherwise(F.raise_error(F.concat(F.lit("unknown security "), code.cast("string"))))
+    return new.join(ids, code == F.col("__code"), "left").withColumn("security_id", known).select(new.columns)
+
+
 def resolve_security(rows: DataFrame, securities: DataFrame) -> DataFrame:
     """``rows`` (product_id, product_name) with security_id from ``securities`` (security_id, product_id, name, priority).
 

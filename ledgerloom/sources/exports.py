@@ -79,6 +79,20 @@ def split_quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.where("reason_code IS NULL").drop("reason_code"), parsed.where("reason_code IS NOT NULL")
 
 
+def unaccounted(raw: DataFrame, records: DataFrame, quarantined: DataFrame, *keys: str) -> DataFrame:
+    """Files (``keys``) whose rows aren't as many as their records and quarantined rows together, with all three counts."""
+    counts = ["n_rows", "n_records", "n_quarantined"]
+    parts = [df.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, *[F.col("n").alias(c) if c == own else F.lit(0).cast("long").alias(c) for c in counts]) for own, df in zip(counts, (raw, records, quarantined))]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
+    return both.where("n_rows <> n_records + n_quarantined").withColumn("code", F.lit("ROWS_UNACCOUNTED"))
+
+
+def assert_accounted(raw: DataFrame, records: DataFrame, quarantined: DataFrame, *keys: str) -> None:
+    """ValueError that names up to ten files which unaccounted() finds."""
+    if bad := unaccounted(raw, records, quarantined, *keys).limit(10).collect():
+        raise ValueError(f"rows unaccounted for: {[r.asDict() for r in bad]}")
+
+
 def stream_exports(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Export files as they arrive, as strings without account numbers; parse_* apply to it as to a batch."""
     schema = ", ".join(f"`{c}` string" for c in columns)
