@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+from functools import partial
+from itertools import takewhile
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,14 +49,64 @@ def cash_pairs(own: DataFrame, other: DataFrame, days: int = DAYS, cents: int =
 
 
 def trade_pairs(own: DataFrame, other: DataFrame, days: int = DAYS, units: float = UNITS) -> DataFrame:
-    """One-to-one pairs (account_id, type, id1, id2) of trades (account_id, event_id, type, security_id, on, amount, units): nearest date, then nearest amount."""
+    """One-to-one pairs (account_id, type, id1, id2) of trades (account_id, event_id, type, security_id, on, amount, units): nearest date, then nearest amount.
+
+    Trades of ``own`` choose in order of date and id, of equal ones the smaller id. No pairs of candidates are made: both
+    sides lie in one exchange by account, type and security and stream by day, and only what lies within ``days`` is held.
+    """
     keys = ["account_id", "type", "security_id"]
-    wide, at = _spans(F.col("on"), days)
-    left = own.select(*keys, F.col("event_id").alias("id1"), F.col("on").alias("on1"), F.col("units").alias("u1"), F.col("amount").alias("m1"), wide.alias("span"))
-    right = other.select(*keys, F.col("event_id").alias("id2"), F.col("on").alias("on2"), F.col("units").alias("u2"), F.col("amount").alias("m2"), at.alias("span"))
-    pairs = left.join(right, [*keys, "span"]).withColumn("days", F.abs(F.datediff("on1", "on2"))).where(F.col("days") <= days)
-    pairs = pairs.where(F.abs(F.abs("u1") - F.abs("u2")) < units).withColumn("off", F.abs(_cents("m1") - _cents("m2"))).select(*keys, "id1", "id2", "on1", "u1", "m1", "days", "off")
-    return greedy_one_to_one(pairs, "id1", "id2", ["on1"], ["days", "off"], [*keys, "on1", "u1", "m1"]).select("account_id", "type", "id1", "id2")
+    side = lambda d, n, at, ids: d.select(*keys, at.alias("at"), F.lit(n).alias("side"), F.unix_date("on").alias("day"), F.abs("units").alias("u"), _cents("amount").alias("c"), *ids)
+    id_, nothing = F.col("event_id"), lambda d: F.lit(None).cast(d.schema["event_id"].dataType)
+    day = F.unix_date("on")
+    # an own trade comes when all that it may take has come
+    both = side(other, 0, day, [nothing(own).alias("id1"), id_.alias("id2")]).unionByName(side(own, 1, day + days, [id_.alias("id1"), nothing(other).alias("id2")])).dropna(subset=[*keys, "at", "u"])
+    both = both.repartition(*keys).sortWithinPartitions(*keys, "at", "side", "id1")
+    kinds = dict(both.dtypes)
+    return both.mapInArrow(partial(_nearest_free, days=days, units=units), ", ".join(f"{c} {kinds[c]}" for c in ("account_id", "type", "id1", "id2")))
+
+
+def _nearest_free(batches: Iterator[pa.RecordBatch], days: int, units: float) -> Iterator[pa.RecordBatch]:
+    """Streams groups by day; each own trade takes the free other one of the nearest day, then amount (a null amount first), then id."""
+    group, free = None, {}  # by day, by bucket of units, by units: (amount known, amount, id), sorted
+    for batch in batches:
+        at, taken = [], []
+        for i, (*key, _, side, day, u, c, _, id2) in enumerate(zip(*(x.to_pylist() for x in batch.columns), strict=True)):
+            if key != group:
+                group, free = key, {}
+            if u != u:
+                continue
+            place = int(u // units)
+            if side == 0:
+                insort(free.setdefault(day, {}).setdefault(place, {}).setdefault(u, []), (c is not None, c or 0, id2))
+                continue
+            for gone in [d for d in takewhile(lambda d: d < day - days, free)]:  # noqa: B023
+                del free[gone]
+            for off in range(days + 1):
+                best = min((x for d in {day - off, day + off} if d in free for k in (place - 1, place, place + 1) for v, rows in free[d].get(k, {}).items() if abs(u - v) < units for x in [_nearest(rows, c, (d, k, v))]), default=None)
+                if best is not None:
+                    _, id_, (d, k, v), n = best
+                    del free[d][k][v][n]
+                    if not free[d][k][v]:
+                        del free[d][k][v]
+                    at.append(i)
+                    taken.append(id_)
+                    break
+        took = batch.take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([took.column("account_id"), took.column("type"), took.column("id1"), pa.array(taken, batch.schema.field("id2").type)], ["account_id", "type", "id1", "id2"])
+
+
+def _nearest(rows: list, c: int | None, where: tuple) -> tuple:
+    """(distance, id, where, index) of the row of the nearest amount; an unknown distance, -1, is the nearest."""
+    if c is None:
+        n = min(range(len(rows)), key=lambda n: rows[n][2])
+        return -1, rows[n][2], where, n
+    if not rows[0][0]:
+        return -1, rows[0][2], where, 0
+    n = bisect_left(rows, (True, c))
+    ends = [n] if n < len(rows) else []
+    if n:
+        ends.append(bisect_left(rows, (True, rows[n - 1][1])))
+    return min((abs(rows[m][1] - c), rows[m][2], where, m) for m in ends)
 
 
 def reconciled(own: DataFrame, other: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 from datetime import date
 from decimal import Decimal as D
 
-from ledgerloom.operators import matching
+from ledgerloom.operators import matching, reconcile
 
 
 def test_trades_match_without_a_join_and_as_in_a_walk(spark):
@@ -30,3 +30,25 @@ def test_trades_match_without_a_join_and_as_in_a_walk(spark):
         assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
         seen |= {w[1] for w in want}
     assert len(seen) == 5
+
+
+def test_trades_of_two_sources_pair_without_pairs_of_candidates(spark):
+    r = random.Random(5)
+    shape = "account_id int, event_id {0}, type string, security_id string, on date, amount decimal(18,2), units double"
+    rows = lambda p: [(r.choice([1, 1, 2, None]), p + i, "BUY", r.choice(["A", "A", "B"]), r.choice([date(2020, 1, 1 + r.randrange(28)), None, date(2020, 1, 1 + r.randrange(28))]), r.choice([D(r.randrange(100, 106)) / 100, D(7), None]), r.choice([1.0, -1.0, 1.4, 1.5, 2.0, None, float("nan")])) for i in range(120)]
+    own, other = rows(0), rows(1000)
+    own += [(3, 500 + i, "BUY", "C", date(2020, 1, 5), D(5), 9.0) for i in range(3000)]  # a crowd of equal rows makes no 9,000,000 pairs
+    other += [(3, 5000 + i, "BUY", "C", date(2020, 1, 6 + i % 2), D(5), 9.0) for i in range(2990)]
+    for days in (7, 2):
+        want, used = set(), set()
+        for a in sorted((a for a in own if a[0] in (1, 2) and a[4]), key=lambda a: (a[4], a[1])):
+            fits = [b for b in other if b[0] == a[0] and b[3] == a[3] and b[1] not in used and b[4] and a[6] and b[6] and abs((a[4] - b[4]).days) <= days and abs(abs(a[6]) - abs(b[6])) < 0.5]
+            if fits:
+                best = min(fits, key=lambda b: (abs((a[4] - b[4]).days), -1 if None in (a[5], b[5]) else abs(a[5] - b[5]), b[1]))  # noqa: B023
+                used.add(best[1])
+                want.add((a[1], best[1]))
+        got = reconcile.trade_pairs(spark.createDataFrame(own, shape.format("int")).repartition(3), spark.createDataFrame(other, shape.format("long")), days)
+        pairs = [(p.id1, p.id2) for p in got.collect()]
+        assert {p for p in pairs if p[0] < 500} == want and len(pairs) == len(want) + 2990
+        assert {p for p in pairs if p[0] >= 500} == set(zip(range(500, 3490), sorted(range(5000, 7990), key=lambda i: (i % 2, i)), strict=True))
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
