@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
 from functools import partial
 from itertools import takewhile
@@ -202,12 +203,52 @@ def attach_brokerage(trades: DataFrame, fees: DataFrame, days: int = 7) -> DataF
 
     The fee's amount is the brokerage, it follows within ``days``, and its description names the side and the security;
     the earliest counts, each row once. Trades without one have a null fee_id.
+
+    Trades choose in order of date and id. No pairs of candidates are made: both sides lie in one exchange by account and
+    amount and stream by day, and only fee rows within ``days`` are held.
     """
-    t = trades.where("brokerage > 0").select("account_id", "event_id", "type", "security_id", F.col("on").alias("traded"), _cents("brokerage").alias("c"))
-    f = fees.select("account_id", "fee_id", F.col("on").alias("charged"), F.abs(_cents("amount")).alias("c"), F.lower("description").alias("said"))
-    named = F.col("said").contains(F.lower("type")) & F.col("said").contains(F.lower("security_id"))
-    span = lambda d, shift: F.floor((F.unix_date(d) + shift) / (days + 1))  # noqa: E731  a window of days meets two spans at most
-    t = t.withColumn("span", F.explode(F.array_distinct(F.array(span("traded", 0), span("traded", days)))))
-    pairs = t.join(f.withColumn("span", span("charged", 0)), ["account_id", "c", "span"]).withColumn("days", F.datediff("charged", "traded")).where(F.col("days").between(0, days) & named).select("account_id", "c", "type", "security_id", "event_id", "fee_id", "traded", "days")
-    best = greedy_one_to_one(pairs, "event_id", "fee_id", ["traded"], ["days"], ["account_id", "c", "type", "security_id", "traded"])
-    return trades.join(best.select("event_id", "fee_id", "days"), "event_id", "left")
+    nothing = lambda d, c: F.lit(None).cast(d.schema[c].dataType)
+    day, no_text = F.unix_date("on"), F.lit(None).cast("string")
+    charged = fees.select("account_id", F.abs(_cents("amount")).alias("c"), day.alias("at"), F.lit(0).alias("side"), day.alias("day"), nothing(trades, "event_id").alias("event_id"), "fee_id", F.lower("description").alias("said"), no_text.alias("security"))
+    asks = trades.where("brokerage > 0").select("account_id", _cents("brokerage").alias("c"), (day + days).alias("at"), F.lit(1).alias("side"), day.alias("day"), "event_id", nothing(fees, "fee_id").alias("fee_id"), F.lower("type").alias("said"), F.lower("security_id").alias("security"))
+    both = charged.unionByName(asks).dropna(subset=["account_id", "c", "at", "said"]).where("side = 0 OR security IS NOT NULL")
+    both = both.repartition("account_id", "c").sortWithinPartitions("account_id", "c", "at", "side", "event_id", "fee_id")
+    kinds = dict(both.dtypes)
+    best = both.mapInArrow(partial(_first_named, days=days), f"event_id {kinds['event_id']}, fee_id {kinds['fee_id']}, days int")
+    return trades.join(best, "event_id", "left")
+
+
+def _first_named(batches: Iterator[pa.RecordBatch], days: int) -> Iterator[pa.RecordBatch]:
+    """Streams accounts' amounts by day; each trade takes the first free fee row of its days whose words name its side and its security."""
+    group, free, many = None, {}, 1_000  # by words: (day, id), in order
+    for batch in batches:
+        asked, taken, after = [], [], []
+        for account, c, _, side, day, event, fee, said, security in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if (account, c) != group:
+                group, free, many = (account, c), {}, 1_000
+            if side == 0:
+                rows = free.setdefault(said, deque())
+                rows.append((day, fee))
+                while rows[0][0] < day - days:
+                    rows.popleft()
+                if len(free) > many:
+                    free = {w: rows for w, rows in free.items() if rows[-1][0] >= day - days}
+                    many = 2 * len(free) + 1_000
+                continue
+            late = []
+            for words in [w for w in free if said in w and security in w]:
+                rows = free[words]
+                while rows and rows[0][0] < day:  # trades come by day: what this one is too late for, later ones are
+                    rows.popleft()
+                if rows:
+                    late.append((rows[0], words))
+                else:
+                    del free[words]
+            if late:
+                (on, fee), words = min(late)
+                free[words].popleft()
+                asked.append(event)
+                taken.append(fee)
+                after.append(on - day)
+        kinds = {f.name: f.type for f in batch.schema}
+        yield pa.RecordBatch.from_arrays([pa.array(asked, kinds["event_id"]), pa.array(taken, kinds["fee_id"]), pa.array(after, pa.int32())], ["event_id", "fee_id", "days"])

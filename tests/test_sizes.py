@@ -52,3 +52,24 @@ def test_trades_of_two_sources_pair_without_pairs_of_candidates(spark):
         assert {p for p in pairs if p[0] < 500} == want and len(pairs) == len(want) + 2990
         assert {p for p in pairs if p[0] >= 500} == set(zip(range(500, 3490), sorted(range(5000, 7990), key=lambda i: (i % 2, i)), strict=True))
         assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_brokerage_is_attached_by_one_stream(spark):
+    r = random.Random(7)
+    day = lambda: r.choice([date(2020, 1, 1 + r.randrange(28)), date(2020, 1, 1 + r.randrange(28)), None])
+    trades = [(r.choice([1, 2, None]), i, r.choice(["BUY", "SELL"]), r.choice(["A", "AB", None]), day(), r.choice([D(5), D(6), D(0), None])) for i in range(150)]
+    fees = [(r.choice([1, 2]), f"f{i}", day(), r.choice([D(-5), D(6), None]), r.choice(["fee buy ab", "Fee SELL A", "buy a", "other", None])) for i in range(90)]
+    trades += [(3, 500 + i, "BUY", "A", date(2020, 1, 5), D(5)) for i in range(3000)]
+    fees += [(3, f"g{i:04d}", date(2020, 1, 7), D(5), "buy a") for i in range(2990)]
+    want, used = {}, set()
+    for t in sorted((t for t in trades if t[0] in (1, 2) and t[3] and t[4] and t[5]), key=lambda t: (t[4], t[1])):
+        fits = [f for f in fees if f[0] == t[0] and f[1] not in used and f[2] and f[3] and f[4] and abs(f[3]) == t[5] and 0 <= (f[2] - t[4]).days <= 7 and t[2].lower() in f[4].lower() and t[3].lower() in f[4].lower()]
+        if fits:
+            best = min(fits, key=lambda f: (f[2], f[1]))
+            used.add(best[1])
+            want[t[1]] = (best[1], (best[2] - t[4]).days)
+    best = reconcile.attach_brokerage(spark.createDataFrame(trades, "account_id int, event_id int, type string, security_id string, on date, brokerage decimal(18,2)").repartition(3), spark.createDataFrame(fees, "account_id int, fee_id string, on date, amount decimal(18,2), description string"))
+    got = {g.event_id: (g.fee_id, g.days) for g in best.collect()}
+    assert len(got) == len(trades) and want
+    assert all(got[t[1]] == (want.get(t[1], (None, None)) if t[1] < 500 else (f"g{t[1] - 500:04d}", 2) if t[1] < 3490 else (None, None)) for t in trades)
+    assert "MapInArrow" in best._jdf.queryExecution().optimizedPlan().toString()
