@@ -73,3 +73,18 @@ def test_brokerage_is_attached_by_one_stream(spark):
     assert len(got) == len(trades) and want
     assert all(got[t[1]] == (want.get(t[1], (None, None)) if t[1] < 500 else (f"g{t[1] - 500:04d}", 2) if t[1] < 3490 else (None, None)) for t in trades)
     assert "MapInArrow" in best._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_settlements_stream_where_they_lie_and_blocks_cross_stretches(spark):
+    at = matching._STRETCH
+    amounts = [at - 2, at - 1, at, at + 1, 2 * at - 1, 2 * at, 3 * at, 3 * at + 2, -at, -at - 1, -1, 0, *range(4 * at - 3, 5 * at + 3, 1)]
+    t = spark.createDataFrame([(c,) for c in amounts], "c long").selectExpr("1 AS account_id", "concat('t', c) AS event_id", "DATE '2020-01-01' AS trade_date", "'SELL' AS type", "CAST(c / 100 AS decimal(18,2)) AS gross", "CAST(0 AS decimal(18,2)) AS fees")
+    m = t.selectExpr("account_id", "concat('m', event_id) AS event_id", "date_add(trade_date, 1) AS trade_date", "gross AS amount")
+    got = matching.pair_settlements(t, m).collect()
+    assert len(got) == len(amounts) == len({p.trade_id for p in got}) == len({p.transfer_id for p in got})
+    assert all(abs(int(p.trade_id[1:]) - int(p.transfer_id[2:])) <= 1 and p.days_to_cash == 1 for p in got)
+    # by the amounts that adjoin, whatever stretches they lie in
+    assert {p.block for p in got} == {at - 2, 2 * at - 1, 3 * at, 3 * at + 2, -at - 1, -1, 4 * at - 3}
+    ranged = spark.range(10).selectExpr("1 AS account_id", "concat('t', id) AS event_id", "DATE '2020-01-01' AS trade_date", "'SELL' AS type", "CAST(id AS decimal(18,2)) AS gross", "CAST(0 AS decimal(18,2)) AS fees")
+    plan = matching.pair_settlements(ranged, ranged.selectExpr("account_id", "event_id", "trade_date", "gross AS amount"))
+    assert "RDD" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.count() == 10  # nothing is written in between
