@@ -45,7 +45,10 @@ def match_exports(trades: DataFrame, cash: DataFrame, cents: int = 1, days: int
     cash has no ordinal. Rows with a null day or amount fit nothing. The ordinals of a crowd of equal trades are counted
     by one task, as a sort that spills.
     """
-    span = lambda d, shift: F.floor((F.unix_date(d) + shift) / (2 * days + 1))  # noqa: E731  a window of days meets two spans at most
+    # cells of amounts and days, some times as wide as what a trade may reach: it meets one, seldom two of each
+    cell = lambda at, reach, shift: F.floor((at + shift) / (reach + 1))
+    met_by = lambda at, reach, by: F.explode(F.array_distinct(F.array(cell(at, reach, -by), cell(at, reach, by))))
+    cents_wide, days_wide = 8 * cents + 7, 4 * days + 3
     said = ["account_id", "side", "pid", "name", "trade_date", "gross_value"]
     own = trades.select("account_id", "row_id", "side", F.col("product_id").alias("pid"), _name("security_name").alias("name"), "trade_date", "canonical_units", "gross_value")
     legs = cash.where(F.col("cash_class").isin(*LEG.values())).select("account_id", "row_id", F.when(F.col("cash_class") == LEG["BUY"], "BUY").otherwise("SELL").alias("side"), "cash_class", F.col("product_id").alias("qid"), _name("product_name").alias("called"), "date", "signed_total", "units")
@@ -53,17 +56,17 @@ def match_exports(trades: DataFrame, cash: DataFrame, cents: int = 1, days: int
     right = legs.groupBy("account_id", "side", "qid", "called", "date", "signed_total").agg(F.count("*").alias("n2"), F.min(F.struct("row_id", "units")).alias("leg"))
 
     keys = lambda id_, name: F.explode(F.array_compact(F.array(F.concat(F.lit("id|"), id_), F.concat(F.lit("name|"), name))))
-    l = left.withColumn("key", keys(F.col("pid"), F.col("name"))).withColumn("c", F.explode(F.sequence(_cents(F.col("gross_value")) - cents, _cents(F.col("gross_value")) + cents))).withColumn("span", F.explode(F.array_distinct(F.array(span("trade_date", -days), span("trade_date", days)))))  # noqa: E741
-    r = right.withColumn("key", keys(F.col("qid"), F.col("called"))).withColumn("c", _cents(F.col("signed_total"))).withColumn("span", span("date", 0))
+    l = left.withColumn("key", keys(F.col("pid"), F.col("name"))).withColumn("c1", _cents(F.col("gross_value"))).withColumn("c", met_by(F.col("c1"), cents_wide, cents)).withColumn("span", met_by(F.unix_date("trade_date"), days_wide, days))  # noqa: E741
+    r = right.withColumn("key", keys(F.col("qid"), F.col("called"))).withColumn("c2", _cents(F.col("signed_total"))).withColumn("c", cell(F.col("c2"), cents_wide, 0)).withColumn("span", cell(F.unix_date("date"), days_wide, 0))
     by_name = F.col("key").startswith("name|")
-    met = l.join(r, ["account_id", "side", "key", "c", "span"]).where((F.abs(F.datediff("date", "trade_date")) <= days) & (~by_name | F.col("pid").isNull() | F.col("qid").isNull()))
+    met = l.join(r, ["account_id", "side", "key", "c", "span"]).where((F.abs(F.col("c1") - F.col("c2")) <= cents) & (F.abs(F.datediff("date", "trade_date")) <= days) & (~by_name | F.col("pid").isNull() | F.col("qid").isNull()))
     mine = [F.col(c).eqNullSafe(F.col(f"x_{c}")) for c in said]
 
-    # counts of both ends by what rows say; a lone pair has one row at each end
-    asks = met.groupBy(*said).agg(F.sum("n2").alias("candidates"), F.min(F.struct("leg", "qid", "called", "date", "signed_total", "n2")).alias("best"))
-    claims = met.groupBy("account_id", "side", "qid", "called", "date", "signed_total").agg(F.sum("n1").alias("claims"), F.min("leg.row_id").alias("leg_row"))
-    one = asks.where("candidates = 1").join(claims.where("claims = 1").select(F.col("account_id").alias("__a"), F.col("leg_row"), F.col("claims")), (F.col("account_id") == F.col("__a")) & (F.col("best.leg.row_id") == F.col("leg_row")), "left").drop("__a")
-    found = one.unionByName(asks.where("candidates > 1"), allowMissingColumns=True)
+    pairs = met
+    # counts of both ends by what rows say, in one pass over the pairs; a lone pair has one row at each end
+    met = met.withColumn("claims", F.sum("n1").over(W.partitionBy("account_id", "side", "qid", "called", "date", "signed_total")))
+    found = met.groupBy(*said).agg(F.sum("n2").alias("candidates"), F.min(F.struct("leg", "qid", "called", "date", "signed_total", "claims")).alias("best"))
+    found = found.withColumn("claims", F.when((F.col("candidates") == 1) & (F.col("best.claims") == 1), F.lit(1)))
 
     rows = own.withColumn("ordinal", F.row_number().over(W.partitionBy("account_id", "side", "pid", "trade_date", "canonical_units", "gross_value").orderBy("row_id")) - 1)
     rows = rows.join(found.select(*[F.col(c).alias(f"x_{c}") for c in said], "candidates", "best", "claims"), mine, "left")
@@ -86,7 +89,7 @@ def match_exports(trades: DataFrame, cash: DataFrame, cents: int = 1, days: int
     deltas = ["date_delta", "value_delta", "quantity_delta"]
     first = rows.select(id_.alias("match_id"), status.alias("status"), "account_id", "side", F.col("pid").alias("security_id"), F.col("row_id").alias("trade_row"), "cash_row", "trade_date", "cash_date", *deltas, F.coalesce("candidates", F.lit(0)).alias("candidates"), reasons.alias("reasons"))
 
-    meant = met.select(*[F.col(c).alias(f"y_{c}") for c in ("account_id", "side", "qid", "called", "date", "signed_total")]).distinct()
+    meant = pairs.select(*[F.col(c).alias(f"y_{c}") for c in ("account_id", "side", "qid", "called", "date", "signed_total")]).distinct()
     rest = legs.join(meant, [F.col(c).eqNullSafe(F.col(f"y_{c}")) for c in ("account_id", "side", "qid", "called", "date", "signed_total")], "left_anti")
     lost = make_id("UNMATCHEDCASH", F.col("account_id"), F.col("cash_class"), F.col("qid"), F.col("date"), F.col("signed_total"))
     second = rest.select(lost.alias("match_id"), F.lit("UNMATCHED_CASH").alias("status"), "account_id", "side", F.col("qid").alias("security_id"), F.col("row_id").alias("cash_row"), F.col("date").alias("cash_date"), F.lit(0).cast("long").alias("candidates"), F.array(F.lit("no_investment_row_matched")).alias("reasons"))

@@ -4,7 +4,7 @@ import random
 from datetime import date
 from decimal import Decimal as D
 
-from ledgerloom.operators import matching, reconcile
+from ledgerloom.operators import candidates, matching, reconcile
 
 
 def test_trades_match_without_a_join_and_as_in_a_walk(spark):
@@ -88,3 +88,19 @@ def test_settlements_stream_where_they_lie_and_blocks_cross_stretches(spark):
     ranged = spark.range(10).selectExpr("1 AS account_id", "concat('t', id) AS event_id", "DATE '2020-01-01' AS trade_date", "'SELL' AS type", "CAST(id AS decimal(18,2)) AS gross", "CAST(0 AS decimal(18,2)) AS fees")
     plan = matching.pair_settlements(ranged, ranged.selectExpr("account_id", "event_id", "trade_date", "gross AS amount"))
     assert "RDD" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.count() == 10  # nothing is written in between
+
+
+def test_exports_meet_once_for_each_side_of_the_result(spark):
+    """Pairs are made twice, for trades and for lost legs; amounts and days at the ends of cells meet."""
+    day = lambda d: date.fromordinal(date(2020, 1, 1).toordinal() + d)
+    # each account has one trade; its leg lies at the edge of what it may reach, or just past it
+    places = [(100 * k + c, d, off, late) for k, c in enumerate(range(90)) for d in (k,) for off, late in ((1, 5), (-1, -5), (2, 0), (0, 6), (0, -6))]
+    trades = [(i, i, "BUY", "A", "one", day(d), D(1), D(1000 + c) / 100) for i, (c, d, _, _) in enumerate(places)]
+    cash = [(i, 10_000 + i, "TRADE_BUY_CASH", None, "One", day(d + late), -D(1000 + c + off) / 100, D(1)) for i, (c, d, off, late) in enumerate(places)]
+    got = candidates.match_exports(
+        spark.createDataFrame(trades, "account_id int, row_id int, side string, product_id string, security_name string, trade_date date, canonical_units decimal(18,2), gross_value decimal(18,2)"),
+        spark.createDataFrame(cash, "account_id int, row_id int, cash_class string, product_id string, product_name string, date date, signed_total decimal(18,2), units decimal(18,2)"),
+    )
+    found = {r.trade_row: r.cash_row for r in got.collect() if r.trade_row is not None}
+    assert found == {i: 10_000 + i if abs(off) <= 1 and abs(late) <= 5 else None for i, (_, _, off, late) in enumerate(places)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 4  # each side: pairs, and what they tell its rows
