@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import attribution, ledger
+from ledgerloom.plans.quarters import quarterly_returns
 
 TRADES = "account_id int, security_id string, trade_date date, type string, units decimal(18,2), gross decimal(18,2), fees decimal(18,2), event_id string"
 
@@ -53,3 +54,13 @@ def test_states_of_several_dates_are_those_of_each(spark):
     for on in dates:
         want = {tuple(r) for r in ledger.portfolio_state(tr.where(F.col("trade_date") <= on), prices, on).collect()}
         assert {tuple(r) for r in got.where(F.col("on") == on).drop("on").collect()} == want and want
+
+
+def test_quarters_read_the_trades_once_for_days_and_once_for_prices(spark):
+    tr = _random(spark).where("account_id IS NOT NULL")
+    prices = tr.groupBy("security_id", F.last_day("trade_date").alias("price_date")).agg(F.max(F.col("gross").cast("double")).alias("price"))
+    got = quarterly_returns(tr, prices)
+    assert "AttributeReference" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "LocalRelation" not in plan and "ExternalRDD" not in plan and plan.count("LogicalRDD") >= 3  # all branches read what was checkpointed
+    days = ledger.daily_positions(tr).collect()
+    for r in got.collect():
+        assert r.flow == pytest.approx(sum(d.flow for d in days if d.account_id == r.account_id and r.period_start < d.trade_date <= r.period_end), abs=1e-6)
