@@ -156,7 +156,13 @@ def average_capital(returns: DataFrame) -> DataFrame:
 def issue_summary(issues: DataFrame) -> DataFrame:
     """Issues (severity, code, document_id) by severity, by code within it and in all (nulls), with the documents to review.
 
-    To review are those with an ERROR or WARNING; issues without a document count, but name none.
+    To review are those with an ERROR or WARNING; issues without a document count, but name none. A document's kinds of
+    issue come together, and it counts once by code, by severity and in all: no row is written for each level.
     """
-    review = F.countDistinct(F.when(F.col("severity").isin("ERROR", "WARNING"), F.col("document_id")))
-    return issues.rollup("severity", "code").agg(F.count("*").alias("issues"), review.alias("documents_to_review"))
+    review = F.coalesce(F.col("severity").isin("ERROR", "WARNING"), F.lit(False)) & F.col("document_id").isNotNull()
+    each = issues.groupBy("severity", "code", "document_id").agg(F.count("*").alias("n")).withColumn("r", review.cast("int"))
+    w = W.partitionBy("document_id").orderBy(F.desc("r"), "severity", "code")
+    own = each.select("severity", "code", "n", "r", F.row_number().over(w).alias("k"), F.lag("severity").over(w).alias("last"))
+    of_severity, of_all = F.when(F.col("last") == F.col("severity"), 0).otherwise(F.col("r")), F.when(F.col("k") == 1, F.col("r")).otherwise(0)
+    docs = F.when(F.grouping("severity") == 1, F.sum("of_all")).when(F.grouping("code") == 1, F.sum("of_severity")).otherwise(F.sum("r"))
+    return own.select("severity", "code", "n", "r", of_severity.alias("of_severity"), of_all.alias("of_all")).rollup("severity", "code").agg(F.sum("n").alias("issues"), docs.alias("documents_to_review"))

@@ -7,8 +7,9 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import attribution, ledger
+from ledgerloom.operators import attribution, checks, ledger, measures
 from ledgerloom.plans.quarters import quarterly_returns
+from ledgerloom.sources import statements
 
 TRADES = "account_id int, security_id string, trade_date date, type string, units decimal(18,2), gross decimal(18,2), fees decimal(18,2), event_id string"
 
@@ -64,3 +65,37 @@ def test_quarters_read_the_trades_once_for_days_and_once_for_prices(spark):
     days = ledger.daily_positions(tr).collect()
     for r in got.collect():
         assert r.flow == pytest.approx(sum(d.flow for d in days if d.account_id == r.account_id and r.period_start < d.trade_date <= r.period_end), abs=1e-6)
+
+
+def test_issues_are_counted_without_a_row_for_each_level(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["ERROR", "WARNING", "INFO", None]), r.choice(["A", "B", None]), r.choice(["d1", "d2", "d3", None])) for _ in range(60)]
+    got = measures.issue_summary(spark.createDataFrame(rows, "severity string, code string, document_id string").repartition(3))
+    assert "distinct" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    levels = [lambda x: (x[0], x[1]), lambda x: (x[0], None), lambda x: (None, None)]
+    for level in levels:
+        for k in {level(x) for x in rows}:
+            own = [x for x in rows if level(x) == k]
+            want.append((*k, len(own), len({x[2] for x in own if x[2] and x[0] in ("ERROR", "WARNING")})))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_a_day_is_judged_once_for_all_its_events(spark):
+    day = lambda n: date(2020, 1, 1) + timedelta(n)
+    events = [(a, 10 * i, day(i % 30)) for i, a in enumerate([1, 2, None] * 200)] + [(1, 7, None)]
+    periods = [(1, day(3), day(9)), (1, day(5), day(6)), (None, day(20), day(22)), (1, None, day(29))]
+    e, p = spark.createDataFrame(events, "account_id int, event_id int, trade_date date"), spark.createDataFrame(periods, "account_id int, period_start date, period_end date")
+    want = {(a, str(i), d) for a, i, d in events if d and any(q[0] == a and q[1] for q in periods) and not any(q[0] == a and q[1] and q[1] <= d <= q[2] for q in periods)}
+    got = checks.outside_periods(e, p)
+    assert {tuple(x)[:3] for x in got.collect()} == want and got.count() == len(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Window"):]  # days lie in the windows, not events
+
+
+def test_sections_take_one_window_for_all_starts_and_one_for_all_stops(spark):
+    text = ["Portfolio valuation as at", "h", "Cash account transaction details", "c", "Investment transaction details", "t", "Notes: end", "x"]
+    lines = spark.createDataFrame([(d, 1, i, t) for d in (1, None) for i, t in enumerate(text)], "document_id int, page int, line_no int, text string")
+    got = statements.tag_sections(lines)
+    assert {(r.document_id, r.text): r.sections for r in got.where("size(sections) > 0").collect()} == {(d, t): [s] for d in (1, None) for t, s in (("h", "holdings"), ("c", "cash"), ("t", "trades"))}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
