@@ -43,13 +43,11 @@ def strip_identity(lines: DataFrame, title: str) -> DataFrame:
 def tag_sections(lines: DataFrame, sections: dict[str, tuple[str, list[str]]] = SECTIONS) -> DataFrame:
     """``lines`` with ``sections``: the names of those that hold a line; each runs from its first heading to the first stop after it, both left out."""
     at, low, doc = F.struct("page", "line_no"), F.lower("text"), W.partitionBy("document_id")
-    out, names = lines, []
-    for name, (start, stops) in sections.items():
-        begun, ends = f"__{name}_a", f"__{name}_z"
-        out = out.withColumn(begun, F.min(F.when(low.contains(start.lower()), at)).over(doc))
-        stop = F.exists(F.array(*[F.lit(s.lower()) for s in stops]), lambda s: low.contains(s))
-        out = out.withColumn(ends, F.min(F.when(stop & (at > F.col(begun)), at)).over(doc))
-        names.append(F.when((at > F.col(begun)) & F.coalesce(at < F.col(ends), F.lit(True)), name))
+    # all starts in one window, then all stops: a document lies in two windows, however many sections there are
+    out = lines.withColumns({f"__{name}_a": F.min(F.when(low.contains(start.lower()), at)).over(doc) for name, (start, _) in sections.items()})
+    stop = lambda stops: F.exists(F.array(*[F.lit(s.lower()) for s in stops]), lambda s: low.contains(s))
+    out = out.withColumns({f"__{name}_z": F.min(F.when(stop(stops) & (at > F.col(f"__{name}_a")), at)).over(doc) for name, (_, stops) in sections.items()})
+    names = [F.when((at > F.col(f"__{name}_a")) & F.coalesce(at < F.col(f"__{name}_z"), F.lit(True)), name) for name in sections]
     return out.withColumn("sections", F.array_compact(F.array(*names))).drop(*[f"__{n}_{x}" for n in sections for x in "az"])
 
 
