@@ -4,7 +4,12 @@ import random
 from datetime import date
 from decimal import Decimal as D
 
+from pyspark.sql import functions as F
+
+import __spark_entry__ as e
+from ledgerloom.functions import text
 from ledgerloom.operators import candidates, matching, reconcile
+from ledgerloom.sources import exports
 
 
 def test_trades_match_without_a_join_and_as_in_a_walk(spark):
@@ -104,3 +109,27 @@ def test_exports_meet_once_for_each_side_of_the_result(spark):
     found = {r.trade_row: r.cash_row for r in got.collect() if r.trade_row is not None}
     assert found == {i: 10_000 + i if abs(off) <= 1 and abs(late) <= 5 else None for i, (_, _, off, late) in enumerate(places)}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 4  # each side: pairs, and what they tell its rows
+
+
+def test_parsing_of_exports_stays_within_what_the_jvm_compiles(spark):
+    """HotSpot interprets methods of over 8,000 bytes, however often they run."""
+    size = lambda df: max(g.apply(i)._3().maxMethodCodeSize() for g in [df._jdf.queryExecution().debug().codegenToSeq()] for i in range(g.size()))
+    raw = spark.createDataFrame([("x",) * 9], ", ".join(f"`{c}` string" for c in exports.INVESTMENT_COLUMNS))
+    assert 0 < size(exports.parse_investment(raw)) < 8000
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # otherwise code is generated stage by stage as it runs
+    try:
+        assert 0 < size(e.queries()["parse_investment"](spark, "/root/testdata/sf0.001")) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_odd_cells_parse_as_by_one_layout_after_the_other(spark):
+    dates = {"05-Jan-2024": "2024-01-05", " 5-jan-24 ": "2024-01-05", "30 June 2026": "2026-06-30", "30 Jun 2026": "2026-06-30", "5 May 2024": "2024-05-05", "2024-01-05": "2024-01-05", "+12024-01-05": "+12024-01-05"}
+    dates |= dict.fromkeys(["", "-", "not yet settled", "30-Feb-2024", "5-Jan-202", "5-January-2024", "5-Jan 2024", "5 Jan 24", "2024-1-5", "5-Jan-202020-01-05", "5-Jan-20245 Jan 2024", "05-Jan-2024\n"])
+    numbers = {"$ 1,234.50": "1234.50", "--5": "-5.00", "-$-5": "-5.00", " - - 5": "-5.00", "\t7\n": "7.00", "-$5": "-5.00", "1e3": "1000.00", "+2": "2.00", "\u0665": "5.00", ".5": "0.50"}
+    numbers |= dict.fromkeys(["", " ", "-", "--", ".", "---5", "5--", "n/a", "x5", "1e30", "e"])
+    codes = {"vas.ax": "VAS", "A.AX.AX": "A", "A.ax.nz": "A", "B.ASX\n": "B", "C.AX-1": "CAX1", ".AX": None, "": None, " d-e.xasx ": "DE"}
+    for cells, parsed in ((dates, text.parse_date(F.col("c"))), (numbers, text.parse_decimal(F.col("c"), "decimal(18,2)")), (codes, text.normalise_code(F.col("c")))):
+        rows = spark.createDataFrame([(c,) for c in cells] + [(None,)], "c string")
+        assert {r.c: r.p for r in rows.select("c", parsed.cast("string").alias("p")).collect()} == cells | {None: None}
