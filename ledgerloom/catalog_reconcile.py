@@ -124,6 +124,6 @@ def resolve_security(spark, sf):
     + _chosen("account_id, c", "st.days") + " SELECT tr.event_id, og.id2 AS fee_id, cd.days::INTEGER AS days FROM tr LEFT JOIN og ON og.id1 = tr.event_id LEFT JOIN cd ON cd.id1 = og.id1 AND cd.id2 = og.id2")
 def attach_brokerage(spark, sf):
     """Each trade's fees as a cash row three days later, but for some days of the month."""
-    tr = td.trades(spark, sf)
+    tr = td.stored_trades(spark, sf)
     fees = tr.where((F.col("fees") > 0) & (F.day("trade_date") % 4 != 0)).select("account_id", F.concat(F.lit("fee-"), "event_id").alias("fee_id"), F.date_add("trade_date", 3).alias("on"), (-F.col("fees")).alias("amount"), F.concat("type", F.lit(" transaction fee for "), "security_id").alias("description"))
-    return reconcile.attach_brokerage(tr.withColumnsRenamed({"trade_date": "on", "fees": "brokerage"}), fees).select("event_id", "fee_id", "days")
+    return reconcile.attach_brokerage(tr.select("account_id", "event_id", "type", "security_id", F.col("trade_date").alias("on"), F.col("fees").alias("brokerage")), fees).select("event_id", "fee_id", "days")

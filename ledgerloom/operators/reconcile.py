@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ledgerloom.functions.text import make_id
 from ledgerloom.operators.matching import greedy_one_to_one
@@ -205,17 +206,23 @@ def attach_brokerage(trades: DataFrame, fees: DataFrame, days: int = 7) -> DataF
     the earliest counts, each row once. Trades without one have a null fee_id.
 
     Trades choose in order of date and id. No pairs of candidates are made: both sides lie in one exchange by account and
-    amount and stream by day, and only fee rows within ``days`` are held.
+    amount and stream by day, and only fee rows within ``days`` are held. Trades travel whole, so nothing is joined
+    afterwards; those without brokerage, account, date or names stay where they are.
     """
-    nothing = lambda d, c: F.lit(None).cast(d.schema[c].dataType)
-    day, no_text = F.unix_date("on"), F.lit(None).cast("string")
-    charged = fees.select("account_id", F.abs(_cents("amount")).alias("c"), day.alias("at"), F.lit(0).alias("side"), day.alias("day"), nothing(trades, "event_id").alias("event_id"), "fee_id", F.lower("description").alias("said"), no_text.alias("security"))
-    asks = trades.where("brokerage > 0").select("account_id", _cents("brokerage").alias("c"), (day + days).alias("at"), F.lit(1).alias("side"), day.alias("day"), "event_id", nothing(fees, "fee_id").alias("fee_id"), F.lower("type").alias("said"), F.lower("security_id").alias("security"))
-    both = charged.unionByName(asks).dropna(subset=["account_id", "c", "at", "said"]).where("side = 0 OR security IS NOT NULL")
-    both = both.repartition("account_id", "c").sortWithinPartitions("account_id", "c", "at", "side", "event_id", "fee_id")
-    kinds = dict(both.dtypes)
-    best = both.mapInArrow(partial(_first_named, days=days), f"event_id {kinds['event_id']}, fee_id {kinds['fee_id']}, days int")
-    return trades.join(best, "event_id", "left")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    names, ids = [c for c in trades.columns if c != "event_id"], fees.schema["fee_id"].dataType
+    asks = (F.col("brokerage") > 0) & F.col("account_id").isNotNull() & F.col("on").isNotNull() & F.col("type").isNotNull() & F.col("security_id").isNotNull()
+    asks = F.coalesce(asks & _cents("brokerage").isNotNull(), F.lit(False))
+    asked = trades.where(asks).select("account_id", _cents("brokerage").alias("c"), F.lit(1).alias("side"), F.struct(*trades.columns).alias("row"), nothing(ids).alias("fee_id"), nothing("date").alias("on"), nothing("string").alias("description"))
+    charged = fees.select("account_id", F.abs(_cents("amount")).alias("c"), F.lit(0).alias("side"), nothing(asked.schema["row"].dataType).alias("row"), "fee_id", "on", "description").dropna(subset=["account_id", "c", "on", "description"])
+    both = charged.unionByName(asked).repartition("account_id", "c")
+    day = F.unix_date(F.coalesce("on", "row.on"))
+    both = both.select("account_id", "c", (day + F.col("side") * days).alias("at"), "side", day.alias("day"), "row", "fee_id", F.lower(F.coalesce("description", "row.type")).alias("said"), F.lower("row.security_id").alias("security"))
+    both = both.sortWithinPartitions("account_id", "c", "at", "side", "row.event_id", "fee_id")
+    best = both.mapInArrow(partial(_first_named, days=days), StructType([both.schema["row"], both.schema["fee_id"], StructField("days", IntegerType())]))
+    out = ["event_id", *names, "fee_id", "days"]
+    best = best.select("row.*", "fee_id", "days").select(*out)
+    return best.unionByName(trades.where(~asks).withColumns({"fee_id": nothing(ids), "days": nothing("int")}).select(*out))
 
 
 def _first_named(batches: Iterator[pa.RecordBatch], days: int) -> Iterator[pa.RecordBatch]:
@@ -223,7 +230,8 @@ def _first_named(batches: Iterator[pa.RecordBatch], days: int) -> Iterator[pa.Re
     group, free, many = None, {}, 1_000  # by words: (day, id), in order
     for batch in batches:
         asked, taken, after = [], [], []
-        for account, c, _, side, day, event, fee, said, security in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        own = batch.select(["account_id", "c", "side", "day", "fee_id", "said", "security"])
+        for i, (account, c, side, day, fee, said, security) in enumerate(zip(*(x.to_pylist() for x in own.columns), strict=True)):
             if (account, c) != group:
                 group, free, many = (account, c), {}, 1_000
             if side == 0:
@@ -244,11 +252,10 @@ def _first_named(batches: Iterator[pa.RecordBatch], days: int) -> Iterator[pa.Re
                     late.append((rows[0], words))
                 else:
                     del free[words]
+            asked.append(i)
+            (on, fee), words = min(late, default=((None, None), None))
             if late:
-                (on, fee), words = min(late)
                 free[words].popleft()
-                asked.append(event)
-                taken.append(fee)
-                after.append(on - day)
-        kinds = {f.name: f.type for f in batch.schema}
-        yield pa.RecordBatch.from_arrays([pa.array(asked, kinds["event_id"]), pa.array(taken, kinds["fee_id"]), pa.array(after, pa.int32())], ["event_id", "fee_id", "days"])
+            taken.append(fee)
+            after.append(on - day if late else None)
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(asked, pa.int64())), pa.array(taken, batch.schema.field("fee_id").type), pa.array(after, pa.int32())], ["row", "fee_id", "days"])
