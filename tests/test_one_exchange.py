@@ -20,3 +20,20 @@ def test_trades_travel_with_the_fee_that_charged_them(spark):
     rows = reconcile.attach_brokerage(trades, fees)
     assert {(r.event_id, r.account_id, r.more, r.fee_id, r.days) for r in rows.collect()} == {(1, "x", 7, "f", 2), (2, None, 8, None, None), (3, "x", 9, None, None), (4, "x", 1, None, None), (5, "x", 2, None, None), (6, "x", None, None, None)}
     assert reconcile.attach_brokerage(trades.limit(0), fees).count() == 0
+
+
+def test_settlements_are_checked_as_they_stream(spark):
+    got = e.queries()["check_settlement"](spark, "/root/testdata/sf0.001")
+    assert joins(got) == 1  # of ends of stretches; before, trades were read four times and joined to their pairs twice
+    r = random.Random(4)
+    day = lambda: r.choice([date(2020, 1, 1 + r.randrange(9)), date(2020, 1, 1 + r.randrange(9)), None])
+    trades = spark.createDataFrame([(r.choice([1, 2, None]), f"t{i}", day(), r.choice(["SELL", "BUY"]), r.choice([D(r.randrange(9)) / 100, None]), D(0)) for i in range(200)], "account_id int, event_id string, trade_date date, type string, gross decimal(18,2), fees decimal(18,2)")
+    moved = spark.createDataFrame([(r.choice([1, 2]), f"m{i}", day(), D(r.randrange(-9, 9)) / 100) for i in range(60)], "account_id int, event_id string, trade_date date, amount decimal(18,2)")
+    pairs = matching.pair_settlements(trades, moved)
+    rows = matching.settled(trades, moved)
+    found = {p.trade_id: p.days_to_cash for p in pairs.collect()}
+    assert found and sorted((t.event_id, t.days_to_cash) for t in rows.collect() if t.days_to_cash is not None) == sorted(found.items())
+    assert sorted(t.event_id for t in rows.collect()) == sorted(f"t{i}" for i in range(200))
+    issues = {x.event_id: (x.account_id, x.code, x.severity) for x in checks.settlement_issues(rows).collect()}
+    assert issues == {t.event_id: (t.account_id, *(("SETTLEMENT_DATE_MISMATCH", "ERROR") if t.event_id in found else ("SETTLEMENT_PENDING", "INFO"))) for t in trades.collect() if found.get(t.event_id) != 0}
+    assert {x.event_id: (x.account_id, x.code, x.severity) for x in checks.check_settlement(trades, pairs).collect()} == issues
