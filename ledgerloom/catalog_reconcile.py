@@ -73,10 +73,10 @@ _TRADES = f""", a AS (SELECT account_id, event_id AS id, type, security_id AS s,
 
 @query(f"{_TRADES} SELECT account_id, type, id1, id2, status, authority, resolved FROM re")
 def reconcile_trades(spark, sf):
-    one, other = _two_sources(spark, sf)
+    one, other = _two_sources(spark, sf, stored=True)
     shape = lambda d, units: d.select("account_id", "event_id", "type", "security_id", F.col("trade_date").alias("on"), F.col("gross").alias("amount"), units.alias("units"))
     a, b = shape(one, F.col("units").cast("double")), shape(other, F.col("units").cast("double") + F.when(F.col("units") % 10 == 4, 0.25).otherwise(0.0))
-    return reconcile.reconciled(a, b, reconcile.trade_pairs(a, b))
+    return reconcile.reconciled_trades(a, b)
 
 
 @query(f"{_CASH} SELECT account_id, status, count(*) AS n, count(id1) = count(DISTINCT id1) AS one_to_one FROM re GROUP BY ALL")

@@ -53,48 +53,83 @@ def cash_pairs(own: DataFrame, other: DataFrame, days: int = DAYS, cents: int =
 def trade_pairs(own: DataFrame, other: DataFrame, days: int = DAYS, units: float = UNITS) -> DataFrame:
     """One-to-one pairs (account_id, type, id1, id2) of trades (account_id, event_id, type, security_id, on, amount, units): nearest date, then nearest amount.
 
-    Trades of ``own`` choose in order of date and id, of equal ones the smaller id. No pairs of candidates are made: both
-    sides lie in one exchange by account, type and security and stream by day, and only what lies within ``days`` is held.
+    Trades of ``own`` choose in order of date and id, of equal ones the smaller id.
+    """
+    return _both_sides(own, other, days, units).where("id1 IS NOT NULL AND id2 IS NOT NULL").select("account_id", "type", "id1", "id2")
+
+
+def reconciled_trades(own: DataFrame, other: DataFrame, days: int = DAYS, units: float = UNITS) -> DataFrame:
+    """As :func:`reconciled` with the pairs of :func:`trade_pairs`, but rows go through one exchange and none is joined to its pair. Ids are not null."""
+    return _judged(_both_sides(own, other, days, units), _covered(own, other))
+
+
+def _both_sides(own: DataFrame, other: DataFrame, days: int, units: float) -> DataFrame:
+    """Every trade of both sides, alone or with its pair: (account_id, type, id1, id2, on1, on2, c1, c2, u1, u2).
+
+    No pairs of candidates are made: both sides lie in one exchange by account, type and security and stream by day, and
+    only what lies within ``days`` is held. Rows without key, date or units stay where they are.
     """
     keys = ["account_id", "type", "security_id"]
     side = lambda d, n, at, ids: d.select(*keys, at.alias("at"), F.lit(n).alias("side"), F.unix_date("on").alias("day"), F.abs("units").alias("u"), _cents("amount").alias("c"), *ids)
     id_, nothing = F.col("event_id"), lambda d: F.lit(None).cast(d.schema["event_id"].dataType)
     day = F.unix_date("on")
     # an own trade comes when all that it may take has come
-    both = side(other, 0, day, [nothing(own).alias("id1"), id_.alias("id2")]).unionByName(side(own, 1, day + days, [id_.alias("id1"), nothing(other).alias("id2")])).dropna(subset=[*keys, "at", "u"])
-    both = both.repartition(*keys).sortWithinPartitions(*keys, "at", "side", "id1")
+    both = side(other, 0, day, [nothing(own).alias("id1"), id_.alias("id2")]).unionByName(side(own, 1, day + days, [id_.alias("id1"), nothing(other).alias("id2")]))
+    apart = F.greatest(*[F.col(c).isNull() for c in (*keys, "at", "u")])
+    met = both.where(~apart).repartition(*keys).sortWithinPartitions(*keys, "at", "side", "id1")
     kinds = dict(both.dtypes)
-    return both.mapInArrow(partial(_nearest_free, days=days, units=units), ", ".join(f"{c} {kinds[c]}" for c in ("account_id", "type", "id1", "id2")))
+    shape = ", ".join(f"{c} {kinds[k]}" for c, k in (("account_id", "account_id"), ("type", "type"), ("id1", "id1"), ("id2", "id2"), ("day1", "day"), ("day2", "day"), ("c1", "c"), ("c2", "c"), ("u1", "u"), ("u2", "u")))
+    mine = lambda n, c: F.when(F.col("side") == n, F.col(c))
+    alone = both.where(apart).select("account_id", "type", "id1", "id2", *[mine(n, c).alias(f"{c}{k}") for c in ("day", "c", "u") for n, k in ((1, 1), (0, 2))])
+    out = met.mapInArrow(partial(_nearest_free, days=days, units=units), shape).unionByName(alone)
+    on = lambda c: F.date_from_unix_date(c)
+    return out.select("account_id", "type", "id1", "id2", on("day1").alias("on1"), on("day2").alias("on2"), "c1", "c2", "u1", "u2")
 
 
 def _nearest_free(batches: Iterator[pa.RecordBatch], days: int, units: float) -> Iterator[pa.RecordBatch]:
-    """Streams groups by day; each own trade takes the free other one of the nearest day, then amount (a null amount first), then id."""
-    group, free = None, {}  # by day, by bucket of units, by units: (amount known, amount, id), sorted
+    """Streams groups by day; each own trade takes the free other one of the nearest day, then amount (a null amount first), then id.
+
+    An own trade leaves at once, with what it takes; what nothing took leaves when it lies too far back, or with its group.
+    """
+    names, kinds = ["account_id", "type", "id1", "id2", "day1", "day2", "c1", "c2", "u1", "u2"], None
+    group, free = (None, None), {}  # by day, by bucket of units, by units: (amount known, amount, id), sorted
+
+    def left(days_: list[int]) -> list[tuple]:
+        return [(*group[:2], None, id_, None, d, None, c if known else None, None, v) for d in days_ for same in free.pop(d).values() for v, rows in same.items() for known, c, id_ in rows]  # noqa: B023
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kinds[n]) for n, x in zip(names, zip(*rows, strict=True) if rows else [[]] * len(names), strict=True)], names)  # noqa: B023
+
     for batch in batches:
-        at, taken = [], []
-        for i, (*key, _, side, day, u, c, _, id2) in enumerate(zip(*(x.to_pylist() for x in batch.columns), strict=True)):
+        kinds = {n: batch.schema.field(n if n[-1] not in "12" or n.startswith("id") else n[:-1]).type for n in names}
+        out = []
+        for *key, _, side, day, u, c, id1, id2 in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if key != group:
+                out += left(list(free))
                 group, free = key, {}
             if u != u:
+                out.append((*key[:2], id1, id2, *((day, None, c, None, u, None) if side else (None, day, None, c, None, u))))
                 continue
             place = int(u // units)
             if side == 0:
                 insort(free.setdefault(day, {}).setdefault(place, {}).setdefault(u, []), (c is not None, c or 0, id2))
                 continue
-            for gone in [d for d in takewhile(lambda d: d < day - days, free)]:  # noqa: B023
-                del free[gone]
+            if free and next(iter(free)) < day - days:
+                out += left([d for d in takewhile(lambda d: d < day - days, free)])  # noqa: B023
             for off in range(days + 1):
                 best = min((x for d in {day - off, day + off} if d in free for k in (place - 1, place, place + 1) for v, rows in free[d].get(k, {}).items() if abs(u - v) < units for x in [_nearest(rows, c, (d, k, v))]), default=None)
                 if best is not None:
                     _, id_, (d, k, v), n = best
-                    del free[d][k][v][n]
+                    known, took, _ = free[d][k][v].pop(n)
                     if not free[d][k][v]:
                         del free[d][k][v]
-                    at.append(i)
-                    taken.append(id_)
+                    out.append((*key[:2], id1, id_, day, d, c, took if known else None, u, v))
                     break
-        took = batch.take(pa.array(at, pa.int64()))
-        yield pa.RecordBatch.from_arrays([took.column("account_id"), took.column("type"), took.column("id1"), pa.array(taken, batch.schema.field("id2").type)], ["account_id", "type", "id1", "id2"])
+            else:
+                out.append((*key[:2], id1, None, day, None, c, None, u, None))
+        yield told(out)
+    if kinds:
+        yield told(left(list(free)))
 
 
 def _nearest(rows: list, c: int | None, where: tuple) -> tuple:
@@ -126,7 +161,17 @@ def reconciled(own: DataFrame, other: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = a.join(pairs.select(*keys, "id1", F.col("id2").alias("mate")), [*keys, "id1"], "left").withColumnsRenamed({c: f"own_{c}" for c in keys})
     rows = rows.join(b, (F.col("own_account_id") == F.col("account_id")) & (F.col("own_type") == F.col("type")) & (F.col("mate") == F.col("id2")), "full")
     rows = rows.select(*[F.coalesce(f"own_{c}", c).alias(c) for c in keys], "id1", "id2", "on1", "on2", "c1", "c2", "u1", "u2")
-    spans = own.groupBy("account_id").agg(F.min("on").alias("a1"), F.max("on").alias("z1")).join(other.groupBy("account_id").agg(F.min("on").alias("a2"), F.max("on").alias("z2")), "account_id", "full")
+    return _judged(rows, _covered(own, other))
+
+
+def _covered(own: DataFrame, other: DataFrame) -> DataFrame:
+    """First and last date of both sources by account."""
+    spans = lambda d, n: d.groupBy("account_id").agg(F.min("on").alias(f"a{n}"), F.max("on").alias(f"z{n}"))
+    return spans(own, 1).join(spans(other, 2), "account_id", "full")
+
+
+def _judged(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Status of each row, paired or alone, of both sides."""
     rows = rows.join(spans, "account_id", "left")
     outside = lambda on, side: F.coalesce((F.col(on) < F.col(f"a{side}")) | (F.col(on) > F.col(f"z{side}")), F.lit(True))
     paired = F.col("id1").isNotNull() & F.col("id2").isNotNull()
@@ -135,7 +180,7 @@ def reconciled(own: DataFrame, other: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = rows.withColumn("status", F.when(paired, same).when(far, "SOURCE_COVERAGE_DIFFERENCE").when(F.col("id2").isNull(), "OWN_ONLY").otherwise("OTHER_ONLY"))
     resolved = F.col("status").isin(*RESOLVED)
     authority = F.when(~resolved, "UNRESOLVED").when(F.col("id1").isNull(), "OTHER_ONLY_SUPPORTED").otherwise("OWN_PREFERRED")
-    return rows.select(*keys, "id1", "id2", "status", authority.alias("authority"), resolved.alias("resolved"))
+    return rows.select("account_id", "type", "id1", "id2", "status", authority.alias("authority"), resolved.alias("resolved"))
 
 
 def match_summary(results: DataFrame) -> DataFrame:

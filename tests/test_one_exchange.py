@@ -37,3 +37,17 @@ def test_settlements_are_checked_as_they_stream(spark):
     issues = {x.event_id: (x.account_id, x.code, x.severity) for x in checks.settlement_issues(rows).collect()}
     assert issues == {t.event_id: (t.account_id, *(("SETTLEMENT_DATE_MISMATCH", "ERROR") if t.event_id in found else ("SETTLEMENT_PENDING", "INFO"))) for t in trades.collect() if found.get(t.event_id) != 0}
     assert {x.event_id: (x.account_id, x.code, x.severity) for x in checks.check_settlement(trades, pairs).collect()} == issues
+
+
+def test_trades_of_two_sources_leave_the_stream_with_their_pair(spark):
+    got = e.queries()["reconcile_trades"](spark, "/root/testdata/sf0.001")
+    assert joins(got) == 2  # of accounts and the dates they cover; before, six reads of the trades and two joins of all rows
+    r = random.Random(6)
+    shape = "account_id int, event_id {0}, type string, security_id string, on date, amount decimal(18,2), units double"
+    rows = lambda p: [(r.choice([1, 1, 2, None]), p + i, r.choice(["BUY", None]), r.choice(["A", "A", "B"]), r.choice([date(2020, 1, 1 + r.randrange(28)), None, date(2020, 1, 1 + r.randrange(28))]), r.choice([D(r.randrange(100, 106)) / 100, None]), r.choice([1.0, -1.0, 1.4, None, float("nan")])) for i in range(300)]
+    own, other = spark.createDataFrame(rows(0), shape.format("int")), spark.createDataFrame(rows(1000), shape.format("long"))
+    for days in (7, 2):
+        want = [tuple(x) for x in reconcile.reconciled(own, other, reconcile.trade_pairs(own, other, days)).collect()]
+        out = [tuple(x) for x in reconcile.reconciled_trades(own, other, days).collect()]
+        assert sorted(out, key=repr) == sorted(want, key=repr) and len({x[4] for x in out}) == 7
+    assert reconcile.reconciled_trades(own.limit(0), other.limit(0)).count() == 0
