@@ -20,7 +20,7 @@ _EXPORTS = """, tt AS (SELECT account_id, event_id AS row_id, type AS side, CASE
 
 
 def _exports(spark, sf):
-    tr = td.trades(spark, sf)
+    tr = td.stored_trades(spark, sf)
     z, name = F.col("units").cast("long") % 10, F.lower("security_id")
     trades = tr.select("account_id", F.col("event_id").alias("row_id"), F.col("type").alias("side"), F.when(F.col("units") % 4 != 0, F.col("security_id")).alias("product_id"), F.concat(F.lit(" "), F.upper("security_id")).alias("security_name"), "trade_date", F.col("units").alias("canonical_units"), (F.col("gross") / F.col("units")).cast("decimal(18,6)").alias("unit_price"), F.col("gross").alias("gross_value"), F.col("fees").alias("canonical_brokerage"))
     off = F.when(z == 3, F.lit("0.01").cast("decimal(3,2)")).otherwise(0)
@@ -38,7 +38,7 @@ def _exports(spark, sf):
     UNION ALL SELECT account_id, 'UNMATCHED_CASH', side, qid, NULL, row_id, NULL, d, NULL, NULL, NULL, 0, 'no_investment_row_matched' FROM cc WHERE row_id NOT IN (SELECT r2 FROM cd)""")
 def matched_exports(spark, sf):
     """Trades of one export against cash legs of the other, with reasons and deltas."""
-    return _d(candidates.match_exports(*_exports(spark, sf)).drop("match_id").withColumn("reasons", F.array_join("reasons", ",")))
+    return _d(candidates.pair_exports(*_exports(spark, sf)).drop("match_id", "canonical_units", "gross_value", "cash_effect").withColumn("reasons", F.array_join("reasons", ",")))
 
 
 @query(f"{_EXPORTS} SELECT account_id, side AS type, pid AS security_id, td AS trade_date, cdate AS cash_effective_date, units::DOUBLE AS canonical_units, gross::DOUBLE AS gross_amount, total::DOUBLE AS cash_effect, fees::DOUBLE AS canonical_brokerage, CASE WHEN side = 'BUY' THEN gross + fees ELSE fees - gross END::DOUBLE AS net_amount, trade_row, cash_row, fees > 0 AS has_fee FROM st WHERE status IN ('MATCH', 'MATCH_WITH_MINOR_DIFFERENCE')")

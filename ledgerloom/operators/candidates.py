@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ledgerloom.functions.classify import income_type_for, security_type
 from ledgerloom.functions.text import make_id, normalise_code, slug
@@ -13,6 +19,8 @@ from ledgerloom.operators.reconcile import attach_brokerage, resolve_security
 #: Cash classes of the two sides of trades.
 LEG = {"BUY": "TRADE_BUY_CASH", "SELL": "TRADE_SELL_CASH"}
 MATCHED = ("MATCH", "MATCH_WITH_MINOR_DIFFERENCE")
+#: Fixed value: cents of an account that lie in one place while exports are paired.
+_STRETCH = 1 << 16
 
 
 def _name(c: str) -> Column:
@@ -72,28 +80,136 @@ def match_exports(trades: DataFrame, cash: DataFrame, cents: int = 1, days: int
     rows = rows.join(found.select(*[F.col(c).alias(f"x_{c}") for c in said], "candidates", "best", "claims"), mine, "left")
     lone = F.col("claims").isNotNull()
     leg = lambda c: F.when(lone, F.col(c))
-    rows = rows.withColumns({"cash_row": leg("best.leg.row_id"), "cash_date": leg("best.date"), "total": leg("best.signed_total"), "moved": leg("best.leg.units"), "qid": leg("best.qid")})
-    rows = rows.withColumns({"date_delta": F.datediff("cash_date", "trade_date"), "value_delta": F.abs("total") - F.col("gross_value"), "quantity_delta": F.abs("moved") - F.col("canonical_units")})
+    rows = rows.withColumns({"lone": lone, "cash_row": leg("best.leg.row_id"), "cash_date": leg("best.date"), "total": leg("best.signed_total"), "moved": leg("best.leg.units"), "qid": leg("best.qid")})
+    first = rows.select(*[c.alias(n) for n, c in _of_trade().items()])
+
+    meant = pairs.select(*[F.col(c).alias(f"y_{c}") for c in ("account_id", "side", "qid", "called", "date", "signed_total")]).distinct()
+    rest = legs.join(meant, [F.col(c).eqNullSafe(F.col(f"y_{c}")) for c in ("account_id", "side", "qid", "called", "date", "signed_total")], "left_anti")
+    second = rest.withColumnsRenamed({"date": "cash_date", "signed_total": "total", "row_id": "cash_row"}).select(*[c.alias(n) for n, c in _of_lost_leg().items()])
+    return first.unionByName(second, allowMissingColumns=True)
+
+
+def _of_trade() -> dict[str, Column]:
+    """What match_exports says of a trade (account_id, side, pid, row_id, trade_date, canonical_units, gross_value, ordinal, candidates) and, if ``lone``, its leg (cash_row, cash_date, total, moved, qid)."""
+    lone = F.col("lone")
+    day, value, quantity = F.datediff("cash_date", "trade_date"), F.abs("total") - F.col("gross_value"), F.abs("moved") - F.col("canonical_units")
     status = (
-        F.when(F.col("candidates").isNull(), "UNMATCHED_INVESTMENT").when(~lone, "AMBIGUOUS").when(F.col("quantity_delta") != 0, "QUANTITY_MISMATCH")
-        .when((F.col("value_delta") != 0) | (F.col("date_delta") != 0), "MATCH_WITH_MINOR_DIFFERENCE").otherwise("MATCH")
+        F.when(F.col("candidates").isNull(), "UNMATCHED_INVESTMENT").when(~lone, "AMBIGUOUS").when(quantity != 0, "QUANTITY_MISMATCH")
+        .when((value != 0) | (day != 0), "MATCH_WITH_MINOR_DIFFERENCE").otherwise("MATCH")
     )
     why = F.array_compact(F.array(
-        F.when(F.col("pid") == F.col("qid"), "product_id_exact").otherwise("security_name_confirmed"), F.when(F.col("value_delta") == 0, "gross_value_exact").otherwise("gross_value_within_tolerance"),
-        F.when(F.col("date_delta") == 0, "same_day").otherwise(F.concat(F.lit("cash_date_delta_"), "date_delta", F.lit("d"))),
-        F.when(F.col("quantity_delta") == 0, "quantity_exact").when(F.col("quantity_delta") != 0, "quantity_mismatch"), F.lit("brokerage_excluded_from_match_amount"),
+        F.when(F.col("pid") == F.col("qid"), "product_id_exact").otherwise("security_name_confirmed"), F.when(value == 0, "gross_value_exact").otherwise("gross_value_within_tolerance"),
+        F.when(day == 0, "same_day").otherwise(F.concat(F.lit("cash_date_delta_"), day, F.lit("d"))),
+        F.when(quantity == 0, "quantity_exact").when(quantity != 0, "quantity_mismatch"), F.lit("brokerage_excluded_from_match_amount"),
     ))
     reasons = F.when(F.col("candidates").isNull(), F.array(F.lit("no_cash_row_matched_side_security_value_date"))).when(~lone, F.array(F.concat("candidates", F.lit("_equally_plausible_cash_rows")), F.lit("not_resolved_by_row_order"))).otherwise(why)
     dash = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     id_ = make_id("TRADEMATCH", F.col("account_id"), F.col("side"), F.col("pid"), F.col("trade_date"), F.col("canonical_units"), F.col("gross_value"), dash("cash_date"), dash("total"), F.col("ordinal"))
-    deltas = ["date_delta", "value_delta", "quantity_delta"]
-    first = rows.select(id_.alias("match_id"), status.alias("status"), "account_id", "side", F.col("pid").alias("security_id"), F.col("row_id").alias("trade_row"), "cash_row", "trade_date", "cash_date", *deltas, F.coalesce("candidates", F.lit(0)).alias("candidates"), reasons.alias("reasons"))
+    own = {n: F.col(c) for n, c in {"account_id": "account_id", "side": "side", "security_id": "pid", "trade_row": "row_id", "cash_row": "cash_row", "trade_date": "trade_date", "cash_date": "cash_date"}.items()}
+    return {"match_id": id_, "status": status, **own, "date_delta": day, "value_delta": value, "quantity_delta": quantity, "candidates": F.coalesce("candidates", F.lit(0)), "reasons": reasons}
 
-    meant = pairs.select(*[F.col(c).alias(f"y_{c}") for c in ("account_id", "side", "qid", "called", "date", "signed_total")]).distinct()
-    rest = legs.join(meant, [F.col(c).eqNullSafe(F.col(f"y_{c}")) for c in ("account_id", "side", "qid", "called", "date", "signed_total")], "left_anti")
-    lost = make_id("UNMATCHEDCASH", F.col("account_id"), F.col("cash_class"), F.col("qid"), F.col("date"), F.col("signed_total"))
-    second = rest.select(lost.alias("match_id"), F.lit("UNMATCHED_CASH").alias("status"), "account_id", "side", F.col("qid").alias("security_id"), F.col("row_id").alias("cash_row"), F.col("date").alias("cash_date"), F.lit(0).cast("long").alias("candidates"), F.array(F.lit("no_investment_row_matched")).alias("reasons"))
-    return first.unionByName(second, allowMissingColumns=True)
+
+def _of_lost_leg() -> dict[str, Column]:
+    """What match_exports says of a leg (account_id, side, cash_class, qid, cash_row, cash_date, total) that no trade could mean."""
+    lost = make_id("UNMATCHEDCASH", F.col("account_id"), F.col("cash_class"), F.col("qid"), F.col("cash_date"), F.col("total"))
+    own = {n: F.col(c) for n, c in {"account_id": "account_id", "side": "side", "security_id": "qid", "cash_row": "cash_row", "cash_date": "cash_date"}.items()}
+    return {"match_id": lost, "status": F.lit("UNMATCHED_CASH"), **own, "candidates": F.lit(0).cast("long"), "reasons": F.array(F.lit("no_investment_row_matched"))}
+
+
+def pair_exports(trades: DataFrame, cash: DataFrame, cents: int = 1, days: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of :func:`match_exports`, and columns canonical_units, gross_value, cash_effect (of the leg) and ``keep`` of trades, in one exchange without joins.
+
+    Both sides lie by account, side and stretch of ``_STRETCH`` cents and stream by amount; rows near an end of a stretch
+    lie in both, one of them as a neighbour only. Only what lies within four times ``cents`` is held. What fits a row is
+    counted as a range of sorted rows, so no pairs are made and a crowd of equal rows costs no more than others.
+    """
+    wide, ids = max(_STRETCH, 8 * cents), {d: d.schema["row_id"].dataType for d in (trades, cash)}
+    no = lambda kind: F.lit(None).cast(kind)
+    own = trades.select("account_id", "side", F.lit(1).alias("kind"), F.col("product_id").alias("pid"), _name("security_name").alias("name"), F.col("trade_date").alias("on"), F.col("canonical_units").alias("units"), F.col("gross_value").alias("amount"), F.col("row_id").alias("trade_row"), no(ids[cash]).alias("leg_row"), *keep)
+    legs = cash.where(F.col("cash_class").isin(*LEG.values())).select("account_id", F.when(F.col("cash_class") == LEG["BUY"], "BUY").otherwise("SELL").alias("side"), F.lit(0).alias("kind"), F.col("product_id").alias("pid"), _name("product_name").alias("name"), F.col("date").alias("on"), "units", F.col("signed_total").alias("amount"), no(ids[trades]).alias("trade_row"), F.col("row_id").alias("leg_row"), *[no(trades.schema[c].dataType).alias(c) for c in keep])
+    both = own.unionByName(legs).withColumn("c", _cents(F.col("amount")))
+    at = lambda shift: F.floor((F.col("c") + shift) / wide)
+    place = ["account_id", "side", "stretch"]
+    both = both.withColumn("stretch", F.explode(F.array_distinct(F.array(at(-2 * cents), at(0), at(2 * cents))))).repartition(*place)
+    same = W.partitionBy(*place, "kind", "pid", "on", "units", "amount").orderBy("trade_row")
+    both = both.withColumns({"ordinal": F.row_number().over(same) - 1, "day": F.unix_date("on"), "here": F.coalesce(F.col("stretch") == at(0), F.lit(True))}).sortWithinPartitions(*place, "c")
+    through = ["kind", "account_id", "side", "pid", "on", "units", "amount", "trade_row", "leg_row", "ordinal", *keep]
+    leg = {"cash_row": "leg_row", "cash_date": "on", "total": "amount", "moved": "units", "qid": "pid"}
+    shape = StructType([*[both.schema[c] for c in through], StructField("candidates", LongType()), StructField("lone", BooleanType()), *[StructField(n, both.schema[c].dataType) for n, c in leg.items()]])
+    got = both.mapInArrow(partial(_counted, through=through, leg=leg, cents=cents, days=days, wide=wide), shape)
+
+    is_trade, back = F.col("kind") == 1, {"canonical_units": ("units", trades), "gross_value": ("amount", trades)}
+    # of a leg, what a trade's leg is called; units and amounts as they came, since both sides' lay in one column
+    mine = {n: F.when(is_trade, F.col(n)).otherwise(F.col(c)) for n, c in leg.items()}
+    types = {"total": cash.schema["signed_total"].dataType, "moved": cash.schema["units"].dataType}
+    got = got.withColumns({n: c.cast(types[n]) if n in types else c for n, c in mine.items()} | {n: F.col(c).cast(d.schema[n].dataType) for n, (c, d) in back.items()})
+    got = got.withColumns({"row_id": F.col("trade_row"), "trade_date": F.when(is_trade, F.col("on")), "cash_class": F.when(F.col("side") == "BUY", LEG["BUY"]).otherwise(LEG["SELL"])})
+    lost = _of_lost_leg()
+    said = [(F.when(is_trade, c).otherwise(lost[n]) if n in lost else F.when(is_trade, c)).alias(n) for n, c in _of_trade().items()]
+    return got.select(*said, *[F.when(is_trade, F.col(c)).alias(c) for c in back], F.col("total").alias("cash_effect"), *keep)
+
+
+def _within(place: np.ndarray, day: np.ndarray, key: np.ndarray, mine: np.ndarray, theirs: np.ndarray, cents: int, days: int, n: np.ndarray, mate: np.ndarray) -> None:
+    """Adds to ``n`` how many of ``theirs`` have the key of each of ``mine`` within ``cents`` and ``days``, and sets one of them as its ``mate``."""
+    if not len(mine) or not len(theirs):
+        return
+    keys, first = int(key.max()) + 1, int(day.min())
+    span = int(day.max()) - first + 2 * days + 1
+    both = place * keys + key
+    known, of = np.unique(both[theirs], return_inverse=True)
+    code = of * span + (day[theirs] - first + days)
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    for off in range(-cents, cents + 1):
+        want = both[mine] + off * keys
+        at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+        hit = np.flatnonzero(known[at] == want)
+        low = at[hit] * span + (day[mine[hit]] - first)
+        start, end = np.searchsorted(code, low), np.searchsorted(code, low + 2 * days, "right")
+        n[mine[hit]] += end - start
+        some = end > start
+        mate[mine[hit[some]]] = theirs[order[start[some]]]
+
+
+def _counted(batches: Iterator[pa.RecordBatch], through: list[str], leg: dict[str, str], cents: int, days: int, wide: int) -> Iterator[pa.RecordBatch]:
+    """Streams groups by amount: trades with how many legs fit them, and the leg if it fits no other; legs that fit nothing."""
+    held, done, waiting = None, np.empty(0, bool), []
+
+    def step(table: pa.Table, done: np.ndarray, end: bool) -> tuple[pa.Table, np.ndarray, pa.Table]:
+        codes = lambda c: table.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        numbers = lambda c: table.column(c).fill_null(0).to_numpy().astype(np.int64)
+        there = lambda c: table.column(c).is_valid().to_numpy()
+        group = np.cumsum(np.any([np.diff(codes(c), prepend=0) != 0 for c in ("account_id", "side", "stretch")], axis=0))
+        c, day, trade = numbers("c"), numbers("day"), numbers("kind") == 1
+        known = there("account_id") & there("side") & there("c") & there("day")
+        ready = np.ones(len(c), bool) if end else ~known | (group < group[-1]) | (c + 2 * cents < c[-1])
+        place = (group - group[0]) * (wide + 6 * cents + 2) + c - numbers("stretch") * wide + 3 * cents
+        name, product, named = codes("name").astype(np.int64), codes("pid").astype(np.int64), there("pid")
+        day = np.where(known, day, day[known].min() if known.any() else 0)
+        n, mate = np.zeros(len(c), np.int64), np.full(len(c), -1)
+        rows = lambda on: np.flatnonzero(known & on)
+        for key, a, b in ((product, trade & named, ~trade & named), (name, trade & ~named, ~trade), (name, trade & named, ~trade & ~named)):
+            for mine, theirs in ((a, b), (b, a)):
+                _within(place, day, key, rows(mine), rows(theirs), cents, days, n, mate)
+        lone = trade & (n == 1) & (n[mate] == 1)
+        out = np.flatnonzero(ready & ~done & table.column("here").to_numpy() & (trade | (n == 0)))
+        taken = pa.array(mate[out], mask=~lone[out])
+        columns = {x: table.column(x).take(out) for x in through} | {"candidates": pa.array(n[out], mask=n[out] == 0), "lone": pa.array(lone[out])} | {x: table.column(y).take(taken) for x, y in leg.items()}
+        keep = ~ready | ((group == group[-1]) & known & (c >= c[-1] - 4 * cents))
+        return table.filter(keep), ready[keep], pa.table(columns)
+
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) > len(done):  # what is held is looked at again when it has doubled
+            rows = pa.Table.from_batches(waiting)
+            held, done, out = step(rows if held is None else pa.concat_tables([held, rows]), np.append(done, np.zeros(len(rows), bool)), False)
+            waiting = []
+            yield from out.to_batches()
+    if waiting:
+        rows = pa.Table.from_batches(waiting)
+        held, done = rows if held is None else pa.concat_tables([held, rows]), np.append(done, np.zeros(len(rows), bool))
+    if held is not None and len(held):
+        yield from step(held, done, True)[2].to_batches()
 
 
 def trade_candidates(matches: DataFrame, trades: DataFrame, cash: DataFrame, days: int = 7) -> tuple[DataFrame, DataFrame]:
