@@ -45,7 +45,7 @@ def matched_exports(spark, sf):
 def candidate_trades(spark, sf):
     """One candidate for each trade that has its leg."""
     trades, cash = _exports(spark, sf)
-    one, _ = candidates.trade_candidates(candidates.match_exports(trades, cash), trades, cash)
+    one, _ = candidates.paired_candidates(trades, cash)
     return _d(one.withColumn("has_fee", F.col("brokerage_fee_id").isNotNull()).drop("canonical_id", "match_id", "brokerage_fee_id", "price", "classification_status"))
 
 

@@ -221,13 +221,24 @@ def trade_candidates(matches: DataFrame, trades: DataFrame, cash: DataFrame, day
     """
     t = matches.where(F.col("status").isin(*MATCHED)).select("match_id", F.col("trade_row").alias("row_id"), "cash_row", "cash_date").join(trades, "row_id")
     legs = cash.select(F.col("row_id").alias("cash_row"), F.col("signed_total").alias("cash_effect"))
-    t = t.join(legs, "cash_row").withColumn("fingerprint", make_id("CSVTRADE", *[F.col(c) for c in ("account_id", "side", "product_id", "trade_date", "canonical_units", "unit_price", "gross_value")], length=20))
+    return _candidates(t.join(legs, "cash_row"), cash, days)
+
+
+def paired_candidates(trades: DataFrame, cash: DataFrame, days: int = 7) -> tuple[DataFrame, DataFrame]:
+    """:func:`trade_candidates` of :func:`pair_exports`: what a candidate needs comes with its pair, so that neither export is joined."""
+    pairs = pair_exports(trades, cash, keep=("security_name", "unit_price", "canonical_brokerage"))
+    return _candidates(pairs.where(F.col("status").isin(*MATCHED)).withColumnsRenamed({"trade_row": "row_id", "security_id": "product_id"}), cash, days)
+
+
+def _candidates(t: DataFrame, cash: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates and fees of trades with their match_id, cash_row, cash_date and cash_effect."""
+    t = t.withColumn("fingerprint", make_id("CSVTRADE", *[F.col(c) for c in ("account_id", "side", "product_id", "trade_date", "canonical_units", "unit_price", "gross_value")], length=20))
     t = t.withColumn("canonical_id", make_id("CANONICAL", F.col("fingerprint"), _ordinal("fingerprint"), length=20))
     paid = F.col("canonical_brokerage")
     charged = cash.where("cash_class = 'TRADE_BROKERAGE_CASH'").select("account_id", F.col("row_id").alias("fee_id"), F.col("date").alias("on"), F.col("signed_total").alias("amount"), F.col("product_name").alias("description"))
-    asks = t.select("account_id", F.col("row_id").alias("event_id"), F.col("side").alias("type"), _name("security_name").alias("security_id"), F.col("trade_date").alias("on"), paid.alias("brokerage"))
-    fees = attach_brokerage(asks, charged, days).where("brokerage > 0").select(F.col("event_id").alias("row_id"), F.col("fee_id").alias("fee_row"), F.col("days"))
-    t = t.join(fees, "row_id", "left")
+    others = ["match_id", "product_id", "cash_row", "cash_date", "cash_effect", "canonical_units", "gross_value", "unit_price", "canonical_id"]
+    asks = t.select("account_id", F.col("row_id").alias("event_id"), F.col("side").alias("type"), _name("security_name").alias("security_id"), F.col("trade_date").alias("on"), paid.alias("brokerage"), *others)
+    t = attach_brokerage(asks, charged, days).withColumnsRenamed({"event_id": "row_id", "type": "side", "on": "trade_date", "brokerage": "canonical_brokerage", "fee_id": "fee_row"})
     when = F.when(F.col("fee_row").isNotNull(), F.date_add("trade_date", F.col("days"))).otherwise(F.col("trade_date"))
     fee = F.when(paid > 0, make_id("CANONICAL", make_id("CSVFEE", F.col("account_id"), F.lit("BROKERAGE"), F.col("canonical_id"), when, paid, length=20), F.lit(0), length=20))
     net = F.when(F.col("side") == "BUY", F.col("gross_value") + paid).otherwise(-(F.col("gross_value") - paid))

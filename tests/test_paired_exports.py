@@ -41,3 +41,13 @@ def test_exports_pair_in_one_exchange_as_by_joins(spark, small):
         assert sorted(rows, key=repr) == sorted(map(tuple, want.collect()), key=repr)
         seen |= {x[1] for x in rows}
     assert len(seen) == 6 and candidates.pair_exports(own.limit(0), other.limit(0)).count() == 0
+
+
+def test_candidates_come_with_their_pair(spark, small):
+    assert joins(e.queries()["candidate_trades"](spark, "/root/testdata/sf0.001")) == 0  # before: 52, since the trades were read again for each use
+    trades, cash = _rows(6, 300)
+    cash += [(t[0], 30_000 + t[1], "TRADE_BROKERAGE_CASH", None, f"fee {t[2]} {(t[4] or '').strip()}", t[5], D(-9), None) for t in trades[::2]]
+    own, other = spark.createDataFrame(trades, TRADES), spark.createDataFrame(cash, CASH)
+    for want, got in zip(candidates.trade_candidates(candidates.match_exports(own, other), own, other), candidates.paired_candidates(own, other), strict=True):
+        assert got.dtypes == want.dtypes
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect()))) and want.count() > 0
